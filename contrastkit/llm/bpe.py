@@ -1,70 +1,69 @@
-"""Token ids of a public byte-level BPE, with a bounded memory of what was met before."""
+"""Token ids of a public byte-level BPE vocabulary, read from a tokenizers file whose path is a parameter."""
 
 from __future__ import annotations
 
+import json
 from array import array
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import regex
+import tiktoken
+from tokenizers import Tokenizer
 
-#: Text of the vocabulary's one special token, and its id (fixed values).
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Most remembered pieces in a worker (some 100 MB).
-REMEMBERED = 400_000
-#: The vocabulary's rule for pre-tokens (a fixed value of the format), as regex source.
+#: Text of the vocabulary's one special token (a fixed value).
+SPECIAL = "<|endoftext|>"
+#: The vocabulary's rule for pre-tokens (a fixed value of the format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_UNICODE_SPACE = r"[\t-\r \x85\xa0  -     　]"
+#: White space by the Unicode property, which the rule's \s stands for; Python's \s has four characters more.
+_SPACE = r"\t-\r \x85\xa0  -     　"
+#: Characters that all Unicode versions class alike; other texts take the slower library.
+_COMMON = regex.compile(r"[\x00-ɏ‐-‧‰-⁞€]*+")
+#: Characters encoded at once; longer texts are cut where pre-tokens part.
+_SEGMENT = 1 << 20
 
 
 @lru_cache(1)
 def pre_tokens() -> regex.Pattern:
-    """The rule with the white space that Unicode lists, which Python's \\s exceeds by four control characters."""
-    inner = _UNICODE_SPACE[1:-1]
-    return regex.compile(PRE_TOKEN.replace(r"[^\s\p{L}\p{N}]", rf"[^{inner}\p{{L}}\p{{N}}]").replace(r"\S", f"[^{inner}]").replace(r"\s", f"[{inner}]"))
+    """The rule as a Python pattern."""
+    rule = PRE_TOKEN.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]")
+    return regex.compile(rule.replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"))
 
 
 @lru_cache(4)
-def _byte_pairs(path: str) -> Callable[[str], list[int]]:
-    """The ids of a text without special tokens, by the ranks in a tokenizers file (its ids are in merge order)."""
-    import json
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
 
-    import tiktoken
 
+@lru_cache(4)
+def _byte_pairs(path: str):
+    """The vocabulary's ids as merge ranks."""
     vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes shown as themselves
     other = [b for b in range(256) if b not in set(shown)]
     back = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(other)}
     ranks = {bytes(back[c] for c in word): rank for word, rank in vocab.items() if word != SPECIAL}
-    return tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
+    return tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
-_memory: dict[str, dict[str, bytes]] = {}
 
+def segments(text: str, size: int = _SEGMENT) -> Iterator[str]:
+    """The text in parts of about size characters, cut before a single space between other characters."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.find(" ", at + size)
+        while cut > 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace() or cut + 1 == len(text)):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
-def token_bytes(path: str, text: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit integers.
 
-    A text is cut at single spaces between other characters, where pre-tokens always part, so that words met before
-    are looked up. A part that begins or ends in white space is left joined to its neighbours.
-    """
-    if SPECIAL in text:
-        mark = array("I", [SPECIAL_ID]).tobytes()
-        return mark.join(token_bytes(path, x) for x in text.split(SPECIAL))
-    known = _memory.setdefault(path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    parts = text.split(" ")
-    try:
-        return b"".join([known[x] for x in parts])
-    except KeyError:
-        pass
-    encode = _byte_pairs(path)
-    # the first part has no space before it: "^" marks it, as no part holds a space elsewhere
-    out, loose = [], []
-    raise_at = len(parts)
-    for k in range(raise_at):
-        part = parts[k]
-        loose.append(part)
-    return array("I", encode(text)).tobytes()
+def token_ids(path: str, text: str) -> array:
+    """The ids that the tokenizers library gives without added special tokens, as unsigned 32-bit integers."""
+    out = array("I")
+    plain = SPECIAL not in text and _COMMON.fullmatch(text) is not None
+    for part in segments(text) if plain else [text]:
+        out.extend(_byte_pairs(path).encode_ordinary(part) if plain else _tokenizer(path).encode(part, add_special_tokens=False).ids)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,11 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64("doc_id", "text") if odd else F.col("doc_id").cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words_of(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text; empty for null."""
     bare = F.btrim(text, F.lit(SPACE))
@@ -93,7 +98,3 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     end = np.flatnonzero(solid & ~after) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
-
-def batches(rows: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
-    """All record batches of one partition as a table, for partitions of bounded size."""
-    return pa.Table.from_batches(list(rows), schema=schema)
