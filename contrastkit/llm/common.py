@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: The white space of every word and line rule here: \x20 and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE.encode())] = True
 
@@ -34,7 +35,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared scratch folder and read it back: the result survives lost executors and has no lineage."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffles behind the table are not needed again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrastkit.llm.common import row_key, shuffle_partitions, text_slices, word_spans
+from contrastkit.llm.common import cut, row_key, text_slices, word_spans
 
 #: Perfect difference sets (fixed values): every residue is the difference of two members.
 COVERS = {21: (0, 1, 4, 14, 16), 13: (0, 1, 3, 9), 7: (0, 1, 3)}
@@ -195,7 +195,7 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
         windows.withColumn("n", F.count(F.lit(1)).over(same) + F.max(F.col("note").bitwiseAND(1)).over(same))
         .where((F.col("n") > 1) | (F.col("note").bitwiseAND(1) == 1))
         .groupBy("key")
-        .agg(F.collect_list(F.shiftright("note", 1)).alias("starts"))
+        .agg(F.collect_list(F.shiftright("note", 1).cast("int")).alias("starts"))
     )
 
 
@@ -206,14 +206,11 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, period: int = 21, kee
     text or another; windows are judged on the input. A text whose copy is in the table goes whole if it holds a
     window. Null text has no words. Words are compared as they are. Rows that agree in doc_id and text are two rows.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     texts = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # one exchange of the texts serves all three steps
-    texts = texts.repartition(n, "key")
-    repeated = _repeated_anchors(_anchors(texts, window, period))
+    # each step is written, so that its shuffle is gone before the next
+    repeated = cut(_repeated_anchors(_anchors(texts, window, period)), "anchors")
     joined = texts.join(repeated.hint("shuffle_hash"), "key")
-    repeated_windows = _repeated_windows(_windows(joined, window, period))
+    repeated_windows = cut(_repeated_windows(_windows(joined, window, period)), "windows")
     marks = repeated.select("key", F.array_max("at").alias("mark")).where(F.col("mark") >= COPY)
     final = texts.join(repeated_windows.hint("shuffle_hash"), "key", "left").join(marks.hint("shuffle_hash"), "key", "left")
 
