@@ -17,9 +17,12 @@ from contrastkit.llm.common import cut, words_of
 
 #: Parts that documents of one source and size are ranked in.
 RANK_PARTS = 512
+#: Columns that tell rows apart for those who need the rows back.
+_ROW = ("_row1", "_row2")
 _NEWTON_STEPS = 60
 _NEAR = 1e-6
-_FIX_ROUNDS = 4
+#: Most single corrections of a source, and what share of its target may be missing without one.
+_FIX_ROUNDS, _FINE = 12, 0.0005
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -109,12 +112,14 @@ def rounded_copies(histogram: DataFrame, lambdas: DataFrame, targets: DataFrame,
     plan = cut(plan.select("key", "size", "n", "copies"), "copies")
     for _ in range(_FIX_ROUNDS):
         taken = plan.groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
-        missing = targets.select("key", "target").join(taken, "key").select("key", (F.col("target") - F.col("taken")).alias("missing"))
+        missing = targets.select("key", "target").join(taken, "key").select("key", "target", (F.col("target") - F.col("taken")).alias("missing"))
         able = F.when(F.col("missing") > 0, F.col("copies") < F.col("n") * most).otherwise(F.col("copies") > 0)
         far = F.abs(F.abs(F.col("missing")) - F.col("size"))
-        choice = plan.where("size > 0").join(missing, "key").where(able & (far < F.abs("missing")))
+        choice = plan.where("size > 0").join(missing.where(F.abs("missing") > _FINE * F.col("target")), "key").where(able & (far < F.abs("missing")))
         choice = choice.groupBy("key").agg(F.min(F.struct(far.alias("far"), F.col("size"), F.signum("missing").cast("long").alias("change"))).alias("c"))
-        choice = choice.select("key", "c.size", "c.change")
+        choice = cut(choice.select("key", "c.size", "c.change"), "choice")
+        if not choice.limit(1).count():
+            break
         changed = plan.join(choice, ["key", "size"], "left")
         plan = cut(changed.select("key", "size", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), "copies")
     return plan
@@ -127,11 +132,26 @@ def mixed_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     A null source is a source, after all others. Documents without words are taken once. Rows that share a doc_id count
     each for itself. No rows in: no rows out.
     """
+    return _mixed(docs, weights, most).drop(*_ROW)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3) -> DataFrame:
+    """The rows of docs as the mix takes them: each as often as it has copies, none of those without."""
+    keyed = docs.withColumn(_ROW[0], F.xxhash64(*docs.columns)).withColumn(_ROW[1], F.xxhash64(F.lit(1), *docs.columns))
+    taken = cut(_mixed(keyed, weights, most).groupBy(*_ROW).agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "taken")
+    if taken.where("_rows > 1").limit(1).count():  # rows that are alike in all columns stand for each other
+        keyed = keyed.dropDuplicates(list(_ROW))
+    many = keyed.join(taken.where("_copies > 0").drop("_rows"), list(_ROW))
+    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key"),
         F.size(words_of(F.col("text"))).cast("long").alias("size"),
+        *[F.col(c) if c in docs.columns else F.lit(0).cast("long").alias(c) for c in _ROW],
     )
     sized = cut(sized.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.lit(RANK_PARTS)).cast("int")), "sized")
     parted = cut(sized.groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")), "size-parts")
@@ -147,4 +167,4 @@ def mixed_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     ranked = sized.withColumn("rank", F.row_number().over(order)).join(parts, ["key", "size", "part"])
     share, over = F.floor(F.col("copies") / F.col("n")).cast("long"), F.col("copies") % F.col("n")
     ranked = ranked.withColumn("copies", share + F.when(F.col("before") + F.col("rank") <= over, 1).otherwise(0))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return ranked.select(*_ROW, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

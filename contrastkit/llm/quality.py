@@ -137,14 +137,13 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, stratum: str, risk
     signals = _signals()
     met = held.select(stratum, "good", F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), value.alias("signal")) for name, value in signals.items()])).alias("s"))
     met = met.select(stratum, "good", "s.rule", "s.signal")
-    # how many rungs of its ladder a document is over: the first rungs, as cutoffs fall
+    # how many rungs of its ladder a document is over: the last of them, as cutoffs fall
     over = reduce(lambda a, item: F.when(F.col("rule") == item[0], sum((F.col("signal") > c).cast("int") for c in item[1])).otherwise(a), LADDERS.items(), F.lit(0))
     rungs = met.groupBy(stratum, "rule", over.alias("over")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    steps = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(k).alias("rung"), F.lit(c).alias("cutoff")) for name, ladder in LADDERS.items() for k, c in enumerate(ladder, 1)]))
+    steps = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(k).alias("rung"), F.lit(len(ladder) - k + 1).alias("least"), F.lit(c).alias("cutoff")) for name, ladder in LADDERS.items() for k, c in enumerate(ladder, 1)]))
     totals = rungs.groupBy(stratum, "rule").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
-    ladder = totals.withColumn("s", steps).where(F.col("s.rule") == F.col("rule")).select(stratum, "rule", "n_good", "n_bad", "s.rung", "s.cutoff")
-    # a document over j rungs is over the j loosest, so rung k rejects those over at least k
-    same = F.col(stratum).eqNullSafe(F.col("r_stratum")) & (F.col("rule") == F.col("r_rule")) & (F.col("r_over") >= F.col("rung"))
+    ladder = totals.withColumn("s", steps).where(F.col("s.rule") == F.col("rule")).select(stratum, "rule", "n_good", "n_bad", "s.rung", "s.least", "s.cutoff")
+    same = F.col(stratum).eqNullSafe(F.col("r_stratum")) & (F.col("rule") == F.col("r_rule")) & (F.col("r_over") >= F.col("least"))
     counts = rungs.select(F.col(stratum).alias("r_stratum"), F.col("rule").alias("r_rule"), F.col("over").alias("r_over"), F.col("good").alias("r_good"), F.col("bad").alias("r_bad"))
     tried = ladder.join(counts, same, "left").groupBy(stratum, "rule", "rung", "cutoff", "n_good", "n_bad")
     tried = tried.agg(F.coalesce(F.sum("r_good"), F.lit(0)).alias("good"), F.coalesce(F.sum("r_bad"), F.lit(0)).alias("bad"))
