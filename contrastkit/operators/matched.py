@@ -140,7 +140,7 @@ def coverage(units: DataFrame, context: Sequence[str], order: Sequence[str] | No
         F.max("response_rate").alias("most"),
         F.array_sort(F.collect_set(F.col("ident").cast("string"))).alias("idents"),
     )
-    row = F.struct(_ordered(F.col("cls"), order).alias("o"), "cls", "units", "observations", F.format_number("rate", "0.0000").alias("rate"), F.array_join("idents", ",").alias("idents"))
+    row = F.struct(_ordered(F.col("cls"), order).alias("o"), "cls", "units", "observations", F.format_string("%.4f", "rate").alias("rate"), F.array_join("idents", ",").alias("idents"))
     out = arms.groupBy(*context).agg(
         F.count(F.lit(1)).alias("classes"),
         F.array_sort(F.collect_list(row)).alias("arms"),

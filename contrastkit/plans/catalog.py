@@ -97,7 +97,7 @@ def _act_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text and numbers
 
 
-@_query("txt1_clean_text", "page_id:l text", """select page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script>', ' ', 'gis'), '<style\\b.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\\s\\x1c-\\x1f\\x85\\xa0]+', ' ', 'g')) as text from pages""")
+@_query("txt1_clean_text", "page_id:l text", """select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script>', ' ', 'gis'), '<style\\b.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[\\s\\x1c-\\x1f\\x85\\xa0]+', ' ', 'g')) as text from pages""")
 def _txt1(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.clean_text(F.col("html")).alias("text"))
 

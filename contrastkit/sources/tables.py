@@ -36,7 +36,7 @@ def read_pages(spark: SparkSession, path: str, pattern: str = "*.html") -> DataF
     """(key, path, page): one row per file, by its name without the ending; undecodable bytes become U+FFFD."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("key"), "path", F.decode(F.col("content"), F.lit("UTF-8")).alias("page"))
+    return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("key"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("page"))
 
 
 def activity_rows(pages: DataFrame, labels: Mapping[str, str], links: Mapping[str, tuple[str, str]], block: Sequence[str], url: str = "") -> DataFrame:
@@ -88,7 +88,7 @@ def inventory(spark: SparkSession, path: str, notes: Sequence[tuple[str, str]] =
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = F.regexp_replace(F.lit(path.rstrip("/")), "^[a-z]+:/*(?=/)", "")
-    relative = F.substring_index(F.col("path"), F.concat(root, F.lit("/")), -1)
+    relative = F.call_function("substring_index", F.col("path"), F.concat(root, F.lit("/")), F.lit(-1))
     name = F.element_at(F.split(relative, "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(?<=.)(\.[^.]+)$", 1))
     note = F.coalesce(*[F.when(relative.rlike(pattern), F.lit(note)) for pattern, note in notes], F.lit(""))
