@@ -14,6 +14,7 @@ from contrastkit.llm.langid import identify_languages
 from contrastkit.llm.licenses import license_scan
 from contrastkit.llm.lines import deduplicated_lines
 from contrastkit.llm.mixing import mixed_sources
+from contrastkit.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from contrastkit.llm.packing import Capacity, best_fit_packing
 from contrastkit.llm.quality import quality_rules
 from contrastkit.llm.simhash import near_duplicates
@@ -92,5 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language_id,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
