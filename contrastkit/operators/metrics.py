@@ -34,10 +34,16 @@ def ranked(rows: DataFrame, by: Sequence[str], score: str) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
-    """(by, roc_auc) by the sum of mid-ranks; null with one class only."""
-    p, n = F.sum(label).cast("double"), F.count(F.lit(1)).cast("double")
-    ranks = F.sum(F.when(F.col(label) == 1, F.col("mid_rank")))
-    return ranked(rows, by, score).groupBy(*by).agg(F.try_divide(ranks - p * (p + 1) / 2, p * (n - p)).alias("roc_auc"))
+    """(by, roc_auc): the share of pairs of a positive and a negative that the score orders right, ties counting half.
+
+    That is what mid-ranks give. Rows are counted by score before the window, which then holds distinct scores only.
+    Null with one class only.
+    """
+    own = rows.groupBy(*by, score).agg(F.sum(label).cast("double").alias("_p"), (F.count(F.lit(1)) - F.sum(label)).cast("double").alias("_n"))
+    lower = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_below", F.coalesce(F.sum("_n").over(lower), F.lit(0.0)))
+    right = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
+    return own.groupBy(*by).agg(F.try_divide(right, F.sum("_p") * F.sum("_n")).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, by: Sequence[str], label: str, score: str, order: Sequence[str], ties: str = "input") -> DataFrame:
