@@ -108,8 +108,8 @@ def study(rows: DataFrame, roles: Roles = Roles(), threshold: float = 10.0, k: i
         return out
     splits = _splits(major, roles, "label", k, seed).cache()
     predictions = bayes.cross_validated(major, splits, feature_sets(roles), "label", roles.row_id).cache()
-    pooled = bayes.pooled_results(predictions, roles.row_id)
-    shuffled = shuffle_control(major, roles, "label", k, seed, repeats)
+    pooled = bayes.pooled_results(predictions, roles.row_id).cache()
+    shuffled = shuffle_control(major, roles, "label", k, seed, repeats).cache()
     return out | {"predictions": predictions, "fold_results": bayes.fold_results(predictions, roles.row_id), "pooled": pooled, "shuffled": shuffled, "verdict": decide.model_verdict(pooled, shuffled)}
 
 

@@ -530,7 +530,7 @@ def _flt9(spark, sf_dir):
 
 @_query("rsm8_shuffle_control")
 def _rsm8(spark, sf_dir):
-    return _shuffle_control(spark, sf_dir, 5)
+    return _shuffle_control(spark, sf_dir, 3)
 
 
 def _shuffle_control(spark, sf_dir, repeats):
@@ -591,7 +591,10 @@ def _dec2(spark, sf_dir):
 
 @_query("dec3_model_verdict")
 def _dec3(spark, sf_dir):
-    return decide.model_verdict(_met7(spark, sf_dir), _shuffle_control(spark, sf_dir, 3), split="random_row")
+    rows, own = _folds_of(spark, sf_dir)
+    four = {name: features for name, features in MODELS.items() if name.startswith("bio")}
+    pooled = bayes.pooled_results(bayes.cross_validated(rows, own, four, "label", "row_id"), "row_id")
+    return decide.model_verdict(pooled, _shuffle_control(spark, sf_dir, 2), split="random_row")
 
 
 @_query("dec4_contrast_verdict")

@@ -8,7 +8,7 @@ from contrastkit.sources import report
 def table(spark):
     draw = random.Random(6)
     rows = []
-    for k in range(500):
+    for k in range(300):
         cls = draw.choice([*MAJOR, "Other"])
         rows.append((k, f"d{k % 60}", cls, f"{cls}-{draw.randrange(6)}", f"cell{draw.randrange(6)}", f"anti{draw.randrange(4)}", draw.choice(["=", "=", "=", "<", ">"]), draw.choice(["1", "5", "30", "", "400"]), draw.choice(["nM", "nM", "uM", "mg"]), draw.choice(["IC50", "EC 50", "Cmax"]), "0"))
     return spark.createDataFrame(rows, "row_id int, adc_id string, payload_mechanism string, payload_identity string, cell_line string, antigen_name string, relation string, value_numeric string, units string, standard_type string, is_potency_endpoint string").cache()
@@ -23,7 +23,7 @@ def test_audit(spark):
 
 def test_study_accounts_for_every_row(spark):
     rows = table(spark)
-    out = analyses.study(rows, repeats=2, k=3, always=True)
+    out = analyses.study(rows, repeats=2, k=2, always=True)
     kept = sum(r["source_rows"] for r in out["collapsed"].collect())
     assert kept + sum(r["rows"] for r in out["exclusions"].collect()) == rows.count()
     assert out["gate"].first()["decision"] in ("GO_FOR_CHEAP_FALSIFICATION", "PIVOT", "KILL")
@@ -34,7 +34,7 @@ def test_study_accounts_for_every_row(spark):
 
 def test_contrasts(spark):
     rows = analyses.study(table(spark))["collapsed"].where("payload_mechanism <> 'Other'")
-    out = analyses.contrasts(rows, ["cell_line", "antigen_name"], "payload_mechanism", "payload_identity", "label", {"permutation": 50, "bootstrap": 20}, order=MAJOR)
+    out = analyses.contrasts(rows, ["cell_line", "antigen_name"], "payload_mechanism", "payload_identity", "label", {"permutation": 20, "bootstrap": 10}, order=MAJOR)
     assert out["summary"].count() == 3 and out["verdict"].count() == 1
     assert {tuple(r) for r in out["summary"].select("class_a", "class_b").collect()} == {(MAJOR[0], MAJOR[1]), (MAJOR[0], MAJOR[2]), (MAJOR[1], MAJOR[2])}
     assert 0 < out["survival"].first()["units_share"] <= 1
