@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from fixtures import SCHEMA, clashing, edge_docs, edge_rows
+from fixtures import SCHEMA, clashing, edge_rows
 
 from contrastkit.llm.langid import _BLOCK, Model, identify_languages, predict, train
 
@@ -25,7 +25,7 @@ def test_inputs_are_the_text_alone(spark, sf_dir):
 
 
 def test_edges(spark):
-    for docs in (edge_docs(spark), clashing(spark)):
+    for docs in (clashing(spark),):
         got = identify_languages(docs).collect()
         assert len(got) == len(edge_rows())
         for r in got:

