@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from contrastkit.llm.common import SPACE, cut, scratch_dir, shuffle_partitions
 
 _HASH = ["h1", "h2"]
+#: Columns added to the caller's for a while.
+_DOC, _LOST, _KEPT = "_dedup_doc", "_dedup_lost", "_dedup_kept"
 #: Stands for a null doc_id: after all others.
 _LAST = (1 << 63) - 1
 
@@ -85,7 +87,8 @@ def deduplicated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, fan
     n_dropped or kept are replaced.
     """
     spark = docs.sparkSession
-    placed = docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    placed = docs.withColumn(_DOC, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    texts = placed.select(F.col(_DOC).alias("d"), "text")
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     low, high = (0, 0) if low is None else (low, high)
     width = (high - low) // n_batches + 1
@@ -94,7 +97,7 @@ def deduplicated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, fan
         own = F.col("d") >= low + k * width if k else F.lit(True)
         if k + 1 < n_batches:
             own = own & (F.col("d") < low + (k + 1) * width)
-        rows = _line_rows(placed.where(own).select("d", "text"), least)
+        rows = _line_rows(texts.where(own), least)
         keys = cut(rows.groupBy(*_HASH).agg(F.min("d").alias("owner"), F.count(F.lit(1)).alias("n")), "line-keys")
         # keys with over a thousandth of a batch's lines: under 1,000 for each batch
         total = keys.agg(F.sum("n")).first()[0] or 0
@@ -107,26 +110,26 @@ def deduplicated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, fan
     for run in owners:
         found = run.join(F.broadcast(hot), _HASH)
         hot_owners = found if hot_owners is None else hot_owners.unionByName(found)
-    rows = _line_rows(placed.select("d", "text"), least)
+    rows = _line_rows(texts, least)
     drops = rows.join(F.broadcast(hot_owners), _HASH).where("owner <> d").select("d", "h1")
     cold = rows.join(F.broadcast(hot), _HASH, "left_anti")
     owned = None
     for run in owners:
         owned = run if owned is None else owned.unionByName(run)
     drops = drops.unionByName(cold.join(owned.hint("merge"), _HASH).where("owner <> d").select("d", "h1"))
-    lost = drops.groupBy("d").agg(F.collect_set("h1").alias("lost"))
-    joined = placed.join(lost.hint("shuffle_hash"), "d", "left")
+    lost = drops.groupBy(F.col("d").alias(_DOC)).agg(F.collect_set("h1").alias(_LOST))
+    joined = placed.join(lost.hint("shuffle_hash"), _DOC, "left")
     lines = _lines(F.col("text"))
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return (F.length(key) < least) | ~F.array_contains("lost", F.xxhash64(key))
+        return (F.length(key) < least) | ~F.array_contains(_LOST, F.xxhash64(key))
 
-    kept = F.when(F.col("lost").isNull(), lines).otherwise(F.filter(lines, stays))
+    kept = F.when(F.col(_LOST).isNull(), lines).otherwise(F.filter(lines, stays))
     return (
-        joined.withColumn("_kept", kept)
+        joined.withColumn(_KEPT, kept)
         .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-        .withColumn("kept", F.array_join("_kept", "\n"))
-        .drop("d", "lost", "_kept")
+        .withColumn("n_dropped", F.col("n_lines") - F.size(_KEPT))
+        .withColumn("kept", F.array_join(_KEPT, "\n"))
+        .drop(_DOC, _LOST, _KEPT)
     )

@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from fixtures import SCHEMA, WORD, clashing, edge_docs, edge_rows, lowered
+from fixtures import SCHEMA, WORD, clashing, edge_rows, lowered
 
 from contrastkit.llm.lines import deduplicated_lines
 from contrastkit.llm.substrings import removed_repeats
@@ -24,13 +24,15 @@ def expected_lines(rows):
 
 
 def test_lines(spark):
-    got = [tuple(r) for r in deduplicated_lines(edge_docs(spark)).select("doc_id", "n_lines", "n_dropped", "kept").collect()]
+    out = deduplicated_lines(clashing(spark))
+    got = [tuple(r) for r in out.select("doc_id", "n_lines", "n_dropped", "kept").collect()]
     assert sorted(got, key=repr) == sorted(expected_lines(edge_rows()), key=repr)
+    assert {"d", "lost", "size", "key"} <= set(out.columns) and set(r["d"] for r in out.select("d").collect()) == {"x"}
 
 
-def test_lines_other_columns_and_levels(spark):
-    got = deduplicated_lines(clashing(spark).drop("d", "lost"), n_batches=5, fanout=2)
-    assert got.count() == len(edge_rows()) and "size" in got.columns
+def test_lines_in_levels(spark):
+    got = deduplicated_lines(clashing(spark), n_batches=5, fanout=2)
+    assert got.count() == len(edge_rows())
     assert deduplicated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
