@@ -11,10 +11,11 @@ from contrastkit.llm.bpe import token_ids
 from contrastkit.llm.packing import Capacity, best_fit_packing, packed_pieces, plan_bins
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+WHOLE = Tokenizer.from_file(PATH)
 
 
 def ids_of(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [0]
+    return WHOLE.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def check_pieces(rows, got, most):
@@ -90,6 +91,5 @@ def test_best_fit_decreasing():
 
 def test_ids_are_those_of_the_library():
     samples = [t for _, t, *_ in edge_rows() if t] + ["I've  got\n\n 'x' \x1c\x1d \x85 \xa0  12½ \t", "word " * 400000, "a" * 5000, " " * 3000 + "b"]
-    whole = Tokenizer.from_file(PATH)
     for text in samples:
-        assert token_ids(PATH, text).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert token_ids(PATH, text).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
