@@ -88,7 +88,8 @@ def deduplicated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, fan
     """
     spark = docs.sparkSession
     placed = docs.withColumn(_DOC, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    texts = placed.select(F.col(_DOC).alias("d"), "text")
+    # texts are taken apart once; what follows reads hashes
+    rows = cut(_line_rows(placed.select(F.col(_DOC).alias("d"), "text"), least), "line-hashes")
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     low, high = (0, 0) if low is None else (low, high)
     width = (high - low) // n_batches + 1
@@ -97,8 +98,7 @@ def deduplicated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, fan
         own = F.col("d") >= low + k * width if k else F.lit(True)
         if k + 1 < n_batches:
             own = own & (F.col("d") < low + (k + 1) * width)
-        rows = _line_rows(texts.where(own), least)
-        keys = cut(rows.groupBy(*_HASH).agg(F.min("d").alias("owner"), F.count(F.lit(1)).alias("n")), "line-keys")
+        keys = cut(rows.where(own).groupBy(*_HASH).agg(F.min("d").alias("owner"), F.count(F.lit(1)).alias("n")), "line-keys")
         # keys with over a thousandth of a batch's lines: under 1,000 for each batch
         total = keys.agg(F.sum("n")).first()[0] or 0
         often = keys.where(F.col("n") > max(500, total // 1000)).select(*_HASH)
@@ -110,7 +110,6 @@ def deduplicated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, fan
     for run in owners:
         found = run.join(F.broadcast(hot), _HASH)
         hot_owners = found if hot_owners is None else hot_owners.unionByName(found)
-    rows = _line_rows(texts, least)
     drops = rows.join(F.broadcast(hot_owners), _HASH).where("owner <> d").select("d", "h1")
     cold = rows.join(F.broadcast(hot), _HASH, "left_anti")
     owned = None
