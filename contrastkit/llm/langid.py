@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from contrastkit.llm.common import cut
+
 #: Hash buckets of n-grams; halved while the matrix of log-probabilities would be over MATRIX_BYTES.
 BUCKETS = 1 << 15
 MATRIX_BYTES = 64 << 20
 #: Labelled documents learned from in each language, in expectation: all of a rarer language, a hashed sample of others.
 PER_LANGUAGE = 2000
+#: Most languages whose sampling shares are sent to every task.
+MOST_SENT = 10_000
 UNDETERMINED = "und"
 _BLOCK = 1 << 19
 _ODD = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
@@ -84,7 +88,9 @@ def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """All rows of a language with at most per_language of them, else those with the lowest hashes."""
-    share = labelled.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
+    share = cut(labelled.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share")), "shares")
+    if share.count() <= MOST_SENT:  # texts then stay where they are
+        share = F.broadcast(share)
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     return labelled.join(share, "lang").where(place < F.col("share"))
 
