@@ -25,13 +25,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _fingerprints(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
-    """uint64 fingerprint of each text; 0 where it has no word."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(uint64 hash, row) of each shingle, repeated ones included; a text of fewer words is one shingle."""
     rows = len(offsets) - 1
-    out = np.zeros(rows, dtype=np.uint64)
     start, end, row = word_spans(data, offsets)
     if not len(start):
-        return out
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     flat = _LOWER[data]
     keep = np.zeros(len(flat), dtype=bool)
     spans = np.zeros(len(flat) + 1, dtype=np.int32)
@@ -52,7 +51,18 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarra
     tails = np.where(whole[heads], begin[row[heads] + 1] - 1, heads + size - 1)
     take, seed = xxhash.xxh64_intdigest, 42
     hashes = np.fromiter((take(text[a:b], seed) for a, b in zip(first[heads].tolist(), last[tails].tolist())), dtype=np.uint64, count=len(heads))
-    owner = row[heads]
+    return hashes, row[heads]
+
+
+def _fingerprints(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
+    """uint64 fingerprint of each text; 0 where it has no word."""
+    return majority_bits(*shingle_hashes(data, offsets, size), len(offsets) - 1)
+
+
+def majority_bits(hashes: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """uint64 of each row: the bits that more than half of its hashes have; 0 where it has none."""
+    if not len(hashes):
+        return np.zeros(rows, dtype=np.uint64)
     ones = np.zeros((rows, 64), dtype=np.int64)
     for a in range(0, len(hashes), 1 << 17):
         part, of = hashes[a : a + (1 << 17)], owner[a : a + (1 << 17)]

@@ -2,7 +2,7 @@
 
 1. language_id drops documents without letters or with an uncertain language, and fills in a missing lang.
 2. line_dedup takes repeated lines out of texts; n_chars follows.
-3. simhash_near_dedup keeps the first document of each group of near-duplicates (five-word shingles).
+3. simhash_near_dedup keeps the first document of each group of near-duplicates (similarity 0.8 of five-word shingles).
 4. source_mixing repeats and drops documents so that sources come near their target shares.
 5. best_fit_packing packs what is left into sequences of 2048 tokens, one row for each piece.
 """
@@ -20,11 +20,13 @@ from contrastkit.llm.langid import UNDETERMINED, identify_languages
 from contrastkit.llm.lines import deduplicated_lines
 from contrastkit.llm.mixing import mixed_documents
 from contrastkit.llm.packing import Capacity, best_fit_packing
-from contrastkit.llm.simhash import near_duplicates
+from contrastkit.llm.similar import first_of_similar
 
 #: Least posterior probability of a document's language.
 LEAST_SCORE = 0.5
 SHINGLE_WORDS, RADIUS = 5, 3
+#: Least Jaccard similarity of two documents' shingles at which the later one is dropped.
+LEAST_SIMILARITY = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("_key", row_key(docs))
-    groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE_WORDS, RADIUS)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    kept = first_of_similar(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE_WORDS, LEAST_SIMILARITY, RADIUS).withColumnRenamed("doc_id", "_key")
     one = keyed.join(kept, "_key", "left_semi")
     if one.groupBy("_key").count().where("count > 1").limit(1).count():  # rows with one doc_id and text
         one = one.dropDuplicates(["_key"])
