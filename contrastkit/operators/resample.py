@@ -125,6 +125,30 @@ def _without_each(units: DataFrame, held: DataFrame, keys: Sequence[str] = ()) -
     return many.withColumn("held_out", F.explode("_held")).where("held_out <> ident").drop("_held")
 
 
+def _pair_diffs_without(pair: DataFrame, context: Sequence[str]) -> DataFrame:
+    """pair_diffs without each identity of a pair: only its own contexts are worked out anew, from their other identities."""
+    keys = ["class_a", "class_b"]
+    place = [*keys, *context]
+    arms = [F.when(F.col("cls") == F.col(f"class_{s}"), F.col("response_rate")) for s in "ab"]
+    sums = [F.coalesce(F.sum(x), F.lit(0.0)).alias(f"sum_{s}") for s, x in zip("ab", arms)]
+    own = pair.groupBy(*place, "ident").agg(*sums, *[F.count(x).alias(f"n_{s}") for s, x in zip("ab", arms)])
+    here = own.groupBy(*place).agg(*[F.sum(f"{x}_{s}").alias(f"{x}_{s}_all") for x in ("sum", "n") for s in "ab"])
+    mean = lambda total, n: F.try_divide(total, n.cast("double"))
+    here = here.withColumn("_diff", mean(F.col("sum_a_all"), F.col("n_a_all")) - mean(F.col("sum_b_all"), F.col("n_b_all")))
+    rest = {f"{x}_{s}": F.col(f"{x}_{s}_all") - F.col(f"{x}_{s}") for x in ("sum", "n") for s in "ab"}
+    anew = own.join(here, place).withColumns(rest).withColumn("_new", mean(F.col("sum_a"), F.col("n_a")) - mean(F.col("sum_b"), F.col("n_b")))
+    there = F.col("_diff").isNotNull()
+    whole = here.groupBy(*keys).agg(F.sum("_diff").alias("all_diffs"), F.count("_diff").alias("all_contexts"), F.sum(F.when(there, F.col("n_a_all") + F.col("n_b_all"))).alias("all_units"))
+    change = anew.groupBy(*keys, F.col("ident").alias("held_out")).agg(
+        F.sum(F.coalesce("_new", F.lit(0.0)) - F.coalesce("_diff", F.lit(0.0))).alias("diffs"),
+        (F.count("_new") - F.count("_diff")).alias("more"),
+        F.sum(F.when(F.col("_new").isNotNull(), F.col("n_a") + F.col("n_b")).otherwise(0) - F.when(there, F.col("n_a_all") + F.col("n_b_all")).otherwise(0)).alias("units"),
+    )
+    contexts = F.col("all_contexts") + F.col("more")
+    out = change.join(whole, keys).withColumns({"contexts": contexts, "units": (F.col("all_units") + F.col("units")).cast("long"), "stat": F.when(contexts > 0, mean(F.col("all_diffs") + F.col("diffs"), contexts))})
+    return out.select(*keys, "held_out", "contexts", "units", "stat")
+
+
 def leave_one_out_pairs(units: DataFrame, context: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """For each pair and identity in its contexts: the pair's statistic without that identity.
 
@@ -134,7 +158,7 @@ def leave_one_out_pairs(units: DataFrame, context: Sequence[str], order: Sequenc
     pair = pair_units(units, context, order)
     observed = pair_diffs(pair, context).select(*keys, F.col("stat").alias("observed"))
     held = pair.select(*keys, "ident").distinct()
-    left = pair_diffs(_without_each(pair, held, keys), context, ["held_out"])
+    left = _pair_diffs_without(pair, context)
     out = held.withColumnRenamed("ident", "held_out").join(left, [*keys, "held_out"], "left").join(observed, keys)
     changed = F.col("stat").isNotNull() & (sign(F.col("observed")) != 0) & (sign(F.col("stat")) != sign(F.col("observed")))
     return out.select(

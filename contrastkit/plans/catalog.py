@@ -417,7 +417,7 @@ def _rsm6(spark, sf_dir):
 
 @_query("rsm6_leave_one_out_summary")
 def _rsm6b(spark, sf_dir):
-    return resample.leave_one_out_summary(resample.leave_one_out_pairs(_act_units(spark, sf_dir).where("ctx < 8"), ["ctx"]))
+    return resample.leave_one_out_summary(resample.leave_one_out_pairs(_act_units(spark, sf_dir), ["ctx"]))
 
 
 _LOO_RANGE = """with left_ as (select h.held_out, u.ctx, u.cls, u.response_rate, avg(response_rate) over (partition by h.held_out, u.ctx) as m, min(cls) over (partition by h.held_out, u.ctx) as lo, max(cls) over (partition by h.held_out, u.ctx) as hi
@@ -599,6 +599,6 @@ def _dec3(spark, sf_dir):
 
 @_query("dec4_contrast_verdict")
 def _dec4(spark, sf_dir):
-    units = _act_units(spark, sf_dir).where("cls < 'p' and ctx < 8")
+    units = _act_units(spark, sf_dir).where("cls < 'p'")
     pairs = matched.pair_summary(matched.pair_effects(units, ["ctx"]))
     return decide.contrast_verdict(pairs, resample.context_bootstrap(units, ["ctx"], UNIT, 50), resample.leave_one_out_summary(resample.leave_one_out_pairs(units, ["ctx"])), resample.pair_permutation(units, ["ctx"], UNIT, 100))
