@@ -440,17 +440,17 @@ def _rsm1(spark, sf_dir):
 
 @_query("rsm2_pair_permutation")
 def _rsm2(spark, sf_dir):
-    return resample.pair_permutation(_act_units(spark, sf_dir).where("cls < 'p'"), ["ctx"], UNIT, repeats=100)
+    return resample.pair_permutation(_act_units(spark, sf_dir), ["ctx"], UNIT, repeats=100)
 
 
 @_query("rsm3_context_bootstrap")
 def _rsm3(spark, sf_dir):
-    return resample.context_bootstrap(_act_units(spark, sf_dir).where("cls < 'p'"), ["ctx"], UNIT, repeats=50)
+    return resample.context_bootstrap(_act_units(spark, sf_dir), ["ctx"], UNIT, repeats=50)
 
 
 @_query("rsm4_cluster_bootstrap")
 def _rsm4(spark, sf_dir):
-    return resample.cluster_bootstrap(_act_units(spark, sf_dir).where("cls < 'p'"), ["ctx"], repeats=50)
+    return resample.cluster_bootstrap(_act_units(spark, sf_dir), ["ctx"], repeats=50)
 
 
 @_query("rsm7_shuffled_classes")
@@ -599,6 +599,6 @@ def _dec3(spark, sf_dir):
 
 @_query("dec4_contrast_verdict")
 def _dec4(spark, sf_dir):
-    units = _act_units(spark, sf_dir).where("cls < 'p'")
+    units = _act_units(spark, sf_dir)
     pairs = matched.pair_summary(matched.pair_effects(units, ["ctx"]))
     return decide.contrast_verdict(pairs, resample.context_bootstrap(units, ["ctx"], UNIT, 50), resample.leave_one_out_summary(resample.leave_one_out_pairs(units, ["ctx"])), resample.pair_permutation(units, ["ctx"], UNIT, 100))
