@@ -1,74 +1,130 @@
 """A categorical naive Bayes classifier, cross-validated for all splits, models and folds in one plan.
 
 Counts of (feature, value, label) are taken once for all rows and once for each fold; a fold's training counts are their
-difference.
+difference. So the logarithms of a value are those of all rows, but for the folds that it is found in: a value carries
+those as a map, and a row, or a tuple of values that many rows share, looks its fold up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contrastkit.operators.metrics import best_thresholds, evaluated
-
-_KEYS = ["split", "fold"]
-
-
-def _long(rows: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
-    """(keep, feature, value): blanks and nulls are one value."""
-    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("value")) for f in features])
-    return rows.select(*keep, F.explode(each).alias("x")).select(*keep, "x.feature", "x.value")
+from contrastkit.operators.metrics import best_of_counted, evaluated
+from contrastkit.session import cut
+
+#: Decimal places of a score: sums taken in another order tie alike.
+PLACES = 12
+
+
+class _Fit:
+    """Logarithms of a set of models, for all splits and folds."""
+
+    def __init__(self, rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequence[str]], label: str, row_id: str, alpha: float) -> None:
+        self.models, self.alpha = models, alpha
+        self.features = sorted({f for own in models.values() for f in own})
+        self.place = {f: k for k, f in enumerate(self.features)}
+        values = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_v{k}") for k, f in enumerate(self.features)]
+        own = rows.select(row_id, F.col(label).cast("int").alias("label"), *values)
+        self.placed = cut(folds.select("split", row_id, "fold").join(own, row_id), "placed")
+        self.values = cut(self._values(), "values") if self.features else None
+        self.constants = cut(self._constants(), "constants")
+
+    def _values(self) -> DataFrame:
+        """(split, feature, value, c0, c1, inside): counts by label, and those inside each fold that holds the value."""
+        each = F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"_v{k}").alias("value")) for k in range(len(self.features))])
+        long = self.placed.select("split", "fold", "label", F.explode(each).alias("x")).select("split", "fold", "label", "x.feature", "x.value")
+        inside = long.groupBy("split", "feature", "value", "fold").agg(F.count_if(F.col("label") == 0).alias("l0"), F.count_if(F.col("label") == 1).alias("l1"))
+        entry = F.struct("fold", F.struct("l0", "l1"))
+        return inside.groupBy("split", "feature", "value").agg(F.sum("l0").alias("c0"), F.sum("l1").alias("c1"), F.map_from_entries(F.collect_list(entry)).alias("inside"))
+
+    def _constants(self) -> DataFrame:
+        """(split, fold, n, p, parts): size and positives of the fold, and for each model the log odds of label 0 that do
+        not depend on values."""
+        inside = self.placed.groupBy("split", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
+        whole = inside.groupBy("split").agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"))
+        out = inside.join(whole, "split").withColumn("n1", F.col("_p") - F.col("p")).withColumn("n0", F.col("_n") - F.col("n") - F.col("n1"))
+        kinds = F.create_map()
+        if self.features:
+            total = self.values.groupBy("split", "feature").agg(F.count(F.lit(1)).alias("k"))
+            # a value found in one fold only is not met in that fold's training rows
+            only = self.values.where(F.size("inside") == 1).groupBy("split", "feature", F.map_keys("inside")[0].alias("fold")).agg(F.count(F.lit(1)).alias("gone"))
+            met = inside.select("split", "fold").join(total, "split").join(only, ["split", "feature", "fold"], "left")
+            met = met.groupBy("split", "fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", (F.col("k") - F.coalesce("gone", F.lit(0)) + 1).alias("k")))).alias("met"))
+            out, kinds = out.join(met, ["split", "fold"]), F.col("met")
+        a = self.alpha
+        size = lambda y, f: F.log(F.col(f"n{y}") + a * kinds[F.lit(self.place[f])])
+        parts = []
+        for name, own in self.models.items():
+            odds = F.log(F.col("n0") + a) - F.log(F.col("n1") + a)
+            for f in own:
+                odds = odds - (size(0, f) - size(1, f))
+            parts.append(F.struct(F.lit(name).alias("model"), odds.alias("odds")))
+        return out.select("split", "fold", "n", "p", F.array(*parts).alias("parts"))
+
+    def attached(self, rows: DataFrame) -> DataFrame:
+        """rows (split, _v0, _v1, ...) with what each value brings: one join for each feature; a null value brings nothing."""
+        a = self.alpha
+        odds = lambda c0, c1: F.log(c0 + a) - F.log(c1 + a)
+        for k in range(len(self.features)):
+            own = self.values.where(F.col("feature") == k).select(
+                F.col("split").alias("_split"),
+                F.col("value").alias("_value"),
+                odds(F.col("c0"), F.col("c1")).alias(f"_odds{k}"),
+                F.transform_values("inside", lambda _, x: odds(F.col("c0") - x["l0"], F.col("c1") - x["l1"])).alias(f"_in{k}"),
+            )
+            rows = rows.join(own, (F.col("split") == F.col("_split")) & (F.col(f"_v{k}") == F.col("_value")), "left").drop("_split", "_value")
+        return rows
+
+    def score(self, constant: Column, fold: Column, features: Sequence[str]) -> Column:
+        odds = constant
+        for k in sorted(self.place[f] for f in features):
+            brought = F.coalesce(F.try_element_at(f"_in{k}", fold), F.col(f"_odds{k}"))
+            odds = odds + F.coalesce(brought, F.lit(0.0))
+        return F.round(1 / (1 + F.exp(odds)), PLACES)
+
+    def held(self) -> DataFrame:
+        """(split, model, fold, row..., label, score) of each row in its own fold."""
+        met = self.attached(self.placed).join(self.constants.select("split", "fold", "parts"), ["split", "fold"])
+        found = F.array(*[F.struct(F.lit(name).alias("model"), self.score(F.col("parts")[j]["odds"], F.col("fold"), own).alias("score")) for j, (name, own) in enumerate(self.models.items())])
+        rest = [c for c in self.placed.columns if c not in ("split", "fold", "label") and not c.startswith("_v")]
+        return met.select("split", "fold", *rest, "label", F.explode(found).alias("x")).select("split", "x.model", "fold", *rest, "label", "x.score")
+
+    def trained(self) -> DataFrame:
+        """(split, model, fold, threshold, p, n): positives and rows of a fold's training rows at each score. What has the
+        same values is scored once."""
+        columns = [f"_v{k}" for k in range(len(self.features))]
+        masked = [F.struct(F.lit(j).alias("j"), F.lit(name).alias("model"), *[F.col(c) if self.features[k] in own else F.lit(None).cast("string").alias(c) for k, c in enumerate(columns)]) for j, (name, own) in enumerate(self.models.items())]
+        cells = self.placed.select("split", "fold", "label", F.explode(F.array(*masked)).alias("x")).select("split", "fold", "label", "x.*")
+        keys = ["split", "j", "model", *columns]
+        cells = cells.groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
+        tuples = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "p")))).alias("inside"))
+        every = self.attached(tuples).join(self.constants.select("split", "fold", "parts"), "split")
+        features = F.coalesce(*[F.when(F.col("j") == j, self.score(F.col("parts")[j]["odds"], F.col("fold"), own)) for j, own in enumerate(self.models.values())])
+        here = F.try_element_at("inside", F.col("fold"))
+        every = every.select("split", "model", "fold", features.alias("threshold"), (F.col("p") - F.coalesce(here["p"], F.lit(0))).alias("p"), (F.col("n") - F.coalesce(here["n"], F.lit(0))).alias("n"))
+        return every.where("n > 0").groupBy("split", "model", "fold", "threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
 def scores(rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequence[str]], label: str, row_id: str, alpha: float = 1.0) -> DataFrame:
-    """(split, model, fold, row_id, label, score, held): each row scored by each model trained without each fold.
+    """(split, model, fold, row_id, label, score): each row scored by each model trained without the row's fold.
 
-    folds: (split, row_id, fold). held: the row is in the fold. A value not met in training counts 0 of k, with k the
-    values met plus one. A model without features scores by the classes' sizes.
+    folds: (split, row_id, fold); splits and folds are never null. A value not met in training counts 0 of k, with k the
+    values met plus one; blanks and nulls are one value. A model without features scores by the classes' sizes. No rows
+    in: no rows out.
     """
-    features = sorted({f for own in models.values() for f in own})
-    placed = rows.select(row_id, F.col(label).cast("int").alias("label"), *features).join(folds, row_id)
-    size = [F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p")]
-    whole = placed.groupBy("split").agg(*size)
-    inside = placed.groupBy(*_KEYS).agg(*size)
-    train = inside.join(whole.select("split", F.col("n").alias("_n"), F.col("p").alias("_p")), "split").select(*_KEYS, (F.col("_n") - F.col("n")).alias("n"), (F.col("_p") - F.col("p")).alias("n1"))
-    train = train.withColumn("n0", F.col("n") - F.col("n1"))
-    prior = lambda y: F.log((F.col(f"n{y}") + alpha) / (F.col("n") + 2 * alpha))
-    base = placed.select("split", row_id, "label", F.col("fold").alias("_own")).join(train, "split")
-    base = base.select(*_KEYS, row_id, "label", (F.col("_own") == F.col("fold")).alias("held"), prior(0).alias("prior0"), prior(1).alias("prior1"))
-    named = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
-    base = base.select("*", named)
-    if features:
-        long = _long(placed, features, "split", "fold", row_id, "label")
-        ones = [F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1")]
-        total = long.groupBy("split", "feature", "value").agg(*ones)
-        local = long.groupBy(*_KEYS, "feature", "value").agg(*ones).select(*_KEYS, "feature", "value", F.col("c0").alias("l0"), F.col("c1").alias("l1"))
-        counts = total.join(train, "split").join(local, [*_KEYS, "feature", "value"], "left")
-        counts = counts.withColumns({f"c{y}": F.col(f"c{y}") - F.coalesce(f"l{y}", F.lit(0)) for y in (0, 1)})
-        met = counts.groupBy(*_KEYS, "feature").agg((F.count_if(F.col("c0") + F.col("c1") > 0) + 1).alias("k"))
-        counts = counts.join(met, [*_KEYS, "feature"])
-        part = lambda y: F.log((F.col(f"c{y}") + alpha) / (F.col(f"n{y}") + alpha * F.col("k"))).alias(f"log{y}")
-        logs = counts.select(*_KEYS, "feature", "value", part(0), part(1))
-        uses = F.map_from_arrays(F.array(*[F.lit(f) for f in features]), F.array(*[F.array(*[F.lit(m) for m, own in models.items() if f in own]).cast("array<string>") for f in features]))
-        hits = long.select("split", row_id, "feature", "value").join(logs, ["split", "feature", "value"])
-        hits = hits.withColumn("model", F.explode(uses[F.col("feature")])).groupBy(*_KEYS, "model", row_id).agg(F.sum("log0").alias("log0"), F.sum("log1").alias("log1"))
-        base = base.join(hits, [*_KEYS, "model", row_id], "left")
-    else:
-        base = base.withColumns({"log0": F.lit(0.0), "log1": F.lit(0.0)})
-    log = lambda y: F.col(f"prior{y}") + F.coalesce(f"log{y}", F.lit(0.0))
-    return base.select("split", "model", "fold", row_id, "label", (1 / (1 + F.exp(log(0) - log(1)))).alias("score"), "held")
+    return _Fit(rows, folds, models, label, row_id, alpha).held()
 
 
 def cross_validated(rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequence[str]], label: str, row_id: str, alpha: float = 1.0) -> DataFrame:
     """(split, model, fold, row_id, label, score, threshold, predicted): the held-out rows, labelled by the threshold
     that is best on the training rows."""
-    every = scores(rows, folds, models, label, row_id, alpha)
-    by = ["split", "model", "fold"]
-    cut = best_thresholds(every.where(~F.col("held")), by, "label", "score")
-    held = every.where("held").drop("held").join(cut, by, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
-    return held.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
+    fit = _Fit(rows, folds, models, label, row_id, alpha)
+    best = best_of_counted(fit.trained(), ["split", "model", "fold"])
+    held = fit.held().join(best, ["split", "model", "fold"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    return cut(held.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int")), "predictions")
 
 
 def fold_results(predictions: DataFrame, row_id: str) -> DataFrame:

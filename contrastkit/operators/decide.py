@@ -16,6 +16,12 @@ def _one(*frames: DataFrame) -> DataFrame:
     return out.drop("_k")
 
 
+def _shown(x: Column | str) -> Column:
+    """Four decimals; minus zero is zero, and null stays."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(x.isNotNull(), F.replace(F.format_string("%.4f", x), F.lit("-0.0000"), F.lit("0.0000")))
+
+
 def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("none")) for p in parts])
 
@@ -73,10 +79,10 @@ def model_verdict(pooled: DataFrame, shuffled: DataFrame, split: str = "payload_
     reasons = F.when(F.col("found") < 4, F.array(F.lit("the central comparison is not there"))).otherwise(
         F.array_compact(
             F.array(
-                _text("gain in average precision over bio: ", F.round(gain, 4)),
-                _text("gain in average precision over bio and payload: ", F.round(gain_ident, 4)),
-                _text("gain in MCC over bio: ", F.round(gain_mcc, 4)),
-                F.when(F.col("repeats") > 0, _text("with shuffled classes: mean ", F.round("mean", 4), ", p95 ", F.round("p95", 4))),
+                _text("gain in average precision over bio: ", _shown(gain)),
+                _text("gain in average precision over bio and payload: ", _shown(gain_ident)),
+                _text("gain in MCC over bio: ", _shown(gain_mcc)),
+                F.when(F.col("repeats") > 0, _text("with shuffled classes: mean ", _shown("mean"), ", p95 ", _shown("p95"))),
                 F.when(beaten, F.lit("the true classes do not beat shuffled ones")),
             )
         )
@@ -95,7 +101,7 @@ def contrast_verdict(pairs: DataFrame, bootstrap: DataFrame, left_out: DataFrame
     stable = (F.coalesce("unavailable_holdouts", F.lit(999)) == 0) & (F.coalesce("sign_change_holdouts", F.lit(999)) == 0)
     go = (F.col("both_replicated") >= 3) & (F.coalesce("p", F.lit(1.0)) <= 0.05) & away & stable
     weak = (F.col("contexts") >= 5) & (F.abs("mean_diff") >= 0.15) & (F.greatest("a_higher", "b_higher") >= 3)
-    line = _text(F.col("class_a"), " vs ", F.col("class_b"), ": contexts ", F.col("contexts"), ", mean difference ", F.round("mean_diff", 4), ", p ", F.round("p", 4), ", replicated contexts ", F.col("both_replicated"))
+    line = _text(F.col("class_a"), " vs ", F.col("class_b"), ": contexts ", F.col("contexts"), ", mean difference ", _shown("mean_diff"), ", p ", _shown("p"), ", replicated contexts ", F.col("both_replicated"))
     out = met.agg(F.coalesce(F.max(go.cast("int")), F.lit(0)).alias("go"), F.coalesce(F.max(weak.cast("int")), F.lit(0)).alias("weak"), F.array_sort(F.collect_list(line)).alias("lines"), F.coalesce(F.sum("both_replicated"), F.lit(0)).alias("replicated"))
     decision = F.when(F.col("go") == 1, "PIVOT-GO").when(F.col("weak") == 1, "PIVOT-WEAK").otherwise("KILL")
     last = F.when(F.col("go") == 1, F.lit("a replicated contrast stands")).when(F.col("weak") == 1, F.lit("a pattern within contexts rests on single identities")).otherwise(F.lit("no convincing pattern within contexts"))

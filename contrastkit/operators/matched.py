@@ -118,13 +118,17 @@ def pair_summary(effects: DataFrame) -> DataFrame:
 def pairings(effects: DataFrame, context: Sequence[str], examples: int = 5) -> DataFrame:
     """For each pair and signature: contexts, which class is higher, and the first contexts by key."""
     key = F.concat_ws(" || ", *[F.col(c).cast("string") for c in context])
-    return effects.groupBy("class_a", "class_b", "signature").agg(
+    keys = ["class_a", "class_b", "signature"]
+    counted = effects.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("contexts"),
         F.sum("a_higher").cast("long").alias("a_higher"),
         F.sum("b_higher").cast("long").alias("b_higher"),
         F.sum("equal").cast("long").alias("equal"),
-        F.array_join(F.slice(F.array_sort(F.collect_list(key)), 1, examples), "; ").alias("example_contexts"),
     )
+    # Spark keeps the first few rows of a group before it shuffles them
+    first = effects.select(*keys, key.alias("_key")).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("_key"))).where(F.col("_place") <= examples)
+    shown = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_key")), "; ").alias("example_contexts"))
+    return counted.join(shown, keys)
 
 
 def coverage(units: DataFrame, context: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrastkit.functions.numeric import clamped
+from contrastkit.operators.ordered import running
 
 
 def confusion(label: Column, predicted: Column) -> dict[str, Column]:
@@ -27,22 +28,14 @@ def matthews(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
     return F.try_divide(a * b - c * d, F.sqrt((a + c) * (a + d) * (b + c) * (b + d)))
 
 
-def ranked(rows: DataFrame, by: Sequence[str], score: str) -> DataFrame:
-    """rows with mid_rank: the mean rank of equal scores, from the lowest."""
-    order, equal = Window.partitionBy(*by).orderBy(score), Window.partitionBy(*by, score)
-    return rows.withColumn("mid_rank", F.rank().over(order) + (F.count(F.lit(1)).over(equal) - 1) / F.lit(2.0))
-
-
 def roc_auc(rows: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
     """(by, roc_auc): the share of pairs of a positive and a negative that the score orders right, ties counting half.
 
-    That is what mid-ranks give. Rows are counted by score before the window, which then holds distinct scores only.
-    Null with one class only.
+    That is what mid-ranks give. Rows are counted by score before they are ordered. Null with one class only.
     """
     own = rows.groupBy(*by, score).agg(F.sum(label).cast("double").alias("_p"), (F.count(F.lit(1)) - F.sum(label)).cast("double").alias("_n"))
-    lower = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    own = own.withColumn("_below", F.coalesce(F.sum("_n").over(lower), F.lit(0.0)))
-    right = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
+    own = running(own, by, [score], {"_upto": "_n"})
+    right = F.sum(F.col("_p") * (F.col("_upto") - F.col("_n") / 2))
     return own.groupBy(*by).agg(F.try_divide(right, F.sum("_p") * F.sum("_n")).alias("roc_auc"))
 
 
@@ -51,11 +44,11 @@ def average_precision(rows: DataFrame, by: Sequence[str], label: str, score: str
 
     ties: "input" ranks equal scores by `order`, "grouped" gives all of them the precision behind the last.
     """
-    w = Window.partitionBy(*by).orderBy(F.desc(score), *order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("_hits", F.sum(label).over(w)).withColumn("_place", F.count(F.lit(1)).over(w))
     if ties == "grouped":
-        equal = Window.partitionBy(*by, score)
-        placed = placed.withColumn("_hits", F.max("_hits").over(equal)).withColumn("_place", F.max("_place").over(equal))
+        own = rows.groupBy(*by, score).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_n"))
+        placed = running(own, by, [F.desc(score)], {"_hits": "_p", "_place": "_n"})
+        return placed.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * F.col("_hits") / F.col("_place")), F.sum("_p").cast("double")).alias("average_precision"))
+    placed = running(rows.select(*by, label, score, *order), by, [F.desc(score), *order], {"_hits": label, "_place": F.lit(1)})
     return placed.groupBy(*by).agg(F.avg(F.when(F.col(label) == 1, F.col("_hits") / F.col("_place"))).alias("average_precision"))
 
 
@@ -90,10 +83,14 @@ def best_thresholds(rows: DataFrame, by: Sequence[str], label: str, score: str)
     Ties keep the lowest; an undefined metric counts as -999. One running sum over the distinct scores tries them all.
     """
     own = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(label).cast("long").alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    tried = own.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum(F.col("n") - F.col("p")).over(down))
-    tried = tried.withColumn("fn", F.sum("p").over(whole) - F.col("tp")).withColumn("tn", F.sum(F.col("n") - F.col("p")).over(whole) - F.col("fp"))
+    return best_of_counted(own, by)
+
+
+def best_of_counted(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """best_thresholds of (by, threshold, p, n): positives and rows at each distinct score."""
+    whole = counted.groupBy(*by).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    tried = running(counted, by, [F.desc("threshold")], {"tp": "p", "_above": "n"}).join(whole, list(by))
+    tried = tried.withColumn("fp", F.col("_above") - F.col("tp")).withColumn("fn", F.col("_p") - F.col("tp")).withColumn("tn", F.col("_n") - F.col("_p") - F.col("fp"))
     four = [F.col(c) for c in ("tp", "tn", "fp", "fn")]
     worst = F.lit(-999.0)
     key = F.struct(F.coalesce(matthews(*four), worst).alias("mcc"), F.coalesce(balanced_accuracy(*four), worst).alias("ba"), (-F.col("threshold")).alias("low"))

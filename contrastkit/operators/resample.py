@@ -1,34 +1,134 @@
-"""Permutation, bootstrap and leave-one-out checks. A replicate is a value of a column, so that all of them run in one
-plan; draws are hashes of (seed, replicate, place), so that reruns and retried tasks agree."""
+"""Permutation, bootstrap and leave-one-out checks.
+
+Draws are whole numbers worked out from (seed, replicate, key), so that reruns, retried tasks and other engines agree.
+All replicates run in one plan. A context of up to WHOLE units is one row, whose replicates are worked out together in
+numpy; the units of a larger one are dealt to tasks by replicate and draw instead, which gives the same results.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrastkit.functions.numeric import EPS, sign
-from contrastkit.operators.matched import matched, pair_diffs, pair_units, residual_range
+from contrastkit.operators.matched import matched, pair_diffs, pair_units, residuals
+from contrastkit.operators.ordered import running
+from contrastkit.session import cut
+
+#: Draws are numbers below this prime; so are the two numbers of a replicate. Keys are below 2 ** 28.
+PRIME = 2147483647
+#: Most units of a context that one row holds.
+WHOLE = 4096
+#: Most numbers of a batch that are drawn at once.
+_AT_ONCE = 1 << 21
+
+
+def hashed(*parts: Column | str) -> Column:
+    """A number below 2 ** 28: the first seven digits of the md5 of the parts, joined by colons; a null part is empty."""
+    text = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
+def drawn(key: Column, v: Column, w: Column) -> Column:
+    """A draw from 0 to PRIME - 1 for a key in a replicate with the numbers v and w."""
+    x = (key * v + w) % PRIME
+    x = (x * x + key) % PRIME
+    return (x * v + w) % PRIME
+
+
+def _drawn(key: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = (key * v + w) % PRIME
+    x = (x * x + key) % PRIME
+    return (x * v + w) % PRIME
+
 
+def _replicates(spark, repeats: int, seed: int) -> DataFrame:
+    """(rep, v, w): the two numbers of each replicate."""
+    number = lambda name: (hashed(str(seed), F.col("rep"), name) * 7 + 1) % PRIME
+    return spark.range(repeats).select(F.col("id").cast("int").alias("rep"), number("v").alias("v"), number("w").alias("w"))
 
-def _replicated(units: DataFrame, repeats: int) -> DataFrame:
-    """units once for each replicate `rep`."""
-    return units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
 
+def _numbers(spark, repeats: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """v and w of all replicates: two numbers each, whatever the data."""
+    found = _replicates(spark, repeats, seed).orderBy("rep").toArrow()
+    return found.column("v").to_numpy(), found.column("w").to_numpy()
 
-def _uniform(seed: int, *keys: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / float(1 << 52)
+
+def _replicated(rows: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """rows once for each replicate, with rep, v and w."""
+    many = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    return many.join(F.broadcast(_replicates(rows.sparkSession, repeats, seed)), "rep")
 
 
 def permuted(units: DataFrame, within: Sequence[str], unit: Sequence[str], repeats: int, seed: int) -> DataFrame:
-    """units for each replicate, with classes dealt anew among the units of each group `within`."""
-    places = Window.partitionBy("rep", *within)
-    many = _replicated(units, repeats)
-    key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in unit])
-    many = many.withColumn("_place", F.row_number().over(places.orderBy(*unit))).withColumn("_deal", F.row_number().over(places.orderBy(F.xxhash64(F.lit(seed), "rep", key), *unit)))
-    dealt = many.select("rep", *within, F.col("_deal").alias("_place"), F.col("cls").alias("_cls"))
-    return many.drop("_deal").join(dealt, ["rep", *within, "_place"]).withColumn("cls", F.col("_cls")).drop("_cls", "_place")
+    """units for each replicate `rep`, with classes dealt anew among the units of each group `within`: in the order of
+    draws, the first units get the first class, as many as it has."""
+    many = _replicated(units.withColumn("_key", hashed(*[F.col(c) for c in unit])), repeats, seed)
+    many = many.withColumn("_draw", drawn(F.col("_key"), F.col("v"), F.col("w"))).drop("v", "w")
+    placed = running(many, ["rep", *within], ["_draw", *unit], {"_place": F.lit(1)})
+    sizes = units.groupBy(*within, "cls").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*within).orderBy("cls").rowsBetween(Window.unboundedPreceding, 0))
+    shares = sizes.withColumn("upto", upto).groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("upto", "cls"))).alias("_shares"))
+    dealt = placed.join(shares, list(within))
+    return dealt.withColumn("cls", F.filter("_shares", lambda x: x["upto"] >= F.col("_place"))[0]["cls"]).drop("_shares", "_place", "_draw", "_key")
+
+
+def _arms(units: DataFrame, within: Sequence[str], unit: Sequence[str], value: str) -> DataFrame:
+    """(within, arms): one row for each group, with an array of (cls, members), and members of (unit, key, value), sorted."""
+    member = F.struct(*[F.col(c).alias(f"u{k}") for k, c in enumerate(unit)], hashed(*[F.col(c) for c in unit]).alias("key"), F.col(value).alias("value"))
+    own = units.groupBy(*within, "cls").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return own.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("cls", "members"))).alias("arms"))
+
+
+def _flat(arms: DataFrame, *keep: str | Column) -> DataFrame:
+    """(keep, classes, sizes, keys, values) of rows with arms: units in the order of (class, unit)."""
+    members = F.flatten(F.transform("arms", lambda x: x["members"]))
+    return arms.select(*keep, F.col("arms.cls").alias("classes"), F.transform("arms", lambda x: F.size(x["members"])).alias("sizes"), F.transform(members, lambda m: m["key"]).alias("keys"), F.transform(members, lambda m: m["value"]).alias("values"))
+
+
+def _split(units: DataFrame, within: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The units of groups of at most WHOLE units, and of larger ones."""
+    large = units.groupBy(*within).count().where(F.col("count") > WHOLE).select(*within)
+    return units.join(large, list(within), "left_anti"), units.join(large, list(within), "left_semi")
+
+
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and where each row's begin (and the last end)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return column.flatten(), ends
+
+
+def _dealt_sums(batch: pa.RecordBatch, v: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(rows of the batch, their arm sizes, first replicate, sums): for blocks of rows with equally many units and arms and
+    for blocks of replicates, the sum of each arm's values after dealing: sums[row, replicate, arm]."""
+    keys, ends = _ragged(batch.column("keys"))
+    keys, values = keys.to_numpy(zero_copy_only=False), _ragged(batch.column("values"))[0].to_numpy(zero_copy_only=False)
+    sizes, size_ends = _ragged(batch.column("sizes"))
+    sizes = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+    n, arms = np.diff(ends), np.diff(size_ends)
+    for count, parts in sorted(set(zip(n.tolist(), arms.tolist()))):
+        same = np.flatnonzero((n == count) & (arms == parts))
+        each = max(1, _AT_ONCE // max(1, count * min(len(v), 256)))
+        for a in range(0, len(same), each):
+            rows = same[a : a + each]
+            at = ends[rows][:, None] + np.arange(count)
+            key, value = keys[at], values[at]
+            own = sizes[size_ends[rows][:, None] + np.arange(parts)]
+            edges = np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(own, axis=1)], axis=1)
+            reps = max(1, _AT_ONCE // max(1, count * len(rows)))
+            for b in range(0, len(v), reps):
+                draws = _drawn(key[:, None, :], v[None, b : b + reps, None], w[None, b : b + reps, None])
+                order = np.argsort(draws, axis=2, kind="stable")
+                dealt = np.take_along_axis(np.broadcast_to(value[:, None, :], draws.shape), order, axis=2)
+                upto = np.concatenate([np.zeros((*dealt.shape[:2], 1)), np.cumsum(dealt, axis=2)], axis=2)
+                sums = np.diff(np.take_along_axis(upto, np.broadcast_to(edges[:, None, :], (len(rows), draws.shape[1], parts + 1)), axis=2), axis=2)
+                yield rows, own, b, sums
 
 
 def _tested(observed: DataFrame, stats: DataFrame, keys: Sequence[str], two_sided: bool) -> DataFrame:
@@ -46,19 +146,102 @@ def _tested(observed: DataFrame, stats: DataFrame, keys: Sequence[str], two_side
 
 
 def range_permutation(units: DataFrame, context: Sequence[str], unit: Sequence[str], repeats: int = 10000, seed: int = 54) -> DataFrame:
-    """One row: the residual range against classes dealt anew within contexts; upper tail."""
-    own = matched(units, context)
-    observed = residual_range(own, context).withColumn("k", F.lit(0))
-    stats = residual_range(permuted(own, context, unit, repeats, seed), context, ["rep"]).withColumn("k", F.lit(0))
+    """One row: the residual range against classes dealt anew within contexts; upper tail.
+
+    Dealing leaves residuals and the classes' sizes as they are, so a replicate is a sum of residuals for each class.
+    """
+    own = cut(residuals(matched(units, context), context).select(*context, "cls", "ident", *[c for c in unit if c not in (*context, "cls", "ident")], "residual"), "residuals")
+    v, w = _numbers(units.sparkSession, repeats, seed)
+    small, large = _split(own, context)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, ends = _ragged(batch.column("classes"))
+            coded = names.dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            total = np.zeros((len(coded.dictionary), len(v)))
+            for rows, _, first, sums in _dealt_sums(batch, v, w):
+                where = code[ends[rows][:, None] + np.arange(sums.shape[2])]
+                for j in np.unique(where):
+                    total[j, first : first + sums.shape[1]] += np.einsum("rba,ra->b", sums, where == j)
+            if total.size:
+                cls = coded.dictionary.take(pa.array(np.repeat(np.arange(len(total)), len(v))))
+                yield pa.RecordBatch.from_arrays([cls, pa.array(np.tile(np.arange(len(v), dtype=np.int32), len(total))), pa.array(total.ravel())], names=["cls", "rep", "total"])
+
+    kind = units.schema["cls"].dataType.simpleString()
+    sums = _flat(_arms(small, context, unit, "residual")).mapInArrow(run, f"cls {kind}, rep int, total double")
+    sums = sums.unionByName(permuted(large, context, unit, repeats, seed).select("cls", "rep", F.col("residual").alias("total")))
+    sizes = own.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    means = sums.groupBy("cls", "rep").agg(F.sum("total").alias("total")).join(F.broadcast(sizes), "cls").select("rep", (F.col("total") / F.col("n")).alias("m"))
+    stats = means.groupBy("rep").agg(F.when(F.count(F.lit(1)) > 1, F.max("m") - F.min("m")).alias("stat")).withColumn("k", F.lit(0))
+    observed = own.groupBy("cls").agg(F.avg("residual").alias("m")).agg(F.when(F.count(F.lit(1)) > 1, F.max("m") - F.min("m")).alias("stat")).withColumn("k", F.lit(0))
     return _tested(observed, stats, ["k"], two_sided=False).drop("k")
 
 
+def _paired(arms: DataFrame, context: Sequence[str], order: Sequence[str] | None) -> DataFrame:
+    """(context, class_a, class_b, arms): each pair of arms of a context."""
+    place = lambda c: F.coalesce(*[F.when(c == name, F.lit(k)) for k, name in enumerate(order)], F.lit(len(order))) if order else F.lit(0)
+    pairs = F.flatten(F.transform("arms", lambda a: F.transform("arms", lambda b: F.struct(a.alias("a"), b.alias("b"), F.struct(place(a["cls"]), a["cls"]).alias("pa"), F.struct(place(b["cls"]), b["cls"]).alias("pb")))))
+    pairs = arms.select(*context, F.explode(F.filter(pairs, lambda x: x["pa"] < x["pb"])).alias("x"))
+    return pairs.select(*context, F.col("x.a.cls").alias("class_a"), F.col("x.b.cls").alias("class_b"), F.array("x.a", "x.b").alias("arms"))
+
+
+def _by_pair(rows: Iterator[pa.RecordBatch], repeats: int, diffs) -> Iterator[pa.RecordBatch]:
+    """(class_a, class_b, rep, total, contexts): what diffs(batch) yields, (rows, first replicate, difference or nan by row
+    and replicate), summed for each pair of classes of a batch."""
+    for batch in rows:
+        a, b = (batch.column(c).dictionary_encode() for c in ("class_a", "class_b"))
+        code = a.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(b.dictionary)) + b.indices.to_numpy(zero_copy_only=False)
+        kinds, code = np.unique(code, return_inverse=True)
+        total, met = np.zeros((len(kinds), repeats)), np.zeros((len(kinds), repeats), np.int64)
+        for own, first, found in diffs(batch):
+            there = ~np.isnan(found)
+            for j in np.unique(code[own]):
+                mine = code[own] == j
+                total[j, first : first + found.shape[1]] += np.where(there[mine], found[mine], 0.0).sum(axis=0)
+                met[j, first : first + found.shape[1]] += there[mine].sum(axis=0)
+        if len(kinds):
+            pick = np.repeat(kinds, repeats)
+            columns = [a.dictionary.take(pa.array(pick // max(1, len(b.dictionary)))), b.dictionary.take(pa.array(pick % max(1, len(b.dictionary)))), pa.array(np.tile(np.arange(repeats, dtype=np.int32), len(kinds))), pa.array(total.ravel()), pa.array(met.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, names=["class_a", "class_b", "rep", "total", "contexts"])
+
+
+def _pair_schema(units: DataFrame) -> str:
+    kind = units.schema["cls"].dataType.simpleString()
+    return f"class_a {kind}, class_b {kind}, rep int, total double, contexts long"
+
+
+def _mean_of(sums: DataFrame) -> DataFrame:
+    """(class_a, class_b, rep, stat): the mean over contexts; null without any."""
+    keys = ["class_a", "class_b", "rep"]
+    own = sums.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("contexts").alias("contexts"))
+    return own.select(*keys, F.try_divide(F.col("total"), F.col("contexts").cast("double")).alias("stat"))
+
+
 def pair_permutation(units: DataFrame, context: Sequence[str], unit: Sequence[str], repeats: int = 10000, seed: int = 54, order: Sequence[str] | None = None) -> DataFrame:
     """For each pair of classes: the mean context difference against classes dealt anew within contexts; two-sided."""
-    pair = pair_units(units, context, order)
     keys = ["class_a", "class_b"]
-    stats = pair_diffs(permuted(pair, [*keys, *context], unit, repeats, seed), context, ["rep"])
-    return _tested(pair_diffs(pair, context).select(*keys, "stat"), stats, keys, two_sided=True)
+    own = cut(matched(units, context).select(*dict.fromkeys([*context, "cls", "ident", *unit, "response_rate"])), "matched-units")
+    v, w = _numbers(units.sparkSession, repeats, seed)
+    small, large = _split(own, context)
+
+    def diffs(batch: pa.RecordBatch):
+        for rows, sizes, first, sums in _dealt_sums(batch, v, w):
+            means = sums / sizes[:, None, :]
+            yield rows, first, means[:, :, 0] - means[:, :, 1]
+
+    pairs = _flat(_paired(_arms(small, context, unit, "response_rate"), context, order), *keys)
+    sums = pairs.mapInArrow(lambda rows: _by_pair(rows, repeats, diffs), _pair_schema(units))
+    wide = permuted(pair_units(large, context, order), [*keys, *context], unit, repeats, seed)
+    wide = wide.groupBy(*keys, "rep", *context).agg(_difference().alias("total")).select(*keys, "rep", "total", F.lit(1).cast("long").alias("contexts"))
+    observed = pair_diffs(pair_units(own, context, order), context).select(*keys, "stat")
+    return _tested(observed, _mean_of(sums.unionByName(wide)), keys, two_sided=True)
+
+
+def _difference() -> Column:
+    """An aggregate: the mean response of class_a's rows less that of class_b's."""
+    arm = lambda s: F.avg(F.when(F.col("cls") == F.col(f"class_{s}"), F.col("response_rate")))
+    return arm("a") - arm("b")
 
 
 def _intervals(stats: DataFrame, observed: DataFrame, repeats: int) -> DataFrame:
@@ -77,52 +260,132 @@ def _intervals(stats: DataFrame, observed: DataFrame, repeats: int) -> DataFrame
 
 
 def context_bootstrap(units: DataFrame, context: Sequence[str], unit: Sequence[str], repeats: int = 5000, seed: int = 64, order: Sequence[str] | None = None) -> DataFrame:
-    """For each pair: contexts drawn with replacement, then in each the units of either arm with replacement."""
-    keys = ["class_a", "class_b"]
-    pair = pair_units(units, context, order)
+    """For each pair: contexts drawn with replacement, then in each the units of either arm with replacement.
+
+    A context comes up about once in a replicate, so the draws that it takes part in are a list of bounded length.
+    """
+    spark, keys = units.sparkSession, ["class_a", "class_b"]
+    own = cut(matched(units, context).select(*dict.fromkeys([*context, "cls", "ident", *unit, "response_rate"])), "matched-units")
+    small, large = _split(own, context)
+    reps = _replicates(spark, repeats, seed)
+    v, w = _numbers(spark, repeats, seed)
+    pairs = _paired(_arms(small, context, unit, "response_rate"), context, order)
+    wide = pair_units(large, context, order)
+    every = pairs.select(*keys, *context).unionByName(wide.select(*keys, *context).distinct())
+    named = cut(running(every, keys, list(context), {"_c": F.lit(1)}), "contexts")
+    sizes = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    draws = _replicated(named.select(*keys, F.col("_c").alias("_draw")).join(F.broadcast(sizes), keys), repeats, seed)
+    draw = drawn(hashed("context", F.col("class_a"), F.col("class_b"), F.col("_draw")), F.col("v"), F.col("w"))
+    draws = draws.select(*keys, F.floor(draw * F.col("_n") / F.lit(PRIME)).cast("long").alias("_c0"), "rep", "_draw")
+    draws = draws.select(*keys, (F.col("_c0") + 1).alias("_c"), "rep", "_draw")
+    taken = draws.groupBy(*keys, "_c").agg(F.collect_list(F.struct("rep", hashed("arm", F.col("class_a"), F.col("class_b"), F.col("_draw")).alias("key"))).alias("draws"))
+    met = named.join(taken, [*keys, "_c"]).join(pairs, [*keys, *context])
+
+    def diffs(batch: pa.RecordBatch):
+        taken, ends = _ragged(batch.column("draws"))
+        rep, key = (taken.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        values, at = _ragged(batch.column("values"))
+        values = values.to_numpy(zero_copy_only=False)
+        sizes = np.array(batch.column("sizes").to_pylist(), dtype=np.int64).reshape(-1, 2)
+        for k in range(batch.num_rows):
+            r, own = rep[ends[k] : ends[k + 1]], key[ends[k] : ends[k + 1]]
+            out = np.zeros(len(r))
+            first = at[k]
+            for arm, part in ((0, 1.0), (1, -1.0)):
+                n = int(sizes[k, arm])
+                each = max(1, _AT_ONCE // n)
+                for a in range(0, len(r), each):
+                    slot = _drawn((own[a : a + each, None] + _SLOT * (2 * np.arange(n) + arm)) % (1 << 28), v[r[a : a + each], None], w[r[a : a + each], None])
+                    out[a : a + each] += part * values[first + slot * n // PRIME].mean(axis=1)
+                first += n
+            # several draws of a replicate may take this context
+            total, times = np.bincount(r, weights=out, minlength=repeats), np.bincount(r, minlength=repeats)
+            yield k, total, times
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            sums: dict[tuple, list[np.ndarray]] = {}
+            a, b = batch.column("class_a").to_pylist(), batch.column("class_b").to_pylist()
+            for k, total, times in diffs(batch):
+                held = sums.setdefault((a[k], b[k]), [np.zeros(repeats), np.zeros(repeats, np.int64)])
+                held[0] += total
+                held[1] += times
+            for (x, y), (total, times) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([x] * repeats, batch.column("class_a").type), pa.array([y] * repeats, batch.column("class_b").type), pa.array(np.arange(repeats, dtype=np.int32)), pa.array(total), pa.array(times)], names=["class_a", "class_b", "rep", "total", "contexts"])
+
+    sums = _flat(met, *keys, "draws").mapInArrow(run, _pair_schema(units))
+    # contexts of more than WHOLE units: one row for each unit drawn
     arm = [*keys, *context, "cls"]
-    placed = pair.withColumn("_slot", F.row_number().over(Window.partitionBy(*arm).orderBy(*unit))).withColumn("_arm", F.count(F.lit(1)).over(Window.partitionBy(*arm)))
-    arms = placed.groupBy(*arm).agg(F.max("_arm").alias("_arm"))
-    names = pair.select(*keys, *context).distinct().withColumn("_c", F.row_number().over(Window.partitionBy(*keys).orderBy(*context))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    draws = _replicated(names.select(*keys, F.col("_c").alias("_draw"), "_n"), repeats)
-    drawn = draws.withColumn("_c", (F.floor(_uniform(seed, F.col("class_a"), F.col("class_b"), F.col("rep"), F.col("_draw")) * F.col("_n")) + 1).cast("int"))
-    drawn = drawn.join(names.drop("_n"), [*keys, "_c"]).join(arms, [*keys, *context])
-    slots = drawn.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_arm").cast("int"))))
-    slots = slots.withColumn("_slot", (F.floor(_uniform(seed + 1, F.col("class_a"), F.col("class_b"), F.col("rep"), F.col("_draw"), F.col("cls"), F.col("_k")) * F.col("_arm")) + 1).cast("int"))
+    placed = running(wide, arm, list(unit), {"_slot": F.lit(1)})
+    arms = wide.groupBy(*arm).agg(F.count(F.lit(1)).alias("_arm"))
+    large_draws = named.join(draws, [*keys, "_c"]).join(arms, [*keys, *context]).join(F.broadcast(reps), "rep")
+    slots = large_draws.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_arm") - 1)))
+    side = F.when(F.col("cls") == F.col("class_a"), 0).otherwise(1)
+    key = (hashed("arm", F.col("class_a"), F.col("class_b"), F.col("_draw")) + _SLOT * (2 * F.col("_k") + side)) % (1 << 28)
+    slots = slots.withColumn("_slot", F.floor(drawn(key, F.col("v"), F.col("w")) * F.col("_arm") / F.lit(PRIME)).cast("long") + 1)
     picked = slots.join(placed.select(*arm, "_slot", "response_rate"), [*arm, "_slot"])
-    means = picked.groupBy(*keys, "rep", "_draw", "cls").agg(F.avg("response_rate").alias("m"))
-    diff = F.max(F.when(F.col("cls") == F.col("class_a"), F.col("m"))) - F.max(F.when(F.col("cls") == F.col("class_b"), F.col("m")))
-    stats = means.groupBy(*keys, "rep", "_draw").agg(diff.alias("d")).groupBy(*keys, "rep").agg(F.avg("d").alias("stat"))
-    return _intervals(stats, pair_diffs(pair, context), repeats)
+    large_sums = picked.groupBy(*keys, "rep", "_draw").agg(_difference().alias("total")).select(*keys, "rep", "total", F.lit(1).cast("long").alias("contexts"))
+    return _intervals(_mean_of(sums.unionByName(large_sums)), pair_diffs(pair_units(own, context, order), context), repeats)
+
+
+#: What sets the slots of an arm apart.
+_SLOT = 104729
 
 
 def cluster_bootstrap(units: DataFrame, context: Sequence[str], repeats: int = 5000, seed: int = 64, order: Sequence[str] | None = None) -> DataFrame:
     """For each pair: identities of either arm drawn with replacement; a unit counts as often as its identity was drawn.
 
     Contexts that lose an arm drop out; a replicate without contexts is unavailable. degenerate: an arm has one identity.
+    An identity carries how often it was drawn in each replicate; a context's units are read one after the other.
     """
     keys = ["class_a", "class_b"]
-    pair = pair_units(units, context, order)
-    named = pair.select(*keys, "cls", "ident").distinct()
-    arm = Window.partitionBy(*keys, "cls")
-    named = named.withColumn("_i", F.row_number().over(arm.orderBy("ident"))).withColumn("_n", F.count(F.lit(1)).over(arm))
-    draws = _replicated(named.select(*keys, "cls", "_n", F.col("_i").alias("_draw")), repeats)
-    draws = draws.withColumn("_i", (F.floor(_uniform(seed + 2, F.col("class_a"), F.col("class_b"), F.col("cls"), F.col("rep"), F.col("_draw")) * F.col("_n")) + 1).cast("int"))
-    times = draws.groupBy(*keys, "cls", "rep", "_i").agg(F.count(F.lit(1)).alias("times")).join(named.drop("_n"), [*keys, "cls", "_i"])
-    weighted = pair.join(times.select(*keys, "cls", "ident", "rep", "times"), [*keys, "cls", "ident"])
-    stats = pair_diffs(weighted, context, ["rep"], "times")
-    sizes = named.groupBy(*keys).agg(F.max(F.when(F.col("cls") == F.col("class_a"), F.col("_n"))).alias("idents_a"), F.max(F.when(F.col("cls") == F.col("class_b"), F.col("_n"))).alias("idents_b"))
-    return _intervals(stats, pair_diffs(pair, context), repeats).join(sizes, keys).withColumn("degenerate", (F.least("idents_a", "idents_b") < 2).cast("int"))
-
-
-def _without_each(units: DataFrame, held: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """units once for each held-out identity, without that identity's units. The identities are a set per key."""
-    lists = held.groupBy(*keys).agg(F.collect_set("ident").alias("_held")) if keys else held.agg(F.collect_set("ident").alias("_held"))
-    if keys:
-        many = units.join(lists, list(keys))
-    else:
-        many = units.withColumn("_k", F.lit(1)).join(lists.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return many.withColumn("held_out", F.explode("_held")).where("held_out <> ident").drop("_held")
+    pair = cut(pair_units(matched(units, context), context, order).select(*keys, *context, "cls", "ident", "response_rate"), "pair-units")
+    arm = [*keys, "cls"]
+    named = cut(running(pair.select(*arm, "ident").distinct(), arm, ["ident"], {"_i": F.lit(1)}), "identities")
+    sizes = named.groupBy(*arm).agg(F.count(F.lit(1)).alias("_n"))
+    draws = _replicated(named.select(*arm, F.col("_i").alias("_draw")).join(F.broadcast(sizes), arm), repeats, seed)
+    draw = drawn(hashed("identity", *[F.col(c) for c in arm], F.col("_draw")), F.col("v"), F.col("w"))
+    draws = draws.select(*arm, (F.floor(draw * F.col("_n") / F.lit(PRIME)).cast("long") + 1).alias("_i"), "rep")
+    times = draws.groupBy(*arm, "_i", "rep").agg(F.count(F.lit(1)).alias("n")).groupBy(*arm, "_i").agg(F.map_from_entries(F.collect_list(F.struct("rep", "n"))).alias("n"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.coalesce(F.try_element_at("n", r), F.lit(0)).cast("int"))
+    times = named.join(times, [*arm, "_i"]).select(*arm, "ident", every.alias("times"))
+    weighted = pair.join(times, [*arm, "ident"]).select(*keys, F.struct(*context).alias("_context"), (F.col("cls") == F.col("class_b")).cast("int").alias("_side"), "response_rate", "times")
+    weighted = weighted.repartition(*keys, "_context").sortWithinPartitions(*keys, "_context")
+    weighted = weighted.select(*keys, F.xxhash64("_context").alias("_context"), "_side", "response_rate", "times")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[tuple, list[np.ndarray]] = {}
+        at, top, low = None, np.zeros((2, repeats)), np.zeros((2, repeats))
+        kinds = None
+
+        def close() -> None:
+            if at is None:
+                return
+            held = names.setdefault(at[:2], [np.zeros(repeats), np.zeros(repeats, np.int64)])
+            there = (low > 0).all(axis=0)
+            held[0][there] += top[0, there] / low[0, there] - top[1, there] / low[1, there]
+            held[1][there] += 1
+            top[:], low[:] = 0.0, 0.0
+
+        for batch in rows:
+            kinds = batch.column("class_a").type
+            values, ends = _ragged(batch.column("times"))
+            values = values.to_numpy(zero_copy_only=False)
+            a, b, where, side, rate = (batch.column(c).to_pylist() for c in ("class_a", "class_b", "_context", "_side", "response_rate"))
+            for k in range(batch.num_rows):
+                if (a[k], b[k], where[k]) != at:
+                    close()
+                    at = (a[k], b[k], where[k])
+                own = values[ends[k] : ends[k + 1]]
+                top[side[k]] += rate[k] * own
+                low[side[k]] += own
+        close()
+        for (x, y), (total, met) in names.items():
+            yield pa.RecordBatch.from_arrays([pa.array([x] * repeats, kinds), pa.array([y] * repeats, kinds), pa.array(np.arange(repeats, dtype=np.int32)), pa.array(total), pa.array(met)], names=["class_a", "class_b", "rep", "total", "contexts"])
+
+    stats = _mean_of(weighted.mapInArrow(run, _pair_schema(units)))
+    ends = named.groupBy(*keys).agg(F.count_if(F.col("cls") == F.col("class_a")).alias("idents_a"), F.count_if(F.col("cls") == F.col("class_b")).alias("idents_b"))
+    return _intervals(stats, pair_diffs(pair, context), repeats).join(ends, keys).withColumn("degenerate", (F.least("idents_a", "idents_b") < 2).cast("int"))
 
 
 def _pair_diffs_without(pair: DataFrame, context: Sequence[str]) -> DataFrame:
@@ -174,14 +437,37 @@ def leave_one_out_pairs(units: DataFrame, context: Sequence[str], order: Sequenc
 
 
 def leave_one_out_range(units: DataFrame, context: Sequence[str]) -> DataFrame:
-    """For each identity: the residual range without it, and what is left of the matched contexts."""
-    held = units.select("ident").distinct()
-    left = _without_each(units, held)
-    own = Window.partitionBy("held_out", *context)
-    kept = left.withColumn("_a", F.min("cls").over(own)).withColumn("_b", F.max("cls").over(own)).where("_a <> _b").drop("_a", "_b")
-    sizes = kept.groupBy("held_out").agg(F.count_distinct(F.struct(*context)).alias("remaining_contexts"), F.count(F.lit(1)).alias("remaining_units"))
-    out = held.withColumnRenamed("ident", "held_out").join(residual_range(kept, context, ["held_out"]), "held_out", "left").join(sizes, "held_out", "left")
-    return out.na.fill(0, ["remaining_contexts", "remaining_units"]).withColumn("unavailable", F.col("stat").isNull().cast("int"))
+    """For each identity: the residual range without it, and what is left of the matched contexts.
+
+    Only the contexts of an identity change without it: each of their classes is worked out anew, and the change is
+    added to the classes' sums over all contexts.
+    """
+    place = list(context)
+    by_class = units.groupBy(*place, "cls").agg(F.sum("response_rate").alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = by_class.groupBy(*place).agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k"))
+    here = cut(by_class.join(whole, place), "class-sums")
+    residual = F.col("s") - F.col("n") * F.col("s_all") / F.col("n_all")
+    shared = F.col("k") > 1
+    here = here.withColumn("old", F.when(shared, residual).otherwise(0.0)).withColumn("old_n", F.when(shared, F.col("n")).otherwise(0))
+    totals = here.groupBy("cls").agg(F.sum("old").alias("r"), F.sum("old_n").alias("u"))
+    own = cut(units.groupBy(*place, "ident", "cls").agg(F.sum("response_rate").alias("ds"), F.count(F.lit(1)).alias("dn")), "identity-sums")
+    gone = own.join(by_class.select(*place, "cls", "n"), [*place, "cls"]).groupBy(*place, "ident").agg(F.sum("ds").alias("ds_all"), F.sum("dn").alias("dn_all"), F.count_if(F.col("n") == F.col("dn")).alias("lost"))
+    anew = here.join(gone, place).join(own, [*place, "ident", "cls"], "left").na.fill(0, ["ds", "dn"])
+    left = F.col("k") - F.col("lost")
+    s, n = F.col("s") - F.col("ds"), F.col("n") - F.col("dn")
+    mean = F.try_divide(F.col("s_all") - F.col("ds_all"), (F.col("n_all") - F.col("dn_all")).cast("double"))
+    stays = (left > 1) & (n > 0)
+    anew = anew.withColumn("new", F.when(stays, s - n * mean).otherwise(0.0)).withColumn("new_n", F.when(stays, n).otherwise(0))
+    change = cut(anew.groupBy("ident", "cls").agg(F.sum(F.col("new") - F.col("old")).alias("dr"), F.sum(F.col("new_n") - F.col("old_n")).alias("du")), "changes")
+    contexts = gone.join(whole, place).groupBy("ident").agg(F.sum((left > 1).cast("int") - shared.cast("int")).alias("dc"))
+    one = lambda frame: frame.withColumn("_one", F.lit(1))
+    every = one(units.select("ident").distinct()).join(F.broadcast(one(totals)), "_one").drop("_one")  # a row for each class
+    sums = every.join(change, ["ident", "cls"], "left").na.fill(0, ["dr", "du"]).withColumn("u", F.col("u") + F.col("du"))
+    sums = sums.groupBy("ident").agg(F.count_if(F.col("u") > 0).alias("classes"), F.sum("u").cast("long").alias("remaining_units"), F.max(F.when(F.col("u") > 0, (F.col("r") + F.col("dr")) / F.col("u"))).alias("high"), F.min(F.when(F.col("u") > 0, (F.col("r") + F.col("dr")) / F.col("u"))).alias("low"))
+    base = one(whole.agg(F.count_if(shared).alias("c")))
+    out = one(sums.join(contexts, "ident")).join(F.broadcast(base), "_one").drop("_one")
+    stat = F.when(F.col("classes") > 1, F.col("high") - F.col("low"))
+    return out.select(F.col("ident").alias("held_out"), stat.alias("stat"), (F.col("c") + F.col("dc")).cast("long").alias("remaining_contexts"), "remaining_units", stat.isNull().cast("int").alias("unavailable"))
 
 
 def leave_one_out_summary(rows: DataFrame) -> DataFrame:
@@ -200,10 +486,11 @@ def leave_one_out_summary(rows: DataFrame) -> DataFrame:
 
 def shuffled_classes(rows: DataFrame, cls: str, ident: str, seed: int, repeats: int = 1, name: str = "shuffled") -> DataFrame:
     """rows for each replicate `rep`, with the classes of identities dealt anew among identities; an identity of several
-    classes stands for the first of them. It orders all identities in each replicate."""
-    named = _replicated(rows.groupBy(ident).agg(F.min(cls).alias("_own")), repeats)
-    every = Window.partitionBy("rep")
-    named = named.withColumn("_place", F.row_number().over(every.orderBy(ident))).withColumn("_deal", F.row_number().over(every.orderBy(F.xxhash64(F.lit(seed), "rep", ident), ident)))
-    dealt = named.select("rep", F.col("_deal").alias("_place"), F.col("_own").alias(name))
-    new = named.select("rep", ident, "_place").join(dealt, ["rep", "_place"]).drop("_place")
-    return rows.join(new, ident)
+    classes stands for the first of them. The identity of the k-th smallest draw gives its class to the k-th by name."""
+    named = running(rows.groupBy(F.col(ident).alias("_ident")).agg(F.min(cls).alias(name)), [], ["_ident"], {"_place": F.lit(1)})
+    named = cut(named, "identities")
+    many = _replicated(named.select("_ident", name), repeats, seed)
+    many = many.select("rep", "_ident", name, drawn(hashed("shuffle", F.col("_ident")), F.col("v"), F.col("w")).alias("_draw"))
+    dealt = running(many, ["rep"], ["_draw", "_ident"], {"_place": F.lit(1)}).select("rep", "_place", name)
+    new = named.select("_ident", "_place").join(dealt, "_place").drop("_place")
+    return rows.join(new, F.col(ident).eqNullSafe(F.col("_ident"))).drop("_ident")

@@ -1,7 +1,7 @@
 """Whole analyses: pages to an activity audit, activities to a study, observations to matched contrasts.
 
-Each gives named DataFrames. Frames that several results branch from are cached; call unpersist on the parts when done.
-The one data-dependent branch is the gate before modelling, a single row.
+Each gives named DataFrames. Frames that several results branch from are written to the scratch folder and read back, so
+that no plan holds another. The one data-dependent branch is the gate before modelling, a single row.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from contrastkit.functions.text import MAJOR, contains_any
 from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, resample
+from contrastkit.session import cut
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class Roles:
 
 def activity_audit(rows: DataFrame, roles: Roles = Roles(), key: str = "cell_line", unit: str = "units") -> dict[str, DataFrame]:
     """What an activity table can tell: class summaries, dependency of class on identity, shared keys, verdict."""
-    own = rows.where((F.col("is_potency_endpoint") == "1") | contains_any(F.col("standard_type"))).cache()
+    own = cut(rows.where((F.col("is_potency_endpoint") == "1") | contains_any(F.col("standard_type"))), "potency")
     degrees = audit.key_degrees(own, key, roles.cls)
     return {
         "potency": own,
@@ -82,10 +83,10 @@ def study(rows: DataFrame, roles: Roles = Roles(), threshold: float = 10.0, k: i
     """From measured rows to a verdict on the class: routing, collapsing, audit, overlap, gate, and models if the gate
     lets them through (or `always`)."""
     potency = (F.col("is_potency_endpoint") == "1") | contains_any(F.col("standard_type"))
-    sent = measurements.routed(rows, potency, threshold=threshold).cache()
+    sent = cut(measurements.routed(rows, potency, threshold=threshold), "routed")
     keys = [roles.source, *roles.context, roles.ident]
-    collapsed = measurements.collapsed(measurements.usable(sent), keys, "value_nm", "label", roles.row_id, [roles.cls, roles.row_id], roles.row_id).cache()
-    major = collapsed.where(F.col(roles.cls).isin(*roles.major)).cache()
+    collapsed = cut(measurements.collapsed(measurements.usable(sent), keys, "value_nm", "label", roles.row_id, [roles.cls, roles.row_id], roles.row_id), "collapsed")
+    major = collapsed.where(F.col(roles.cls).isin(*roles.major))
     context = list(roles.context)
     overlap = association.overlap(major, context, roles.cls, roles.ident, "label")
     effects = matched.prevalence_effects(major, context, roles.cls, roles.ident, "label")
@@ -106,10 +107,10 @@ def study(rows: DataFrame, roles: Roles = Roles(), threshold: float = 10.0, k: i
     }
     if not always and gate.first()["decision"] != "GO_FOR_CHEAP_FALSIFICATION":
         return out
-    splits = _splits(major, roles, "label", k, seed).cache()
-    predictions = bayes.cross_validated(major, splits, feature_sets(roles), "label", roles.row_id).cache()
-    pooled = bayes.pooled_results(predictions, roles.row_id).cache()
-    shuffled = shuffle_control(major, roles, "label", k, seed, repeats).cache()
+    splits = cut(_splits(major, roles, "label", k, seed), "splits")
+    predictions = bayes.cross_validated(major, splits, feature_sets(roles), "label", roles.row_id)
+    pooled = cut(bayes.pooled_results(predictions, roles.row_id), "pooled")
+    shuffled = cut(shuffle_control(major, roles, "label", k, seed, repeats), "shuffled")
     return out | {"predictions": predictions, "fold_results": bayes.fold_results(predictions, roles.row_id), "pooled": pooled, "shuffled": shuffled, "verdict": decide.model_verdict(pooled, shuffled)}
 
 
@@ -120,9 +121,9 @@ def contrasts(rows: DataFrame, context: Sequence[str], cls: str, ident: str, lab
     """
     times = {"permutation": 10000, "bootstrap": 5000} | dict(repeats or {})
     keys = [*context, "cls", "ident"]
-    every = measurements.units(rows, context, cls, ident, label).cache()
-    own = matched.matched(every, context).cache()
-    effects = matched.pair_effects(own, context, order).cache()
+    every = cut(measurements.units(rows, context, cls, ident, label), "units")
+    own = cut(matched.matched(every, context), "matched")
+    effects = cut(matched.pair_effects(own, context, order), "effects")
     summary = matched.pair_summary(effects)
     covered = matched.coverage(own, context, order)
     strong = own.join(matched.strong_overlap(covered, context), list(context), "left_semi")

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrastkit.functions import numeric, text
-from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, metrics, resample
-from contrastkit.plans import views
+from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, metrics, ordered, resample
+from contrastkit.plans import checks, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 CTX = ["customer", "supplier"]
 UNIT = ["ctx", "cls", "ident"]
+#: Replicates of the registered tests and intervals, which DuckDB repeats draw by draw; and those of rsm9 and by default.
+PERMUTATIONS, BOOTSTRAPS = 1000, 1000
+#: As many as the survey has (RSM9).
+SHUFFLES = 50
+MODELS = {"global": [], "class_only": ["cls"], "bio": ["units", "ctx"], "bio_plus_mechanism": ["units", "ctx", "cls"], "bio_plus_payload": ["units", "ctx", "ident"], "bio_plus_payload_plus_mechanism": ["units", "ctx", "ident", "cls"]}
 
 
 def _tidy(df: DataFrame) -> DataFrame:
@@ -33,24 +39,22 @@ def _tidy(df: DataFrame) -> DataFrame:
 
 def _sql(columns: str, inner: str) -> str:
     """inner with columns cast: names with :l are long, :d double, others as they are. Views are put before it."""
-    cast = {"l": "cast({0} as bigint) as {0}", "d": "round(cast({0} as double), 6) + 0.0 as {0}", "s": "{0}"}
+    cast = {"l": "cast({0} as bigint) as {0}", "d": "round(cast({0} as double), 6) + 0.0 as {0}", "s": "{0}", "f": "replace(printf('%.4f', {0}), '-0.0000', '0.0000') as {0}"}
     parts = [x.split(":") for x in columns.split()]
     own = ", ".join(cast[p[1] if len(p) > 1 else "s"].format(p[0]) for p in parts)
     used = _VIEWS | {k: v for k, v in views.SQL.items()}
     names: list[str] = []
 
-    def need(body: str) -> None:
-        import re
-
+    def need(body: str, within: str = "") -> None:
         for name in used:
-            if name not in names and re.search(rf"\b{name}\b", body):
-                need(used[name])
+            if name != within and name not in names and re.search(rf"\b{name}\b", body):
+                need(used[name], name)
                 if name not in names:
                     names.append(name)
 
     need(inner)
     heads = ", ".join(f"{n} as ({used[n]})" for n in names)
-    return f"with {heads} select {own} from ({inner}) q" if heads else f"select {own} from ({inner}) q"
+    return f"with recursive {heads} select {own} from ({inner}) q" if heads else f"select {own} from ({inner}) q"
 
 
 _UNITS = """select {ctx}, cls, ident, count(*) as n_observations, sum(label) as positives, count(*) - sum(label) as negatives, avg(label) as response_rate, max(label) as response_any,
@@ -60,7 +64,8 @@ _EFFECTS = """with arm as (select {ctx}, cls, count(*) as units, sum(n_observati
     select {actx}, a.cls as class_a, b.cls as class_b, a.units as units_a, b.units as units_b, a.observations as observations_a, b.observations as observations_b, a.unique_idents as unique_idents_a, b.unique_idents as unique_idents_b,
     a.unit_response as unit_response_a, b.unit_response as unit_response_b, a.prevalence as prevalence_a, b.prevalence as prevalence_b, a.unit_response - b.unit_response as diff, a.prevalence - b.prevalence as prevalence_diff,
     a.idents as idents_a, b.idents as idents_b, a.unit_response - b.unit_response > 1e-12 as a_higher, a.unit_response - b.unit_response < -1e-12 as b_higher, abs(a.unit_response - b.unit_response) <= 1e-12 as equal,
-    a.units >= 2 and b.units >= 2 as both_replicated, a.units >= 2 or b.units >= 2 as either_replicated, abs(a.unit_response - b.unit_response) > 1e-12 as differs
+    a.units >= 2 and b.units >= 2 as both_replicated, a.units >= 2 or b.units >= 2 as either_replicated, abs(a.unit_response - b.unit_response) > 1e-12 as differs,
+    array_to_string(flatten(list_transform(string_split(a.idents, ';'), lambda x: list_transform(string_split(b.idents, ';'), lambda y: x || '|' || y))), ';') as signature
     from arm a join arm b on {on} and a.cls < b.cls"""
 _VIEWS = {
     "obs_units": _UNITS.format(ctx="customer, supplier", src="obs"),
@@ -73,6 +78,12 @@ _VIEWS = {
         from (select *, case lower(trim(units)) when 'pm' then value / 1000.0 when 'nm' then value when 'um' then value * 1000.0 end as value_nm from acts))""",
     "labelled": "select row_id, ctx, cls, ident, value_nm, raw_label as label from routing where reason is null",
     "folded": "select *, (row_number() over (partition by label order by md5('44:' || row_id), row_id) - 1) % 5 as fold from acts",
+    "act_effects": _EFFECTS.format(ctx="ctx", actx="a.ctx", src="act_units", on="a.ctx = b.ctx"),
+    **checks.resampling(PERMUTATIONS, BOOTSTRAPS),
+    **checks.shuffled(SHUFFLES),
+    **checks.group_folds(),
+    **checks.cross_validation("cv", "select 'random_row' as split, fold, label, row_id, units, ctx::varchar as ctx, cls, ident from folded", MODELS),
+    **checks.cross_validation("sc", "select s.rep::varchar as split, f.fold, a.label, s.rep || ':' || a.row_id as row_id, a.units, a.ctx::varchar as ctx, s.shuffled from acts a join v_group_folds f on f.ident = a.ident join v_shuffled s on s.ident = a.ident", {"bio_plus_shuffled_mechanism": ["units", "ctx", "shuffled"]}),
 }
 
 
@@ -102,9 +113,9 @@ def _txt1(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.clean_text(F.col("html")).alias("text"))
 
 
-@_query("txt4_section", "page_id:l n:l", "select page_id, case when strpos(html, '<article>') > 0 and strpos(html, '</article>') > strpos(html, '<article>') then strpos(html, '</article>') - strpos(html, '<article>') else 0 end as n from pages")
+@_query("txt4_section", "page_id:l section", "select page_id, case when strpos(html, '<article>') > 0 and strpos(html, '</article>') > strpos(html, '<article>') then substr(html, strpos(html, '<article>'), strpos(html, '</article>') - strpos(html, '<article>')) else '' end as section from pages")
 def _txt4(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.length(text.section(F.col("html"), "<body>", "<article>", "</article>", "<footer>")).alias("n"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.section(F.col("html"), "<body>", "<article>", "</article>", "<footer>").alias("section"))
 
 
 @_query("txt5_records", "page_id:l place:l href", "select page_id, unnest(range(0, len(l))) as place, unnest(l) as href from (select page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) as l from pages)")
@@ -142,8 +153,15 @@ def _txt13(spark, sf_dir):
 
 @_query("num3_order_statistics", "cls mean:d median:d p025:d p95_floor:d", "select cls, avg(value) as mean, median(value) as median, quantile_cont(value, 0.025) as p025, list_sort(list(value))[1 + floor(0.95 * (count(*) - 1))::int] as p95_floor from acts group by 1")
 def _num3(spark, sf_dir):
+    rows = views.acts(spark, sf_dir)
+    places = ordered.order_statistics(rows, ["cls"], "value", {"median": ("linear", 0.5), "p025": ("linear", 0.025), "p95_floor": ("floor", 0.95)})
+    return rows.groupBy("cls").agg(F.avg("value").alias("mean")).join(places, "cls")
+
+
+@_query("num5_percentiles_of_groups", "cls p025:d p95_floor:d", "select cls, quantile_cont(value, 0.025) as p025, list_sort(list(value))[1 + floor(0.95 * (count(*) - 1))::int] as p95_floor from acts group by 1")
+def _num5(spark, sf_dir):
     v = F.col("value")
-    return views.acts(spark, sf_dir).groupBy("cls").agg(F.avg(v).alias("mean"), F.median(v).alias("median"), numeric.linear_percentile(v, 0.025).alias("p025"), numeric.floor_percentile(v, 0.95).alias("p95_floor"))
+    return views.acts(spark, sf_dir).groupBy("cls").agg(numeric.linear_percentile(v, 0.025).alias("p025"), numeric.floor_percentile(v, 0.95).alias("p95_floor"))
 
 
 # --- routing and collapsing
@@ -171,9 +189,11 @@ def _agg9(spark, sf_dir):
     return measurements.collapsed(rows, ["ctx", "ident"], "value_nm", "label", "row_id", ["row_id"], "row_id")
 
 
-@_query("agg9_conflicts", "ctx:l cls source_rows:l labels", "select ctx, cls, count(*) as source_rows, '0,1' as labels from labelled group by 1, 2 having min(label) <> max(label)")
+@_query("agg9_conflicts", "ctx:l cls source_rows:l labels values_of_rows", "select ctx, cls, count(*) as source_rows, '0,1' as labels, string_agg(printf('%.6f', value_nm), ';' order by row_id) as values_of_rows from labelled group by 1, 2 having min(label) <> max(label)")
 def _agg9_conflicts(spark, sf_dir):
-    return measurements.conflicts(measurements.usable(_routed(spark, sf_dir)), ["ctx", "cls"], "value_nm", "label", "row_id").drop("values")
+    found = measurements.conflicts(measurements.usable(_routed(spark, sf_dir)), ["ctx", "cls"], "value_nm", "label", "row_id")
+    shown = F.array_join(F.transform(F.split("values", ";"), lambda x: F.format_string("%.6f", x.cast("double"))), ";")  # engines write doubles differently
+    return found.withColumn("values_of_rows", shown).drop("values")
 
 
 _UNIT_COLUMNS = "cls ident n_observations:l positives:l negatives:l response_rate:d response_any:l response_all:l repeated:l discordant:l value_min:d"
@@ -220,9 +240,9 @@ def _agg5b(spark, sf_dir):
     return audit.degree_distribution(audit.key_degrees(views.observations(spark, sf_dir), "customer", "cls"))
 
 
-@_query("agg6_dependency", "identities:l single:l multiple:l single_share:d", "select count(*) as identities, count(*) filter (k = 1) as single, count(*) filter (k > 1) as multiple, count(*) filter (k = 1) / count(*) as single_share from (select ctx, count(distinct cls) as k from acts where ctx < 140 and (ctx > 40 or cls = 'view') group by 1)")
+@_query("agg6_dependency", "identities:l single:l multiple:l single_share:d", "select count(*) as identities, count(*) filter (k = 1) as single, count(*) filter (k > 1) as multiple, count(*) filter (k = 1) / count(*) as single_share from (select customer, supplier, count(distinct cls) as k from obs group by 1, 2)")
 def _agg6(spark, sf_dir):
-    return audit.dependency(views.acts(spark, sf_dir).where("ctx < 140 and (ctx > 40 or cls = 'view')"), "ctx", "cls")
+    return audit.dependency(views.observations(spark, sf_dir).withColumn("context", F.concat_ws("|", *CTX)), "context", "cls")
 
 
 @_query("agg7_imbalance", "largest:l smallest:l ratio:d", "select max(n) as largest, min(n) as smallest, max(n) / min(n) as ratio from (select cls, count(*) as n from obs group by 1)")
@@ -278,10 +298,9 @@ def _p5(spark, sf_dir):
 # --- association and overlap
 
 
-@_query("agg13_contingency", "cls nM:l uM:l pM:l", "select cls, count(*) filter (units = 'nM') as \"nM\", count(*) filter (units = 'uM') as \"uM\", count(*) filter (units = 'pM') as \"pM\" from acts where ctx < 20 group by 1")
+@_query("agg13_contingency", "cls nM:l uM:l pM:l", "select cls, count(*) filter (units = 'nM') as \"nM\", count(*) filter (units = 'uM') as \"uM\", count(*) filter (units = 'pM') as \"pM\" from acts group by 1")
 def _agg13(spark, sf_dir):
-    rows = views.acts(spark, sf_dir).where("ctx < 20")
-    return association.contingency(rows, "cls", "units", ["nM", "uM", "pM"])
+    return association.contingency(views.acts(spark, sf_dir), "cls", "units", ["nM", "uM", "pM"])
 
 
 _V = """select '{name}' as association, sqrt(greatest(sum(o * o / (na * nb)) - 1, 0) / nullif(least(count(distinct a), count(distinct b)) - 1, 0)) as cramers_v, count(distinct nullif(b, '')) as right_unique_values
@@ -301,10 +320,10 @@ def _agg16(spark, sf_dir):
     return association.crossed(association.overlap(views.observations(spark, sf_dir), CTX, "cls", "ident", "label"), CTX)
 
 
-@_query("jn2_shared_contexts", "class_a class_b shared:l", """select a.cls as class_a, b.cls as class_b, count(distinct case when x.k is not null then x.ctx end) as shared from (select distinct cls from acts) a join (select distinct cls from acts) b on a.cls < b.cls
-    left join (select l.cls as ca, r.cls as cb, l.ctx, 1 as k from (select distinct cls, ctx from acts where ctx < 12) l join (select distinct cls, ctx from acts where ctx < 12) r on l.ctx = r.ctx) x on x.ca = a.cls and x.cb = b.cls group by 1, 2""")
+@_query("jn2_shared_contexts", "class_a class_b shared:l", """select a.cls as class_a, b.cls as class_b, count(x.customer) as shared from (select distinct cls from obs) a join (select distinct cls from obs) b on a.cls < b.cls
+    left join (select l.cls as ca, r.cls as cb, l.customer from (select distinct cls, customer, supplier from obs) l join (select distinct cls, customer, supplier from obs) r on l.customer = r.customer and l.supplier = r.supplier) x on x.ca = a.cls and x.cb = b.cls group by 1, 2""")
 def _jn2(spark, sf_dir):
-    return association.shared_contexts(views.acts(spark, sf_dir).where("ctx < 12"), ["ctx"], "cls")
+    return association.shared_contexts(views.observations(spark, sf_dir), CTX, "cls")
 
 
 # --- matched contexts
@@ -334,34 +353,35 @@ def _agg17b(spark, sf_dir):
 _FLAGS = "a_higher:l b_higher:l equal:l both_replicated:l either_replicated:l differs:l"
 
 
-@_query("agg21_pair_effects", f"customer:l supplier:l class_a class_b units_a:l units_b:l observations_a:l observations_b:l unique_idents_a:l unique_idents_b:l unit_response_a:d unit_response_b:d prevalence_a:d prevalence_b:d diff:d prevalence_diff:d idents_a idents_b {_FLAGS}", "select * from obs_effects")
+@_query("agg21_pair_effects", f"customer:l supplier:l class_a class_b units_a:l units_b:l observations_a:l observations_b:l unique_idents_a:l unique_idents_b:l unit_response_a:d unit_response_b:d prevalence_a:d prevalence_b:d diff:d prevalence_diff:d idents_a idents_b signature {_FLAGS}", "select * from obs_effects")
 def _agg21(spark, sf_dir):
-    return matched.pair_effects(_obs_units(spark, sf_dir), CTX).drop("signature")
+    return matched.pair_effects(_obs_units(spark, sf_dir), CTX)
 
 
 _SUMMARY = """select e.class_a, e.class_b, count(*) as contexts, sum(observations_a + observations_b) as observations, sum(units_a + units_b) as units, count(*) filter (differs) as differs, count(*) filter (a_higher) as a_higher, count(*) filter (b_higher) as b_higher,
     count(*) filter (equal) as equal, avg(diff) as mean_diff, median(diff) as median_diff, sum(diff * (units_a + units_b)) / sum(units_a + units_b) as unit_weighted_diff, sum(prevalence_diff * (observations_a + observations_b)) / sum(observations_a + observations_b) as observation_weighted_diff,
-    count(*) filter (both_replicated) as both_replicated, count(*) filter (either_replicated) as either_replicated from obs_effects e group by 1, 2"""
+    count(*) filter (both_replicated) as both_replicated, count(*) filter (either_replicated) as either_replicated from {effects} e group by 1, 2"""
+_NAMED = "select class_a, class_b, string_agg(distinct i, ';' order by i) as idents_{s}, count(distinct i) as unique_idents_{s} from (select class_a, class_b, unnest(string_split(idents_{s}, ';')) as i from {effects}) group by 1, 2"
+_SUMMARY_ALL = f"""select s.*, a.idents_a, a.unique_idents_a, b.idents_b, b.unique_idents_b, t.signature as top_signature, t.n as top_signature_contexts from ({_SUMMARY}) s join ({_NAMED.format(s='a', effects='{effects}')}) a using (class_a, class_b) join ({_NAMED.format(s='b', effects='{effects}')}) b using (class_a, class_b)
+    join (select *, row_number() over (partition by class_a, class_b order by n desc, signature) as place from (select class_a, class_b, signature, count(*) as n from {{effects}} group by 1, 2, 3)) t on t.class_a = s.class_a and t.class_b = s.class_b and t.place = 1"""
 
 
-@_query("agg22_pair_summary", "class_a class_b contexts:l observations:l units:l differs:l a_higher:l b_higher:l equal:l mean_diff:d median_diff:d unit_weighted_diff:d observation_weighted_diff:d both_replicated:l either_replicated:l", _SUMMARY)
+@_query("agg22_pair_summary", "class_a class_b contexts:l observations:l units:l differs:l a_higher:l b_higher:l equal:l mean_diff:d median_diff:d unit_weighted_diff:d observation_weighted_diff:d both_replicated:l either_replicated:l idents_a idents_b unique_idents_a:l unique_idents_b:l top_signature top_signature_contexts:l", _SUMMARY_ALL.format(effects="obs_effects"))
 def pair_contrasts(spark, sf_dir):
-    effects = matched.pair_effects(_obs_units(spark, sf_dir), CTX)
-    return matched.pair_summary(effects).drop("idents_a", "idents_b", "unique_idents_a", "unique_idents_b", "top_signature", "top_signature_contexts")
+    return matched.pair_summary(matched.pair_effects(_obs_units(spark, sf_dir), CTX))
 
 
-@_query("agg20_coverage", "customer:l supplier:l classes:l units:l observations:l unique_idents:l replicated_classes:l all_replicated:l unit_response:d prevalence:d response_min:d response_max:d class_list has_variation:l units_by_class observations_by_class", """select customer, supplier, count(*) as classes, sum(u) as units, sum(o) as observations, sum(k) as unique_idents,
+@_query("agg20_coverage", "customer:l supplier:l classes:l units:l observations:l unique_idents:l replicated_classes:l all_replicated:l unit_response:d prevalence:d response_min:d response_max:d class_list has_variation:l units_by_class observations_by_class rate_by_class idents_by_class", """select customer, supplier, count(*) as classes, sum(u) as units, sum(o) as observations, sum(k) as unique_idents,
     count(*) filter (u >= 2) as replicated_classes, min(u) >= 2 as all_replicated, sum(r) / sum(u) as unit_response, sum(p) / sum(o) as prevalence, min(lo) as response_min, max(hi) as response_max, string_agg(cls, '; ' order by cls) as class_list, max(hi) - min(lo) > 1e-12 as has_variation,
-    string_agg(cls || '=' || u, '; ' order by cls) as units_by_class, string_agg(cls || '=' || o, '; ' order by cls) as observations_by_class
-    from (select customer, supplier, cls, count(*) as u, sum(n_observations)::bigint as o, sum(positives) as p, sum(response_rate) as r, min(response_rate) as lo, max(response_rate) as hi, count(distinct ident) as k from obs_units group by 1, 2, 3) group by 1, 2""")
+    string_agg(cls || '=' || u, '; ' order by cls) as units_by_class, string_agg(cls || '=' || o, '; ' order by cls) as observations_by_class, string_agg(cls || '=' || printf('%.4f', r / u), '; ' order by cls) as rate_by_class, string_agg(cls || '=' || l, '; ' order by cls) as idents_by_class
+    from (select customer, supplier, cls, string_agg(distinct ident, ',' order by ident) as l, count(*) as u, sum(n_observations)::bigint as o, sum(positives) as p, sum(response_rate) as r, min(response_rate) as lo, max(response_rate) as hi, count(distinct ident) as k from obs_units group by 1, 2, 3) group by 1, 2""")
 def _agg20(spark, sf_dir):
-    return matched.coverage(_obs_units(spark, sf_dir), CTX).drop("rate_by_class", "idents_by_class")
+    return matched.coverage(_obs_units(spark, sf_dir), CTX)
 
 
-@_query("flt8_strong_overlap", "ctx:l", "select ctx from act_units group by 1 having count(distinct cls) >= 5 and count(*) >= 60")
+@_query("flt8_strong_overlap", "customer:l supplier:l", "select customer, supplier from obs_units group by 1, 2 having count(distinct cls) >= 3 or count(*) >= 4")
 def _flt8(spark, sf_dir):
-    covered = matched.coverage(_act_units(spark, sf_dir), ["ctx"]).where("classes >= 5 and units >= 60")
-    return matched.strong_overlap(covered, ["ctx"])
+    return matched.strong_overlap(matched.coverage(_obs_units(spark, sf_dir), CTX), CTX)
 
 
 _SCOPE = "select '{name}' as scope, {place} as place, (select count(*) from {rows}) as observations, (select sum(label) from {rows}) as positives, (select avg(label) from {rows}) as prevalence, count(*) as units, avg(response_rate) as unit_response, count(distinct ident) as idents, count(distinct cls) as classes, count(distinct ctx) as contexts from {units}"
@@ -382,9 +402,9 @@ def _agg24(spark, sf_dir):
     return own.select(*CTX, "cls", "ident", "response_rate", "context_mean", "residual")
 
 
-@_query("agg25_residual_summary", "cls units:l idents:l contexts:l mean_residual:d median_residual:d min_residual:d max_residual:d", f"select cls, count(*) as units, count(distinct ident) as idents, count(distinct (customer, supplier)) as contexts, avg(residual) as mean_residual, median(residual) as median_residual, min(residual) as min_residual, max(residual) as max_residual from ({_RESIDUALS}) group by 1")
+@_query("agg25_residual_summary", "cls units:l idents:l contexts:l mean_residual:d median_residual:d min_residual:d max_residual:d positive:l negative:l zero:l", f"select cls, count(*) as units, count(distinct ident) as idents, count(distinct (customer, supplier)) as contexts, avg(residual) as mean_residual, median(residual) as median_residual, min(residual) as min_residual, max(residual) as max_residual, count(*) filter (residual > 1e-12) as positive, count(*) filter (residual < -1e-12) as negative, count(*) filter (abs(residual) <= 1e-12) as zero from ({_RESIDUALS}) group by 1")
 def _agg25(spark, sf_dir):
-    return matched.residual_summary(matched.matched(_obs_units(spark, sf_dir), CTX), CTX).drop("positive", "negative", "zero")
+    return matched.residual_summary(matched.matched(_obs_units(spark, sf_dir), CTX), CTX)
 
 
 @_query("agg26_residual_range", "stat:d", f"select max(m) - min(m) as stat from (select cls, avg(residual) as m from ({_RESIDUALS}) group by 1)")
@@ -392,70 +412,72 @@ def _agg26(spark, sf_dir):
     return matched.residual_range(_obs_units(spark, sf_dir), CTX)
 
 
-@_query("agg28_pair_diffs", "class_a class_b contexts:l stat:d", "select class_a, class_b, count(*) as contexts, avg(diff) as stat from obs_effects group by 1, 2")
+@_query("agg28_pair_diffs", "class_a class_b contexts:l units:l stat:d", "select class_a, class_b, count(*) as contexts, sum(units_a + units_b) as units, avg(diff) as stat from obs_effects group by 1, 2")
 def _agg28(spark, sf_dir):
-    return matched.pair_diffs(matched.pair_units(_obs_units(spark, sf_dir), CTX), CTX).drop("units")
+    return matched.pair_diffs(matched.pair_units(_obs_units(spark, sf_dir), CTX), CTX)
 
 
-@_query("agg29_pairings", "class_a class_b contexts:l a_higher:l b_higher:l equal:l signature", "select class_a, class_b, count(*) as contexts, count(*) filter (a_higher) as a_higher, count(*) filter (b_higher) as b_higher, count(*) filter (equal) as equal, idents_a || '|' || idents_b as signature from obs_effects where units_a = 1 and units_b = 1 group by class_a, class_b, idents_a, idents_b")
+@_query("agg29_pairings", "class_a class_b contexts:l a_higher:l b_higher:l equal:l signature example_contexts", """select class_a, class_b, count(*) as contexts, count(*) filter (a_higher) as a_higher, count(*) filter (b_higher) as b_higher, count(*) filter (equal) as equal, signature,
+    array_to_string(list_sort(list(customer || ' || ' || supplier))[1:5], '; ') as example_contexts from obs_effects group by class_a, class_b, signature""")
 def _agg29(spark, sf_dir):
-    effects = matched.pair_effects(_obs_units(spark, sf_dir), CTX).where("units_a = 1 and units_b = 1")
-    return matched.pairings(effects, CTX).drop("example_contexts")
+    return matched.pairings(matched.pair_effects(_obs_units(spark, sf_dir), CTX), CTX)
 
 
-_LOO = """with pu as (select p.class_a, p.class_b, u.* from (select distinct a.ctx, a.cls as class_a, b.cls as class_b from act_units a join act_units b on a.ctx = b.ctx and a.cls < b.cls where a.ctx < 8) p join act_units u on u.ctx = p.ctx and u.cls in (p.class_a, p.class_b)),
-    held as (select distinct class_a, class_b, ident as held_out from pu),
-    each as (select h.class_a, h.class_b, h.held_out, u.ctx, avg(response_rate) filter (u.cls = u.class_a) - avg(response_rate) filter (u.cls = u.class_b) as d from held h join pu u on u.class_a = h.class_a and u.class_b = h.class_b and u.ident <> h.held_out group by 1, 2, 3, 4)
-    select class_a, class_b, held_out, count(d) as remaining_contexts, avg(d) as stat from each group by 1, 2, 3"""
+# --- resampling: draws are whole numbers that SQL works out too
 
 
-@_query("rsm6_leave_one_out_pairs", "class_a class_b held_out remaining_contexts:l stat:d", _LOO)
+@_query("rsm6_leave_one_out_pairs", "class_a class_b held_out observed:d remaining_contexts:l remaining_units:l stat:d unavailable:l sign_changed:l", "select * from v_leave_one_out")
 def _rsm6(spark, sf_dir):
-    out = resample.leave_one_out_pairs(_act_units(spark, sf_dir).where("ctx < 8"), ["ctx"])
-    return out.select("class_a", "class_b", "held_out", "remaining_contexts", "stat")
+    return resample.leave_one_out_pairs(_act_units(spark, sf_dir), ["ctx"])
 
 
-@_query("rsm6_leave_one_out_summary")
+@_query("rsm6_leave_one_out_summary", "class_a class_b idents_tested:l unavailable_holdouts:l sign_change_holdouts:l changing_sign min_remaining_contexts:l max_remaining_contexts:l min_stat:d max_stat:d", "select * from v_leave_one_out_summary")
 def _rsm6b(spark, sf_dir):
     return resample.leave_one_out_summary(resample.leave_one_out_pairs(_act_units(spark, sf_dir), ["ctx"]))
 
 
-_LOO_RANGE = """with left_ as (select h.held_out, u.ctx, u.cls, u.response_rate, avg(response_rate) over (partition by h.held_out, u.ctx) as m, min(cls) over (partition by h.held_out, u.ctx) as lo, max(cls) over (partition by h.held_out, u.ctx) as hi
-    from (select distinct ident as held_out from act_units where ctx < 8) h join act_units u on u.ident <> h.held_out where u.ctx < 8)
-    select held_out, max(r) - min(r) as stat, max(units) as remaining_units from (select held_out, cls, avg(response_rate - m) as r, sum(count(*)) over (partition by held_out) as units from left_ where lo <> hi group by 1, 2) group by 1"""
-
-
-@_query("rsm6_leave_one_out_range", "held_out stat:d remaining_units:l", _LOO_RANGE)
+@_query("rsm6_leave_one_out_range", "held_out stat:d remaining_contexts:l remaining_units:l unavailable:l", "select * from v_leave_one_out_range")
 def _rsm6c(spark, sf_dir):
-    return resample.leave_one_out_range(_act_units(spark, sf_dir).where("ctx < 8"), ["ctx"]).select("held_out", "stat", "remaining_units")
-
-
-# --- resampling: draws are Spark hashes, so there is no SQL for them
+    return resample.leave_one_out_range(_act_units(spark, sf_dir), ["ctx"])
 
 
-@_query("rsm1_range_permutation")
+@_query("rsm1_range_permutation", "observed:d permutations:l permutation_mean:d p025:d p975:d p:d", "select * from v_range_test")
 def _rsm1(spark, sf_dir):
-    return resample.range_permutation(_act_units(spark, sf_dir), ["ctx"], UNIT, repeats=100)
+    return resample.range_permutation(_act_units(spark, sf_dir), ["ctx"], UNIT, PERMUTATIONS)
 
 
-@_query("rsm2_pair_permutation")
+@_query("rsm2_pair_permutation", "class_a class_b observed:d permutations:l permutation_mean:d p025:d p975:d p:d", "select * from v_pair_test")
 def _rsm2(spark, sf_dir):
-    return resample.pair_permutation(_act_units(spark, sf_dir), ["ctx"], UNIT, repeats=100)
+    return resample.pair_permutation(_act_units(spark, sf_dir), ["ctx"], UNIT, PERMUTATIONS)
 
 
-@_query("rsm3_context_bootstrap")
+_INTERVAL = "class_a class_b observed:d available:l bootstrap_mean:d p025:d p975:d above_zero:d below_zero:d requested:l unavailable:l"
+
+
+@_query("rsm3_context_bootstrap", _INTERVAL, "select * from v_context_bootstrap")
 def _rsm3(spark, sf_dir):
-    return resample.context_bootstrap(_act_units(spark, sf_dir), ["ctx"], UNIT, repeats=50)
+    return resample.context_bootstrap(_act_units(spark, sf_dir), ["ctx"], UNIT, BOOTSTRAPS)
 
 
-@_query("rsm4_cluster_bootstrap")
+@_query("rsm4_cluster_bootstrap", f"{_INTERVAL} idents_a:l idents_b:l degenerate:l", "select * from v_cluster_bootstrap")
 def _rsm4(spark, sf_dir):
-    return resample.cluster_bootstrap(_act_units(spark, sf_dir), ["ctx"], repeats=50)
+    return resample.cluster_bootstrap(_act_units(spark, sf_dir), ["ctx"], BOOTSTRAPS)
+
+
+@_query("rsm9_production_replicates")
+def _rsm9(spark, sf_dir):
+    """The tests and intervals with the operators' own 10,000 permutations and 5,000 bootstraps. DuckDB takes too long for
+    as many; tests hold it against exact p values and against draws dealt row by row."""
+    units = _act_units(spark, sf_dir)
+    whole = resample.range_permutation(units, ["ctx"], UNIT).select(F.lit("range").alias("test"), F.lit(None).cast("string").alias("class_a"), F.lit(None).cast("string").alias("class_b"), "observed", F.col("permutations").alias("replicates"), "p025", "p975", "p")
+    pairs = resample.pair_permutation(units, ["ctx"], UNIT).select(F.lit("pair").alias("test"), "class_a", "class_b", "observed", F.col("permutations").alias("replicates"), "p025", "p975", "p")
+    boots = [frame.select(F.lit(name).alias("test"), "class_a", "class_b", "observed", F.col("available").alias("replicates"), "p025", "p975", F.lit(None).cast("double").alias("p")) for name, frame in (("contexts", resample.context_bootstrap(units, ["ctx"], UNIT)), ("clusters", resample.cluster_bootstrap(units, ["ctx"])))]
+    return whole.unionByName(pairs).unionByName(boots[0]).unionByName(boots[1])
 
 
-@_query("rsm7_shuffled_classes")
+@_query("rsm7_shuffled_classes", "rep:l cls shuffled n:l", "select s.rep, a.cls, s.shuffled, count(*) as n from acts a join v_shuffled s on s.ident = a.ident group by 1, 2, 3")
 def _rsm7(spark, sf_dir):
-    return resample.shuffled_classes(views.acts(spark, sf_dir), "cls", "ident", 1044, 3).groupBy("rep", "cls", "shuffled").agg(F.count(F.lit(1)).alias("n"))
+    return resample.shuffled_classes(views.acts(spark, sf_dir), "cls", "ident", 1044, SHUFFLES).groupBy("rep", "cls", "shuffled").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- folds, classifier, metrics
@@ -466,9 +488,9 @@ def _fld1(spark, sf_dir):
     return folds.stratified_folds(views.acts(spark, sf_dir), "label", "row_id").select("row_id", "fold")
 
 
-@_query("fld2_group_folds")
+@_query("fld2_group_folds", "row_id:l ident fold:l", "select a.row_id, a.ident, f.fold from acts a join v_group_folds f on f.ident = a.ident")
 def _fld2(spark, sf_dir):
-    return folds.group_folds(views.acts(spark, sf_dir), "ident", "label").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), F.count_distinct("ident").alias("groups"))
+    return folds.group_folds(views.acts(spark, sf_dir), "ident", "label").select("row_id", "ident", "fold")
 
 
 @_query("fld3_leave_one_group_folds", "row_id:l fold:l", "select row_id, dense_rank() over (order by cls) - 1 as fold from acts")
@@ -481,9 +503,6 @@ def _agg32(spark, sf_dir):
     return folds.fold_diagnostics(folds.stratified_folds(views.acts(spark, sf_dir), "label", "row_id"), "label", ["ident"], "ctx")
 
 
-MODELS = {"global": [], "class_only": ["cls"], "bio": ["units", "ctx"], "bio_plus_mechanism": ["units", "ctx", "cls"], "bio_plus_payload": ["units", "ctx", "ident"], "bio_plus_payload_plus_mechanism": ["units", "ctx", "ident", "cls"]}
-
-
 def _folds_of(spark, sf_dir):
     rows = views.acts(spark, sf_dir)
     return rows, folds.stratified_folds(rows, "label", "row_id").select(F.lit("random_row").alias("split"), "row_id", "fold")
@@ -501,38 +520,50 @@ _NB = """with tr as (select f.fold, count(*) - count(*) filter (r.fold = f.fold)
 @_query("clf2_scores", "row_id:l fold:l score:d", _NB)
 def _clf2(spark, sf_dir):
     rows, own = _folds_of(spark, sf_dir)
-    return bayes.scores(rows, own, {"m": ["units", "cls"]}, "label", "row_id").where("held").select("row_id", "fold", "score")
+    return bayes.scores(rows, own, {"m": ["units", "cls"]}, "label", "row_id").select("row_id", "fold", "score")
+
+
+_METRICS = "n:l positives:l prevalence:d log_loss:d brier:d tp:l tn:l fp:l fn:l balanced_accuracy:d mcc:d roc_auc:d average_precision:d"
+_FOLD_RESULTS, _POOLED = checks.evaluated("cv_held", "split, model, fold", "row_id"), checks.evaluated("cv_held", "split, model", "fold, row_id", 8)
+
+
+@_query("clf3_predictions", "split model fold:l row_id:l label:l score:d threshold:d predicted:l", "select * from cv_held")
+def _clf3a(spark, sf_dir):
+    rows, own = _folds_of(spark, sf_dir)
+    return bayes.cross_validated(rows, own, MODELS, "label", "row_id")
 
 
-@_query("clf3_cross_validation")
+@_query("clf3_cross_validation", f"split model fold:l {_METRICS}", _FOLD_RESULTS)
 def _clf3(spark, sf_dir):
     rows, own = _folds_of(spark, sf_dir)
     return bayes.fold_results(bayes.cross_validated(rows, own, MODELS, "label", "row_id"), "row_id")
 
 
-@_query("met7_pooled_results")
+@_query("met7_pooled_results", f"split model {_METRICS}", _POOLED)
 def _met7(spark, sf_dir):
     rows, own = _folds_of(spark, sf_dir)
     return bayes.pooled_results(bayes.cross_validated(rows, own, MODELS, "label", "row_id"), "row_id")
 
 
-@_query("agg33_fold_means")
+_MEANS = ["average_precision", "roc_auc", "balanced_accuracy", "mcc", "log_loss", "brier"]
+
+
+@_query("agg33_fold_means", "split model folds:l " + " ".join(f"mean_{m}:d" for m in _MEANS), f"select split, model, count(*) as folds, {', '.join(f'avg({m}) as mean_{m}' for m in _MEANS)} from ({_FOLD_RESULTS}) group by 1, 2")
 def _agg33(spark, sf_dir):
-    return metrics.fold_means(_clf3(spark, sf_dir), ["split", "model"], ["average_precision", "roc_auc", "balanced_accuracy", "mcc", "log_loss", "brier"])
+    return metrics.fold_means(_clf3(spark, sf_dir), ["split", "model"], _MEANS)
 
 
-@_query("flt9_wrong_predictions")
+@_query("flt9_wrong_predictions", "row_id:l label:l predicted:l score:d threshold:d error_type confidence:d", "select *, case when predicted = 1 then 'FP' else 'FN' end as error_type, abs(round(score, 8) - round(threshold, 8)) as confidence from cv_held where model = 'bio' and label <> predicted order by abs(round(score, 8) - round(threshold, 8)) desc, row_id limit 50")
 def _flt9(spark, sf_dir):
     rows, own = _folds_of(spark, sf_dir)
     out = bayes.cross_validated(rows, own, {"bio": MODELS["bio"]}, "label", "row_id")
-    return metrics.wrong_predictions(out, "label", "predicted", "score", "threshold", ["row_id"])
+    return metrics.wrong_predictions(out, "label", "predicted", "score", "threshold", ["row_id"]).select("row_id", "label", "predicted", "score", "threshold", "error_type", "confidence")
 
 
-#: As many as the survey has (RSM9); with two, the 95th percentile was the lower one.
-SHUFFLES = 50
+_CONTROL = checks.evaluated("sc_held", "split, model", "fold, row_id", 8)
 
 
-@_query("rsm8_shuffle_control")
+@_query("rsm8_shuffle_control", f"repeat:l model {_METRICS}", f"select *, split::int as repeat from ({_CONTROL})")
 def _rsm8(spark, sf_dir):
     return _shuffle_control(spark, sf_dir, SHUFFLES)
 
@@ -576,33 +607,65 @@ def _clf4(spark, sf_dir):
     return metrics.best_thresholds(views.scored(spark, sf_dir), ["grp"], "label", "score")
 
 
-# --- decisions
+# --- decisions: one row each; reasons are joined, as engines write lists differently
+
+
+def _decided(verdict: DataFrame) -> DataFrame:
+    return verdict.select("decision", F.array_join("reasons", " | ").alias("reasons"))
+
+
+def _joined(*reasons: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(reasons)}], lambda x: x is not null), ' | ')"
 
 
-@_query("dec1_audit_verdict")
+def _shown(x: str) -> str:
+    return f"coalesce(replace(printf('%.4f', {x}), '-0.0000', '0.0000'), 'none')"
+
+
+_AUDIT_REASONS = _joined("case when keys < 10 then 'only ' || keys || ' keys are found in several classes' end", "case when n < 50 then 'only ' || n || ' rows are in such keys' end", "case when not several then 'a class has a single identity' end")
+
+
+@_query("dec1_audit_verdict", "decision reasons", f"""select case when keys >= 10 and n >= 50 and several then 'TESTABLE' else 'NOT_TESTABLE' end as decision, {_AUDIT_REASONS} as reasons
+    from (select count(*) as keys, coalesce(sum(n_rows), 0)::bigint as n from ({_DEGREES}) where degree > 1), (select min(k) > 1 as several from (select cls, count(distinct ident) as k from obs group by 1))""")
 def _dec1(spark, sf_dir):
     rows = views.observations(spark, sf_dir)
-    return decide.audit_verdict(audit.key_degrees(rows, "customer", "cls"), audit.identities_by_class(rows, "cls", "ident"))
+    return _decided(decide.audit_verdict(audit.key_degrees(rows, "customer", "cls"), audit.identities_by_class(rows, "cls", "ident")))
+
 
+_GATE_REASONS = _joined("'identities in the class with fewest: ' || ids", "'observations in the smallest class: ' || o", "'crossed contexts: ' || contexts || ', with observations: ' || n", "'crossed contexts with both labels: ' || varied", "case when cramers_v > 0.95 then 'identity all but determines class: gains under a random split say nothing' end")
 
-@_query("dec2_model_gate")
+
+@_query("dec2_model_gate", "decision reasons", f"""select case when ids >= 5 and o >= 50 and contexts >= 20 and n >= 100 then 'GO_FOR_CHEAP_FALSIFICATION' when ids >= 3 and contexts > 0 then 'PIVOT' else 'KILL' end as decision, {_GATE_REASONS} as reasons
+    from (select min(k) as ids, min(c) as o from (select cls, count(distinct ident) as k, count(*) as c from obs group by 1)), (select count(*) as contexts, coalesce(sum(observations), 0)::bigint as n, coalesce(sum(has_label_variation::int), 0)::bigint as varied from ({_OVERLAP}) where degree > 1),
+    ({_V.format(name='class_ident', b='ident').replace('from acts', 'from obs')})""")
 def _dec2(spark, sf_dir):
     rows = views.observations(spark, sf_dir)
     classes = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("ident").alias("unique_identities"))
     crossed = association.overlap(rows, CTX, "cls", "ident", "label").where("degree > 1")
-    return decide.model_gate(classes, crossed, association.associations(rows, {"class_ident": ("cls", "ident")}))
+    return _decided(decide.model_gate(classes, crossed, association.associations(rows, {"class_ident": ("cls", "ident")})))
+
+
+_FOUR = ("bio", "bio_plus_mechanism", "bio_plus_payload", "bio_plus_payload_plus_mechanism")
+_OF = ", ".join(f"max({c}) filter (model = '{m}') as {a}{k}" for k, m in enumerate(_FOUR) for c, a in (("average_precision", "ap"), ("mcc", "mcc")))
+_MODEL_REASONS = _joined(f"'gain in average precision over bio: ' || {_shown('ap1 - ap0')}", f"'gain in average precision over bio and payload: ' || {_shown('ap3 - ap2')}", f"'gain in MCC over bio: ' || {_shown('mcc1 - mcc0')}", f"'with shuffled classes: mean ' || {_shown('mean')} || ', p95 ' || {_shown('p95')}", "case when ap1 <= p95 then 'the true classes do not beat shuffled ones' end")
 
 
-@_query("dec3_model_verdict")
+@_query("dec3_model_verdict", "decision reasons", f"""select case when ap1 <= p95 then 'PIVOT' when ap1 - ap0 >= 0.02 and ap3 - ap2 >= 0.02 and mcc1 - mcc0 > 0 then 'GO' else 'PIVOT' end as decision, {_MODEL_REASONS} as reasons
+    from (select {_OF} from ({_POOLED})), (select avg(average_precision) as mean, list_sort(list(average_precision))[1 + floor(0.95 * (count(*) - 1))::int] as p95 from ({_CONTROL}))""")
 def _dec3(spark, sf_dir):
     rows, own = _folds_of(spark, sf_dir)
-    four = {name: features for name, features in MODELS.items() if name.startswith("bio")}
-    pooled = bayes.pooled_results(bayes.cross_validated(rows, own, four, "label", "row_id"), "row_id")
-    return decide.model_verdict(pooled, _shuffle_control(spark, sf_dir, SHUFFLES), split="random_row")
+    pooled = bayes.pooled_results(bayes.cross_validated(rows, own, {name: MODELS[name] for name in _FOUR}, "label", "row_id"), "row_id")
+    return _decided(decide.model_verdict(pooled, _shuffle_control(spark, sf_dir, SHUFFLES), split="random_row"))
+
+
+_LINE = f"class_a || ' vs ' || class_b || ': contexts ' || contexts || ', mean difference ' || {_shown('mean_diff')} || ', p ' || {_shown('p')} || ', replicated contexts ' || both_replicated"
 
 
-@_query("dec4_contrast_verdict")
+@_query("dec4_contrast_verdict", "decision reasons", f"""select case when go then 'PIVOT-GO' when weak then 'PIVOT-WEAK' else 'KILL' end as decision, lines || ' | pair contexts with both arms replicated: ' || replicated || ' | ' || case when go then 'a replicated contrast stands' when weak then 'a pattern within contexts rests on single identities' else 'no convincing pattern within contexts' end as reasons
+    from (select bool_or(both_replicated >= 3 and p <= 0.05 and (p025 > 0 or p975 < 0) and unavailable_holdouts = 0 and sign_change_holdouts = 0) as go, bool_or(contexts >= 5 and abs(mean_diff) >= 0.15 and greatest(a_higher, b_higher) >= 3) as weak, string_agg({_LINE}, ' | ' order by {_LINE}) as lines, sum(both_replicated)::bigint as replicated
+    from ({_SUMMARY.format(effects='act_effects')}) s join (select class_a, class_b, p from v_pair_test) t using (class_a, class_b) join (select class_a, class_b, p025, p975 from v_context_bootstrap) b using (class_a, class_b) join v_leave_one_out_summary l using (class_a, class_b))""")
 def _dec4(spark, sf_dir):
     units = _act_units(spark, sf_dir)
     pairs = matched.pair_summary(matched.pair_effects(units, ["ctx"]))
-    return decide.contrast_verdict(pairs, resample.context_bootstrap(units, ["ctx"], UNIT, 50), resample.leave_one_out_summary(resample.leave_one_out_pairs(units, ["ctx"])), resample.pair_permutation(units, ["ctx"], UNIT, 100))
+    left = resample.leave_one_out_summary(resample.leave_one_out_pairs(units, ["ctx"]))
+    return _decided(decide.contrast_verdict(pairs, resample.context_bootstrap(units, ["ctx"], UNIT, BOOTSTRAPS), left, resample.pair_permutation(units, ["ctx"], UNIT, PERMUTATIONS)))

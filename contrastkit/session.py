@@ -1,9 +1,14 @@
-"""Session settings that the operators' results rely on, and the row key that order-sensitive operators need."""
+"""Session settings that the operators' results rely on, and the shared scratch folder for steps that are read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(name: str = "contrastkit", **settings: str) -> SparkSession:
@@ -15,6 +20,29 @@ def session(name: str = "contrastkit", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """df with a dense number by the given total order. It orders the whole table: use it where no key exists."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Where none is set, a temporary folder if Spark runs
+    in this one process (local mode), and an error on a cluster, whose machines would not see each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = found.get() if found.isDefined() else None
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="contrastkit-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write df to the shared scratch folder and read it back: the result survives lost executors and has no lineage."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffles behind the table are not needed again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

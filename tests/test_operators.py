@@ -1,11 +1,13 @@
+import hashlib
 import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, metrics, resample
+from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, metrics, ordered, resample
 
 CTX, UNIT = ["ctx"], ["ctx", "cls", "ident"]
 
@@ -113,6 +115,15 @@ def test_permutation_keeps_arms_and_nears_the_exact_p(units):
     assert got["observed"] == pytest.approx(observed) and abs(got["p"] - exact) < 0.06
 
 
+def test_large_contexts_are_dealt_alike(units, monkeypatch):
+    """Contexts over WHOLE units go another way to the same results."""
+    tests = [lambda: resample.range_permutation(units, CTX, UNIT, 40), lambda: resample.pair_permutation(units, CTX, UNIT, 40), lambda: resample.context_bootstrap(units, CTX, UNIT, 40)]
+    rounded = lambda frame: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in frame.collect())
+    before = [rounded(t()) for t in tests]
+    monkeypatch.setattr(resample, "WHOLE", 3)
+    assert [rounded(t()) for t in tests] == before
+
+
 def test_bootstraps(units):
     for r in resample.context_bootstrap(units, CTX, UNIT, 200).collect():
         assert r["available"] == 200 and r["p025"] <= r["bootstrap_mean"] <= r["p975"]
@@ -159,6 +170,47 @@ def test_folds(labelled):
     assert folds.leave_one_group_folds(labelled, "ident").select("fold").distinct().count() == 30
 
 
+def greedy(groups, k, share):
+    """(n, p, hash, name) in order of placing -> fold of each, one group after the other."""
+    n, p, out = [0] * k, [0] * k, {}
+    for size, positive, _, name in sorted(groups, key=lambda g: (-g[0], -g[1], g[2], g[3])):
+        best = min(range(k), key=lambda i: (n[i] + size, abs((p[i] + positive) / (n[i] + size) - share), i))
+        n[best] += size
+        p[best] += positive
+        out[name] = best
+    return out
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_group_folds_are_those_of_one_pass(spark, monkeypatch, k):
+    monkeypatch.setattr(folds, "_BLOCK", 7)
+    draw = random.Random(k)
+    rows = [(f"g{g}", int(draw.random() < 0.3)) for g in range(400) for _ in range(draw.choice([1, 1, 1, 2, 2, 3, 17]))]
+    frame = spark.createDataFrame(rows, "g string, y int")
+    sizes = {}
+    for g, y in rows:
+        sizes.setdefault(g, [0, 0])
+        sizes[g][0] += 1
+        sizes[g][1] += y
+    groups = [(n, p, hashlib.md5(f"44:{g}".encode()).hexdigest(), g) for g, (n, p) in sizes.items()]
+    got = {r["g"]: r["fold"] for r in folds.group_folds(frame, "g", "y", k).select("g", "fold").distinct().collect()}
+    assert got == greedy(groups, k, sum(y for _, y in rows) / len(rows))
+    assert folds.group_folds(frame.limit(0), "g", "y", k).count() == 0
+
+
+def test_running_sums_and_places(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice(["a", "b", None]), k, draw.choice([1.0, 2.5, 7.0, None])) for k in range(500)]
+    frame = spark.createDataFrame(rows, "g string, k int, v double").repartition(7)
+    got = {r["k"]: r["upto"] for r in ordered.running(frame, ["g"], [F.desc("k")], {"upto": F.lit(1)}).collect()}
+    assert got == {k: sum(h == g and j >= k for h, j, _ in rows) for g, k, _ in rows}
+    for r in ordered.order_statistics(frame, ["g"], "v", {"m": ("linear", 0.5), "f": ("floor", 0.95), "p": ("linear", 0.1)}).collect():
+        own = sorted(v for g, _, v in rows if g == r["g"] and v is not None)
+        assert r["m"] == pytest.approx(np.percentile(own, 50)) and r["p"] == pytest.approx(np.percentile(own, 10)) and r["f"] == own[int(0.95 * (len(own) - 1))]
+    assert ordered.order_statistics(frame.limit(0), ["g"], "v", {"m": ("linear", 0.5)}).count() == 0
+    assert sorted(r["row_id"] for r in ordered.with_row_id(frame, ["k"]).collect()) == list(range(1, 501))
+
+
 def bayes_scores(train, test, features):
     out = []
     n = {y: sum(r["label"] == y for r in train) for y in (0, 1)}
