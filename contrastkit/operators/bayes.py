@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrastkit.operators.metrics import best_of_counted, evaluated
-from contrastkit.session import cut
+from contrastkit.session import cut, spread
 
 #: Decimal places of a score: sums taken in another order tie alike.
 PLACES = 12
@@ -28,7 +28,7 @@ class _Fit:
         self.place = {f: k for k, f in enumerate(self.features)}
         values = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_v{k}") for k, f in enumerate(self.features)]
         own = rows.select(row_id, F.col(label).cast("int").alias("label"), *values)
-        self.placed = cut(folds.select("split", row_id, "fold").join(own, row_id), "placed")
+        self.placed = cut(spread(folds.select("split", row_id, "fold").join(own, row_id)), "placed")
         self.values = cut(self._values(), "values") if self.features else None
         self.constants = cut(self._constants(), "constants")
 
@@ -99,13 +99,16 @@ class _Fit:
         masked = [F.struct(F.lit(j).alias("j"), F.lit(name).alias("model"), *[F.col(c) if self.features[k] in own else F.lit(None).cast("string").alias(c) for k, c in enumerate(columns)]) for j, (name, own) in enumerate(self.models.items())]
         cells = self.placed.select("split", "fold", "label", F.explode(F.array(*masked)).alias("x")).select("split", "fold", "label", "x.*")
         keys = ["split", "j", "model", *columns]
-        cells = cells.groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
-        tuples = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "p")))).alias("inside"))
-        every = self.attached(tuples).join(self.constants.select("split", "fold", "parts"), "split")
-        features = F.coalesce(*[F.when(F.col("j") == j, self.score(F.col("parts")[j]["odds"], F.col("fold"), own)) for j, own in enumerate(self.models.values())])
-        here = F.try_element_at("inside", F.col("fold"))
-        every = every.select("split", "model", "fold", features.alias("threshold"), (F.col("p") - F.coalesce(here["p"], F.lit(0))).alias("p"), (F.col("n") - F.coalesce(here["n"], F.lit(0))).alias("n"))
-        return every.where("n > 0").groupBy("split", "model", "fold", "threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        cells = spread(cells, *keys).groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
+        whole = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        parts = self.constants.select("split", "fold", "parts")
+        # all rows of a tuple at each fold, less those inside the fold, at the same score
+        every = self.attached(whole).join(parts, "split")
+        inside = self.attached(cells.withColumns({"n": -F.col("n"), "p": -F.col("p")})).join(parts, ["split", "fold"])
+        scored = F.coalesce(*[F.when(F.col("j") == j, self.score(F.col("parts")[j]["odds"], F.col("fold"), own)) for j, own in enumerate(self.models.values())])
+        own = ["split", "model", "fold", scored.alias("threshold"), "p", "n"]
+        out = every.select(*own).union(inside.select(*own)).groupBy("split", "model", "fold", "threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        return cut(out.where("n > 0"), "trained")
 
 
 def scores(rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequence[str]], label: str, row_id: str, alpha: float = 1.0) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from contrastkit.functions.numeric import EPS, sign
 from contrastkit.operators.matched import matched, pair_diffs, pair_units, residuals
 from contrastkit.operators.ordered import running
-from contrastkit.session import cut
+from contrastkit.session import cut, spread
 
 #: Draws are numbers below this prime; so are the two numbers of a replicate. Keys are below 2 ** 28.
 PRIME = 2147483647
@@ -81,7 +81,7 @@ def permuted(units: DataFrame, within: Sequence[str], unit: Sequence[str], repea
 def _arms(units: DataFrame, within: Sequence[str], unit: Sequence[str], value: str) -> DataFrame:
     """(within, arms): one row for each group, with an array of (cls, members), and members of (unit, key, value), sorted."""
     member = F.struct(*[F.col(c).alias(f"u{k}") for k, c in enumerate(unit)], hashed(*[F.col(c) for c in unit]).alias("key"), F.col(value).alias("value"))
-    own = units.groupBy(*within, "cls").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    own = spread(units, *within).groupBy(*within, "cls").agg(F.array_sort(F.collect_list(member)).alias("members"))
     return own.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("cls", "members"))).alias("arms"))
 
 
@@ -274,11 +274,12 @@ def context_bootstrap(units: DataFrame, context: Sequence[str], unit: Sequence[s
     every = pairs.select(*keys, *context).unionByName(wide.select(*keys, *context).distinct())
     named = cut(running(every, keys, list(context), {"_c": F.lit(1)}), "contexts")
     sizes = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    draws = _replicated(named.select(*keys, F.col("_c").alias("_draw")).join(F.broadcast(sizes), keys), repeats, seed)
-    draw = drawn(hashed("context", F.col("class_a"), F.col("class_b"), F.col("_draw")), F.col("v"), F.col("w"))
-    draws = draws.select(*keys, F.floor(draw * F.col("_n") / F.lit(PRIME)).cast("long").alias("_c0"), "rep", "_draw")
-    draws = draws.select(*keys, (F.col("_c0") + 1).alias("_c"), "rep", "_draw")
-    taken = draws.groupBy(*keys, "_c").agg(F.collect_list(F.struct("rep", hashed("arm", F.col("class_a"), F.col("class_b"), F.col("_draw")).alias("key"))).alias("draws"))
+    # the keys of a draw are hashed once for all replicates
+    key_of = lambda name: hashed(name, F.col("class_a"), F.col("class_b"), F.col("_c")).alias(f"_{name}")
+    draws = spread(named.join(F.broadcast(sizes), keys).select(*keys, F.col("_c").alias("_draw"), "_n", key_of("context"), key_of("arm")))
+    draw = drawn(F.col("_context"), F.col("v"), F.col("w"))
+    draws = _replicated(draws, repeats, seed).select(*keys, (F.floor(draw * F.col("_n") / F.lit(PRIME)) + 1).cast("long").alias("_c"), "rep", "_draw", "_arm")
+    taken = spread(draws, *keys, "_c").groupBy(*keys, "_c").agg(F.collect_list(F.struct("rep", F.col("_arm").alias("key"))).alias("draws"))
     met = named.join(taken, [*keys, "_c"]).join(pairs, [*keys, *context])
 
     def diffs(batch: pa.RecordBatch):
@@ -318,10 +319,10 @@ def context_bootstrap(units: DataFrame, context: Sequence[str], unit: Sequence[s
     arm = [*keys, *context, "cls"]
     placed = running(wide, arm, list(unit), {"_slot": F.lit(1)})
     arms = wide.groupBy(*arm).agg(F.count(F.lit(1)).alias("_arm"))
-    large_draws = named.join(draws, [*keys, "_c"]).join(arms, [*keys, *context]).join(F.broadcast(reps), "rep")
+    large_draws = named.join(draws.withColumnRenamed("_arm", "_key"), [*keys, "_c"]).join(arms, [*keys, *context]).join(F.broadcast(reps), "rep")
     slots = large_draws.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_arm") - 1)))
     side = F.when(F.col("cls") == F.col("class_a"), 0).otherwise(1)
-    key = (hashed("arm", F.col("class_a"), F.col("class_b"), F.col("_draw")) + _SLOT * (2 * F.col("_k") + side)) % (1 << 28)
+    key = (F.col("_key") + _SLOT * (2 * F.col("_k") + side)) % (1 << 28)
     slots = slots.withColumn("_slot", F.floor(drawn(key, F.col("v"), F.col("w")) * F.col("_arm") / F.lit(PRIME)).cast("long") + 1)
     picked = slots.join(placed.select(*arm, "_slot", "response_rate"), [*arm, "_slot"])
     large_sums = picked.groupBy(*keys, "rep", "_draw").agg(_difference().alias("total")).select(*keys, "rep", "total", F.lit(1).cast("long").alias("contexts"))
@@ -343,14 +344,14 @@ def cluster_bootstrap(units: DataFrame, context: Sequence[str], repeats: int = 5
     arm = [*keys, "cls"]
     named = cut(running(pair.select(*arm, "ident").distinct(), arm, ["ident"], {"_i": F.lit(1)}), "identities")
     sizes = named.groupBy(*arm).agg(F.count(F.lit(1)).alias("_n"))
-    draws = _replicated(named.select(*arm, F.col("_i").alias("_draw")).join(F.broadcast(sizes), arm), repeats, seed)
-    draw = drawn(hashed("identity", *[F.col(c) for c in arm], F.col("_draw")), F.col("v"), F.col("w"))
+    keyed = named.join(F.broadcast(sizes), arm).select(*arm, "_n", hashed("identity", *[F.col(c) for c in arm], F.col("_i")).alias("_identity"))
+    draws, draw = _replicated(spread(keyed), repeats, seed), drawn(F.col("_identity"), F.col("v"), F.col("w"))
     draws = draws.select(*arm, (F.floor(draw * F.col("_n") / F.lit(PRIME)).cast("long") + 1).alias("_i"), "rep")
     times = draws.groupBy(*arm, "_i", "rep").agg(F.count(F.lit(1)).alias("n")).groupBy(*arm, "_i").agg(F.map_from_entries(F.collect_list(F.struct("rep", "n"))).alias("n"))
     every = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.coalesce(F.try_element_at("n", r), F.lit(0)).cast("int"))
     times = named.join(times, [*arm, "_i"]).select(*arm, "ident", every.alias("times"))
     weighted = pair.join(times, [*arm, "ident"]).select(*keys, F.struct(*context).alias("_context"), (F.col("cls") == F.col("class_b")).cast("int").alias("_side"), "response_rate", "times")
-    weighted = weighted.repartition(*keys, "_context").sortWithinPartitions(*keys, "_context")
+    weighted = spread(weighted, *keys, "_context").sortWithinPartitions(*keys, "_context")
     weighted = weighted.select(*keys, F.xxhash64("_context").alias("_context"), "_side", "response_rate", "times")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,3 +46,11 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt to at least as many tasks as there are cores, by columns if given: for steps that compute much from few
+    bytes, which adaptive execution would put into a task or two."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *columns)
