@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from contrastkit.functions import numeric, text
 from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, metrics, ordered, resample
 from contrastkit.plans import checks, views
+from contrastkit.session import scratch_dir
+from contrastkit.sources import report, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,6 +167,71 @@ def _num5(spark, sf_dir):
     return views.acts(spark, sf_dir).groupBy("cls").agg(numeric.linear_percentile(v, 0.025).alias("p025"), numeric.floor_percentile(v, 0.95).alias("p95_floor"))
 
 
+# --- sources and sinks: written to the scratch folder and read back
+
+
+def _written(spark, frame: DataFrame, **options) -> str:
+    path = f"{scratch_dir(spark)}/round-trip-{uuid.uuid4().hex}"
+    tables.write_csv(frame, path, **options)
+    return path
+
+
+def _customers(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\nnext')).alias("name"), F.when(F.col("c_nationkey") > 3, F.col("c_mktsegment")).alias("segment"))
+
+
+_CUSTOMERS = "select c_custkey::varchar as key, c_name || ', \"' || c_mktsegment || '\"' || chr(10) || 'next' as name, case when c_nationkey > 3 then c_mktsegment else '' end as segment, '' as absent from customer"
+
+
+@_query("src1_csv_round_trip", "key name segment absent", _CUSTOMERS)
+def _src1(spark, sf_dir):
+    return tables.read_csv(spark, _written(spark, _customers(spark, sf_dir), columns=["key", "name", "segment", "absent"]))
+
+
+@_query("src2_inferred_csv", "key:l segment nation:l", "select c_custkey as key, c_mktsegment as segment, c_nationkey as nation from customer")
+def _src2(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return tables.read_inferred_csv(spark, _written(spark, rows, parts=2, crlf=True))
+
+
+@_query("src8_inventory", "relative_path suffix bytes:l note", "select 'region.csv.d/region.csv' as relative_path, '.csv' as suffix, sum(strlen(r_regionkey || ',' || r_name) + 1) + strlen('r_regionkey,r_name') + 1 as bytes, 'table' as note from region")
+def _src8(spark, sf_dir):
+    path = f"{scratch_dir(spark)}/inventory-{uuid.uuid4().hex}"
+    tables.write_csv(spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name"), f"{path}/region.csv.d", parts=1)
+    found = tables.inventory(spark, path, [(r"^region", "table")]).where("suffix = '.csv'")
+    return found.select(F.regexp_replace("relative_path", "/part-.*$", "/region.csv").alias("relative_path"), "suffix", "bytes", "note")
+
+
+@_query("snk4_markdown", "text", "select '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) order by n_nationkey) filter (n_nationkey < 20) || chr(10) || '| ... | ... |' as text from nation")
+def _snk4(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey")
+    return spark.createDataFrame([(report.markdown(rows, 20),)], "text string")
+
+
+@_query("agg30_inventory_summary", "top_level files:l total_bytes:l suffixes", "select lang as top_level, sum(n) as files, sum(b) as total_bytes, string_agg(suffix || ':' || n, ', ' order by suffix) as suffixes from (select lang, source as suffix, count(*) as n, sum(n_chars) as b from documents where source is not null and lang is not null group by 1, 2) group by 1")
+def _agg30(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null and lang is not null")
+    return tables.inventory_summary(docs.select(F.col("lang").alias("top_level"), F.col("source").alias("suffix"), F.col("n_chars").alias("bytes")))
+
+
+@_query("agg31_label_profile", "field value n:l", "select 'label' as field, label::varchar as value, count(*) as n from acts group by 2 union all select 'unit_label', case when units = 'pM' then '<blank>' else units end, count(*) from acts group by 2")
+def _agg31(spark, sf_dir):
+    return tables.label_profile(views.acts(spark, sf_dir).withColumn("unit_label", F.when(F.col("units") != "pM", F.col("units")))).withColumnRenamed("column", "field")
+
+
+@_query("set3_stacked", "r_regionkey:l r_name n_nationkey:l n_name", "select r_regionkey, r_name, null as n_nationkey, null as n_name from region union all select n_regionkey, null, n_nationkey, n_name from nation")
+def _set3(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey", "n_name")
+    return tables.stacked(spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name"), nation)
+
+
+@_query("jn4_ids_to_fetch", "id place:l", "select ident as id, min(row_id) as place from acts where ident not in (select distinct ident from acts where cls = 'view') group by 1")
+def _jn4(spark, sf_dir):
+    rows = views.acts(spark, sf_dir)
+    manifest = rows.where("cls = 'view'").select(F.col("ident").alias("adc_id"), F.lit("ok").alias("status"), F.lit("10").alias("bytes")).distinct()
+    return tables.to_fetch(tables.distinct_ids(rows, "ident", "row_id"), manifest)
+
+
 # --- routing and collapsing
 
 

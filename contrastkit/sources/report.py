@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -19,6 +19,13 @@ def decimals(value: float | None, places: int = 4) -> str:
     return text.lstrip("-") if float(text) == 0 else text
 
 
+def significant(value: float | None, digits: int = 12) -> str:
+    """So many significant digits, without zeros at the end; blank if there is no finite number."""
+    if value is None or not math.isfinite(value):
+        return ""
+    return "0" if value == 0 else f"{value:.{digits}g}"
+
+
 def percent(value: float | None) -> str:
     return "" if value is None or not math.isfinite(value) else f"{100 * value:.1f}%"
 
@@ -28,6 +35,8 @@ def _cell(value: object) -> str:
         return ""
     if isinstance(value, float):
         return decimals(value)
+    if isinstance(value, list):
+        return "; ".join(_cell(x) for x in value)
     return str(value).replace("|", "\\|").replace("\n", " ")
 
 
@@ -50,6 +59,22 @@ def sections(title: str, parts: Sequence[tuple[str, str | DataFrame]], limit: in
     return "\n\n".join(out) + "\n"
 
 
+#: Headings of the reports, and the parts of an analysis below each.
+AUDIT = {"Verdict": "verdict", "Classes": "classes", "Imbalance": "imbalance", "Identities in one class": "dependency", "Classes by key": "degrees", "Keys in several classes": "shared_keys", "Rows in such keys": "rows_in_shared_keys", "Keys that two classes share": "pair_overlap"}
+GENERIC = {"Classes": "classes", "Identities by class": "identities", "Identities in one class": "dependency"}
+STUDY = {"Verdict": "verdict", "Gate": "gate", "Rows left out": "exclusions", "Conflicting labels": "conflicts", "Classes": "classes", "Associations": "associations", "Crossed contexts": "crossed", "Contexts that two classes share": "pair_overlap", "Differences in prevalence": "prevalence_summary", "Models": "pooled", "Models with shuffled classes": "shuffled"}
+CONTRASTS = {"Verdict": "verdict", "What is left": "reduction", "Share left": "survival", "Contrasts of classes": "summary", "Contrasts in strongly overlapping contexts": "strong_overlap_summary", "Residuals": "residual_summary", "Residual range against permutations": "range_permutation", "Contrasts against permutations": "pair_permutation", "Bootstrap of contexts": "context_bootstrap", "Bootstrap of identities": "cluster_bootstrap", "Without each identity": "leave_one_out", "Pairings": "pairings"}
+
+
+def analysis_report(title: str, found: Mapping[str, DataFrame], headings: Mapping[str, str], limit: int = 20) -> str:
+    """A Markdown report of the parts of an analysis that are there, in the order of the headings; parts by other names
+    follow under their own."""
+    parts = [(heading, found[name]) for heading, name in headings.items() if name in found]
+    if headings is GENERIC:
+        parts += [(name, frame) for name, frame in found.items() if name not in headings.values()]
+    return sections(title, parts, limit)
+
+
 def _escaped(text: object) -> str:
     return str(text).replace("&", "&amp;").replace("<", "&lt;")
 

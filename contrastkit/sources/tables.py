@@ -110,12 +110,13 @@ def label_profile(rows: DataFrame, fragment: str = "label") -> DataFrame:
     return rows.select(F.explode(each).alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_csv(rows: DataFrame, path: str, columns: Sequence[str] | None = None, parts: int | None = None) -> None:
-    """Delimited text with a header; columns the table lacks are blank, others are left out. parts: number of files."""
+def write_csv(rows: DataFrame, path: str, columns: Sequence[str] | None = None, parts: int | None = None, crlf: bool = False) -> None:
+    """Delimited text with a header; columns the table lacks are blank, others are left out. parts: number of files, one
+    of which is there, with the header alone, even where there are no rows. crlf: lines end with \\r\\n."""
     if columns:
         rows = rows.select(*[F.col(c) if c in rows.columns else F.lit("").alias(c) for c in columns])
     rows = rows.coalesce(parts) if parts else rows
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\r\n" if crlf else "\n").csv(path)
 
 
 def stacked(*frames: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Options: dropBlankRows (true) leaves out rows without a filled cell; strict (false) raises where a shared string or a
 cell reference is missing; unescape (false) decodes entities in plain values. The first row that is kept is the header.
-One file is one partition; all columns are text, and _row is the place of a row below the header.
+One file is one partition; all columns are text, and _row is the place of a row below the header. The data source opens
+paths itself, so they must be on a disk that all machines have; `read_workbooks` reads through Spark, from any file
+system that it knows. Either way a file is in the memory of one task.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -121,5 +124,30 @@ class XlsxReader(DataSourceReader):
             yield tuple(k if c == "_row" else found.get(c, "") for c in self.columns)
 
 
+def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx", drop_blank: bool = True, strict: bool = False, unescape: bool = False) -> DataFrame:
+    """The first sheets of all files at path: the columns of all headers, by first appearance in the order of paths, as
+    text, blank where a file lacks them, and _row. No files: _row alone, and no rows."""
+    settings = {"drop_blank": drop_blank, "strict": strict, "unescape": unescape}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([next(sheet_rows(content.as_py(), **settings), [])], pa.list_(pa.string()))], names=["path", "header"])
+
+    found = sorted(files.mapInArrow(headers, "path string, header array<string>").collect())  # a row for each file
+    columns = list(dict.fromkeys(c for _, header in found for c in header))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(1):
+                rows = sheet_rows(content.as_py(), **settings)
+                header = next(rows, [])
+                cells = [dict(zip(header, x)) for x in rows]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x.get(c, "") for x in cells], pa.string()) for c in columns), pa.array(range(len(cells)), pa.int64())], names=[*columns, "_row"])
+
+    return files.mapInArrow(run, StructType([StructField(c, StringType()) for c in columns] + [StructField("_row", LongType())]))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxSource)

@@ -8,9 +8,9 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[4]"))
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]"))
         .config("spark.driver.memory", "6g")
-        .config("spark.sql.shuffle.partitions", os.environ.get("TEST_PARTITIONS", "4"))
+        .config("spark.sql.shuffle.partitions", os.environ.get("TEST_PARTITIONS", "8"))
         .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "true"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -19,6 +19,8 @@ def test_audit(spark):
     assert out["verdict"].first()["decision"] == "NOT_TESTABLE"  # six keys only
     assert out["classes"].count() == 4 and out["dependency"].first()["single_share"] == 1.0
     assert "| payload_mechanism |" in report.markdown(out["classes"])
+    text = report.analysis_report("Audit", out, report.AUDIT)
+    assert text.count("\n## ") == len(report.AUDIT) and "| NOT_TESTABLE |" in text
 
 
 def test_study_accounts_for_every_row(spark):
@@ -35,6 +37,8 @@ def test_study_accounts_for_every_row(spark):
 def test_contrasts(spark):
     rows = analyses.study(table(spark))["collapsed"].where("payload_mechanism <> 'Other'")
     out = analyses.contrasts(rows, ["cell_line", "antigen_name"], "payload_mechanism", "payload_identity", "label", {"permutation": 50, "bootstrap": 20}, order=MAJOR)
+    text = report.analysis_report("Contrasts", out, report.CONTRASTS, limit=3)
+    assert text.count("\n## ") == len(report.CONTRASTS) and "PIVOT" in text + "PIVOT" * ("KILL" in text)
     assert out["summary"].count() == 3 and out["verdict"].count() == 1
     assert {tuple(r) for r in out["summary"].select("class_a", "class_b").collect()} == {(MAJOR[0], MAJOR[1]), (MAJOR[0], MAJOR[2]), (MAJOR[1], MAJOR[2])}
     assert 0 < out["survival"].first()["units_share"] <= 1

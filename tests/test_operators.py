@@ -115,6 +115,16 @@ def test_permutation_keeps_arms_and_nears_the_exact_p(units):
     assert got["observed"] == pytest.approx(observed) and abs(got["p"] - exact) < 0.06
 
 
+def test_own_numbers_of_replicates(units):
+    """10,000 permutations and 5,000 bootstraps, near what 1,000 give, and a range that the exact p lies in."""
+    whole = resample.range_permutation(units, CTX, UNIT).first()
+    few = resample.range_permutation(units, CTX, UNIT, 1000).first()
+    assert whole["permutations"] == 10000 and abs(whole["p"] - few["p"]) < 0.06 and whole["observed"] == few["observed"]
+    assert {r["permutations"] for r in resample.pair_permutation(units, CTX, UNIT).collect()} == {10000}
+    for boot in (resample.context_bootstrap(units, CTX, UNIT), resample.cluster_bootstrap(units, CTX)):
+        assert all(r["requested"] == 5000 == r["available"] + r["unavailable"] for r in boot.collect())
+
+
 def test_large_contexts_are_dealt_alike(units, monkeypatch):
     """Contexts over WHOLE units go another way to the same results."""
     tests = [lambda: resample.range_permutation(units, CTX, UNIT, 40), lambda: resample.pair_permutation(units, CTX, UNIT, 40), lambda: resample.context_bootstrap(units, CTX, UNIT, 40)]

@@ -31,14 +31,20 @@ def duck(sf_dir):
     return db
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+#: Too many draws for DuckDB; test_operators holds the operators' own numbers of replicates against exact p values.
+WITHOUT_SQL = {"rsm9_production_replicates"}
+
+
+def test_all_other_queries_have_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, sf_dir, duck, name):
     frame = catalog.QUERIES[name](spark, sf_dir)
     columns = sorted(frame.columns)
     got = sorted((tuple(r) for r in frame.select(*[f"`{c}`" for c in columns]).collect()), key=_key)
-    assert got or name.startswith("flt9")
-    if name not in catalog.ORACLE_SQL:
-        return
+    assert got
     found = duck.sql(catalog.ORACLE_SQL[name])
     assert sorted(found.columns) == columns
     quoted = ", ".join(f'"{c}"' for c in columns)

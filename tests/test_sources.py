@@ -3,6 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from contrastkit.operators import audit
 from contrastkit.sources import report, tables, xlsx
 from contrastkit.streaming import ingest
 
@@ -25,6 +26,8 @@ def test_xlsx(spark, tmp_path):
     assert frame.columns == ["id", "name", "label 10", "_row"]
     assert [tuple(r) for r in frame.orderBy("_row").collect()] == [("X1", "", "1", 0), ("X2", "two", "0", 1), ("X1", "again", "", 2)]
     assert [r["id"] for r in tables.distinct_ids(frame, "id", "_row").collect()] == ["X1", "X2"]
+    read = xlsx.read_workbooks(spark, str(tmp_path))
+    assert read.columns == frame.columns and sorted(map(tuple, read.collect())) == sorted(map(tuple, frame.collect()))
     with pytest.raises(ValueError):
         tables.distinct_ids(frame, "absent", "_row")
     got = {(r["column"], r["value"]): r["n"] for r in tables.label_profile(frame).collect()}
@@ -49,6 +52,10 @@ def test_csv_round_trip(spark, tmp_path):
     back = tables.read_csv(spark, str(tmp_path / "out"))
     assert sorted(tuple(r) for r in back.collect()) == [("1", 'a "q", b', ""), ("2", "line\nbreak", "")]
     assert tables.read_inferred_csv(spark, str(tmp_path / "out")).dtypes[0] == ("id", "int")
+    tables.write_csv(rows, str(tmp_path / "crlf"), ["id"], parts=1, crlf=True)
+    assert next((tmp_path / "crlf").glob("*.csv")).read_bytes() == b"id\r\n1\r\n2\r\n"
+    tables.write_csv(rows.limit(0), str(tmp_path / "none"), ["id", "absent"], parts=1)
+    assert next((tmp_path / "none").glob("*.csv")).read_bytes() == b"id,absent\n"
     both = tables.stacked(rows.select("id"), rows.select("more"))
     assert both.columns == ["id", "more"] and both.count() == 4
 
@@ -76,6 +83,10 @@ def test_report(spark):
     rows = spark.createDataFrame([("a|b", 0.25), ("c", None), ("d", -0.00001)], "name string, value double")
     assert report.markdown(rows, limit=2).splitlines() == ["| name | value |", "| --- | --- |", "| a\\|b | 0.2500 |", "| c |  |", "| ... | ... |"]
     assert report.decimals(-0.00001) == "0.0000" and report.decimals(float("nan")) == "" and report.percent(0.123) == "12.3%"
+    assert (report.significant(1 / 3, 6), report.significant(1234.5), report.significant(0.0), report.significant(None)) == ("0.333333", "1234.5", "0", "")
+    generic = audit.generic_audit(spark.createDataFrame([("a", "x", "k"), ("b", "y", "k")], "cls string, ident string, key string"), "cls", "ident", ["key"])
+    text = report.analysis_report("Audit", generic, report.GENERIC)
+    assert [line for line in text.splitlines() if line.startswith("#")] == ["# Audit", "## Classes", "## Identities by class", "## Identities in one class", "## shared_key"]
     assert report.bars(rows, "name", "value", "A & B").count("<rect") == 3 and "A &amp; B" in report.bars(rows, "name", "value", "A & B")
     assert report.dots(rows, "name", "value", "t").count("<circle") == 2
     assert report.sections("T", [("One", "text"), ("Two", rows)]).startswith("# T\n\n## One")
