@@ -2,52 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrastkit.session import cut as cut
+from contrastkit.session import scratch_dir as scratch_dir
+from contrastkit.session import spread as spread
+
 #: The white space of every word and line rule here: \x20 and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE.encode())] = True
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local folder where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="contrastkit-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared scratch folder and read it back: the result survives lost executors and has no lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # the shuffles behind the table are not needed again
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores until no column of docs is called so, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: str | Sequence[str], how: str = "inner", share: int = 1000, hot: DataFrame | None = None) -> DataFrame:
+    """rows joined with a table that holds a key once. A key in over 1/share of the rows is looked up in a broadcast of
+    under `share` entries, so that no task gets all rows of a key. hot: those keys, if they are known."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if hot is None:
+        total = rows.count()
+        hot = cut(rows.groupBy(*keys).count().where(F.col("count") > F.lit(max(64, total // share))).select(*keys), "hot")
+    few = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how)
+    many = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return few.unionByName(many)
+
+
 def row_key(docs: DataFrame) -> Column:
     """A bigint that tells the rows of (doc_id, text) apart: doc_id where it is unique and never null, else a hash of both.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As few of the edges (a, b) as join what all of them join."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
