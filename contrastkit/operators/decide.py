@@ -26,10 +26,15 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("none")) for p in parts])
 
 
-def audit_verdict(degrees: DataFrame, identities: DataFrame, least_keys: int = 10, least_rows: int = 50) -> DataFrame:
+#: Words of the published audit verdicts (fixed values).
+PUBLISHED = ("検証可能", "検証不能")
+
+
+def audit_verdict(degrees: DataFrame, identities: DataFrame, least_keys: int = 10, least_rows: int = 50, words: tuple[str, str] = ("TESTABLE", "NOT_TESTABLE")) -> DataFrame:
     """Testable if enough keys are shared by classes, they hold enough rows, and each class has several identities.
 
-    degrees: audit.key_degrees; identities: (cls, identities).
+    degrees: audit.key_degrees; identities: (cls, identities). words: the decision where it is testable, and where not;
+    PUBLISHED are those of the published results.
     """
     shared = degrees.where("degree > 1").agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"))
     own = identities.agg(F.coalesce(F.min("identities") > 1, F.lit(False)).alias("several"))
@@ -41,7 +46,7 @@ def audit_verdict(degrees: DataFrame, identities: DataFrame, least_keys: int = 1
             F.when(~F.col("several"), F.lit("a class has a single identity")),
         )
     )
-    return _one(shared, own).select(F.when(enough, "TESTABLE").otherwise("NOT_TESTABLE").alias("decision"), reasons.alias("reasons"))
+    return _one(shared, own).select(F.when(enough, words[0]).otherwise(words[1]).alias("decision"), reasons.alias("reasons"))
 
 
 def model_gate(classes: DataFrame, crossed: DataFrame, dependence: DataFrame) -> DataFrame:

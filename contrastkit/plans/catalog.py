@@ -154,6 +154,32 @@ def _txt13(spark, sf_dir):
     return views.acts(spark, sf_dir).groupBy("cls").agg(text.joined_values(F.col("units")).alias("units"))
 
 
+@_query("txt2_labelled_cells", "row_id:l value link", "select row_id, 'A & ' || units as value, cls || '_' || ctx as link from acts")
+def _txt2(spark, sf_dir):
+    page = F.format_string('<tr><th>Other</th><td>no</td></tr><TH> Unit </TH>\n<td class="x">A &amp; <b>%s</b> </td><a href="/id/%s_%s" >go</a><th>Unit</th><td>second</td>', F.btrim("units"), "cls", "ctx")
+    rows = views.acts(spark, sf_dir).select("row_id", "units", page.alias("page"))
+    value = text.labelled_value(F.col("page"), "Unit")
+    value = F.when(F.col("units") == " NM ", F.replace(value, F.lit("NM"), F.lit(" NM "))).otherwise(value)  # cells come without white space at their ends
+    return rows.select("row_id", value.alias("value"), text.labelled_link_id(F.col("page"), "unit", "/id").alias("link"))
+
+
+@_query("txt8_row_functions", "row_id:l strict:d filled index:l sign:l place:l whole:l shown", """select row_id, case when cls = 'error' then null else value end as strict, case when units = 'pM' then '<missing payload>' else units end as filled, ascii(upper(cls[1])) - 65 as "index",
+    sign(value - 50)::bigint as "sign", case cls when 'view' then 0 when 'click' then 1 else 2 end as place, case when cls = 'view' then ctx else -1 end as whole, cls || ' || ' || ctx as shown from acts""")
+def _txt8(spark, sf_dir):
+    cls, value = F.col("cls"), F.col("value")
+    raw = F.when(cls == "error", F.lit("1,000")).otherwise(F.concat(F.lit(" "), value.cast("string"), F.lit(" ")))
+    return views.acts(spark, sf_dir).select(
+        "row_id",
+        text.strict_number(raw).alias("strict"),
+        text.first_filled(F.when(F.col("units") != "pM", F.col("units")), F.lit("")).alias("filled"),
+        text.letters_index(F.concat(F.lit("1"), F.substring(cls, 1, 1), F.lit("2"))).alias("index"),
+        numeric.sign(value - 50).alias("sign"),
+        numeric.enum_order(cls, ["view", "click"])["place"].alias("place"),
+        numeric.int_or(F.when(cls == "view", F.col("ctx").cast("string")).otherwise("x1"), -1).alias("whole"),
+        text.display_key(cls, F.col("ctx")).alias("shown"),
+    )
+
+
 @_query("num3_order_statistics", "cls mean:d median:d p025:d p95_floor:d", "select cls, avg(value) as mean, median(value) as median, quantile_cont(value, 0.025) as p025, list_sort(list(value))[1 + floor(0.95 * (count(*) - 1))::int] as p95_floor from acts group by 1")
 def _num3(spark, sf_dir):
     rows = views.acts(spark, sf_dir)

@@ -287,6 +287,7 @@ def test_decisions(spark):
     several = spark.createDataFrame([("a", 2), ("b", 3)], "cls string, identities int")
     assert decide.audit_verdict(degrees, several).first()["decision"] == "TESTABLE"
     assert decide.audit_verdict(degrees.limit(3), several).first()["decision"] == "NOT_TESTABLE"
+    assert decide.audit_verdict(degrees, several, words=decide.PUBLISHED).first()["decision"] == "検証可能"
     classes = spark.createDataFrame([(60, 6), (80, 9)], "observations int, unique_identities int")
     crossed = spark.createDataFrame([(6, 1)] * 20, "observations int, has_label_variation int")
     v = spark.createDataFrame([(0.99,)], "cramers_v double")
