@@ -13,11 +13,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrastkit.llm.common import SPACE, cut, scratch_dir, shuffle_partitions
+from contrastkit.llm.common import SPACE, cut, hot_join, own_names, row_key, scratch_dir, shuffle_partitions
 
 _HASH = ["h1", "h2"]
-#: Columns added to the caller's for a while.
-_DOC, _LOST, _KEPT = "_dedup_doc", "_dedup_lost", "_dedup_kept"
 #: Stands for a null doc_id: after all others.
 _LAST = (1 << 63) - 1
 
@@ -67,15 +65,26 @@ class LineRuns:
                 run = self.spark.table(name)
                 merged = run if merged is None else merged.unionByName(run)
             self.levels[k + 1].append(self._write(merged))
-            for name in self.levels[k]:
-                self.spark.sql(f"drop table {name}")
+            self._discard(self.levels[k])
+            self.levels[k] = []
+
+    def discard(self) -> None:
+        """Drop all runs, whose lines nothing reads any more."""
+        for k, level in enumerate(self.levels):
+            self._discard(level)
             self.levels[k] = []
 
+    def _discard(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"drop table {name}")  # leaves the files of tables with a path
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(self.spark)}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def _line_rows(docs: DataFrame, least: int) -> DataFrame:
-    """(d, h1, h2): the hashes of lines whose key has at least `least` code points, once for each document."""
-    lines = docs.select("d", F.explode(_lines(F.col("text"))).alias("line")).select("d", line_key(F.col("line")).alias("k"))
-    return lines.where(F.length("k") >= least).select("d", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"))
+    """(key, d, p, h1, h2): the hashes of lines whose key has at least `least` code points, and their places."""
+    lines = docs.select("key", "d", F.posexplode(_lines(F.col("text"))).alias("p", "line")).select("key", "d", "p", line_key(F.col("line")).alias("k"))
+    return lines.where(F.length("k") >= least).select("key", "d", "p", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"))
 
 
 def deduplicated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, fanout: int = 2) -> DataFrame:
@@ -87,9 +96,11 @@ def deduplicated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, fan
     n_dropped or kept are replaced.
     """
     spark = docs.sparkSession
-    placed = docs.withColumn(_DOC, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    # texts are taken apart once; what follows reads hashes
-    rows = cut(_line_rows(placed.select(F.col(_DOC).alias("d"), "text"), least), "line-hashes")
+    key, lost = own_names(docs, "row_key", "lost_places")
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    placed = docs.withColumn(key, row_key(docs))
+    # texts are taken apart once; what follows reads hashes and places
+    rows = cut(_line_rows(placed.select(F.col(key).alias("key"), doc_id.alias("d"), "text"), least), "line-hashes")
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     low, high = (0, 0) if low is None else (low, high)
     width = (high - low) // n_batches + 1
@@ -104,31 +115,19 @@ def deduplicated_lines(docs: DataFrame, least: int = 10, n_batches: int = 3, fan
         often = keys.where(F.col("n") > max(500, total // 1000)).select(*_HASH)
         hot = often if hot is None else hot.union(often)
         runs.add(runs.unseen(keys.drop("n")))
-    hot = cut(hot.distinct(), "hot-lines")  # under 1,000 for each batch
-    owners = runs.runs()
-    hot_owners = None
-    for run in owners:
-        found = run.join(F.broadcast(hot), _HASH)
-        hot_owners = found if hot_owners is None else hot_owners.unionByName(found)
-    drops = rows.join(F.broadcast(hot_owners), _HASH).where("owner <> d").select("d", "h1")
-    cold = rows.join(F.broadcast(hot), _HASH, "left_anti")
-    owned = None
-    for run in owners:
-        owned = run if owned is None else owned.unionByName(run)
-    drops = drops.unionByName(cold.join(owned.hint("merge"), _HASH).where("owner <> d").select("d", "h1"))
-    lost = drops.groupBy(F.col("d").alias(_DOC)).agg(F.collect_set("h1").alias(_LOST))
-    joined = placed.join(lost.hint("shuffle_hash"), _DOC, "left")
+    owners = None
+    for run in runs.runs():
+        owners = run if owners is None else owners.unionByName(run)
+    drops = hot_join(rows, owners, _HASH, hot=cut(hot.distinct(), "hot-lines")).where("owner <> d")
+    drops = cut(drops.groupBy(F.col("key").alias(key)).agg(F.collect_set("p").alias(lost)), "lost-lines")
+    runs.discard()
+    joined = placed.join(drops.hint("shuffle_hash"), key, "left")
     lines = _lines(F.col("text"))
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < least) | ~F.array_contains(_LOST, F.xxhash64(key))
-
-    kept = F.when(F.col(_LOST).isNull(), lines).otherwise(F.filter(lines, stays))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(lost, F.array().cast("array<int>")))
+    shown = F.when(F.col(lost).isNull(), lines).otherwise(F.transform(stay, lambda p: F.get(lines, p)))
     return (
-        joined.withColumn(_KEPT, kept)
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.col("n_lines") - F.size(_KEPT))
-        .withColumn("kept", F.array_join(_KEPT, "\n"))
-        .drop(_DOC, _LOST, _KEPT)
+        joined.withColumn("n_lines", F.size(lines).cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size(lost), F.lit(0)).cast("long"))
+        .withColumn("kept", F.array_join(shown, "\n"))
+        .drop(key, lost)
     )
