@@ -13,16 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrastkit.llm.common import cut, words_of
+from contrastkit.llm.common import cut, own_names, words_of
+from contrastkit.operators.ordered import running
 
-#: Parts that documents of one source and size are ranked in.
-RANK_PARTS = 512
-#: Columns that tell rows apart for those who need the rows back.
-_ROW = ("_row1", "_row2")
-_NEWTON_STEPS = 60
+#: Documents of one source and size that are ranked together, as expected where one source and size hold them all.
+RANKED = 8192
+#: Newton steps after which a dual that has not settled is an error: the bracket alone settles it in fewer.
+_NEWTON_STEPS = 200
 _NEAR = 1e-6
-#: Most single corrections of a source, and what share of its target may be missing without one.
-_FIX_ROUNDS, _FINE = 12, 0.0005
+#: What share of its target a source may miss without single corrections.
+_FINE = 0.0005
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -31,20 +31,22 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], most: float)
     Sources by code point, null last, take the weights in turn and share all words by them; a target stops at most
     times its source's size and what is over is shared again by weight among those below.
     """
-    every = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(every) - 1) % len(weights)
-    placed = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
-    placed = placed.withColumn("cap", F.col("source_size") * float(most))
+    order = [F.col("source").isNull(), "source"]
+    turned = running(sources, [], order, {"turn": F.lit(1)})
+    turn = (F.col("turn") - 1) % len(weights)
+    placed = turned.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
+    placed = placed.withColumn("cap", F.col("source_size") * float(most)).drop("turn")
     # by cap for each weight: those before the first that keeps its share are all at their caps
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before, whole = rising.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    open_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = left / open_weight
-    placed = placed.withColumn("level", F.when(F.col("cap") >= level * F.col("weight"), level))
-    level = F.first("level", ignorenulls=True).over(rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    placed = placed.withColumn("level", level)
-    return placed.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)))).drop("cap", "level")
+    placed = running(placed, [], [F.col("cap") / F.col("weight"), *order], {"place": F.lit(1), "caps": "cap", "weights": "weight"})
+    one = lambda frame: frame.withColumn("_one", F.lit(1))
+    whole = one(placed.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight")))
+    placed = one(placed).join(F.broadcast(whole), "_one")
+    level = (F.col("all_size") - (F.col("caps") - F.col("cap"))) / (F.col("all_weight") - (F.col("weights") - F.col("weight")))
+    keeps = F.col("cap") >= level * F.col("weight")
+    first = one(placed.where(keeps).agg(F.min_by(level, "place").alias("level")))
+    placed = placed.join(F.broadcast(first), "_one", "left")
+    target = F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)))
+    return placed.select(*sources.columns, "weight", target.alias("target"))
 
 
 def _rate(most: float) -> Column:
@@ -75,7 +77,7 @@ def dual_lambdas(histogram: DataFrame, targets: DataFrame, most: float) -> DataF
     state = cut(state, "dual")
     for _ in range(_NEWTON_STEPS):
         if not state.where(~F.col("done")).limit(1).count():
-            break
+            return state.select("key", "mean", "full", "lam")
         rated = sized.join(state.where(~F.col("done")), "key").withColumn("r", _rate(most)).withColumn("words", F.col("r") * F.col("size") * F.col("n"))
         slope = F.when(F.col("r") < most, F.col("words") * F.col("size") / F.col("mean")).otherwise(0.0)
         sums = rated.groupBy("key").agg(_whole(F.col("words")).alias("f"), _whole(slope).alias("df"))
@@ -98,7 +100,7 @@ def dual_lambdas(histogram: DataFrame, targets: DataFrame, most: float) -> DataF
             (F.col("done") | F.coalesce(met, F.lit(True))).alias("done"),
         )
         state = cut(state, "dual")
-    return state.select("key", "mean", "full", "lam")
+    raise RuntimeError(f"rates did not settle in {_NEWTON_STEPS} steps")
 
 
 def rounded_copies(histogram: DataFrame, lambdas: DataFrame, targets: DataFrame, most: int) -> DataFrame:
@@ -110,7 +112,7 @@ def rounded_copies(histogram: DataFrame, lambdas: DataFrame, targets: DataFrame,
     limit = F.col("n") * most
     plan = rated.withColumn("copies", F.least(limit, F.greatest(F.lit(0), (F.col("upto") - before).cast("long"))))
     plan = cut(plan.select("key", "size", "n", "copies"), "copies")
-    for _ in range(_FIX_ROUNDS):
+    while True:  # each round brings what a source misses nearer to nothing, until no single copy does
         taken = plan.groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
         missing = targets.select("key", "target").join(taken, "key").select("key", "target", (F.col("target") - F.col("taken")).alias("missing"))
         able = F.when(F.col("missing") > 0, F.col("copies") < F.col("n") * most).otherwise(F.col("copies") > 0)
@@ -119,10 +121,9 @@ def rounded_copies(histogram: DataFrame, lambdas: DataFrame, targets: DataFrame,
         choice = choice.groupBy("key").agg(F.min(F.struct(far.alias("far"), F.col("size"), F.signum("missing").cast("long").alias("change"))).alias("c"))
         choice = cut(choice.select("key", "c.size", "c.change"), "choice")
         if not choice.limit(1).count():
-            break
+            return plan
         changed = plan.join(choice, ["key", "size"], "left")
         plan = cut(changed.select("key", "size", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), "copies")
-    return plan
 
 
 def mixed_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3) -> DataFrame:
@@ -132,28 +133,32 @@ def mixed_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     A null source is a source, after all others. Documents without words are taken once. Rows that share a doc_id count
     each for itself. No rows in: no rows out.
     """
-    return _mixed(docs, weights, most).drop(*_ROW)
+    return _mixed(docs, weights, most)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3) -> DataFrame:
     """The rows of docs as the mix takes them: each as often as it has copies, none of those without."""
-    keyed = docs.withColumn(_ROW[0], F.xxhash64(*docs.columns)).withColumn(_ROW[1], F.xxhash64(F.lit(1), *docs.columns))
-    taken = cut(_mixed(keyed, weights, most).groupBy(*_ROW).agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "taken")
-    if taken.where("_rows > 1").limit(1).count():  # rows that are alike in all columns stand for each other
-        keyed = keyed.dropDuplicates(list(_ROW))
-    many = keyed.join(taken.where("_copies > 0").drop("_rows"), list(_ROW))
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
-
-
-def _mixed(docs: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    one, two, copies, rows, copy = own_names(docs, "row_hash", "row_hash2", "n_copies", "n_rows", "nth_copy")
+    keyed = docs.withColumn(one, F.xxhash64(*docs.columns)).withColumn(two, F.xxhash64(F.lit(1), *docs.columns))
+    row = [one, two]
+    taken = cut(_mixed(keyed, weights, most, row).groupBy(*row).agg(F.sum("copies").cast("int").alias(copies), F.count(F.lit(1)).alias(rows)), "taken")
+    if taken.where(F.col(rows) > 1).limit(1).count():  # rows that are alike in all columns stand for each other
+        keyed = keyed.dropDuplicates(row)
+    many = keyed.join(taken.where(F.col(copies) > 0).drop(rows), row)
+    return many.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most: int, row: list[str] = []) -> DataFrame:
+    """row: columns of docs by other names than those given out, which tell rows apart and are kept."""
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key"),
         F.size(words_of(F.col("text"))).cast("long").alias("size"),
-        *[F.col(c) if c in docs.columns else F.lit(0).cast("long").alias(c) for c in _ROW],
+        *row,
     )
-    sized = cut(sized.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.lit(RANK_PARTS)).cast("int")), "sized")
+    sized = cut(sized, "sized")
+    sized = sized.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.lit(max(64, sized.count() // RANKED))))
     parted = cut(sized.groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")), "size-parts")
     histogram = cut(parted.groupBy("key", "size").agg(F.sum("n").alias("n"), F.first("source").alias("source")), "sizes")
     sources = histogram.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -167,4 +172,4 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
     ranked = sized.withColumn("rank", F.row_number().over(order)).join(parts, ["key", "size", "part"])
     share, over = F.floor(F.col("copies") / F.col("n")).cast("long"), F.col("copies") % F.col("n")
     ranked = ranked.withColumn("copies", share + F.when(F.col("before") + F.col("rank") <= over, 1).otherwise(0))
-    return ranked.select(*_ROW, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return ranked.select(*row, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
