@@ -4,7 +4,7 @@ Pieces of one length are alike, so packing needs only how many pieces there are
 counts, however large the corpus. Bins in the same state (the same residual capacities) are kept as one class with a
 multiplicity. Lengths are placed longest first, each into the class that the score prefers among all those with room
 in every capacity. The plan that comes out gives ranges of ranks per length; pieces are ranked by Spark and look their
-range up.
+range up. A piece as long as a bin fills one by itself, and needs neither rank nor plan.
 """
 
 from __future__ import annotations
@@ -27,33 +27,35 @@ from contrastkit.llm.common import cut
 
 #: Id put after each document.
 END = 0
-#: Parts that the pieces of one length are ranked in.
-RANK_PARTS = 1024
+#: Pieces of one length that are ranked together, as expected.
+RANKED = 4096
 
 
 @dataclass(frozen=True)
 class Capacity:
     """What one sequence holds: tokens, documents, and attention cost (the sum of squared piece lengths).
 
-    weights are those of the three in the score: "norm" prefers the bin with the least weighted residual norm after
-    placing, "dot" the one with the largest weighted dot-product of demand and residual.
+    weights are those of the three in the score, of shares of the capacities: "norm" prefers the bin with the least
+    weighted residual norm after placing, "dot" the one with the largest weighted dot-product of demand and residual.
+    Ties go to the bin with the fewest residual tokens.
     """
 
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     score: str = "norm"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, most: int) -> DataFrame:
-    """(doc_id, row, piece, start, length, ids_crc32): every document's ids and a final id 0, in pieces of at most most.
+    """(doc_id, row, piece, start, length, ids_crc32, alone): every document's ids and a final id 0, in pieces of at most most.
 
     A document of more than most ids has all its pieces full but the first. Null text is empty: one piece with id 0.
-    row tells rows apart that share a doc_id.
+    row tells rows apart that share a doc_id; alone numbers full pieces by negative numbers, and is null for others.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = 0  # of this task, whose rows share the bits of row above the 33rd
         for batch in rows:
             out: list[tuple] = []
             for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -63,13 +65,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int) -> DataFrame:
                 first = n % most or most
                 edges = [0, *range(first, n + 1, most)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    out.append((doc, row, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+                    alone = None
+                    if b - a == most:
+                        alone, full = -1 - ((row >> 33 << 33) + full), full + 1
+                    out.append((doc, row, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), alone))
+            columns = list(zip(*out)) if out else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32", "alone"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long, alone long")
 
 
 class _Classes:
@@ -95,8 +100,10 @@ class _Classes:
         caps, demand = (c.tokens, c.documents, c.attention), (length, 1, length * length)
         chosen, least = None, None
         start = bisect_right(self.filled, length - 1)
-        tokens_only = c.score == "norm" and not any(c.weights[1:])
+        by_tokens = c.weights[0] / c.tokens**2
         for tokens in self.filled[start:]:
+            if c.score == "norm" and least is not None and by_tokens * (tokens - length) ** 2 >= least:
+                break  # what is left of the tokens alone costs more in all bins from here on
             for k, (documents, attention, _, _) in enumerate(self.by_tokens[tokens]):
                 if attention < demand[2]:
                     continue
@@ -107,8 +114,6 @@ class _Classes:
                     cost = -sum(w * r * d / m / m for w, r, d, m in zip(c.weights, residual, demand, caps))
                 if least is None or cost < least:
                     chosen, least = (tokens, k), cost
-                if tokens_only:  # the first fit from the tight end is the best
-                    return chosen
         return chosen
 
     def take(self, tokens: int, k: int) -> tuple[int, int, int, int]:
@@ -161,12 +166,12 @@ def packed_pieces(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFra
     pieces has doc_id, row, piece and length. No pieces in: no rows out.
     """
     spark = pieces.sparkSession
-    parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(RANK_PARTS)).cast("int"))
-    counted = parted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    counted = cut(counted, "piece-counts")
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # one row per length, tokens at most
+    parts = F.broadcast(spark.createDataFrame([(x, n // RANKED + 1) for x, n in counts.items()], "length long, parts long"))
+    parted = pieces.join(parts, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.col("parts"))).drop("parts")
+    counted = cut(parted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    counts = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("n")).collect()}  # one row per length, tokens at most
     ranges: dict[int, list[tuple[int, int, int]]] = {}
     for length, rank, _, first, offset in plan_bins(counts, capacity):
         ranges.setdefault(length, []).append((rank, first, offset))
@@ -202,4 +207,9 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: Capacity = Capac
     Other columns of docs are not read. No rows in: no rows out.
     """
     pieces = cut(token_pieces(docs, tokenizer, capacity.tokens), "pieces")
-    return packed_pieces(pieces, capacity).drop("row")
+    full = pieces.where(F.col("alone").isNotNull())
+    if capacity.attention < capacity.tokens**2 and full.limit(1).count():
+        raise ValueError("a piece is over the capacity of a bin")
+    own = full.withColumn("sequence_id", F.col("alone")).withColumn("offset", F.lit(0).cast("long"))
+    packed = packed_pieces(pieces.where(F.col("alone").isNull()), capacity)
+    return packed.select(*own.columns).unionByName(own).drop("row", "alone")

@@ -39,6 +39,8 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 tokens; no document count or attention cost can go over its capacity there, so in the score
+    those residuals only tell apart bins that tokens alone do not."""
     return best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer(), Capacity(tokens=2048))
 
 

@@ -1,14 +1,17 @@
+import math
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from fixtures import SCHEMA, clashing, edge_rows
 from tokenizers import Tokenizer
 
+from contrastkit.llm import queries
 from contrastkit.llm.bpe import token_ids
-from contrastkit.llm.packing import Capacity, best_fit_packing, packed_pieces, plan_bins
+from contrastkit.llm.packing import Capacity, _Classes, best_fit_packing, packed_pieces, plan_bins
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -53,7 +56,7 @@ def test_edges(spark):
 
 
 def test_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 200")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = best_fit_packing(docs, PATH).collect()
     check_pieces([tuple(r) for r in docs.select("doc_id", "text").collect()], got, 2048)
     assert check_bins(got, Capacity()) <= np.ceil(sum(r["length"] for r in got) / 2048) * 1.02 + 1
@@ -93,3 +96,32 @@ def test_ids_are_those_of_the_library():
     samples = [t for _, t, *_ in edge_rows() if t] + ["I've  got\n\n 'x' \x1c\x1d \x85 \xa0  12½ \t", "word " * 400000, "a" * 5000, " " * 3000 + "b"]
     for text in samples:
         assert token_ids(PATH, text).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_all_residuals_choose(score):
+    """Bins with the same room for tokens are told apart by what is left of documents and attention."""
+    tight = Capacity(tokens=100, documents=4, attention=8000, weights=(1.0, 1.0, 1.0), score=score)
+    plain = Capacity(tokens=100, documents=4, attention=8000, weights=(1.0, 0.0, 0.0), score=score)
+    for capacity in (tight, plain):
+        classes = _Classes(capacity)
+        classes.put(40, 2, 6000, 0, 1)
+        classes.put(40, 3, 4000, 1, 1)
+        classes.put(40, 3, 6000, 2, 1)
+        tokens, k = classes.best(30)
+        found = classes.take(tokens, k)[:2]
+        costs = {}
+        for documents, attention in ((2, 6000), (3, 4000), (3, 6000)):
+            residual, demand, caps = (40, documents, attention), (30, 1, 900), (100, 4, 8000)
+            costs[documents, attention] = sum(w * ((r - d) / m) ** 2 for w, r, d, m in zip(capacity.weights, residual, demand, caps)) if score == "norm" else -sum(w * r * d / m / m for w, r, d, m in zip(capacity.weights, residual, demand, caps))
+        assert costs[found] == min(costs.values())
+        if capacity is tight:
+            assert len(set(costs.values())) == 3
+
+
+def test_documents_of_one_table_need_few_sequences(spark, sf_dir):
+    got = queries.op3_best_fit_packing(spark, sf_dir)
+    sums = got.selectExpr("count(distinct sequence_id) as n", "sum(length) as t").first()
+    assert sums["n"] <= math.ceil(sums["t"] / 2048) + 1
+    full = got.where("length = 2048")
+    assert full.select("sequence_id").distinct().count() == full.count() > 0
