@@ -1,4 +1,9 @@
-"""Language ID (operator 10): multinomial naive Bayes over hashed character n-grams."""
+"""Language ID (operator 10): multinomial naive Bayes over hashed character n-grams.
+
+The matrix of log-probabilities is broadcast by languages, TOGETHER at a time; texts go by one such part after another,
+and carry the best language so far and the sum of all probabilities. So neither a task nor the driver holds more than a
+part, however many languages there are.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +12,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from contrastkit.llm.common import cut
+from contrastkit.llm.common import cut, own_names
 
-#: Hash buckets of n-grams; halved while the matrix of log-probabilities would be over MATRIX_BYTES.
-BUCKETS = 1 << 15
-MATRIX_BYTES = 64 << 20
+#: Hash buckets of n-grams, and languages whose log-probabilities are sent together: 16 MB.
+BUCKETS, TOGETHER = 1 << 15, 64
 #: Labelled documents learned from in each language, in expectation: all of a rarer language, a hashed sample of others.
 PER_LANGUAGE = 2000
-#: Most languages whose sampling shares are sent to every task.
-MOST_SENT = 10_000
+#: Most languages; a column with more values is taken for something else than languages.
+MOST_LANGUAGES = 10_000
 UNDETERMINED = "und"
 _BLOCK = 1 << 19
 _ODD = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
@@ -89,28 +94,24 @@ def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """All rows of a language with at most per_language of them, else those with the lowest hashes."""
     share = cut(labelled.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share")), "shares")
-    if share.count() <= MOST_SENT:  # texts then stay where they are
-        share = F.broadcast(share)
+    if share.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(share, "lang").where(place < F.col("share"))
+    return labelled.join(F.broadcast(share), "lang").where(place < F.col("share"))  # texts stay where they are
 
 
-class Model:
-    """Log-probabilities: a row for each language, a column for each bucket and one of zeros for no n-gram."""
+class Part:
+    """Log-probabilities of some languages: a row for each, a column for each bucket and one of zeros for no n-gram."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, documents: np.ndarray, smoothing: float) -> None:
-        self.languages = languages
-        self.buckets = counts.shape[1] if counts.size else 1
+    def __init__(self, languages: list[str], counts: np.ndarray, prior: np.ndarray, smoothing: float) -> None:
+        self.languages, self.prior, self.buckets = languages, prior, counts.shape[1]
         self.table = np.zeros((len(languages), self.buckets + 1))
-        if len(languages):
-            smooth = counts + smoothing
-            self.table[:, :-1] = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-        self.prior = np.log((documents + 1.0) / (documents.sum() + len(languages))) if len(languages) else np.zeros(0)
+        smooth = counts + smoothing
+        self.table[:, :-1] = np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each text and language, and the letters of each text."""
         n = len(self.languages)
-        if not n:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         total, letters = np.zeros((len(texts), n)), np.zeros(len(texts), np.int64)
         for codes, starts, numbers, used in _blocks([x or "" for x in texts]):
             grams = [g[:used] for g in _grams(codes, self.buckets)]
@@ -120,13 +121,43 @@ class Model:
                 for g in grams[1:]:
                     values += self.table[k][g]
                 np.add.at(total[:, k], numbers, np.add.reduceat(values, starts))
-        total += self.prior
-        total -= total.max(axis=1, keepdims=True)
-        chance = np.exp(total)
-        chance /= chance.sum(axis=1, keepdims=True)
-        best = chance.argmax(axis=1)
-        known = letters > 0
-        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), known.tolist())], np.where(known, chance.max(axis=1), 0.0)
+        return total + self.prior, letters
+
+
+class Model:
+    """Parts of a naive Bayes model: their languages are in order."""
+
+    def __init__(self, languages: list[str], counts: np.ndarray, documents: np.ndarray, smoothing: float, together: int = TOGETHER) -> None:
+        prior = np.log((documents + 1.0) / (documents.sum() + len(languages))) if len(languages) else np.zeros(0)
+        self.languages = languages
+        self.parts = [Part(languages[a : a + together], counts[a : a + together], prior[a : a + together], smoothing) for a in range(0, len(languages), together)]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and posterior probability of each text."""
+        state = [None] * len(texts), np.full(len(texts), -np.inf), np.zeros(len(texts))
+        for part in self.parts:
+            state = _onward(part, texts, *state)
+        return _settled(*state)
+
+
+def _onward(part: Part, texts: list[str | None], best: list[str | None], most: np.ndarray, rest: np.ndarray) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """The best language so far of each text (none if it has no letter), its log-probability, and the sum of all
+    probabilities so far over the best one's, after one more part."""
+    total, letters = part.totals(texts)
+    high = total.max(axis=1)
+    own = np.exp(total - high[:, None]).sum(axis=1)
+    ahead = high > most
+    top = np.where(ahead, high, most)
+    with np.errstate(invalid="ignore"):
+        rest = rest * np.exp(np.where(np.isneginf(most), 0.0, most - top)) + own * np.exp(high - top)
+    place = total.argmax(axis=1).tolist()
+    found = [(part.languages[p] if up else b) if n else None for p, up, b, n in zip(place, ahead.tolist(), best, letters.tolist())]
+    return found, top, rest
+
+
+def _settled(best: list[str | None], most: np.ndarray, rest: np.ndarray) -> tuple[list[str], np.ndarray]:
+    known = np.array([b is not None for b in best], bool)
+    return [UNDETERMINED if b is None else b for b in best], np.where(known, 1 / np.maximum(rest, 1.0), 0.0)
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, buckets: int = BUCKETS, smoothing: float = 0.5) -> Model:
@@ -150,20 +181,20 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, buckets: int =
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 
     counted = rows.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most buckets + 1 rows for each language
-    codes = found.column("lang").combine_chunks().dictionary_encode() if found.num_rows else None
-    names = sorted(codes.dictionary.to_pylist()) if found.num_rows else []
-    size = buckets
-    while size > 256 and size * len(names) * 8 > MATRIX_BYTES:
-        size //= 2
-    counts, documents = np.zeros((len(names), size)), np.zeros(len(names))
-    if names:
-        place = np.array([names.index(x) for x in codes.dictionary.to_pylist()])[codes.indices.to_numpy()]
-        bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-        grams = bucket >= 0
-        np.add.at(counts, (place[grams], bucket[grams] * size // buckets), n[grams])
-        documents[place[~grams]] = n[~grams]
-    return Model(names, counts, documents, smoothing)
+    counted = cut(counted, "n-grams")
+    met = {r["lang"]: r["n"] for r in counted.where("bucket = -1").select("lang", "n").collect()}  # MOST_LANGUAGES at most
+    names = sorted(met)
+    model = Model([], np.zeros((0, buckets)), np.zeros(0), smoothing)
+    model.languages = names
+    whole = sum(met.values()) + len(names)
+    for a in range(0, len(names), TOGETHER):
+        own = names[a : a + TOGETHER]
+        found = counted.where((F.col("bucket") >= 0) & F.col("lang").isin(own)).toArrow()  # buckets rows for each language
+        counts = np.zeros((len(own), buckets))
+        place = pc.index_in(found.column("lang"), pa.array(own)).to_numpy()
+        counts[place, found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+        model.parts.append(Part(own, counts, np.log((np.array([met[x] for x in own]) + 1.0) / whole), smoothing))
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -173,16 +204,35 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     names are replaced.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # at most MATRIX_BYTES
-    own = docs.drop("lang_pred", "score")
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            named, score = sent.value.predict(batch.column("text").to_pylist())
-            columns = [*batch.columns, pa.array(named, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
-
-    return own.mapInArrow(run, StructType([*own.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    best, most, rest = own_names(docs, "best_lang", "best_log", "all_chances")
+    kept = docs.drop("lang_pred", "score")
+    state = [StructField(best, StringType()), StructField(most, DoubleType()), StructField(rest, DoubleType())]
+    end = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+
+    def step(part: Part | None, first: bool, last: bool):
+        sent = spark.sparkContext.broadcast(part)
+
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                texts, n = batch.column("text").to_pylist(), batch.num_rows
+                now = ([None] * n, np.full(n, -np.inf), np.zeros(n)) if first else (batch.column(best).to_pylist(), batch.column(most).to_numpy(), batch.column(rest).to_numpy())
+                if sent.value is not None:
+                    now = _onward(sent.value, texts, *now)
+                names = [x for x in batch.schema.names if x not in (best, most, rest)]
+                if last:
+                    named, score = _settled(*now)
+                    more = {"lang_pred": pa.array(named, pa.string()), "score": pa.array(score, pa.float64())}
+                else:
+                    more = {best: pa.array(now[0], pa.string()), most: pa.array(now[1], pa.float64()), rest: pa.array(now[2], pa.float64())}
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *more.values()], names=[*names, *more])
+
+        return run
+
+    parts, out = model.parts or [None], kept
+    for k, part in enumerate(parts):
+        last = k + 1 == len(parts)
+        out = out.mapInArrow(step(part, k == 0, last), StructType([*kept.schema.fields, *(end if last else state)]))
+    return out
 
 
 def held_out() -> Column:
