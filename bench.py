@@ -18,6 +18,8 @@ NAMES = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    # Python workers import the package too, wherever this is called from
+    os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH", "")])
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.driver.memory", "12g")
