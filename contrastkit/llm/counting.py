@@ -1,10 +1,11 @@
 """Token counts (operator 5): a segment tree per document, updated by edits without encoding the document again.
 
-A leaf is a run of whole pre-tokens. Leaves part only where white space follows another character: no pre-token
-crosses such a place and no rule looks across it, so the counts of leaves add up to the document's. An edit touches
-the leaves of the characters before and behind it; what they hold after the edit goes into the first of them, is
-encoded, and the sums on its path to the root are updated. The tree keeps its shape, so no leaf but the touched ones
-changes.
+A leaf is a run of whole pre-tokens. Leaves part only where white space follows another character, or where a letter,
+a digit and another sign meet and neither is part of a sign that the vocabulary's rules look across: no pre-token crosses
+such a place, whatever stands further off, so the counts of leaves add up to the document's. An edit touches the leaves
+of the characters before and behind it; what they hold after the edit goes into the first of them, is encoded, and the
+sums on its path to the root are updated. A leaf that has grown past twice its size is parted anew, and only its own
+text is encoded for that.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,17 +26,21 @@ EDITS = "array<struct<at: long, removed: long, inserted: string>>"
 _TREE = "struct<chars: array<long>, tokens: array<long>>"
 
 
+#: Where leaves may part. Apostrophes begin contractions, and <, | and > are in the special token.
+_PARTS = regex.compile(
+    r"(?<=\S)(?= )|(?<=\p{L})(?=[^\s\p{L}'<|>])|(?<=\p{N})(?=[^\s\p{N}'<|>])|(?<=[^\s\p{L}\p{N}'<|>])(?=[\p{L}\p{N}])"
+)
+
+
 def leaves_of(text: str, size: int) -> list[str]:
-    """The text in leaves of size characters or a little more."""
+    """The text in leaves of size characters or a little more. A run of letters is never parted, however long."""
     out, at = [], 0
     while len(text) - at > size:
-        end = text.find(" ", at + size)
-        while end > 0 and text[end - 1].isspace():
-            end = text.find(" ", end + 1)
-        if end < 0:
+        place = _PARTS.search(text, at + size)
+        if place is None or place.start() >= len(text):
             break
-        out.append(text[at:end])
-        at = end
+        out.append(text[at : place.start()])
+        at = place.start()
     out.append(text[at:])
     return out
 
@@ -48,14 +54,26 @@ class TokenTree:
     @classmethod
     def build(cls, path: str, text: str, size: int) -> TokenTree:
         leaves = leaves_of(text, size)
-        width = 1 << max(0, len(leaves) - 1).bit_length()
-        rest = [0] * (width - len(leaves))
-        chars = [0] * width + [len(x) for x in leaves] + rest
-        tokens = [0] * width + [len(token_ids(path, x)) for x in leaves] + rest
+        return cls.of([len(x) for x in leaves], [len(token_ids(path, x)) for x in leaves])
+
+    @classmethod
+    def of(cls, chars: list[int], tokens: list[int]) -> TokenTree:
+        """The tree over leaves of these sizes."""
+        width = 1 << max(0, len(chars) - 1).bit_length()
+        rest = [0] * (width - len(chars))
+        chars, tokens = [0] * width + chars + rest, [0] * width + tokens + rest
         for k in range(width - 1, 0, -1):
             chars[k], tokens[k] = chars[2 * k] + chars[2 * k + 1], tokens[2 * k] + tokens[2 * k + 1]
         return cls(chars, tokens)
 
+    def part(self, leaf: int, sizes: list[tuple[int, int]]) -> None:
+        """Put leaves of these (characters, tokens) in the place of one."""
+        every = [(c, t) for c, t in zip(self.chars[self.width :], self.tokens[self.width :])]
+        place = leaf - self.width
+        kept = [x for x in every[:place] if x[0]] + sizes + [x for x in every[place + 1 :] if x[0]]
+        new = TokenTree.of([c for c, _ in kept] or [0], [t for _, t in kept] or [0])
+        self.chars, self.tokens, self.width = new.chars, new.tokens, new.width
+
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character at (the last that holds any, if at is the end), and its first character."""
         node, first = 1, 0
@@ -74,7 +92,7 @@ class TokenTree:
             self.tokens[leaf] += more_tokens
             leaf //= 2
 
-    def edit(self, path: str, text: str, at: int, removed: int, inserted: str) -> tuple[str, int]:
+    def edit(self, path: str, text: str, at: int, removed: int, inserted: str, size: int = LEAF_CHARS) -> tuple[str, int]:
         """The text after the edit, and how many characters were encoded for it."""
         at = min(max(at, 0), len(text))
         removed = min(max(removed, 0), len(text) - at)
@@ -82,10 +100,14 @@ class TokenTree:
         right, begin = self.find(at + removed)
         end = begin + self.chars[right]
         region = text[first:at] + inserted + text[at + removed : end]
-        self.put(left, len(region), len(token_ids(path, region)))
+        leaves = leaves_of(region, size) if len(region) > 2 * size else [region]
+        sizes = [(len(x), len(token_ids(path, x))) for x in leaves]
+        self.put(left, len(region), sum(t for _, t in sizes))
         for leaf in range(left + 1, right + 1):
             if self.chars[leaf]:
                 self.put(leaf, 0, 0)
+        if len(sizes) > 1:
+            self.part(left, sizes)
         return text[:first] + region + text[end:], len(region)
 
 
@@ -121,7 +143,7 @@ def token_trees(docs: DataFrame, tokenizer: str, leaf_chars: int = LEAF_CHARS) -
     return _mapped(docs, f"n_tokens long, tree {_TREE}", make)
 
 
-def edited(trees: DataFrame, tokenizer: str, edits: str = "edits") -> DataFrame:
+def edited(trees: DataFrame, tokenizer: str, edits: str = "edits", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """trees after the edits in a column of type EDITS: text, tree and n_tokens are those behind the last edit.
 
     A document's edits apply in order; at counts characters of the text as it then is, and is taken to the nearest end
@@ -134,7 +156,7 @@ def edited(trees: DataFrame, tokenizer: str, edits: str = "edits") -> DataFrame:
         for text, tree, changes in zip(*(batch.column(n).to_pylist() for n in ("text", "tree", edits))):
             own, done = TokenTree(tree["chars"], tree["tokens"]), 0
             for x in changes or ():
-                text, n = own.edit(tokenizer, text or "", x["at"] or 0, x["removed"] or 0, x["inserted"] or "")
+                text, n = own.edit(tokenizer, text or "", x["at"] or 0, x["removed"] or 0, x["inserted"] or "", leaf_chars)
                 done += n
             texts.append(text)
             counts.append(own.tokens[1])

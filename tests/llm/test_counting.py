@@ -5,6 +5,7 @@ from fixtures import SCHEMA, clashing, edge_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from contrastkit.llm import queries
 from contrastkit.llm.counting import EDITS, TokenTree, edited, token_trees, with_edits
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,3 +50,31 @@ def test_tables(spark):
     assert out[4]["text"] == edge_rows()[4][1] and out[5]["encoded_chars"] == 0 and out[19]["text"] is None
     none = spark.createDataFrame([], SCHEMA).withColumn("edits", F.lit(None).cast(EDITS))
     assert edited(token_trees(none, PATH), PATH).count() == 0
+
+
+def test_grown_leaves_are_parted():
+    """Inserts at one place stay cheap, and texts without spaces are parted where letters, digits and signs meet."""
+    tree, text = TokenTree.build(PATH, "start end", 64), "start end"
+    for k in range(300):
+        text, encoded = tree.edit(PATH, text, 5, 0, f" w{k}", 64)
+        assert encoded < 400
+    assert tree.tokens[1] == count(text) and tree.chars[1] == len(text)
+    solid = ",".join(f"漢字{k}。é{k}x" for k in range(400))
+    assert TokenTree.build(PATH, solid, 64).width > 32
+    draw, tree = random.Random(8), TokenTree.build(PATH, solid, 64)
+    for _ in range(300):
+        text, _ = tree.edit(PATH, solid, draw.randrange(len(solid) + 1), draw.choice([0, 1, 2, 9]), draw.choice(["", "'", "s", "'s", "7", "|>", "<|endoftext|>", " ", "x", "。"]), 64)
+        solid = text
+        assert (tree.tokens[1], tree.chars[1]) == (count(solid), len(solid))
+
+
+def test_query_counts_as_new_encodings_do(spark, sf_dir):
+    got = {r["doc_id"]: r for r in queries.op5_token_counts(spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        text = f"From {r['source'] or 'nowhere'}:\n" + (r["text"] or "")
+        at = len(r["text"] or "") // 2
+        text = text[:at] + " [...] " + text[at + 40 :] + "\nEnd."
+        own = got[r["doc_id"]]
+        assert (own["tokens_before"], own["tokens_after"], own["chars_after"]) == (count(r["text"]), count(text), len(text))
