@@ -32,8 +32,8 @@ LADDERS: dict[str, tuple[float, ...]] = {
 def repeated_words(words: Column) -> Column:
     """How many words lie in windows of three words that the text holds more than once.
 
-    A window's hash and place share one number: sorted, equal windows are neighbours. The place takes as few bits as
-    the text allows.
+    A window's hash and place share one number: sorted, windows whose hashes begin alike are neighbours. The place takes
+    as few bits as the text allows. The whole hashes of such neighbours, few in most texts, then tell which are equal.
     """
 
     def of(w: Column) -> Column:
@@ -41,18 +41,26 @@ def repeated_words(words: Column) -> Column:
         bits = F.length(F.bin(windows.cast("long")))
         mask = F.expr("1L")
 
+        def hashed(i: Column) -> Column:
+            return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+
         def place_bits(b: Column) -> Column:
-            keyed = F.transform(F.sequence(F.lit(0), windows - 1), lambda i: _shifted(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), b).bitwiseOR(i.cast("long")))
+            keyed = F.transform(F.sequence(F.lit(0), windows - 1), lambda i: _shifted(hashed(i), b).bitwiseOR(i.cast("long")))
 
-            def repeated(s: Column) -> Column:
+            def alike(s: Column) -> Column:
                 def same(i: Column, x: Column) -> Column:
                     return _down(F.get(s, i), b) == _down(x, b)
 
                 at = F.filter(s, lambda x, i: same(i + 1, x) | ((i > 0) & same(i - 1, x)))
-                at = F.sort_array(F.transform(at, lambda x: x.bitwiseAND(_shifted(mask, b) - 1)))
+                at = F.transform(at, lambda x: x.bitwiseAND(_shifted(mask, b) - 1))
+                return let(F.array_sort(F.transform(at, lambda p: F.struct(hashed(p.cast("int")).alias("h"), p.alias("p")))), equal)
+
+            def equal(s: Column) -> Column:
+                at = F.filter(s, lambda x, i: (F.get(s, i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])))
+                at = F.sort_array(F.transform(at, lambda x: x["p"]))
                 return let(at, lambda p: F.aggregate(p, F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("sum")), lambda t, x: F.struct(x.alias("last"), (t["sum"] + F.least(F.lit(3).cast("long"), x - t["last"])).alias("sum")))["sum"])
 
-            return let(F.sort_array(keyed), repeated)
+            return let(F.sort_array(keyed), alike)
 
         return let(bits, place_bits)
 

@@ -8,7 +8,7 @@ from contrastkit.llm.queries import QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_gives_the_rows_of_its_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels"):
         db.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     frame = QUERIES[name](spark, sf_dir)
     columns = sorted(frame.columns)
