@@ -47,8 +47,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 def _words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    bare = F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.length(bare) > 0, F.split(bare, " ")).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")  # empty at the ends of some texts
 
 
 def _hashes(words: Column) -> Column:
@@ -120,7 +119,8 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
 
     template is a number in the list, containment the share of its distinct shingles found in the whole text. Texts
     that are null or hold no license have no row; rows of docs that repeat are returned as often. Templates of fewer
-    than SHINGLE words are never found. Other columns of docs are not read.
+    than SHINGLE words are never found, and more than MOST_TEMPLATES are an error, as they are part of the plan. Other
+    columns of docs are not read.
     """
     known = _prepared(docs.sparkSession, templates)
     if not known:
