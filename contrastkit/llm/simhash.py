@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrastkit.llm.common import cut, shuffle_partitions, text_slices, word_spans
+from contrastkit.llm.common import cut, hot_join, shuffle_partitions, text_slices, word_spans
 from contrastkit.llm.components import connected_components
 
 #: Largest shard that one tree takes; larger ones are split on further bits.
@@ -227,16 +227,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, ca
     named = points.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
     named = cut(named.select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    # equal fingerprints may be a third of all rows: those in very many rows are few, and are sent to every task
-    named = named.join(lowest, "root").select("fp", "component_id")
-    named = attach(prints, named)
+    named = hot_join(named, lowest, "root").select("fp", "component_id")
+    named = hot_join(prints, named, "fp")  # equal fingerprints may be a third of all rows
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def attach(rows: DataFrame, named: DataFrame, share: int = 1000) -> DataFrame:
-    """rows with named's columns, joined on fp; a value in more than 1/share of the rows is looked up in a broadcast of under share entries."""
-    total = rows.count()
-    hot = rows.groupBy("fp").count().where(F.col("count") > F.lit(max(64, total // share))).select("fp")
-    many = F.broadcast(hot.join(named, "fp").select("fp", "component_id"))
-    few = rows.join(F.broadcast(hot), "fp", "left_anti").join(named, "fp", "left").select("doc_id", "fp", "component_id")
-    return few.unionByName(rows.join(many, "fp").select("doc_id", "fp", "component_id"))

@@ -14,12 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrastkit.llm.common import cut, text_slices
-from contrastkit.llm.components import connected_components
+from contrastkit.llm.common import cut, hot_join, text_slices
+from contrastkit.llm.components import connected_components, forest
 from contrastkit.llm.simhash import fingerprint_links, majority_bits, shingle_hashes
 
 #: A pair of similarity 0.8 agrees in no band with probability (1 - 0.8 ** 3) ** 16 = 0.00001.
 BANDS, BAND_ROWS = 16, 3
+#: Most texts, and most shingles, in a tile of a bucket, as expected.
+TILE, TILE_SHINGLES = 192, 1 << 21
+_COLUMNS = 1 << 13
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), dtype=np.uint64) | np.uint64(1)
 
 
@@ -90,6 +93,58 @@ def _alike(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFr
     return met.where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
 
+def _shared_counts(a: np.ndarray, of_a: np.ndarray, rows_a: int, b: np.ndarray, of_b: np.ndarray, rows_b: int) -> np.ndarray:
+    """How many hashes each text of one side shares with each of the other, by products of 0-1 matrices."""
+    both = np.intersect1d(a, b)
+    out = np.zeros((rows_a, rows_b), np.float32)
+    place_a, place_b = np.searchsorted(both, a), np.searchsorted(both, b)
+    known_a = both[np.minimum(place_a, len(both) - 1)] == a if len(both) else np.zeros(len(a), bool)
+    known_b = both[np.minimum(place_b, len(both) - 1)] == b if len(both) else np.zeros(len(b), bool)
+    for low in range(0, len(both), _COLUMNS):
+        sides = []
+        for place, of, rows, known in ((place_a, of_a, rows_a, known_a), (place_b, of_b, rows_b, known_b)):
+            here = known & (place >= low) & (place < low + _COLUMNS)
+            side = np.zeros((rows, min(_COLUMNS, len(both) - low)), np.float32)
+            side[of[here], place[here] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _tile_links(members: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """(a, b): links of the least similarity between members (bucket, doc, n, root) of a bucket with different roots,
+    enough of them to join whatever all such links would. A text goes to as many pairs of tiles as its bucket has tiles."""
+    named = members.select(F.col("doc").alias("doc_id")).distinct()
+    sets = cut(_shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id", "left_semi"), size).dropDuplicates(["doc"]), "shingles")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TILE * 0.75), F.sum("n") / F.lit(TILE_SHINGLES * 0.75))).cast("long")
+    sizes = members.groupBy("bucket").agg(parts.alias("parts"))
+    placed = hot_join(members, sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    # a text is sent to its own tile and to the pairs of it with every other
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))
+    sent = placed.select("bucket", "doc", "root", "part", F.explode(others).alias("x")).select(F.xxhash64("bucket", "x.p", "x.q").alias("pair"), (F.col("part") != F.col("x.p")).cast("int").alias("side"), "doc", "root")
+    sent = sent.join(sets, "doc")
+
+    def half(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        lists = rows.column("shingles").combine_chunks()
+        n = np.asarray(lists.value_lengths()).astype(np.int64)
+        return rows.column("doc").to_numpy(), rows.column("root").to_numpy(), n, lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+
+    def run(pair: pa.Table) -> pa.Table:
+        side = pair.column("side").to_numpy()
+        one = half(pair.filter(pa.array(side == 0)))
+        two = half(pair.filter(pa.array(side == 1))) if (side == 1).any() else one
+        shared = _shared_counts(one[3], one[4], len(one[0]), two[3], two[4], len(two[0])).astype(np.float64)
+        linked = shared >= least * (one[2][:, None] + two[2][None, :] - shared) - 1e-9
+        linked &= one[1][:, None] != two[1][None, :]
+        i, j = np.nonzero(linked)
+        # one link for each pair of groups joins them
+        _, first = np.unique(np.stack([one[1][i], two[1][j]], axis=1), axis=0, return_index=True)
+        edges = forest(one[1][i[first]], two[1][j[first]])
+        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
+
+    return sent.groupBy("pair").applyInArrow(run, "a long, b long")
+
+
 def _sized(pairs: DataFrame, least: float) -> DataFrame:
     """(a, b) once each, a < b, without pairs whose sizes alone rule out the least similarity."""
     able = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9
@@ -101,14 +156,16 @@ def first_of_similar(docs: DataFrame, shingle_words: int = 5, least: float = 0.8
 
     doc_id is never null, and rows that share one share their text. Texts without words are one group.
 
-    A bucket's members are first compared with its smallest one; whatever then still lies in different groups of a
-    bucket is compared pair by pair, so every retrieved pair is either compared or already in one group.
+    A bucket's members are first compared with its smallest one. What then still lies in different groups of a bucket is
+    compared by tiles of it, all in a pair of tiles at once, and only links that join groups come out. So every
+    retrieved pair is either compared or already in one group.
     """
     sketched = cut(_sketches(docs, shingle_words), "sketches")
     points = sketched.groupBy("whole", "n").agg(F.min(F.struct("doc", "fp", "bands")).alias("s"))
     points = cut(points.select("s.doc", "s.fp", "n", "s.bands").where("doc is not null"), "points")
     banded = points.select("doc", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("s"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # a large bucket is a skewed key here, which adaptive execution splits
     banded = cut(banded.join(shared.select("bucket", F.col("s.doc").alias("head"), F.col("s.n").alias("head_n")), "bucket"), "buckets")
     stars = banded.select(F.col("head").alias("a"), F.col("doc").alias("b"), F.col("head_n").alias("na"), F.col("n").alias("nb"))
     # a print stands for its smallest text, with which others of that print are compared
@@ -121,11 +178,8 @@ def first_of_similar(docs: DataFrame, shingle_words: int = 5, least: float = 0.8
     parts = cut(connected_components(links), "components")
     rooted = banded.select("bucket", "doc", "n").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("root", "doc").alias("root"))
     split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    rooted = cut(rooted.join(split, "bucket", "left_semi"), "split")
-    left, right = (rooted.select("bucket", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    crossed = left.join(right, "bucket").where("a < b and ra <> rb")
-    rest = cut(_sized(crossed, least).join(tried, ["a", "b"], "left_anti"), "rest")
-    found = cut(_alike(rest, docs, shingle_words, least), "found")
+    rooted = cut(hot_join(rooted, split, "bucket"), "split")
+    found = cut(_tile_links(rooted, docs, shingle_words, least), "found")
     if found.limit(1).count():
         parts = cut(connected_components(links.union(found)), "components")
     return points.join(parts.where("node <> root").select(F.col("node").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("doc_id"))

@@ -54,3 +54,19 @@ def test_stage_drops_every_copy_of_similarity_four_fifths(spark, sf_dir):
     assert 40 < len(wanted) < len(rows)
     got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir)
     assert sorted(r["doc_id"] for r in got.collect()) == wanted
+
+
+def test_a_large_group_of_near_copies(spark, sf_dir, monkeypatch):
+    """Copies of a text that is not there, a few words apart: most pairs fall just short, and all are retrieved."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(60)], []
+    for k in range(260):
+        own = list(base)
+        for place in draw.sample(range(60), draw.choice([1, 1, 2])):
+            own[place] = word()
+        rows.append((k, " ".join(own), "en", "src", 1))
+    wanted = first_of_groups(rows, 0.8)
+    assert 1 < len(wanted) < 200
+    got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir)
+    assert sorted(r["doc_id"] for r in got.collect()) == wanted
