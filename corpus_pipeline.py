@@ -15,8 +15,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrastkit.llm.common import cut, row_key
-from contrastkit.llm.langid import UNDETERMINED, identify_languages
+from contrastkit.llm.common import cut, own_names, row_key
+from contrastkit.llm.langid import UNDETERMINED, held_out, identify_languages
 from contrastkit.llm.lines import deduplicated_lines
 from contrastkit.llm.mixing import mixed_documents
 from contrastkit.llm.packing import Capacity, best_fit_packing
@@ -30,8 +30,11 @@ LEAST_SIMILARITY = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify_languages(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    sure = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    if not docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).limit(1).count():
+        sure = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))  # nothing to learn from: a text with letters stays
+    predicted = F.nullif(F.col("lang_pred"), F.lit(UNDETERMINED))
+    return identify_languages(docs).where(sure).withColumn("lang", F.coalesce("lang", predicted)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +43,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("_key", row_key(docs))
-    kept = first_of_similar(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE_WORDS, LEAST_SIMILARITY, RADIUS).withColumnRenamed("doc_id", "_key")
-    one = keyed.join(kept, "_key", "left_semi")
-    if one.groupBy("_key").count().where("count > 1").limit(1).count():  # rows with one doc_id and text
-        one = one.dropDuplicates(["_key"])
+    (key,) = own_names(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    kept = first_of_similar(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, LEAST_SIMILARITY, RADIUS).withColumnRenamed("doc_id", key)
+    one = keyed.join(kept, key, "left_semi")
+    if one.groupBy(key).count().where("count > 1").limit(1).count():  # rows with one doc_id and text
+        one = one.dropDuplicates([key])
     return one.select(*docs.columns)
 
 
