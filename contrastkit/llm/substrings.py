@@ -4,6 +4,9 @@ D is a perfect difference set modulo PERIOD: for any two positions i and j some
 So two equal windows share an anchor (the words from a position in D on, window - PERIOD + 1 of them) at the same
 place in both. Anchors are hashed at positions in D only; those found more than once are extended to every window
 that holds them, and a window counts as repeated when its own 128-bit hash is found more than once.
+
+Hashes are counted by a shuffle, in which a passage of very many texts would be a hot key. Those are known beforehand:
+what is found more than once in a sample of the texts is repeated in all of them, so it need not be counted.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,27 +86,62 @@ def _once(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, many
 
 
-def _emit(keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, other: np.ndarray | None, known: np.ndarray) -> pa.RecordBatch:
-    """Rows to be counted by hash. What is known to be repeated is sent once under its hash and otherwise under a hash
-    of its own place, so that no hash brings more than one row from a slice to a task."""
+def _emit(keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, other: np.ndarray, known: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    """Rows to be counted by hash. What is known to be repeated is sent once under its hash and otherwise, or if it is hot,
+    under a hash of its own place, so that no hash brings more than one row from a slice to a task, nor a hot one any."""
     first, many = _once(hashes)
-    spread = ~first
+    spread = ~first | hot
     sent = hashes.copy()
     sent[spread] = _mixed(keys[spread].astype(np.uint64) * np.uint64(_ODD) + at[spread].astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    note = at.astype(np.int64) * 2 + (many | known)
-    columns = [pa.array(sent.view(np.int64)), pa.array(keys), pa.array(note)]
-    names = ["h", "key", "note"]
-    if other is not None:
-        columns.append(pa.array(np.where(spread, np.uint64(0), other).view(np.int64)))
-        names.append("h2")
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    note = at.astype(np.int64) * 2 + (many | known | hot)
+    columns = [pa.array(sent.view(np.int64)), pa.array(keys), pa.array(note), pa.array(np.where(spread, np.uint64(0), other).view(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "key", "note", "h2"])
+
+
+class _Hot:
+    """Hashes known to be repeated, sorted, and for whole texts the key of the copy that speaks for all."""
+
+    def __init__(self, h: np.ndarray, h2: np.ndarray, lead: np.ndarray) -> None:
+        order = np.argsort(h)
+        self.h, self.h2, self.lead = h[order], h2[order], lead[order]
+
+    def find(self, h: np.ndarray, h2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are hot, and the lead of each that is."""
+        if not len(self.h):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        place = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        found = self.h[place] == h
+        if h2 is not None:
+            found &= self.h2[place] == h2
+        return found, self.lead[place]
+
+
+#: One in SAMPLED texts is looked at for hot hashes; hot are those in OFTEN of its rows, and in more than one in SHARE.
+SAMPLED, OFTEN, SHARE = 64, 32, 50_000
+_NONE = _Hot(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64)))
+
+
+def _hot(rows: DataFrame) -> _Hot:
+    """The hot hashes of rows (h, key, note, h2) of a sample: under SHARE of them. They only spare counting; what is
+    repeated is the same without them."""
+    counted = rows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead"))
+    counted = cut(counted, "sample")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    found = counted.where(F.col("n") >= max(OFTEN, total // SHARE)).toArrow()
+    h, h2, lead = (found.column(c).to_numpy().astype(np.int64) for c in ("h", "h2", "lead"))
+    return _Hot(h.view(np.uint64), h2.view(np.uint64), lead)
+
+
+def _sample(rows: DataFrame) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(SAMPLED)) == 0)
 
 
 #: Places that stand for a whole text: a copy known from its slice, one to be counted, and the copy that speaks for all.
 COPY, WHOLE, LEAD = (1 << 40) - 3, (1 << 40) - 2, (1 << 40) - 1
 
 
-def _anchors(texts: DataFrame, window: int, period: int) -> DataFrame:
+def _anchors(texts: DataFrame, window: int, period: int, hot: _Hot = _NONE) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(hot)
     cover = np.zeros(period, bool)
     cover[list(COVERS[period])] = True
     length = window - period + 1
@@ -122,21 +162,27 @@ def _anchors(texts: DataFrame, window: int, period: int) -> DataFrame:
                     continue
                 spans = (roll.sums[begin[long] + count[long]] - roll.sums[begin[long]]) * roll.back[begin[long]]
                 whole = _mixed(spans ^ count[long].astype(np.uint64) * np.uint64(_ODD))
+                raw = data.tobytes()  # the spans as they are written, so that no two texts are one by a hash of 64 bits
+                written = np.array([xxhash.xxh64_intdigest(raw[x:y], 7) for x, y in zip(start[begin[long]].tolist(), end[begin[long] + count[long] - 1].tolist())], np.uint64)
                 first, _ = _once(whole)
-                yield _emit(own[long], np.where(first, WHOLE, COPY), whole, None, np.zeros(len(long), bool))
+                known, lead = sent.value.find(whole, written)
+                speaks = known & (own[long] == lead)
+                at = np.where(known, np.where(speaks, LEAD, COPY), np.where(first, WHOLE, COPY))
+                yield _emit(own[long], at, whole, written, np.zeros(len(long), bool), known)
                 sends = np.zeros(b - a, bool)
-                sends[long[first]] = True
+                sends[long[np.where(known, speaks, first)]] = True
                 position = np.arange(len(row)) - begin[row]
                 take = np.flatnonzero(sends[row] & cover[position % period] & (position + length <= count[row]))
                 if len(take):
-                    yield _emit(own[row[take]], position[take], roll.at(take, length), None, np.zeros(len(take), bool))
+                    hashes, none = roll.at(take, length), np.zeros(len(take), bool)
+                    yield _emit(own[row[take]], position[take], hashes, np.zeros(len(take), np.uint64), none, sent.value.find(hashes)[0])
 
-    return texts.mapInArrow(run, "h long, key long, note long")
+    return texts.mapInArrow(run, "h long, key long, note long, h2 long")
 
 
 def _repeated_anchors(anchors: DataFrame) -> DataFrame:
     """(key, at): per row, the places of its repeated anchors; COPY or WHOLE for a copied text, LEAD for the copy that speaks for all."""
-    same = Window.partitionBy("h")
+    same = Window.partitionBy("h", "h2")
     place = F.shiftright("note", 1)
     return (
         anchors.withColumn("n", F.count(F.lit(1)).over(same) + F.max(F.col("note").bitwiseAND(1)).over(same))
@@ -151,11 +197,13 @@ def _repeated_anchors(anchors: DataFrame) -> DataFrame:
 def _spread(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """(row, value) of a list column; null lists hold nothing."""
     lists = batch.column(name)
-    row = pa.compute.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    return row.astype(np.int64), pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    return row.astype(np.int64), pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
+def _windows(joined: DataFrame, window: int, period: int, hot: _Hot = _NONE) -> DataFrame:
+    sent = joined.sparkSession.sparkContext.broadcast(hot)
 
-def _windows(joined: DataFrame, window: int, period: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -184,7 +232,7 @@ def _windows(joined: DataFrame, window: int, period: int) -> DataFrame:
                 if not len(take):
                     continue
                 h, h2 = (_Rolling(data, start, end, k).at(take, window) for k in (0, 1))
-                yield _emit(keys[a:b][row[take]], position[take], h, h2, speaks[row[take]])
+                yield _emit(keys[a:b][row[take]], position[take], h, h2, speaks[row[take]], sent.value.find(h, h2)[0])
 
     return joined.mapInArrow(run, "h long, key long, note long, h2 long")
 
@@ -208,9 +256,11 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, period: int = 21, kee
     """
     texts = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     # each step is written, so that its shuffle is gone before the next
-    repeated = cut(_repeated_anchors(_anchors(texts, window, period)), "anchors")
+    hot = _hot(_anchors(_sample(texts), window, period))
+    repeated = cut(_repeated_anchors(_anchors(texts, window, period, hot)), "anchors")
+    hot = _hot(_windows(_sample(texts).join(_sample(repeated).hint("shuffle_hash"), "key"), window, period))
     joined = texts.join(repeated.hint("shuffle_hash"), "key")
-    repeated_windows = cut(_repeated_windows(_windows(joined, window, period)), "windows")
+    repeated_windows = cut(_repeated_windows(_windows(joined, window, period, hot)), "windows")
     marks = repeated.select("key", F.array_max("at").alias("mark")).where(F.col("mark") >= COPY)
     final = texts.join(repeated_windows.hint("shuffle_hash"), "key", "left").join(marks.hint("shuffle_hash"), "key", "left")
 

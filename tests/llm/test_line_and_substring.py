@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from fixtures import SCHEMA, WORD, clashing, edge_rows, lowered
 
+from contrastkit.llm import substrings
 from contrastkit.llm.lines import deduplicated_lines
 from contrastkit.llm.substrings import removed_repeats
 
@@ -36,6 +37,16 @@ def test_lines_in_levels(spark):
     assert deduplicated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_long_text_of_lines_that_all_go(spark):
+    """Places are left out at once, not line by line; no run stays in the catalog."""
+    long = "\n".join(f"line number {k}" for k in range(60000))
+    rows = [(1, long, "en", "s", 1), (2, long, "en", "s", 1), (3, "line number 7\nanother line", "en", "s", 1)]
+    before = len(spark.catalog.listTables())
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in deduplicated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (60000, 0, long), 2: (60000, 60000, ""), 3: (2, 1, "another line")}
+    assert len(spark.catalog.listTables()) == before
+
+
 def expected_repeats(rows, window):
     words = [WORD.findall(t or "") for _, t, *_ in rows]
     seen = defaultdict(int)
@@ -60,6 +71,16 @@ def test_repeats(spark):
     assert removed_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_hot_hashes_need_no_counting(spark, monkeypatch):
+    """With every repeated hash of the sample taken for a hot one, and all texts in the sample, results are the same."""
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    monkeypatch.setattr(substrings, "OFTEN", 2)
+    passage = " ".join(f"w{k}" for k in range(50))
+    rows = edge_rows() + [(500 + k, f"{k} start {passage} end {k}", "en", "s", 1) for k in range(40)] + [(700 + k, f"a whole text {passage} of many copies", "en", "s", 1) for k in range(30)]
+    got = [tuple(r)[:4] for r in removed_repeats(spark.createDataFrame(rows, SCHEMA).repartition(9)).collect()]
+    assert sorted(got, key=repr) == sorted(expected_repeats(rows, 35), key=repr)
+
+
 def test_repeats_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
