@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+from contrastkit.llm.filters import FILTERS
 from contrastkit.llm.licenses import LEAST, TEMPLATES
 from contrastkit.llm.quality import LADDERS
 
@@ -23,6 +26,8 @@ _RULES = " union all ".join(f"select doc_id, lang, base_failed, '{name}' as rule
 _RISK, _LEVEL, _LIFT = 0.02, 0.05, 10.0
 _P = _RISK / len(LADDERS)
 
+_ORDERS = ", ".join(f"('{''.join(o)}')" for o in permutations(FILTERS))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": f"""with templates as (select * from (values {_TEMPLATES}) t(template, license, text)), own as ({_SHINGLES.format(key="template", text="text", source="templates")}),
         met as ({_SHINGLES.format(key="doc_id", text="text", source="documents")}), size as (select template, count(*) as n from own group by 1)
@@ -58,4 +63,15 @@ ORACLE_SQL: dict[str, str] = {
         owners as (select k, min(doc_id) as owner from lines where length(k) >= 10 group by 1 having count(distinct doc_id) > 1)
         select doc_id, count(*) as n_lines, count(*) filter (owner <> doc_id) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by p) filter (owner is null or owner = doc_id), '')) as kept_sha256
         from lines left join owners on lines.k = owners.k group by 1""",
+    "op11_filter_audit": f"""with words as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_SPACE}') as w from documents),
+        good as (select doc_id, coalesce(max((quality = 1)::int), 0) as good, coalesce(max((toxic = 1)::int), 0) as toxic from labels where doc_id is not null group by 1),
+        failed as (select d.doc_id, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+            coalesce(d.doc_id > min(d.doc_id) over (partition by t), false)] as f from words d left join good g on g.doc_id = d.doc_id),
+        masks as (select part, f, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by 1, 2),
+        orders as (select o, unnest(range(1, 6)) as step from (values {_ORDERS}) t(o)),
+        steps as (select o, step, strpos('{FILTERS}', o[step]) as own, list_transform(range(1, step), lambda i: strpos('{FILTERS}', o[i])) as earlier from orders),
+        told as (select part, o as filter_order, step, own, n, good, toxic, f[own] as fails, len(list_filter(earlier, lambda k: f[k])) > 0 as gone, len(list_filter(f, lambda x: x)) as fails_all from masks, steps),
+        rows as (select part, filter_order, step, own, sum(n) filter (not fails and not gone) as kept, sum(n) filter (fails and not gone) as removed, sum(n) filter (fails and gone) as redundant, sum(n) filter (fails and fails_all = 1) as unique_fails,
+            sum(good) filter (fails and not gone) as good_lost, sum(toxic) filter (fails and not gone) as toxic_lost from told group by 1, 2, 3, 4)
+        select part, filter_order, cast(step as integer) as step, {", ".join(f"cast(coalesce({c}, 0) as bigint) as {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, cast(coalesce(sum(removed) over (partition by part, own), 0) as bigint) as shapley from rows""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contrastkit.llm.counting import EDITS, edited, token_trees
 from contrastkit.llm.embeddings import embedding_near_duplicates
+from contrastkit.llm.filters import filter_audit
 from contrastkit.llm.langid import identify_languages
 from contrastkit.llm.licenses import license_scan
 from contrastkit.llm.lines import deduplicated_lines
@@ -80,6 +81,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_quality_rules,
         op10_language_id,
+        op11_filter_audit,
     )
 }
