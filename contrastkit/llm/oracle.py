@@ -28,6 +28,11 @@ _P = _RISK / len(LADDERS)
 
 _ORDERS = ", ".join(f"('{''.join(o)}')" for o in permutations(FILTERS))
 
+_CLUSTERS, _ROUNDS = 8, 10
+_ASSIGNED = "a{n} as materialized (select i, any_value(x) as x, min(struct_pack(d := cast(xx - 2 * list_inner_product(x, c) + list_inner_product(c, c) as bigint), k := k)) as m from kept, c{n} group by i)"
+_MOVED = """c{m} as materialized (select o.k, coalesce(n.c, o.c) as c from c{n} o left join (select k, list(floor(s / n) order by p) as c from
+            (select m.k as k, p, sum(v) as s, count(*) as n from (select m, unnest(x) as v, unnest(range(64)) as p from a{n}) group by 1, 2) group by 1) n on n.k = o.k)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": f"""with templates as (select * from (values {_TEMPLATES}) t(template, license, text)), own as ({_SHINGLES.format(key="template", text="text", source="templates")}),
         met as ({_SHINGLES.format(key="doc_id", text="text", source="documents")}), size as (select template, count(*) as n from own group by 1)
@@ -74,4 +79,10 @@ ORACLE_SQL: dict[str, str] = {
         rows as (select part, filter_order, step, own, sum(n) filter (not fails and not gone) as kept, sum(n) filter (fails and not gone) as removed, sum(n) filter (fails and gone) as redundant, sum(n) filter (fails and fails_all = 1) as unique_fails,
             sum(good) filter (fails and not gone) as good_lost, sum(toxic) filter (fails and not gone) as toxic_lost from told group by 1, 2, 3, 4)
         select part, filter_order, cast(step as integer) as step, {", ".join(f"cast(coalesce({c}, 0) as bigint) as {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, cast(coalesce(sum(removed) over (partition by part, own), 0) as bigint) as shapley from rows""",
+    "op12_centroid_clusters": f"""with kept as materialized (select *, list_inner_product(x, x) as xx from (select vec_id, row_number() over () as i, list_transform(embedding, lambda v: floor(1024 * v::double)) as x
+            from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0)),
+        c0 as materialized (select row_number() over (order by sha256('3:' || vec_id) nulls last, x) - 1 as k, x as c from kept qualify k < {_CLUSTERS}),
+        {", ".join(_ASSIGNED.format(n=n) + ", " + _MOVED.format(n=n, m=n + 1) for n in range(_ROUNDS))}, {_ASSIGNED.format(n=_ROUNDS)}
+        select vec_id, cast(m.k as integer) as cluster, m.d as distance, cast(sum(m.d) over (partition by m.k) as bigint) as cluster_inertia, cast(sum(m.d) over () as bigint) as inertia,
+            sha256(array_to_string(list_transform(c, lambda v: cast(v as bigint)), ',')) as centroid_sha256 from a{_ROUNDS} a join kept on kept.i = a.i join c{_ROUNDS} c on c.k = m.k""",
 }
