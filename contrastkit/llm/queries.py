@@ -18,6 +18,7 @@ from contrastkit.llm.lines import deduplicated_lines
 from contrastkit.llm.mixing import mixed_sources
 from contrastkit.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from contrastkit.llm.packing import Capacity, best_fit_packing
+from contrastkit.llm.pairs import decoded, encoded
 from contrastkit.llm.quality import quality_rules
 from contrastkit.llm.simhash import near_duplicates
 from contrastkit.llm.substrings import removed_repeats
@@ -90,6 +91,14 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed="3")
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents, as counts and digests."""
+    out = decoded(encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer()).drop("text"), tokenizer())
+    listed = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), digest(listed).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language_id,
         op11_filter_audit,
         op12_centroid_clusters,
+        op13_bpe_round_trip,
     )
 }
