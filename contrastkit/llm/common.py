@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrastkit.session import cut as cut
+from contrastkit.session import forget as forget
 from contrastkit.session import scratch_dir as scratch_dir
 from contrastkit.session import spread as spread
 

@@ -26,10 +26,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if not loose.union(hung).limit(1).count():
             break
         large = now.join(lowest.select(F.col("v").alias("u"), "m"), "u", "left").select("v", F.coalesce("m", "u").alias("u"))
-        large = cut(large.distinct(), "large-star")
+        large, before = cut(large.distinct(), "large-star"), now
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        now = cut(small.union(least.select("v", F.col("m").alias("u"))).distinct(), "small-star")
+        now = cut(small.union(least.select("v", F.col("m").alias("u"))).distinct(), "small-star", instead_of=[large, before])
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))

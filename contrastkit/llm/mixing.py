@@ -3,8 +3,8 @@
 Of all rates r between 0 and `most` whose words meet a source's target, those nearest to 1 in relative entropy are
 r = min(most, exp(lambda * size / mean size)): each source's lambda solves one convex dual. A document's rate depends
 on its source and size only, so the steps run on a histogram of sizes. Rates become whole copies: first by cumulated
-rounding from the largest documents down, which leaves an error of half a document at most, then by single copies whose
-size is nearest to what is missing. All sums are of whole numbers, so reruns agree.
+rounding from the largest documents down, which leaves an error of half a document at most, then by corrections from the
+largest size that fits downwards, many copies at once. All sums are of whole numbers, so reruns agree.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrastkit.llm.common import cut, own_names, words_of
+from contrastkit.llm.common import cut, forget, own_names, words_of
 from contrastkit.operators.ordered import running
 
 #: Documents of one source and size that are ranked together, as expected where one source and size hold them all.
@@ -62,7 +62,8 @@ def _whole(x: Column) -> Column:
 def dual_lambdas(histogram: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     """(key, mean, full, lam): each source's solution. histogram: (key, size, n); sizes of 0 have no say.
 
-    full: the target is all that the cap allows. Each step is one aggregation; a step out of the bracket halves it.
+    full: the target is all that the cap allows. Each step is one aggregation; a step out of the bracket halves it. A dual
+    that has not settled in 200 steps is an error; the bracket alone settles it in fewer.
     """
     sized = histogram.where("size > 0")
     sums = sized.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
@@ -81,7 +82,7 @@ def dual_lambdas(histogram: DataFrame, targets: DataFrame, most: float) -> DataF
         rated = sized.join(state.where(~F.col("done")), "key").withColumn("r", _rate(most)).withColumn("words", F.col("r") * F.col("size") * F.col("n"))
         slope = F.when(F.col("r") < most, F.col("words") * F.col("size") / F.col("mean")).otherwise(0.0)
         sums = rated.groupBy("key").agg(_whole(F.col("words")).alias("f"), _whole(slope).alias("df"))
-        joined = state.join(sums, "key", "left")
+        joined_from, joined = state, state.join(sums, "key", "left")
         over = F.col("f") > F.col("target")
         low, high = F.when(over, F.col("low")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("high"))
         # Newton on the logarithm of the words, which is nearly straight
@@ -99,7 +100,7 @@ def dual_lambdas(histogram: DataFrame, targets: DataFrame, most: float) -> DataF
             F.when(fresh, high).otherwise(F.col("high")).alias("high"),
             (F.col("done") | F.coalesce(met, F.lit(True))).alias("done"),
         )
-        state = cut(state, "dual")
+        state = cut(state, "dual", instead_of=[joined_from])
     raise RuntimeError(f"rates did not settle in {_NEWTON_STEPS} steps")
 
 
@@ -112,18 +113,35 @@ def rounded_copies(histogram: DataFrame, lambdas: DataFrame, targets: DataFrame,
     limit = F.col("n") * most
     plan = rated.withColumn("copies", F.least(limit, F.greatest(F.lit(0), (F.col("upto") - before).cast("long"))))
     plan = cut(plan.select("key", "size", "n", "copies"), "copies")
-    while True:  # each round brings what a source misses nearer to nothing, until no single copy does
-        taken = plan.groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
-        missing = targets.select("key", "target").join(taken, "key").select("key", "target", (F.col("target") - F.col("taken")).alias("missing"))
-        able = F.when(F.col("missing") > 0, F.col("copies") < F.col("n") * most).otherwise(F.col("copies") > 0)
-        far = F.abs(F.abs(F.col("missing")) - F.col("size"))
-        choice = plan.where("size > 0").join(missing.where(F.abs("missing") > _FINE * F.col("target")), "key").where(able & (far < F.abs("missing")))
-        choice = choice.groupBy("key").agg(F.min(F.struct(far.alias("far"), F.col("size"), F.signum("missing").cast("long").alias("change"))).alias("c"))
-        choice = cut(choice.select("key", "c.size", "c.change"), "choice")
-        if not choice.limit(1).count():
+    while True:
+        changed = cut(_corrected(plan, targets, most), "corrections")
+        if not changed.where("change <> 0").limit(1).count():
+            forget(changed)
             return plan
-        changed = plan.join(choice, ["key", "size"], "left")
-        plan = cut(changed.select("key", "size", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), "copies")
+        plan = cut(changed.select("key", "size", "n", (F.col("copies") + F.col("change")).alias("copies")), "copies", instead_of=[plan, changed])
+
+
+def _corrected(plan: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """plan with change: copies to add or take away, by which a source comes nearer to its target.
+
+    Sizes up to what is missing are used from the largest down, each with as many copies as there are and as still fit,
+    up to the first that has more; what is missing then is less than half of what was left for that size. So rounds are
+    as the logarithm of what is missing. If no size fits, one copy of the nearest size, where it takes a tenth at least.
+    """
+    taken = plan.groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    missing = targets.select("key", "target").join(taken, "key").select("key", "target", (F.col("target") - F.col("taken")).alias("missing"))
+    gap, size = F.abs("missing"), F.col("size")
+    open_ = (size > 0) & (gap > _FINE * F.col("target"))
+    able = F.when(~open_, 0).when(F.col("missing") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies"))
+    down = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    tried = plan.join(missing, "key").withColumn("able", able).withColumn("room", F.when(size <= gap, F.col("able") * size).otherwise(0))
+    left = gap - (F.sum("room").over(down) - F.col("room"))
+    tried = tried.withColumn("many", F.when((F.col("room") > 0) & (left >= size), F.least("able", F.floor(left / size))).otherwise(0))
+    far = F.abs(gap - size)
+    single = F.when((F.col("able") > 0) & (far < gap * 0.9), F.struct(far.alias("far"), size.alias("size")))
+    whole = Window.partitionBy("key")
+    change = F.when(F.sum("many").over(whole) > 0, F.col("many")).when(F.min(single).over(whole)["size"] == size, 1).otherwise(0)
+    return tried.select("key", "size", "n", "copies", (change * F.signum("missing")).cast("long").alias("change"))
 
 
 def mixed_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 from fixtures import SCHEMA, WORD, clashing, edge_docs, edge_rows
 
+from contrastkit.llm import mixing
 from contrastkit.llm.mixing import mixed_documents, mixed_sources
 
 
@@ -66,3 +67,21 @@ def test_rows_come_as_often_as_taken(spark):
         wanted[(r["doc_id"], r["source"], r["size"])] += r["copies"]
     got = Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in mixed_documents(docs).collect())
     assert got == Counter({k: v for k, v in wanted.items() if v})
+
+
+@pytest.mark.parametrize("words", [300, 100000])
+def test_one_book_beside_single_words(spark, monkeypatch, words):
+    """What rounding a large document leaves is made up by many small ones, in rounds as the logarithm of it."""
+    histogram = spark.createDataFrame([("=A", words, 1), ("=A", 1, words), ("=B", 1, int(2.9 * words))], "key string, size long, n long")
+    sources = spark.createDataFrame([("=A", "A", 2 * words), ("=B", "B", int(2.9 * words))], "key string, source string, source_size long")
+    targets = mixing.source_targets(sources, (5.0, 2.0), 3.0)
+    rounds, plain = [], mixing._corrected
+    monkeypatch.setattr(mixing, "_corrected", lambda *a: rounds.append(1) or plain(*a))
+    plan = mixing.rounded_copies(histogram, mixing.dual_lambdas(histogram, targets, 3.0), targets, 3).collect()
+    wanted = {r["key"]: r["target"] for r in targets.collect()}
+    taken = defaultdict(int)
+    for r in plan:
+        assert 0 <= r["copies"] <= 3 * r["n"]
+        taken[r["key"]] += r["copies"] * r["size"]
+    assert all(abs(taken[k] - t) <= 0.0005 * t + 1 for k, t in wanted.items())
+    assert len(rounds) < 10
