@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +36,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared scratch folder and read it back: the result survives lost executors and has no lineage."""
+def cut(df: DataFrame, name: str = "step", instead_of: Sequence[DataFrame] = ()) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: the result survives lost executors and has no lineage.
+
+    instead_of: tables that cut gave before and that nothing but df reads; their files go when df is written.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
@@ -45,7 +49,20 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    forget(*instead_of)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut gave; other frames are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("_scratch", None)
+        if path:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
