@@ -13,7 +13,7 @@ from contrastkit.functions import numeric, text
 from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, metrics, ordered, resample
 from contrastkit.plans import checks, views
 from contrastkit.session import scratch_dir
-from contrastkit.sources import report, tables
+from contrastkit.sources import fetch, report, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,6 +258,17 @@ def _jn4(spark, sf_dir):
     return tables.to_fetch(tables.distinct_ids(rows, "ident", "row_id"), manifest)
 
 
+@_query("src7_fetched_pages", "id first second bytes:l page", "select page_id::varchar as id, case when page_id % 50 = 7 then 'url_error' else 'ok' end as first, case when page_id % 50 = 7 then 'url_error' else 'cached' end as second, case when page_id % 50 = 7 then 0 else strlen(html) end as bytes, case when page_id % 50 <> 7 then md5(html) end as page from pages")
+def _src7(spark, sf_dir):
+    """Two runs over all pages, whose addresses hold them, as the tests' machines have no network; some addresses are broken."""
+    pages, folder = spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{scratch_dir(spark)}/fetched-{uuid.uuid4().hex}"
+    link = F.when(F.col("page_id") % 50 == 7, "nowhere:7").otherwise(F.concat(F.lit("data:text/html;base64,"), F.base64(F.encode("html", "UTF-8"))))
+    ids = pages.select(F.col("page_id").cast("string").alias("id"), F.col("page_id").alias("place"), link.alias("link"))
+    runs = [fetch.fetch_pages(spark, ids, F.col("link"), folder).select(F.col("adc_id").alias("id"), F.col("status").alias(name), "bytes") for name in ("first", "second")]
+    stored = fetch.stored_pages(spark, folder).select(F.col("key").alias("id"), F.md5(F.encode("page", "UTF-8")).alias("page"))
+    return runs[0].drop("bytes").join(runs[1], "id").join(stored, "id", "left")
+
+
 # --- routing and collapsing
 
 

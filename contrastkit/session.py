@@ -55,14 +55,24 @@ def cut(df: DataFrame, name: str = "step", instead_of: Sequence[DataFrame] = ())
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own writers would take them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of tables that cut gave; other frames are left alone."""
     for table in tables:
         path = table.__dict__.pop("_scratch", None)
         if path:
-            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            system, where = _file_system(table.sparkSession, path)
+            system.delete(where, True)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

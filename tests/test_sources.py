@@ -1,10 +1,14 @@
+import threading
+import time
 import zipfile
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from contrastkit.operators import audit
-from contrastkit.sources import report, tables, xlsx
+from contrastkit.sources import fetch, report, tables, xlsx
 from contrastkit.streaming import ingest
 
 
@@ -46,6 +50,65 @@ def test_fetch_list(spark):
     assert tables.to_fetch(ids, manifest, force=True).count() == 3
 
 
+@pytest.fixture
+def site():
+    """A server of pages by id that remembers what it was asked for and when."""
+    asked, late = [], {"slow"}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            name = self.path.rpartition("/")[2]
+            asked.append((name, time.monotonic(), self.headers["User-Agent"]))
+            if name in late:
+                time.sleep(1.5)
+            self.send_response(404 if name.startswith("no") else 200)
+            self.end_headers()
+            self.wfile.write(b"" if name.startswith(("no", "empty")) else b"<p>\xff" + name.encode() * 3)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/page/", asked, late
+    server.shutdown()
+
+
+def test_fetching_resumes(spark, tmp_path, site):
+    url, asked, late = site
+    folder, manners = str(tmp_path / "pages"), fetch.Manners(delay=0.0, timeout=0.5, agent="me")
+    names = ["a", "b", "no1", "slow", "empty"]
+    ids = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "id string, place int")
+    row = lambda frame: {r["adc_id"]: (r["status"], r["bytes"], r["path"].rpartition("/")[2]) for r in frame.collect()}
+    assert row(fetch.fetch_pages(spark, ids, url, folder, limit=2, manners=manners)) == {"a": ("ok", 7, "run=0"), "b": ("ok", 7, "run=0")}
+    second = fetch.fetch_pages(spark, ids, url, folder, manners=manners)
+    assert row(second) == {"a": ("cached", 7, "run=0"), "b": ("cached", 7, "run=0"), "no1": ("http_404", 0, ""), "slow": ("timeout", 0, ""), "empty": ("ok", 0, "")}
+    assert second.where("adc_id = 'no1'").first()["error"] == "HTTP Error 404: Not Found" and {a for _, _, a in asked} == {"me"}
+    assert Counter(n for n, *_ in asked) == Counter(names)
+    late.clear()
+    assert row(fetch.fetch_pages(spark, ids, url, folder, manners=manners))["slow"] == ("ok", 16, "run=2")
+    assert Counter(n for n, *_ in asked) == Counter(names + ["no1", "slow", "empty"])
+    before = len(asked)
+    have = ids.where("id in ('a', 'slow')")
+    assert {v[0] for v in row(fetch.fetch_pages(spark, have, url, folder, manners=manners)).values()} == {"cached"} and len(asked) == before
+    forced = fetch.fetch_pages(spark, have, url, folder, force=True, manners=manners)
+    assert row(forced) == {"a": ("ok", 7, "run=3"), "slow": ("ok", 16, "run=3")} and len(asked) == before + 2
+    pages = {r["key"]: (r["page"], r["path"].rpartition("/")[2]) for r in fetch.stored_pages(spark, folder).collect()}
+    assert pages == {"a": ("<p>\ufffdaaa", "run=3"), "b": ("<p>\ufffdbbb", "run=0"), "slow": ("<p>\ufffd" + "slow" * 3, "run=3")}
+    gone = fetch.fetch_pages(spark, ids.where("id = 'a'"), "http://127.0.0.1:1/", str(tmp_path / "none"), manners=manners)
+    assert gone.first()["status"] == "url_error" and fetch.stored_pages(spark, str(tmp_path / "none")).count() == 0
+    assert fetch.fetch_pages(spark, ids.limit(0), url, str(tmp_path / "void")).count() == 0
+
+
+def test_a_host_is_asked_at_its_pace(spark, tmp_path, site):
+    url, asked, _ = site
+    manners = fetch.Manners(delay=0.1, lanes=2, tasks=4)
+    ids = spark.range(16).selectExpr("concat('p', id) as id", "id as place")
+    assert fetch.fetch_pages(spark, ids, url, str(tmp_path / "pages"), manners=manners).where("status = 'ok'").count() == 16
+    times = sorted(t for _, t, _ in asked)
+    assert len(times) == 16 and all(b - a > 0.15 for a, b in zip(times, times[2:]))
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("1", 'a "q", b', ""), ("2", "line\nbreak", "z")], "id string, text string, more string")
     tables.write_csv(rows, str(tmp_path / "out"), ["id", "text", "absent"], parts=1)
