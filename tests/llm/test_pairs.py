@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from contrastkit.llm import pairs, queries
-from contrastkit.llm.pairs import Vocabulary, decoded, encoded, merged, vocabulary
+from contrastkit.llm.pairs import Vocabulary, decoded, encoded, vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -21,10 +21,10 @@ def ids_of(text):
 
 
 def ours(text):
-    own = vocabulary(PATH)
-    words = list(own.words(text))
-    ids, at = merged(own, [w.encode() if isinstance(w, str) else b"" for w in words])
-    return [i for k, w in enumerate(words) for i in (w if isinstance(w, tuple) else ids[at[k] : at[k + 1]].tolist())]
+    known = pairs._Known(vocabulary(PATH))
+    numbers = known.numbers(text)
+    known.settle()
+    return known.lists([numbers])[0].as_py()
 
 
 def digests(text):
@@ -53,12 +53,17 @@ def test_edges(spark, monkeypatch, indexed):
     assert encoded(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
 
-def test_awkward_texts():
+@pytest.mark.parametrize("frequent", [0, 6000, 1 << 20])
+def test_awkward_texts(monkeypatch, frequent):
+    """One by one, as dealt, or all in numpy."""
+    monkeypatch.setattr(pairs, "_FREQUENT", frequent)
+    monkeypatch.setattr(pairs, "_FEW", 50 if frequent == 6000 else 1e-9)
     draw = random.Random(3)
     samples = ["a" * 5000, "ab" * 3000 + "a", " " * 3000 + "b", "I've  got\n\n 'x' \x1c\x1d \x85 \xa0  12½ \t", "<|endoftext|>", "x<|endoftext|> <|endoftext|>\n<|endofte", "  <|endoftext|>  ", "́a\U0001f9d1‍\U0001f4bb 漢字かな Привет ١٢٣ 𝟘Ⅷ ͸ \U0001e030"]
+    samples += ["", " ", "a ", " a", "a  b", "a \n b", "a\n b c", "a \u2003b c \u3000 d", "x <|endoftext|> y", " a<|endoftext|> b  "]
     samples += ["".join(draw.choice("ab \n'") for _ in range(400)) for _ in range(30)]
     samples += ["".join(chr(draw.choice([draw.randrange(0x250), draw.randrange(0xD800), draw.randrange(0xE000, 0x32000)])) for _ in range(200)) for _ in range(60)]
-    for text in samples:
+    for text in [*samples, "\n".join(samples)]:
         assert ours(text) == ids_of(text), text[:80]
 
 
