@@ -3,18 +3,79 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def _unescaped(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _constant(value: object, kind: str) -> Column:
+    """A value as a literal of a nested type: Spark works it out when it plans."""
+    return F.from_json(F.lit(json.dumps({"x": value})), f"struct<x: {kind}>")["x"]
+
+
+#: An entity behind its "&": a number, or up to 32 characters of a name.
+_ENTITY = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Entities by their first two characters, so that a look-up reads few of them; and those that need no semicolon.
+_OPEN = {name: sign for name, sign in html5.items() if not name.endswith(";")}
+_LOW = 160
+
+
+def _by_start() -> dict[str, dict[str, str]]:
+    out: dict[str, dict[str, str]] = {}
+    for name, sign in html5.items():
+        out.setdefault(name[:2], {})[name] = sign
+    return out
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a number reference, as browsers read it: old code pages, no surrogates, no non-characters."""
+    bare = F.regexp_replace(digits, "^0+(?=.)", "")
+    number = F.when(F.length(bare) <= 8, F.conv(bare, base, 10).cast("long")).otherwise(1 << 32)
+
+    def sign(n: Column) -> Column:
+        other = F.when(n == 0xFEFF, F.lit("\ufeff")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))  # a decoder skips that one
+        none = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE) | (n == 0xB)
+        low = _constant([html.unescape(f"&#{k};") for k in range(_LOW)], "array<string>")
+        return F.when(n < _LOW, F.get(low, n.cast("int"))).when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd")).when(none, F.lit("")).otherwise(other)
+
+    return _let(number, sign)
+
+
+def _named(name: Column) -> Column:
+    """The characters of a name, else of its longest beginning that needs no semicolon and what follows it, else "&" and the name."""
+    known, open_ = _constant(_by_start(), "map<string, map<string, string>>"), _constant(_OPEN, "map<string, string>")
+    whole = F.try_element_at(F.try_element_at(known, F.substring(name, 1, 2)), name)
+    begun = lambda k: F.when(F.length(name) > k, F.concat(F.try_element_at(open_, F.substring(name, 1, k)), F.substring(name, F.lit(k + 1), F.length(name))))
+    return F.coalesce(whole, *[begun(k) for k in range(max(map(len, _OPEN)), 1, -1)], F.concat(F.lit("&"), name))
+
+
+def unescaped(text: Column) -> Column:
+    """Text with HTML entities decoded, those without a semicolon too where that is allowed; null stays null.
+
+    The text is split at "&", and an entity is what stands in front of a part."""
+
+    def part(x: Column) -> Column:
+        def decoded(found: Column) -> Column:
+            rest = F.substring(x, F.length(found) + 1, F.length(x))
+            hexed = F.substring(found, 1, 2).isin("#x", "#X")
+            digits = F.regexp_replace(found, "^#[xX]?|;$", "")
+            sign = F.when(found == "", F.lit("&")).when(hexed, _numbered(digits, 16)).when(found.startswith("#"), _numbered(digits, 10)).otherwise(_named(found))
+            return F.concat(sign, rest)
+
+        return _let(F.regexp_extract(x, _ENTITY, 1), decoded)
+
+    parts = F.split(text, "&")
+    whole = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), part), ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def _regex(literal: str) -> str:
@@ -23,16 +84,13 @@ def _regex(literal: str) -> str:
 
 
 def clean_text(text: Column, entities: bool = True) -> Column:
-    """Text without scripts, styles and tags; entities decoded, white space collapsed. Null is empty.
-
-    Entities need Python; a text without "&" does too, in the same Arrow batch, so leave entities out where none occur.
-    """
+    """Text without scripts, styles and tags; entities decoded, white space collapsed. Null is empty."""
     bare = F.coalesce(text, F.lit(""))
     for element in ("script", "style"):
         bare = F.regexp_replace(bare, rf"(?is)<{element}\b.*?</{element}>", " ")
     bare = F.regexp_replace(bare, "<[^>]+>", " ")
     if entities:
-        bare = _unescaped(bare)
+        bare = unescaped(bare)
     return F.btrim(F.regexp_replace(bare, r"(?U)[\s\x1c-\x1f\x85 ]+", " "))
 
 
@@ -73,6 +131,23 @@ RECORD = (
 RECORD_FIELDS = ("standard_type", "activity_id", "value_raw", "units", "cell_line", "disease_model")
 
 
+#: Stand between the fields and around the records of a rewritten block; in a text they become U+FFFD.
+_FIELD, _RECORD = "\ufdd0", "\ufdd1"
+
+
+def record_table(block: Column, pattern: str = RECORD, fields: Sequence[str] = RECORD_FIELDS) -> Column:
+    """All matches of a pattern, in order: an array of structs with its groups as fields, blank where one took no part.
+
+    The pattern runs once: it rewrites each match into its groups, and the block is split at what stands between them.
+    """
+    bare = F.translate(block, _FIELD + _RECORD, "\ufffd\ufffd")
+    groups = _FIELD.join(f"${k}" for k in range(1, len(fields) + 1))
+    parts = F.split(F.regexp_replace(bare, pattern, _RECORD + groups + _RECORD), _RECORD)
+    found = F.filter(parts, lambda _, k: k % 2 == 1)
+    cut = lambda x: _let(F.split(x, _FIELD), lambda own: F.struct(*[own[k].alias(name) for k, name in enumerate(fields)]))
+    return F.transform(found, cut)
+
+
 def records(block: Column, pattern: str = RECORD) -> Column:
     """All matches of a pattern, in order: an array to explode. Groups are then taken from each by record_field."""
     return F.regexp_extract_all(block, F.lit(pattern), 0)

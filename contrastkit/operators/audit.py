@@ -80,8 +80,8 @@ def rows_in_shared_keys(rows: DataFrame, key: str, cls: str) -> DataFrame:
 def effective_number(rows: DataFrame, group: str, column: str) -> DataFrame:
     """(group, effective_n): the exponential of the Shannon entropy of a column's values in each group."""
     counted = rows.groupBy(group, column).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(group))
-    return counted.select(group, share.alias("p")).groupBy(group).agg(F.exp(-F.sum(F.col("p") * F.log("p"))).alias("effective_n"))
+    entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
+    return counted.groupBy(group).agg(F.exp(entropy).alias("effective_n"))
 
 
 def modelling_summary(rows: DataFrame, cls: str, ident: str, label: str, others: Sequence[str], row_id: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Contrasts of classes inside exact contexts. Input: units (see measurements.units) with columns for the context, cls,
-ident, response_rate, n_observations and positives. Differences are a minus b, for a before b in class order."""
+ident, response_rate, n_observations and positives. Differences are a minus b, for a before b in class order. A context
+of nulls is a context like any other."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrastkit.functions.numeric import EPS
+from contrastkit.operators.ordered import null_safe, order_statistics
 
 
 def _ordered(cls: Column, order: Sequence[str] | None) -> Column:
@@ -22,7 +24,7 @@ def _ordered(cls: Column, order: Sequence[str] | None) -> Column:
 def matched(units: DataFrame, context: Sequence[str], cls: str = "cls") -> DataFrame:
     """The units of contexts in which more than one class is found."""
     shared = units.groupBy(*context).agg((F.min(cls) != F.max(cls)).alias("_shared")).where("_shared").select(*context)
-    return units.join(shared, list(context), "left_semi")
+    return null_safe(units, shared, context)
 
 
 def prevalence_effects(rows: DataFrame, context: Sequence[str], cls: str, ident: str, label: str) -> DataFrame:
@@ -55,13 +57,16 @@ def _pairs(arms: DataFrame, context: Sequence[str], order: Sequence[str] | None)
     """All pairs of classes in a context: an equi join on the context with an order on the classes."""
     others = [c for c in arms.columns if c not in (*context, "cls")]
     side = lambda s: arms.select(*context, F.col("cls").alias(f"class_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in others])
-    met = side("a").join(side("b"), list(context))
+    met = null_safe(side("a"), side("b"), context)
     return met.where(_ordered(F.col("class_a"), order) < _ordered(F.col("class_b"), order))
 
 
 def pair_effects(units: DataFrame, context: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """For each context and pair of its classes: what each arm holds, its mean unit response and prevalence, which is
-    higher, whether arms are replicated, and the signature of all pairs of identities."""
+    higher, whether arms are replicated, the identities of either arm in order, and the signature of all pairs of them.
+
+    A signature is worked out from the two arms' identities, as two hashes; `displayed` writes it out.
+    """
     arms = units.groupBy(*context, "cls").agg(
         F.count(F.lit(1)).alias("units"),
         F.sum("n_observations").cast("long").alias("observations"),
@@ -73,7 +78,6 @@ def pair_effects(units: DataFrame, context: Sequence[str], order: Sequence[str]
     met = _pairs(arms, context, order)
     diff = F.col("unit_response_a") - F.col("unit_response_b")
     met = met.withColumn("diff", diff).withColumn("prevalence_diff", F.col("prevalence_a") - F.col("prevalence_b"))
-    signature = F.flatten(F.transform("idents_a", lambda a: F.transform("idents_b", lambda b: F.concat_ws("|", a, b))))
     flags = {
         "a_higher": F.col("diff") > EPS,
         "b_higher": F.col("diff") < -EPS,
@@ -83,15 +87,35 @@ def pair_effects(units: DataFrame, context: Sequence[str], order: Sequence[str]
         "differs": F.abs("diff") > EPS,
     }
     met = met.withColumns({name: F.coalesce(flag, F.lit(False)).cast("int") for name, flag in flags.items()})
-    met = met.withColumn("signature", F.array_join(signature, ";"))
-    return met.withColumn("idents_a", F.array_join("idents_a", ";")).withColumn("idents_b", F.array_join("idents_b", ";"))
+    return met.withColumn("signature", F.struct(F.xxhash64("idents_a", "idents_b").alias("h"), F.xxhash64(F.lit(1), "idents_b", "idents_a").alias("h2")))
+
+
+def displayed(rows: DataFrame) -> DataFrame:
+    """Effects, summaries or pairings with identities and signatures as texts: "a;b" and "a|x;a|y;b|x;b|y"."""
+
+    def pairs(a: str, b: str) -> Column:
+        return F.array_join(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat_ws("|", x, y)))), ";")
+
+    if "top_idents_a" in rows.columns:
+        rows = rows.withColumn("top_signature", pairs("top_idents_a", "top_idents_b")).drop("top_idents_a", "top_idents_b")
+    if "signature" in rows.columns:
+        rows = rows.withColumn("signature", pairs("idents_a", "idents_b"))
+    return rows.withColumns({c: F.array_join(c, ";") for c in ("idents_a", "idents_b") if c in rows.columns})
+
+
+def _first_seen(effects: DataFrame) -> Column:
+    """The order of effects of a pair: the largest difference first, then by context."""
+    context = effects.columns[: effects.columns.index("class_a")]
+    return F.struct((-F.round(F.abs("diff"), 12)).alias("far"), *context)
 
 
 def pair_summary(effects: DataFrame) -> DataFrame:
-    """For each pair of classes over its contexts: sums, means, weighted means, and the most frequent signature."""
+    """For each pair of classes over its contexts: sums, means, weighted means, identities, and the arms' identities of the
+    most frequent signature, of equally frequent ones that which comes first."""
+    keys = ["class_a", "class_b"]
     units, observations = F.col("units_a") + F.col("units_b"), F.col("observations_a") + F.col("observations_b")
     total = lambda c: F.sum(c).cast("long").alias(c)
-    out = effects.groupBy("class_a", "class_b").agg(
+    out = effects.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("contexts"),
         F.sum(observations).cast("long").alias("observations"),
         F.sum(units).cast("long").alias("units"),
@@ -100,23 +124,25 @@ def pair_summary(effects: DataFrame) -> DataFrame:
         total("b_higher"),
         total("equal"),
         F.avg("diff").alias("mean_diff"),
-        F.median("diff").alias("median_diff"),
         (F.sum(F.col("diff") * units) / F.sum(units)).alias("unit_weighted_diff"),
         (F.sum(F.col("prevalence_diff") * observations) / F.sum(observations)).alias("observation_weighted_diff"),
         total("both_replicated"),
         total("either_replicated"),
     )
-    for s in ("a", "b"):
-        named = effects.select("class_a", "class_b", F.explode(F.split(f"idents_{s}", ";")).alias("ident"))
-        out = out.join(named.groupBy("class_a", "class_b").agg(F.array_join(F.array_sort(F.collect_set("ident")), ";").alias(f"idents_{s}"), F.count_distinct("ident").alias(f"unique_idents_{s}")), ["class_a", "class_b"])
-    counted = effects.groupBy("class_a", "class_b", "signature").agg(F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy("class_a", "class_b").orderBy(F.desc("n"), "signature")
-    top = counted.withColumn("_place", F.row_number().over(best)).where("_place = 1")
-    return out.join(top.select("class_a", "class_b", F.col("signature").alias("top_signature"), F.col("n").alias("top_signature_contexts")), ["class_a", "class_b"])
+    named = effects.select(*keys, F.explode(F.array(F.struct(F.lit("a").alias("arm"), F.col("idents_a").alias("i")), F.struct(F.lit("b").alias("arm"), F.col("idents_b").alias("i")))).alias("x"))
+    named = named.select(*keys, "x.arm", F.explode("x.i").alias("ident")).distinct()
+    arm = lambda s: F.array_sort(F.collect_list(F.when(F.col("arm") == s, F.col("ident")))).alias(f"idents_{s}")
+    named = named.groupBy(*keys).agg(arm("a"), arm("b"))
+    named = named.withColumns({f"unique_idents_{s}": F.size(f"idents_{s}").cast("long") for s in "ab"})
+    counted = effects.groupBy(*keys, "signature").agg(F.count(F.lit(1)).alias("n"), F.min(_first_seen(effects)).alias("first"), F.any_value(F.struct("idents_a", "idents_b")).alias("idents"))
+    top = counted.groupBy(*keys).agg(F.min_by(F.struct("idents", "n"), F.struct((-F.col("n")).alias("n"), "first")).alias("top"))
+    top = top.select(*keys, F.col("top.idents.idents_a").alias("top_idents_a"), F.col("top.idents.idents_b").alias("top_idents_b"), F.col("top.n").alias("top_signature_contexts"))
+    return out.join(order_statistics(effects, keys, "diff", {"median_diff": ("linear", 0.5)}), keys, "left").join(named, keys).join(top, keys)
 
 
 def pairings(effects: DataFrame, context: Sequence[str], examples: int = 5) -> DataFrame:
-    """For each pair and signature: contexts, which class is higher, and the first contexts by key."""
+    """For each pair and signature: contexts, which class is higher, the arms' identities, and the first contexts: those of
+    the largest difference, then by key."""
     key = F.concat_ws(" || ", *[F.col(c).cast("string") for c in context])
     keys = ["class_a", "class_b", "signature"]
     counted = effects.groupBy(*keys).agg(
@@ -124,10 +150,13 @@ def pairings(effects: DataFrame, context: Sequence[str], examples: int = 5) -> D
         F.sum("a_higher").cast("long").alias("a_higher"),
         F.sum("b_higher").cast("long").alias("b_higher"),
         F.sum("equal").cast("long").alias("equal"),
+        F.any_value("idents_a").alias("idents_a"),
+        F.any_value("idents_b").alias("idents_b"),
     )
     # Spark keeps the first few rows of a group before it shuffles them
-    first = effects.select(*keys, key.alias("_key")).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("_key"))).where(F.col("_place") <= examples)
-    shown = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_key")), "; ").alias("example_contexts"))
+    order = F.struct((-F.round(F.abs("diff"), 12)).alias("far"), key.alias("key"))
+    first = effects.select(*keys, order.alias("_order")).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))).where(F.col("_place") <= examples)
+    shown = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_order")), lambda x: x["key"]), "; ").alias("example_contexts"))
     return counted.join(shown, keys)
 
 
@@ -181,39 +210,42 @@ def reduction(scopes: dict[str, tuple[DataFrame, DataFrame]], context: Sequence[
 
 
 def survival(reduced: DataFrame, part: str, whole: str) -> DataFrame:
-    """One row: what share of the observations and units of scope `whole` is in `part`."""
+    """One row: what share of the observations and units of scope `whole` is in `part`; null where whole has none."""
     of = lambda c, s: F.max(F.when(F.col("scope") == s, F.col(c)))
     return reduced.agg(*[F.try_divide(of(c, part).cast("double"), of(c, whole)).alias(f"{c}_share") for c in ("observations", "units")])
 
 
 def residuals(units: DataFrame, context: Sequence[str]) -> DataFrame:
-    """units with their context's mean response and the difference from it."""
-    mean = F.avg("response_rate").over(Window.partitionBy(*context))
-    return units.withColumn("context_mean", mean).withColumn("residual", F.col("response_rate") - F.col("context_mean"))
+    """units with their context's mean response and the difference from it.
+
+    Means combine before they are shuffled and come back by a join, in which Spark splits a context of very many units.
+    """
+    means = units.groupBy(*context).agg(F.avg("response_rate").alias("context_mean"))
+    return null_safe(units, means, context).withColumn("residual", F.col("response_rate") - F.col("context_mean"))
 
 
 def residual_summary(units: DataFrame, context: Sequence[str]) -> DataFrame:
     """For each class: units, identities, contexts, and the spread and signs of its residuals."""
-    r = F.col("residual")
-    return residuals(units, context).groupBy("cls").agg(
+    r, own = F.col("residual"), residuals(units, context)
+    out = own.groupBy("cls").agg(
         F.count(F.lit(1)).alias("units"),
         F.count_distinct("ident").alias("idents"),
         F.count_distinct(F.struct(*context)).alias("contexts"),
         F.avg(r).alias("mean_residual"),
-        F.median(r).alias("median_residual"),
         F.min(r).alias("min_residual"),
         F.max(r).alias("max_residual"),
         F.count_if(r > EPS).alias("positive"),
         F.count_if(r < -EPS).alias("negative"),
         F.count_if(F.abs(r) <= EPS).alias("zero"),
     )
+    return null_safe(out, order_statistics(own, ["cls"], "residual", {"median_residual": ("linear", 0.5)}), ["cls"])
 
 
 def residual_class_means(units: DataFrame, context: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, cls, mean_residual) over the contexts of more than one class, for each value of `by`."""
-    own = Window.partitionBy(*by, *context)
-    kept = units.withColumn("_a", F.min("cls").over(own)).withColumn("_b", F.max("cls").over(own)).where("_a <> _b")
-    centred = kept.withColumn("residual", F.col("response_rate") - F.avg("response_rate").over(own))
+    own = [*by, *context]
+    means = units.groupBy(*own).agg((F.min("cls") != F.max("cls")).alias("_shared"), F.avg("response_rate").alias("_mean")).where("_shared")
+    centred = null_safe(units, means, own).withColumn("residual", F.col("response_rate") - F.col("_mean"))
     return centred.groupBy(*by, "cls").agg(F.avg("residual").alias("mean_residual"))
 
 

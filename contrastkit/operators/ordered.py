@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from contrastkit.session import cut
 
+#: Values of a group that are sorted in one task, and parts that the values between two bounds are counted in.
+SORTED, BINS = 1 << 14, 256
+
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join on keys in which null equals null; the right side's keys go."""
@@ -51,22 +54,44 @@ def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> Da
 
 def order_statistics(rows: DataFrame, by: Sequence[str], value: str, statistics: Mapping[str, tuple[str, float]]) -> DataFrame:
     """(by, one column for each statistic): ("linear", q) interpolates at place q * (n - 1) of the sorted values,
-    ("floor", q) takes the value at the place below it. Nulls are left out; a group without values has no row.
+    ("floor", q) takes the value at the place below it. Nulls are left out; a group without values has no row. NaN is
+    above all numbers.
 
-    Rows are counted by value first, so equal values are one row.
+    Nothing is sorted as a whole. Rows are counted by value; then each wanted place is closed in on: the values between two
+    bounds are counted in BINS equal parts, and the part that holds the place gives the next bounds, until SORTED values
+    are left, which are put in order.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running(counted, by, ["_v"], {"_upto": "_n"})
-    total = counted.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    met = null_safe(placed, total, by) if by else placed.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    at = lambda place: F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place), F.col("_v")))
+    keys = list(by) or ["_k"]
+    own = rows.where(F.col(value).isNotNull()).select(*by, *([] if by else [F.lit(1).alias("_k")]), F.col(value).cast("double").alias("_v"))
+    counted = cut(own.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "values")
+    whole = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    exact = {name: F.lit(float(q)) * (F.col("_total") - 1) for name, (_, q) in statistics.items()}
+    sides = [f(exact[name]) for name, (kind, _) in statistics.items() for f in ((F.floor, F.ceil) if kind == "linear" else (F.floor,))]
+    state = cut(whole.withColumn("_place", F.explode(F.array_distinct(F.array(*[s.cast("long") for s in sides])))).withColumn("_below", F.lit(0).cast("long")), "bounds")
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    one = [*keys, "_place"]
+    while state.where(F.col("_d") > SORTED).limit(1).count():
+        open_ = state.where(F.col("_d") > SORTED)
+        met = null_safe(counted, open_.select(*one, "_below", "_lo", "_hi", "_total"), keys).where(inside)
+        share = F.nanvl((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2), F.lit(1.0))
+        binned = met.groupBy(*one, "_below", "_total", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("_bin")).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        found = _at_place(binned, one, "_bin").withColumn("_below", F.col("_upto") - F.col("_n"))
+        closer = found.select(*state.columns)
+        state = cut(state.where(F.col("_d") <= SORTED).unionByName(closer), "bounds", instead_of=[state])
+    left = null_safe(counted, state.select(*one, "_below", "_lo", "_hi", "_total"), keys).where(inside)
+    found = _at_place(left, one, "_v")
+    at = lambda place: F.max(F.when(F.col("_place") == place.cast("long"), F.col("_v")))
     out = []
-    for name, (kind, q) in statistics.items():
-        exact = F.lit(float(q)) * (F.col("_total") - 1)
-        low = F.floor(exact)
+    for name, (kind, _) in statistics.items():
+        low = F.floor(exact[name])
         if kind == "floor":
             out.append(at(low).alias(name))
         else:
-            share = F.max(exact - low)
-            out.append((at(low) + share * (at(F.ceil(exact)) - at(low))).alias(name))
-    return met.groupBy(*by).agg(*out)
+            out.append((at(low) + F.max(exact[name] - low) * (at(F.ceil(exact[name])) - at(low))).alias(name))
+    return found.groupBy(*keys).agg(*out).select(*by, *statistics)
+
+
+def _at_place(counted: DataFrame, one: Sequence[str], order: str) -> DataFrame:
+    """Of the rows of each (keys, _place), the one at which _below and the counts _n in order go beyond the place."""
+    upto = F.col("_below") + F.sum("_n").over(Window.partitionBy(*one).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("_upto", upto).where((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_n") <= F.col("_place")))

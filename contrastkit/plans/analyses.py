@@ -137,9 +137,9 @@ def contrasts(rows: DataFrame, context: Sequence[str], cls: str, ident: str, lab
         "reduction": reduced,
         "survival": matched.survival(reduced, "matched", "all"),
         "coverage": covered,
-        "effects": effects,
-        "summary": summary,
-        "pairings": matched.pairings(effects, context),
+        "effects": matched.displayed(effects),
+        "summary": matched.displayed(summary),
+        "pairings": matched.displayed(matched.pairings(effects, context)),
         "residuals": matched.residuals(own, context),
         "residual_summary": matched.residual_summary(own, context),
         "range_permutation": resample.range_permutation(own, context, keys, times["permutation"], seed + 10),
@@ -148,6 +148,6 @@ def contrasts(rows: DataFrame, context: Sequence[str], cls: str, ident: str, lab
         "cluster_bootstrap": resample.cluster_bootstrap(own, context, times["bootstrap"], seed + 20, order),
         "leave_one_out": left_out,
         "leave_one_out_range": resample.leave_one_out_range(own, context),
-        "strong_overlap_summary": matched.pair_summary(matched.pair_effects(strong, context, order)),
+        "strong_overlap_summary": matched.displayed(matched.pair_summary(matched.pair_effects(strong, context, order))),
         "verdict": decide.contrast_verdict(summary, bootstrap, resample.leave_one_out_summary(left_out), permutation),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Callable
@@ -63,12 +64,12 @@ def _sql(columns: str, inner: str) -> str:
 _UNITS = """select {ctx}, cls, ident, count(*) as n_observations, sum(label) as positives, count(*) - sum(label) as negatives, avg(label) as response_rate, max(label) as response_any,
     min(label) as response_all, case when count(*) > 1 then 1 else 0 end as repeated, case when min(label) <> max(label) then 1 else 0 end as discordant, min(value) as value_min from {src} group by {ctx}, cls, ident"""
 _EFFECTS = """with arm as (select {ctx}, cls, count(*) as units, sum(n_observations) as observations, count(distinct ident) as unique_idents, avg(response_rate) as unit_response, sum(positives) / sum(n_observations) as prevalence,
-    string_agg(distinct ident, ';' order by ident) as idents from {src} group by {ctx}, cls)
+    list_sort(list(distinct ident)) as idents from {src} group by {ctx}, cls)
     select {actx}, a.cls as class_a, b.cls as class_b, a.units as units_a, b.units as units_b, a.observations as observations_a, b.observations as observations_b, a.unique_idents as unique_idents_a, b.unique_idents as unique_idents_b,
     a.unit_response as unit_response_a, b.unit_response as unit_response_b, a.prevalence as prevalence_a, b.prevalence as prevalence_b, a.unit_response - b.unit_response as diff, a.prevalence - b.prevalence as prevalence_diff,
-    a.idents as idents_a, b.idents as idents_b, a.unit_response - b.unit_response > 1e-12 as a_higher, a.unit_response - b.unit_response < -1e-12 as b_higher, abs(a.unit_response - b.unit_response) <= 1e-12 as equal,
+    a.idents as list_a, b.idents as list_b, array_to_string(a.idents, ';') as idents_a, array_to_string(b.idents, ';') as idents_b, a.unit_response - b.unit_response > 1e-12 as a_higher, a.unit_response - b.unit_response < -1e-12 as b_higher, abs(a.unit_response - b.unit_response) <= 1e-12 as equal,
     a.units >= 2 and b.units >= 2 as both_replicated, a.units >= 2 or b.units >= 2 as either_replicated, abs(a.unit_response - b.unit_response) > 1e-12 as differs,
-    array_to_string(flatten(list_transform(string_split(a.idents, ';'), lambda x: list_transform(string_split(b.idents, ';'), lambda y: x || '|' || y))), ';') as signature
+    array_to_string(flatten(list_transform(a.idents, lambda x: list_transform(b.idents, lambda y: x || '|' || y))), ';') as signature
     from arm a join arm b on {on} and a.cls < b.cls"""
 _VIEWS = {
     "obs_units": _UNITS.format(ctx="customer, supplier", src="obs"),
@@ -154,13 +155,11 @@ def _txt13(spark, sf_dir):
     return views.acts(spark, sf_dir).groupBy("cls").agg(text.joined_values(F.col("units")).alias("units"))
 
 
-@_query("txt2_labelled_cells", "row_id:l value link", "select row_id, 'A & ' || units as value, cls || '_' || ctx as link from acts")
+@_query("txt2_labelled_cells", "row_id:l value link", "select row_id, 'A & ' || trim(units) as value, cls || '_' || ctx as link from acts")
 def _txt2(spark, sf_dir):
     page = F.format_string('<tr><th>Other</th><td>no</td></tr><TH> Unit </TH>\n<td class="x">A &amp; <b>%s</b> </td><a href="/id/%s_%s" >go</a><th>Unit</th><td>second</td>', F.btrim("units"), "cls", "ctx")
-    rows = views.acts(spark, sf_dir).select("row_id", "units", page.alias("page"))
-    value = text.labelled_value(F.col("page"), "Unit")
-    value = F.when(F.col("units") == " NM ", F.replace(value, F.lit("NM"), F.lit(" NM "))).otherwise(value)  # cells come without white space at their ends
-    return rows.select("row_id", value.alias("value"), text.labelled_link_id(F.col("page"), "unit", "/id").alias("link"))
+    rows = views.acts(spark, sf_dir).select("row_id", page.alias("page"))
+    return rows.select("row_id", text.labelled_value(F.col("page"), "Unit").alias("value"), text.labelled_link_id(F.col("page"), "unit", "/id").alias("link"))
 
 
 @_query("txt8_row_functions", "row_id:l strict:d filled index:l sign:l place:l whole:l shown", """select row_id, case when cls = 'error' then null else value end as strict, case when units = 'pM' then '<missing payload>' else units end as filled, ascii(upper(cls[1])) - 65 as "index",
@@ -187,10 +186,48 @@ def _num3(spark, sf_dir):
     return rows.groupBy("cls").agg(F.avg("value").alias("mean")).join(places, "cls")
 
 
-@_query("num5_percentiles_of_groups", "cls p025:d p95_floor:d", "select cls, quantile_cont(value, 0.025) as p025, list_sort(list(value))[1 + floor(0.95 * (count(*) - 1))::int] as p95_floor from acts group by 1")
+@_query("num5_percentiles_of_groups", "ctx:l p025:d p95_floor:d", "select ctx, quantile_cont(value, 0.025) as p025, list_sort(list(value))[1 + floor(0.95 * (count(*) - 1))::int] as p95_floor from acts group by 1")
 def _num5(spark, sf_dir):
-    v = F.col("value")
-    return views.acts(spark, sf_dir).groupBy("cls").agg(numeric.linear_percentile(v, 0.025).alias("p025"), numeric.floor_percentile(v, 0.95).alias("p95_floor"))
+    return ordered.order_statistics(views.acts(spark, sf_dir), ["ctx"], "value", {"p025": ("linear", 0.025), "p95_floor": ("floor", 0.95)})
+
+
+_RECORD_SQL = text.RECORD.replace("'", "''")
+_LISTED = ", ".join(f"list_transform(regexp_extract_all(block, '{_RECORD_SQL}', {k}), lambda x: coalesce(x, '')) as f{k}" for k in range(1, 7))
+_SQL_BLOCK = """'<h2>' || page_id || '</h2><tr><td class="pad-20">IC' || page_id || ' <a href="#ACT' || page_id || '">x</a></td>' || chr(10) || '<td class="h-center"><div> &lt; 5</div></td><td class="h-center"><div>nM</div></td><td class="pad-20"> <div>' || url || '</div> </td><TD class="pad-20"><div>' || chr(10) || html || '</div></td></tr>' ||
+    '<tr><td class="pad-20">EC50</td><td class="h-center"><div>' || page_id % 7 || '</div></td><td class="h-center"><div></div></td><td class="pad-20"><div>a &amp; b</div></td><td class="pad-20"><div>none</div></td></tr>'"""
+
+
+@_query("txt5_activity_records", "page_id:l place:l standard_type activity_id value_raw units cell_line disease_model", f"""select page_id, unnest(range(0, len(f1))) as place, unnest(f1) as standard_type, unnest(f2) as activity_id, unnest(f3) as value_raw, unnest(f4) as units, unnest(f5) as cell_line, unnest(f6) as disease_model
+    from (select page_id, {_LISTED} from (select page_id, {_SQL_BLOCK} as block from pages))""")
+def _txt5_records(spark, sf_dir):
+    """The six cells of each record, in sections built around every page's address and source."""
+    pages, line = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.lit("\n")
+    cells = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    first = cells('<h2>', F.col("page_id").cast("string"), '</h2><tr><td class="pad-20">IC', F.col("page_id").cast("string"), ' <a href="#ACT', F.col("page_id").cast("string"), '">x</a></td>', line, '<td class="h-center"><div> &lt; 5</div></td><td class="h-center"><div>nM</div></td><td class="pad-20"> <div>', F.col("url"), '</div> </td><TD class="pad-20"><div>', line, F.col("html"), "</div></td></tr>")
+    second = cells('<tr><td class="pad-20">EC50</td><td class="h-center"><div>', (F.col("page_id") % 7).cast("string"), '</div></td><td class="h-center"><div></div></td><td class="pad-20"><div>a &amp; b</div></td><td class="pad-20"><div>none</div></td></tr>')
+    rows = pages.select("page_id", F.posexplode(text.record_table(F.concat(first, second))).alias("place", "r"))
+    return rows.select("page_id", "place", "r.*")
+
+
+_PHRASES = ("MMAE linked", "topo-isomerase I", "Topoisomerase II and DNA", "PBD dimer (topoisomerase 1)", "SN-38, Top1 poison", "duocarmycin", "auristatin-like, DM1", "unknown", "TOP  I", "top2 and tubulin", "DNA alkylating", "")
+
+
+def _rule_sql(rule: text.Rule, t: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    hit = [f"regexp_matches({t}, {quoted(p)})" for p in rule.patterns] + ([f"(({' or '.join(f'contains({t}, {quoted(x)})' for x in rule.terms)}){''.join(f' and not contains({t}, {quoted(x)})' for x in rule.unless)})"] if rule.terms else [])
+    return f"({' or '.join(hit)})::int"
+
+
+_HITS = [(name, _rule_sql(rule, "t")) for name, rule in text.MECHANISMS.items()]
+
+
+@_query("txt12_mechanisms", "row_id:l mechanism", f"""select row_id, case when {" + ".join(h for _, h in _HITS)} <> 1 then 'Other' {" ".join(f"when {h} = 1 then '{n}'" for n, h in _HITS)} end as mechanism
+    from (select row_id, replace(lower(p[1 + (row_id % 12)::int] || ' ' || cls || ' ' || p[1 + (ctx % 12)::int]), 'topo-isomerase', 'topoisomerase') as t from acts, (select {list(_PHRASES)} as p))""")
+def _txt12_mechanisms(spark, sf_dir):
+    """The published rules on a target and a name, which are put together from each row's keys."""
+    phrase = lambda c: F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col(c) % 12 + 1).cast("int"))
+    rows = views.acts(spark, sf_dir)
+    return rows.select("row_id", text.class_by_rules(F.concat_ws(" ", phrase("row_id"), "cls"), phrase("ctx")).alias("mechanism"))
 
 
 # --- sources and sinks: written to the scratch folder and read back
@@ -234,9 +271,9 @@ def _snk4(spark, sf_dir):
     return spark.createDataFrame([(report.markdown(rows, 20),)], "text string")
 
 
-@_query("agg30_inventory_summary", "top_level files:l total_bytes:l suffixes", "select lang as top_level, sum(n) as files, sum(b) as total_bytes, string_agg(suffix || ':' || n, ', ' order by suffix) as suffixes from (select lang, source as suffix, count(*) as n, sum(n_chars) as b from documents where source is not null and lang is not null group by 1, 2) group by 1")
+@_query("agg30_inventory_summary", "top_level files:l total_bytes:l suffixes", "select lang as top_level, sum(n) as files, sum(b) as total_bytes, string_agg(suffix || ':' || n, ', ' order by suffix) as suffixes from (select lang, coalesce(source, '<none>') as suffix, count(*) as n, sum(n_chars) as b from documents group by 1, 2) group by 1")
 def _agg30(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null and lang is not null")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return tables.inventory_summary(docs.select(F.col("lang").alias("top_level"), F.col("source").alias("suffix"), F.col("n_chars").alias("bytes")))
 
 
@@ -269,6 +306,23 @@ def _src7(spark, sf_dir):
     return runs[0].drop("bytes").join(runs[1], "id").join(stored, "id", "left")
 
 
+@_query("srt10_first_ids", "id place:l", "select id, place from (select ident as id, min(row_id) as place from acts group by 1 order by 2 limit 40) where id not in (select ident from acts where cls = 'view')")
+def _srt10(spark, sf_dir):
+    """Of the first 40 ids by appearance, as a fetch is limited to, those that a manifest lacks."""
+    rows = views.acts(spark, sf_dir)
+    manifest = rows.where("cls = 'view'").select(F.col("ident").alias("adc_id"), F.lit("ok").alias("status"), F.lit("10").alias("bytes")).distinct()
+    return tables.to_fetch(tables.distinct_ids(rows, "ident", "row_id"), manifest, limit=40)
+
+
+@_query("src3_page_files", "key page", "select page_id::varchar as key, md5(html || chr(10)) as page from pages")
+def _src3(spark, sf_dir):
+    """Every page as a file of its own, read back by name."""
+    path = f"{scratch_dir(spark)}/page-files-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("page"), "html").write.partitionBy("page").text(path)
+    pages = tables.read_pages(spark, path, "part-*", key=r"page=([^/]*)/")
+    return pages.select("key", F.md5(F.encode("page", "UTF-8")).alias("page"))
+
+
 # --- routing and collapsing
 
 
@@ -327,6 +381,11 @@ def _agg2(spark, sf_dir):
     return audit.class_summary(views.acts(spark, sf_dir), "cls", "ident", ["ctx"], "row_id", unit="units")
 
 
+@_query("agg3_payload_summary", "cls n_rows:l unique_ident:l top_identity top_identity_rows:l top_identity_share:d", f"select s.*, t.ident as top_identity, t.n as top_identity_rows, t.n / s.n_rows as top_identity_share from (select cls, count(*) as n_rows, count(distinct ident) as unique_ident from acts group by 1) s join ({_TOP.format(c='ident')}) t on s.cls = t.cls and t.place = 1")
+def _agg3(spark, sf_dir):
+    return audit.class_summary(views.acts(spark, sf_dir), "cls", "ident", ["ident"], "row_id")
+
+
 @_query("agg4_pair_counts", "units cls n:l", "select units, cls, count(*) as n from acts group by 1, 2")
 def _agg4(spark, sf_dir):
     return audit.pair_counts(views.acts(spark, sf_dir), "units", "cls", "row_id")
@@ -380,6 +439,31 @@ def _agg12(spark, sf_dir):
     return audit.modelling_summary(views.acts(spark, sf_dir), "cls", "ident", "label", ["units"], "row_id")
 
 
+@_query("p1_generic_audit", "part name value:d", """select 'classes' as part, cls as name, count(*) as value from acts group by 2 union all select 'identities', cls, count(distinct ident) from acts group by 2 union all select 'dependency', 'identities', count(distinct ident) from acts
+    union all select 'dependency', 'single_share', avg((k = 1)::int) from (select count(distinct cls) as k from acts group by ident) union all select 'shared_ctx', 'keys', count(distinct ctx) from acts union all select 'shared_ctx', 'shared', count(*) from (select ctx from acts group by 1 having count(distinct cls) > 1)""")
+def _p1(spark, sf_dir):
+    """All parts; a required column that is missing is an error, an optional one leaves its part out."""
+    rows = views.acts(spark, sf_dir)
+    try:
+        audit.generic_audit(rows, "absent", "ident")
+        raise AssertionError("a missing column is an error")
+    except ValueError:
+        found = audit.generic_audit(rows, "cls", "ident", ["ctx", "absent"])
+    parts = []
+    for part, frame in found.items():
+        names = [c for c in frame.columns if dict(frame.dtypes)[c] != "string"]
+        named = F.explode(F.array(*[F.struct((F.col(frame.columns[0]) if frame.columns[0] not in names else F.lit(c)).alias("name"), F.col(c).cast("double").alias("value")) for c in names])).alias("x")
+        parts.append(frame.select(F.lit(part).alias("part"), named).select("part", "x.name", "x.value"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@_query("srt1_ordered_overlap", "place:l customer:l supplier:l degree:l observations:l", "select row_number() over (order by degree desc, observations desc, customer, supplier) as place, customer, supplier, degree, observations from (select customer, supplier, count(distinct cls) as degree, count(*) as observations from obs group by 1, 2) where degree > 1")
+def _srt1(spark, sf_dir):
+    """Mixed directions: the place of each crossed context, most classes first, then most observations, then by key."""
+    found = association.crossed(association.overlap(views.observations(spark, sf_dir), CTX, "cls", "ident", "label"), CTX)
+    return ordered.with_row_id(found, [F.desc("degree"), F.desc("observations"), *CTX], "place").select("place", *CTX, "degree", "observations")
+
+
 @_query("p2_value_counts", "value n:l", "select coalesce(case when ctx % 3 = 0 then null else cls end, '<missing>') as value, count(*) as n from acts group by 1")
 def _p2(spark, sf_dir):
     return audit.value_counts(views.acts(spark, sf_dir).withColumn("c", F.when(F.col("ctx") % 3 != 0, F.col("cls"))), "c")
@@ -403,9 +487,12 @@ def _p5(spark, sf_dir):
 # --- association and overlap
 
 
-@_query("agg13_contingency", "cls nM:l uM:l pM:l", "select cls, count(*) filter (units = 'nM') as \"nM\", count(*) filter (units = 'uM') as \"uM\", count(*) filter (units = 'pM') as \"pM\" from acts group by 1")
+@_query("agg13_contingency", "cls units n:l", "select c.cls, u.units, count(a.row_id) as n from (select distinct cls from acts) c cross join (select distinct units from acts) u left join acts a on a.cls = c.cls and a.units = u.units group by 1, 2")
 def _agg13(spark, sf_dir):
-    return association.contingency(views.acts(spark, sf_dir), "cls", "units", ["nM", "uM", "pM"])
+    """All values, as a table of a column for each and back in rows, as some values are no names in SQL."""
+    wide = association.contingency(views.acts(spark, sf_dir), "cls", "units")
+    cells = F.array(*[F.struct(F.lit(c).alias("units"), F.col(f"`{c}`").alias("n")) for c in wide.columns[1:]])
+    return wide.select("cls", F.explode(cells).alias("x")).select("cls", "x.units", "x.n")
 
 
 _V = """select '{name}' as association, sqrt(greatest(sum(o * o / (na * nb)) - 1, 0) / nullif(least(count(distinct a), count(distinct b)) - 1, 0)) as cramers_v, count(distinct nullif(b, '')) as right_unique_values
@@ -460,20 +547,20 @@ _FLAGS = "a_higher:l b_higher:l equal:l both_replicated:l either_replicated:l di
 
 @_query("agg21_pair_effects", f"customer:l supplier:l class_a class_b units_a:l units_b:l observations_a:l observations_b:l unique_idents_a:l unique_idents_b:l unit_response_a:d unit_response_b:d prevalence_a:d prevalence_b:d diff:d prevalence_diff:d idents_a idents_b signature {_FLAGS}", "select * from obs_effects")
 def _agg21(spark, sf_dir):
-    return matched.pair_effects(_obs_units(spark, sf_dir), CTX)
+    return matched.displayed(matched.pair_effects(_obs_units(spark, sf_dir), CTX))
 
 
 _SUMMARY = """select e.class_a, e.class_b, count(*) as contexts, sum(observations_a + observations_b) as observations, sum(units_a + units_b) as units, count(*) filter (differs) as differs, count(*) filter (a_higher) as a_higher, count(*) filter (b_higher) as b_higher,
     count(*) filter (equal) as equal, avg(diff) as mean_diff, median(diff) as median_diff, sum(diff * (units_a + units_b)) / sum(units_a + units_b) as unit_weighted_diff, sum(prevalence_diff * (observations_a + observations_b)) / sum(observations_a + observations_b) as observation_weighted_diff,
     count(*) filter (both_replicated) as both_replicated, count(*) filter (either_replicated) as either_replicated from {effects} e group by 1, 2"""
-_NAMED = "select class_a, class_b, string_agg(distinct i, ';' order by i) as idents_{s}, count(distinct i) as unique_idents_{s} from (select class_a, class_b, unnest(string_split(idents_{s}, ';')) as i from {effects}) group by 1, 2"
+_NAMED = "select class_a, class_b, string_agg(distinct i, ';' order by i) as idents_{s}, count(distinct i) as unique_idents_{s} from (select class_a, class_b, unnest(list_{s}) as i from {effects}) group by 1, 2"
 _SUMMARY_ALL = f"""select s.*, a.idents_a, a.unique_idents_a, b.idents_b, b.unique_idents_b, t.signature as top_signature, t.n as top_signature_contexts from ({_SUMMARY}) s join ({_NAMED.format(s='a', effects='{effects}')}) a using (class_a, class_b) join ({_NAMED.format(s='b', effects='{effects}')}) b using (class_a, class_b)
-    join (select *, row_number() over (partition by class_a, class_b order by n desc, signature) as place from (select class_a, class_b, signature, count(*) as n from {{effects}} group by 1, 2, 3)) t on t.class_a = s.class_a and t.class_b = s.class_b and t.place = 1"""
+    join (select *, row_number() over (partition by class_a, class_b order by n desc, first) as place from (select class_a, class_b, signature, count(*) as n, min((-round(abs(diff), 12), customer, supplier)) as first from {{effects}} group by 1, 2, 3)) t on t.class_a = s.class_a and t.class_b = s.class_b and t.place = 1"""
 
 
 @_query("agg22_pair_summary", "class_a class_b contexts:l observations:l units:l differs:l a_higher:l b_higher:l equal:l mean_diff:d median_diff:d unit_weighted_diff:d observation_weighted_diff:d both_replicated:l either_replicated:l idents_a idents_b unique_idents_a:l unique_idents_b:l top_signature top_signature_contexts:l", _SUMMARY_ALL.format(effects="obs_effects"))
 def pair_contrasts(spark, sf_dir):
-    return matched.pair_summary(matched.pair_effects(_obs_units(spark, sf_dir), CTX))
+    return matched.displayed(matched.pair_summary(matched.pair_effects(_obs_units(spark, sf_dir), CTX)))
 
 
 @_query("agg20_coverage", "customer:l supplier:l classes:l units:l observations:l unique_idents:l replicated_classes:l all_replicated:l unit_response:d prevalence:d response_min:d response_max:d class_list has_variation:l units_by_class observations_by_class rate_by_class idents_by_class", """select customer, supplier, count(*) as classes, sum(u) as units, sum(o) as observations, sum(k) as unique_idents,
@@ -498,6 +585,14 @@ def _agg23(spark, sf_dir):
     return matched.reduction({"all": (rows, units), "major": (rows.where("cls <> 'error'"), units.where("cls <> 'error'"))}, ["ctx"], "cls", "ident", "label")
 
 
+@_query("agg23_survival", "observations_share:d units_share:d", "select (select count(*) from acts semi join (select distinct ctx from act_matched) m on acts.ctx = m.ctx) / (select count(*) from acts) as observations_share, (select count(*) from act_matched) / (select count(*) from act_units) as units_share")
+def _agg23_survival(spark, sf_dir):
+    rows, units = views.acts(spark, sf_dir), _act_units(spark, sf_dir)
+    own = matched.matched(units, ["ctx"])
+    left = rows.join(own.select("ctx").distinct(), "ctx", "left_semi")
+    return matched.survival(matched.reduction({"all": (rows, units), "matched": (left, own)}, ["ctx"], "cls", "ident", "label"), "matched", "all")
+
+
 _RESIDUALS = "select customer, supplier, cls, ident, response_rate, avg(response_rate) over (partition by customer, supplier) as context_mean, response_rate - avg(response_rate) over (partition by customer, supplier) as residual from obs_matched"
 
 
@@ -523,9 +618,9 @@ def _agg28(spark, sf_dir):
 
 
 @_query("agg29_pairings", "class_a class_b contexts:l a_higher:l b_higher:l equal:l signature example_contexts", """select class_a, class_b, count(*) as contexts, count(*) filter (a_higher) as a_higher, count(*) filter (b_higher) as b_higher, count(*) filter (equal) as equal, signature,
-    array_to_string(list_sort(list(customer || ' || ' || supplier))[1:5], '; ') as example_contexts from obs_effects group by class_a, class_b, signature""")
+    array_to_string(list_transform(list_sort(list({'far': -round(abs(diff), 12), 'key': customer || ' || ' || supplier}))[1:5], lambda x: x.key), '; ') as example_contexts from obs_effects group by class_a, class_b, signature""")
 def _agg29(spark, sf_dir):
-    return matched.pairings(matched.pair_effects(_obs_units(spark, sf_dir), CTX), CTX)
+    return matched.displayed(matched.pairings(matched.pair_effects(_obs_units(spark, sf_dir), CTX), CTX)).drop("idents_a", "idents_b")
 
 
 # --- resampling: draws are whole numbers that SQL works out too

@@ -32,11 +32,11 @@ def read_inferred_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", True).csv(path)
 
 
-def read_pages(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
-    """(key, path, page): one row per file, by its name without the ending; undecodable bytes become U+FFFD."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("key"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("page"))
+def read_pages(spark: SparkSession, path: str, pattern: str = "*.html", key: str = r"([^/]*?)(?:\.[^./]*)?$") -> DataFrame:
+    """(key, path, page): one row per file; undecodable bytes become U+FFFD. key: a regular expression whose first group
+    on a file's path is its key, else its name without the ending."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", key, 1).alias("key"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("page"))
 
 
 def activity_rows(pages: DataFrame, labels: Mapping[str, str], links: Mapping[str, tuple[str, str]], block: Sequence[str], url: str = "") -> DataFrame:
@@ -46,8 +46,8 @@ def activity_rows(pages: DataFrame, labels: Mapping[str, str], links: Mapping[st
     """
     page = F.col("page")
     own = pages.select("key", "path", *[tx.labelled_value(page, label).alias(c) for c, label in labels.items()], *[tx.labelled_link_id(page, label, prefix).alias(c) for c, (label, prefix) in links.items()], tx.section(page, *block).alias("_block"))
-    rows = own.select("*", F.posexplode(tx.records(F.col("_block"))).alias("row_no", "_m")).drop("_block")
-    fields = {name: tx.record_field(F.col("_m"), k) for k, name in enumerate(tx.RECORD_FIELDS, 1)}
+    rows = own.select("*", F.posexplode(tx.record_table(F.col("_block"))).alias("row_no", "_m")).drop("_block")
+    fields = {name: F.col(f"_m.{name}") for name in tx.RECORD_FIELDS}
     rows = rows.select("*", *[(tx.clean_text(c) if name != "activity_id" else F.btrim(c)).alias(name) for name, c in fields.items()]).drop("_m")
     have = lambda c: F.col(c) if c in rows.columns else F.lit("")
     raw = F.col("value_raw")
@@ -97,8 +97,8 @@ def inventory(spark: SparkSession, path: str, notes: Sequence[tuple[str, str]] =
 
 
 def inventory_summary(files: DataFrame) -> DataFrame:
-    """(top_level, files, total_bytes, suffixes)."""
-    each = files.groupBy("top_level", "suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+    """(top_level, files, total_bytes, suffixes); a null suffix is "<none>"."""
+    each = files.withColumn("suffix", F.coalesce("suffix", F.lit("<none>"))).groupBy("top_level", "suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("suffix", "n"))), lambda x: F.concat_ws(":", x["suffix"], x["n"].cast("string"))), ", ")
     return each.groupBy("top_level").agg(F.sum("n").alias("files"), F.sum("b").alias("total_bytes"), listed.alias("suffixes"))
 

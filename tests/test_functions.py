@@ -1,4 +1,6 @@
+import html
 import math
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,25 @@ def test_small_numbers(spark):
     assert values(spark, [0.0, 2.0], numeric.ratio(F.lit(1), F.col("v")), "double") == [None, 0.5]
     frame = spark.createDataFrame([("z",), ("b",), ("a",), ("q",)], "v string")
     assert [r[0] for r in frame.orderBy(numeric.enum_order(F.col("v"), ["b", "z"])).collect()] == ["b", "z", "a", "q"]
+
+
+def test_entities_are_those_of_the_standard_library(spark):
+    names = [f"a&{n}b" for n in html5] + [f"&{n.rstrip(';')} x" for n in html5] + [f"&{n[:-1]}" for n in html5 if len(n) > 2]
+    names += ["", "&", "&&amp;&", "& amp;", "&#;", "&#x;", "&#xg;", "&#38", "&#0038;x", "&#x26;#38;", "&#99999999999999999999;", "&#x00000000041;", "&notit;&notin;&ampersand;&amplt;", "&" + "a" * 40 + ";", "&a\tb;", "&é;", "&#12\n", "a&b", "x&lt", "&#1114112;"]
+    got = spark.createDataFrame([(x,) for x in names] + [(None,)], "x string").select("x", text.unescaped(F.col("x")).alias("y")).collect()
+    assert len(got) == len(names) + 1
+    for r in got:
+        assert r["y"] == (html.unescape(r["x"]) if r["x"] is not None else None), r["x"]
+
+
+def test_number_references_of_all_code_points(spark):
+    each = spark.range(0, 0x110100, numPartitions=8).select("id", text.unescaped(F.format_string("&#%d;|&#x%x", "id", "id")).alias("y"))
+    wrong = [r["id"] for r in each.toLocalIterator() if r["y"] != html.unescape(f"&#{r['id']};|&#x{r['id']:x}")]
+    assert wrong == []
+
+
+def test_record_table_takes_all_groups(spark):
+    block = "noise <i>1</i><b>x\ufdd0y</b> and <I>2</I> more <i>3</i><b></b> end"
+    pattern = "(?is)<i>(.*?)</i>(?:<b>(.*?)</b>)?"
+    rows = spark.createDataFrame([(block,), ("",), (None,)], "x string").select(text.record_table(F.col("x"), pattern, ["n", "b"]).alias("r")).collect()
+    assert [[(m["n"], m["b"]) for m in r["r"] or []] for r in rows] == [[("1", "x\ufffdy"), ("2", ""), ("3", "")], [], []]
