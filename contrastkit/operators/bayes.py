@@ -85,30 +85,41 @@ class _Fit:
             odds = odds + F.coalesce(brought, F.lit(0.0))
         return F.round(1 / (1 + F.exp(odds)), PLACES)
 
-    def held(self) -> DataFrame:
-        """(split, model, fold, row..., label, score) of each row in its own fold."""
-        met = self.attached(self.placed).join(self.constants.select("split", "fold", "parts"), ["split", "fold"])
-        found = F.array(*[F.struct(F.lit(name).alias("model"), self.score(F.col("parts")[j]["odds"], F.col("fold"), own).alias("score")) for j, (name, own) in enumerate(self.models.items())])
-        rest = [c for c in self.placed.columns if c not in ("split", "fold", "label") and not c.startswith("_v")]
-        return met.select("split", "fold", *rest, "label", F.explode(found).alias("x")).select("split", "x.model", "fold", *rest, "label", "x.score")
-
-    def trained(self) -> DataFrame:
-        """(split, model, fold, threshold, p, n): positives and rows of a fold's training rows at each score. What has the
-        same values is scored once."""
+    def _cells(self) -> DataFrame:
+        """(split, j, _v0, ..., fold, n, p): how often the values of model j occur together in each fold; others are null."""
         columns = [f"_v{k}" for k in range(len(self.features))]
-        masked = [F.struct(F.lit(j).alias("j"), F.lit(name).alias("model"), *[F.col(c) if self.features[k] in own else F.lit(None).cast("string").alias(c) for k, c in enumerate(columns)]) for j, (name, own) in enumerate(self.models.items())]
+        masked = [F.struct(F.lit(j).alias("j"), *[F.col(c) if self.features[k] in own else F.lit(None).cast("string").alias(c) for k, c in enumerate(columns)]) for j, own in enumerate(self.models.values())]
         cells = self.placed.select("split", "fold", "label", F.explode(F.array(*masked)).alias("x")).select("split", "fold", "label", "x.*")
-        keys = ["split", "j", "model", *columns]
-        cells = spread(cells, *keys).groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
-        whole = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-        parts = self.constants.select("split", "fold", "parts")
-        # all rows of a tuple at each fold, less those inside the fold, at the same score
-        every = self.attached(whole).join(parts, "split")
-        inside = self.attached(cells.withColumns({"n": -F.col("n"), "p": -F.col("p")})).join(parts, ["split", "fold"])
-        scored = F.coalesce(*[F.when(F.col("j") == j, self.score(F.col("parts")[j]["odds"], F.col("fold"), own)) for j, own in enumerate(self.models.values())])
-        own = ["split", "model", "fold", scored.alias("threshold"), "p", "n"]
-        out = every.select(*own).union(inside.select(*own)).groupBy("split", "model", "fold", "threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-        return cut(out.where("n > 0"), "trained")
+        keys = ["split", "j", *columns]
+        return spread(cells, *keys).groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
+
+    def scored(self, training: bool) -> DataFrame:
+        """(split, model, fold, held, row..., label, n, p, score): each row in its own fold (held), and with training counts
+        of positives and rows of the training rows of each fold at each score.
+
+        What has the same values is scored once at each fold for all rows, and once in each fold for the rows to be taken
+        off; values are attached to all of these together.
+        """
+        columns = [f"_v{k}" for k in range(len(self.features))]
+        rest = [c for c in self.placed.columns if c not in ("split", "fold", "label") and not c.startswith("_v")]
+        every = self.placed.withColumns({"j": F.lit(None).cast("int"), "n": F.lit(1).cast("long"), "p": F.col("label").cast("long")})
+        if training:
+            cells = cut(self._cells(), "cells")
+            whole = cells.groupBy("split", "j", *columns).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+            inside = cells.withColumns({"n": -F.col("n"), "p": -F.col("p")})
+            every = every.unionByName(whole, allowMissingColumns=True).unionByName(inside, allowMissingColumns=True)
+        folds = self.constants.groupBy("split").agg(F.collect_list(F.struct("fold", "parts")).alias("_folds"))
+        met = self.attached(every).join(folds, "split").withColumn("_own", F.filter("_folds", lambda x: F.col("fold").isNull() | (x["fold"] == F.col("fold"))))
+        met = met.drop("fold", "_folds").withColumn("_f", F.explode("_own"))
+        score = lambda j, own: self.score(F.col("_f.parts")[j]["odds"], F.col("_f.fold"), own)
+        found = [F.when(F.col("j").isNull() | (F.col("j") == j), F.struct(F.lit(name).alias("model"), score(j, own).alias("score"))) for j, (name, own) in enumerate(self.models.items())]
+        out = met.select("split", F.col("_f.fold").alias("fold"), F.col("j").isNull().alias("held"), *rest, "label", "n", "p", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+        return out.select("split", "x.model", "fold", "held", *rest, "label", "n", "p", "x.score")
+
+
+def _held(scored: DataFrame) -> DataFrame:
+    """(split, model, fold, row..., label, score) of each row in its own fold."""
+    return scored.where("held").drop("held", "n", "p")
 
 
 def scores(rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequence[str]], label: str, row_id: str, alpha: float = 1.0) -> DataFrame:
@@ -118,15 +129,16 @@ def scores(rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequence[str]
     values met plus one; blanks and nulls are one value. A model without features scores by the classes' sizes. No rows
     in: no rows out.
     """
-    return _Fit(rows, folds, models, label, row_id, alpha).held()
+    return _held(_Fit(rows, folds, models, label, row_id, alpha).scored(training=False))
 
 
 def cross_validated(rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequence[str]], label: str, row_id: str, alpha: float = 1.0) -> DataFrame:
     """(split, model, fold, row_id, label, score, threshold, predicted): the held-out rows, labelled by the threshold
     that is best on the training rows."""
-    fit = _Fit(rows, folds, models, label, row_id, alpha)
-    best = best_of_counted(fit.trained(), ["split", "model", "fold"])
-    held = fit.held().join(best, ["split", "model", "fold"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    scored = cut(_Fit(rows, folds, models, label, row_id, alpha).scored(training=True), "scores")
+    counted = scored.where("not held").groupBy("split", "model", "fold", F.col("score").alias("threshold")).agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where("n > 0")
+    best = best_of_counted(counted, ["split", "model", "fold"])
+    held = _held(scored).join(best, ["split", "model", "fold"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
     return cut(held.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int")), "predictions")
 
 

@@ -62,19 +62,38 @@ def brier(label: Column, score: Column) -> Column:
 
 
 def evaluated(rows: DataFrame, by: Sequence[str], label: str, score: str, predicted: str, order: Sequence[str]) -> DataFrame:
-    """For each value of `by`: sizes, all metrics and the confusion counts."""
-    y = F.col(label)
-    out = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(label).cast("long").alias("positives"),
-        F.avg(label).alias("prevalence"),
-        log_loss(y, F.col(score)).alias("log_loss"),
-        brier(y, F.col(score)).alias("brier"),
-        *[c.alias(name) for name, c in confusion(y, F.col(predicted)).items()],
+    """For each value of `by`: sizes, all metrics and the confusion counts.
+
+    Rows are put in order once, by falling score and then by `order`. Running positives and places give the precision at
+    each positive; where they stand at the end of equal scores gives the negatives above, and so the area under the curve.
+    """
+    y, s = F.col(label), F.col(score)
+    placed = running(rows.select(*by, label, score, predicted, *order), by, [F.desc(score), *order], {"_hits": label, "_place": F.lit(1)})
+    four = confusion(y, F.col(predicted))
+    at = placed.groupBy(*by, score).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(label).cast("long").alias("_p"),
+        (F.max("_place") - F.max("_hits")).alias("_negatives"),
+        F.sum(F.when(y == 1, F.col("_hits") / F.col("_place"))).alias("_precision"),
+        *[c.alias(name) for name, c in four.items()],
     )
-    four = [F.col(c) for c in ("tp", "tn", "fp", "fn")]
-    out = out.withColumn("balanced_accuracy", balanced_accuracy(*four)).withColumn("mcc", matthews(*four))
-    return out.join(roc_auc(rows, by, label, score), list(by)).join(average_precision(rows, by, label, score, order), list(by))
+    n, p, sure = F.col("_n"), F.col("_p"), clamped(s)
+    whole, positives = F.sum("_n"), F.sum("_p")
+    pairs = positives.cast("double") * (whole - positives)
+    above = F.sum(p * (F.col("_negatives") - (n - p) / 2.0))
+    out = at.groupBy(*by).agg(
+        whole.alias("n"),
+        positives.alias("positives"),
+        (positives / whole).alias("prevalence"),
+        (-F.sum(p * F.log(sure) + (n - p) * F.log(1 - sure)) / whole).alias("log_loss"),
+        (F.sum(p * (s - 1) * (s - 1) + (n - p) * s * s) / whole).alias("brier"),
+        *[F.sum(name).alias(name) for name in four],
+        F.try_divide(pairs - above, pairs).alias("roc_auc"),
+        F.try_divide(F.sum("_precision"), positives.cast("double")).alias("average_precision"),
+    )
+    counts = [F.col(c) for c in four]
+    out = out.withColumn("balanced_accuracy", balanced_accuracy(*counts)).withColumn("mcc", matthews(*counts))
+    return out.select(*by, "n", "positives", "prevalence", "log_loss", "brier", *four, "balanced_accuracy", "mcc", "roc_auc", "average_precision")
 
 
 def best_thresholds(rows: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:

@@ -6,6 +6,7 @@ before it, one row for each group and range, are added.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,11 +71,15 @@ def order_statistics(rows: DataFrame, by: Sequence[str], value: str, statistics:
     state = cut(whole.withColumn("_place", F.explode(F.array_distinct(F.array(*[s.cast("long") for s in sides])))).withColumn("_below", F.lit(0).cast("long")), "bounds")
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     one = [*keys, "_place"]
-    while state.where(F.col("_d") > SORTED).limit(1).count():
+    for even in itertools.cycle((True, False)):  # by turns in equal parts and in powers of two, for values of many magnitudes
         open_ = state.where(F.col("_d") > SORTED)
+        if not open_.limit(1).count():
+            break
         met = null_safe(counted, open_.select(*one, "_below", "_lo", "_hi", "_total"), keys).where(inside)
-        share = F.nanvl((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2), F.lit(1.0))
-        binned = met.groupBy(*one, "_below", "_total", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("_bin")).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        share = F.nanvl((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2), F.lit(0.5))  # 0.5 with an infinite bound
+        part = F.floor(share * BINS) if even else F.when(share > 0, BINS - 1 + F.ceil(F.log2(share))).otherwise(0)
+        part = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), BINS - 1).otherwise(F.greatest(F.lit(0), F.least(part, F.lit(BINS - 1))))
+        binned = met.groupBy(*one, "_below", "_total", part.alias("_bin")).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         found = _at_place(binned, one, "_bin").withColumn("_below", F.col("_upto") - F.col("_n"))
         closer = found.select(*state.columns)
         state = cut(state.where(F.col("_d") <= SORTED).unionByName(closer), "bounds", instead_of=[state])

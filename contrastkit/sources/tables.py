@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from contrastkit.functions import text as tx
+from contrastkit.sources import files
 
 #: Columns of an activity table, in order.
 ACTIVITY = (
@@ -35,8 +36,8 @@ def read_inferred_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_pages(spark: SparkSession, path: str, pattern: str = "*.html", key: str = r"([^/]*?)(?:\.[^./]*)?$") -> DataFrame:
     """(key, path, page): one row per file; undecodable bytes become U+FFFD. key: a regular expression whose first group
     on a file's path is its key, else its name without the ending."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", key, 1).alias("key"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("page"))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return found.select(F.regexp_extract("path", key, 1).alias("key"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("page"))
 
 
 def activity_rows(pages: DataFrame, labels: Mapping[str, str], links: Mapping[str, tuple[str, str]], block: Sequence[str], url: str = "") -> DataFrame:
@@ -84,21 +85,26 @@ def to_fetch(ids: DataFrame, manifest: DataFrame, limit: int | None = None, forc
 def inventory(spark: SparkSession, path: str, notes: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(path, relative_path, top_level, suffix, bytes, sha256, note) of all files below a folder.
 
-    notes: (regular expression on the relative path, note); the first that matches counts.
+    notes: (regular expression on the relative path, note); the first that matches counts. Files of up to files.WHOLE bytes
+    are read by Spark; larger ones a piece at a time by files.digests, in file systems that Arrow knows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = F.col("length") <= files.WHOLE
     root = F.regexp_replace(F.lit(path.rstrip("/")), "^[a-z]+:/*(?=/)", "")
     relative = F.call_function("substring_index", F.col("path"), F.concat(root, F.lit("/")), F.lit(-1))
     name = F.element_at(F.split(relative, "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(?<=.)(\.[^.]+)$", 1))
     note = F.coalesce(*[F.when(relative.rlike(pattern), F.lit(note)) for pattern, note in notes], F.lit(""))
     top = F.element_at(F.split(relative, "/"), 1)
-    return files.select("path", relative.alias("relative_path"), top.alias("top_level"), F.coalesce(F.nullif(suffix, F.lit("")), F.lit("<none>")).alias("suffix"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), note.alias("note"))
+    read = found.where(small).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = found.where(~small).select("path", "length")
+    own = read.unionByName(large.join(files.digests(large), "path"))
+    return own.select("path", relative.alias("relative_path"), top.alias("top_level"), F.coalesce(F.nullif(suffix, F.lit("")), F.lit("<none>")).alias("suffix"), F.col("length").alias("bytes"), "sha256", note.alias("note"))
 
 
-def inventory_summary(files: DataFrame) -> DataFrame:
+def inventory_summary(found: DataFrame) -> DataFrame:
     """(top_level, files, total_bytes, suffixes); a null suffix is "<none>"."""
-    each = files.withColumn("suffix", F.coalesce("suffix", F.lit("<none>"))).groupBy("top_level", "suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+    each = found.withColumn("suffix", F.coalesce("suffix", F.lit("<none>"))).groupBy("top_level", "suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("suffix", "n"))), lambda x: F.concat_ws(":", x["suffix"], x["n"].cast("string"))), ", ")
     return each.groupBy("top_level").agg(F.sum("n").alias("files"), F.sum("b").alias("total_bytes"), listed.alias("suffixes"))
 

@@ -3,26 +3,32 @@
 Options: dropBlankRows (true) leaves out rows without a filled cell; strict (false) raises where a shared string or a
 cell reference is missing; unescape (false) decodes entities in plain values. The first row that is kept is the header.
 One file is one partition; all columns are text, and _row is the place of a row below the header. The data source opens
-paths itself, so they must be on a disk that all machines have; `read_workbooks` reads through Spark, from any file
-system that it knows. Either way a file is in the memory of one task.
+paths itself, on disks that all machines have or in stores that Arrow knows, and reads a sheet as it goes: what it holds is
+the shared strings and BATCH rows. `read_workbooks` reads through Spark, from any file system that Spark knows, and holds
+the file's own bytes besides.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import html
 import io
-import os
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from contrastkit.sources.files import located
+
+#: Rows that are given out together.
+BATCH = 4096
 #: Namespaces of the format (fixed values).
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -51,26 +57,54 @@ def _first_sheet(book: zipfile.ZipFile) -> str:
     raise ValueError("the first sheet has no part")
 
 
-def sheet_rows(content: bytes, drop_blank: bool = True, strict: bool = False, unescape: bool = False) -> Iterator[list[str]]:
-    """The rows of the first sheet as texts, padded to their last filled cell."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+def _parsed(part: BinaryIO, tag: str, inside: str) -> Iterator[ElementTree.Element]:
+    """The elements of a tag, each let go of when the next is asked for."""
+    above = None
+    for event, element in ElementTree.iterparse(part, ("start", "end")):
+        if event == "start" and element.tag == inside:
+            above = element
+        if event == "end" and element.tag == tag:
+            yield element
+            (element if above is None else above).clear()
+
+
+def sheet_rows(content: bytes | BinaryIO, drop_blank: bool = True, strict: bool = False, unescape: bool = False) -> Iterator[list[str]]:
+    """The rows of the first sheet as texts, padded to their last filled cell, as the sheet is read."""
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+            with book.open("xl/sharedStrings.xml") as part:
+                shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in _parsed(part, f"{_MAIN}si", f"{_MAIN}sst")]
         with book.open(_first_sheet(book)) as part:
-            for _, element in ElementTree.iterparse(part):
-                if element.tag != f"{_MAIN}row":
-                    continue
+            for element in _parsed(part, f"{_MAIN}row", f"{_MAIN}sheetData"):
                 cells: list[str] = []
                 for cell in element.iter(f"{_MAIN}c"):
                     place = column_place(cell.get("r") or "", strict)
                     cells += [""] * (place + 1 - len(cells))
                     cells[place] = _text(cell, shared, strict, unescape)
-                element.clear()
                 if not drop_blank or any(x.strip() for x in cells):
                     yield cells
 
 
+def _batches(rows: Iterator[list[str]], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows below the header as the named columns and _row, BATCH at a time."""
+    header, first, done = next(rows, []), 0, False
+    at = {c: k for k, c in enumerate(header)}
+    while not done:
+        held = []
+        for cells in rows:
+            held.append(cells)
+            if len(held) == BATCH:
+                break
+        else:
+            done = True
+        cell = lambda x, c: x[at[c]] if c in at and at[c] < len(x) else ""
+        made = [pa.array(range(first, first + len(held)), pa.int64()) if c == "_row" else pa.array([cell(x, c) for x in held], pa.string()) for c in columns]
+        first += len(held)
+        if held:
+            yield pa.RecordBatch.from_arrays(made, names=columns)
+
+
 def _text(cell: ElementTree.Element, shared: list[str], strict: bool, unescape: bool) -> str:
     kind, raw = cell.get("t"), cell.findtext(f"{_MAIN}v") or ""
     if kind == "inlineStr":
@@ -83,6 +117,11 @@ def _text(cell: ElementTree.Element, shared: list[str], strict: bool, unescape:
     return html.unescape(raw) if unescape else raw
 
 
+def _opened(path: str) -> BinaryIO:
+    system, name = located(path)
+    return system.open_input_file(name)
+
+
 class XlsxSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -95,13 +134,17 @@ class XlsxSource(DataSource):
         return {"drop_blank": self._flag("dropBlankRows", True), "strict": self._flag("strict", False), "unescape": self._flag("unescape", False)}
 
     def _files(self) -> list[str]:
-        path = re.sub("^file:/*", "/", self.options["path"])
-        return sorted(glob.glob(os.path.join(path, "*.xlsx"))) if os.path.isdir(path) else [path]
+        system, path = located(self.options["path"])
+        if system.get_file_info(path).type != fs.FileType.Directory:
+            return [self.options["path"]]
+        found = (f.path for f in system.get_file_info(fs.FileSelector(path)) if fnmatch.fnmatch(f.base_name, "*.xlsx"))
+        return sorted(self.options["path"].rstrip("/") + "/" + p.rpartition("/")[2] for p in found)
 
     def schema(self) -> StructType:
         header: list[str] = []
         for path in self._files():
-            first = next(sheet_rows(open(path, "rb").read(), **self._settings()), [])
+            with _opened(path) as book:
+                first = next(sheet_rows(book, **self._settings()), [])
             header += [c for c in first if c not in header]
         return StructType([StructField(c, StringType()) for c in header] + [StructField("_row", LongType())])
 
@@ -116,12 +159,9 @@ class XlsxReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(f) for f in self.files]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows = sheet_rows(open(partition.value, "rb").read(), **self.settings)
-        header = next(rows, [])
-        for k, cells in enumerate(rows):
-            found = dict(zip(header, cells))
-            yield tuple(k if c == "_row" else found.get(c, "") for c in self.columns)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        with _opened(partition.value) as book:
+            yield from _batches(sheet_rows(book, **self.settings), self.columns)
 
 
 def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx", drop_blank: bool = True, strict: bool = False, unescape: bool = False) -> DataFrame:
@@ -141,10 +181,7 @@ def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx", drop
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(1):
-                rows = sheet_rows(content.as_py(), **settings)
-                header = next(rows, [])
-                cells = [dict(zip(header, x)) for x in rows]
-                yield pa.RecordBatch.from_arrays([*(pa.array([x.get(c, "") for x in cells], pa.string()) for c in columns), pa.array(range(len(cells)), pa.int64())], names=[*columns, "_row"])
+                yield from _batches(sheet_rows(content.as_py(), **settings), [*columns, "_row"])
 
     return files.mapInArrow(run, StructType([StructField(c, StringType()) for c in columns] + [StructField("_row", LongType())]))
 

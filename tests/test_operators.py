@@ -94,6 +94,66 @@ def test_pairs(units):
     assert {(r[0], r[1]) for r in turned.select("class_a", "class_b").distinct().collect()} == {("C", "B"), ("C", "A"), ("B", "A")}
 
 
+def test_identities_may_hold_separators(spark):
+    rows = [("c1", "A", "x;y", 1.0), ("c1", "A", "x", 0.0), ("c1", "B", "p|q", 0.0), ("c2", "A", "x", 0.5), ("c2", "A", "y", 0.5), ("c2", "B", "p|q", 0.0), ("c3", "A", "x;y", 0.5), ("c3", "A", "x", 0.0), ("c3", "B", "p|q", 0.0)]
+    frame = spark.createDataFrame([(*r, 1, int(r[3] > 0.7)) for r in rows], "ctx string, cls string, ident string, response_rate double, n_observations int, positives int")
+    effects = matched.pair_effects(frame, CTX)
+    got = matched.pair_summary(effects).first()
+    assert got["idents_a"] == ["x", "x;y", "y"] and got["idents_b"] == ["p|q"] and (got["unique_idents_a"], got["unique_idents_b"]) == (3, 1)
+    assert (got["top_idents_a"], got["top_signature_contexts"]) == (["x", "x;y"], 2)
+    shown = {r["contexts"]: (r["signature"], r["example_contexts"]) for r in matched.displayed(matched.pairings(effects, CTX)).collect()}
+    assert shown == {2: ("x|p|q;x;y|p|q", "c1; c3"), 1: ("x|p|q;y|p|q", "c2")}
+
+
+def test_arms_of_many_identities(spark):
+    """What 10,000 identities on either side would pair to is never written out."""
+    frame = spark.range(20000).selectExpr("'c' as ctx", "if(id % 2 = 0, 'A', 'B') as cls", "concat('i', id) as ident", "cast(id % 3 = 0 as double) as response_rate", "1 as n_observations", "cast(id % 3 = 0 as int) as positives")
+    got = matched.pair_summary(matched.pair_effects(frame, CTX)).first()
+    assert (got["unique_idents_a"], got["unique_idents_b"], len(got["top_idents_a"])) == (10000, 10000, 10000)
+    assert matched.pairings(matched.pair_effects(frame, CTX), CTX).count() == 1
+
+
+def test_a_context_with_half_of_all_units_is_spread(spark):
+    """The join that brings means back is split where one context is large: no task reads all its units."""
+    names = ["spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    frame = spark.range(200000, numPartitions=16).selectExpr("if(id % 2 = 0, 0, id % 5000) as ctx", "if(id % 3 = 0, 'A', 'B') as cls", "concat('ident', id) as ident", "rand(3) as response_rate")
+    try:
+        for name, value in zip(names, ("64k", "64k", "2", "-1", "-1")):
+            spark.conf.set(name, value)
+        out = matched.residuals(frame, CTX)
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id().alias("task")).agg(F.count_if(F.col("ctx") == 0)).select(F.col("count_if((ctx = 0))")).collect()]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert sum(sizes) == 100000 and max(sizes) < 50000
+    assert "Window" not in plan
+    assert abs(out.where("ctx = 0").agg(F.sum("residual")).first()[0]) < 1e-6
+
+
+def test_null_contexts_are_a_context(spark):
+    rows = [(None, "A", "i", 1.0), (None, "B", "j", 0.0), ("c", "A", "i", 1.0)]
+    frame = spark.createDataFrame(rows, "ctx string, cls string, ident string, response_rate double")
+    assert sorted(r["residual"] for r in matched.residuals(matched.matched(frame, CTX), CTX).collect()) == [-0.5, 0.5]
+    assert matched.residual_range(frame, CTX).first()[0] == 1.0
+
+
+@pytest.mark.parametrize(("most", "parts"), [(1 << 14, 256), (12, 64)])
+def test_order_statistics_close_in(spark, monkeypatch, most, parts):
+    monkeypatch.setattr(ordered, "SORTED", most)
+    monkeypatch.setattr(ordered, "BINS", parts)
+    draw = random.Random(2)
+    groups = {"a": [draw.choice([draw.gauss(0, 1), draw.lognormvariate(0, 10), -1e308, 1e308, 0.0]) for _ in range(300)], "b": [7.0] * 50, None: [float(k) for k in range(90)], "d": [5.0, None], "e": [None], "f": [float("inf"), float("-inf"), 1.0, 2.0, 3.0, 4.0, 5.0]}
+    frame = spark.createDataFrame([(g, v) for g, own in groups.items() for v in own], "g string, v double")
+    got = {r["g"]: r for r in ordered.order_statistics(frame, ["g"], "v", {"m": ("linear", 0.5), "f": ("floor", 0.95), "p": ("floor", 0.1)}).collect()}
+    assert set(got) == {"a", "b", None, "d", "f"}
+    for g, r in got.items():
+        own = sorted(v for v in groups[g] if v is not None)
+        assert r["f"] == own[int(0.95 * (len(own) - 1))] and r["p"] == own[int(0.1 * (len(own) - 1))]
+        assert r["m"] == pytest.approx((own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2)
+    assert ordered.order_statistics(frame, [], "v", {"f": ("floor", 0.0)}).first()[0] == float("-inf")
+
+
 def test_permutation_keeps_arms_and_nears_the_exact_p(units):
     pair = units.where("cls in ('A', 'B')")
     dealt = resample.permuted(matched.matched(pair, CTX), CTX, UNIT, 20, 5)

@@ -1,5 +1,9 @@
+import csv
+import hashlib
+import io
 import threading
 import time
+import tracemalloc
 import zipfile
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -8,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrastkit.operators import audit
-from contrastkit.sources import fetch, report, tables, xlsx
+from contrastkit.sources import fetch, files, report, single, tables, xlsx
 from contrastkit.streaming import ingest
 
 
@@ -123,6 +127,84 @@ def test_csv_round_trip(spark, tmp_path):
     assert both.columns == ["id", "more"] and both.count() == 4
 
 
+def python_csv(rows, header):
+    held = io.StringIO(newline="")
+    writer = csv.DictWriter(held, header, extrasaction="ignore", restval="")
+    writer.writeheader()
+    writer.writerows(rows)
+    return held.getvalue().encode()
+
+
+def test_single_files_are_those_of_one_writer(spark, tmp_path):
+    rows = [{"k": k, "text": f'a "q", {k}\nnext' if k % 3 else "", "x": k / 7, "flag": k % 2 == 0} for k in range(500)]
+    frame = spark.createDataFrame([(r["k"], r["text"], r["x"], r["flag"]) for r in rows], "k int, text string, x double, flag boolean").repartition(7).orderBy("k")
+    path = tmp_path / "new" / "folder" / "all.csv"
+    single.write_single_csv(frame, str(path))
+    assert path.read_bytes() == python_csv(rows, ["k", "text", "x", "flag"])
+    single.write_single_csv(frame, f"file://{path}", ["text", "absent", "k"])  # replaces it
+    assert path.read_bytes() == python_csv(rows, ["text", "absent", "k"])
+    other = [{"k": 900, "more": "é"}, {"k": 901, "more": None}]
+    both = tables.stacked(frame, spark.createDataFrame([(r["k"], r["more"]) for r in other], "k int, more string")).orderBy("k")
+    single.write_single_csv(both, str(path))
+    assert path.read_bytes() == python_csv(rows + [{k: v for k, v in r.items() if v} for r in other], ["k", "text", "x", "flag", "more"])
+    single.write_single_csv(frame.limit(0), str(path))
+    assert path.read_bytes() == b"k,text,x,flag\r\n"
+    single.write_single_csv(frame.limit(0), str(path), no_rows="blank")
+    assert path.read_bytes() == b"\r\n"
+    with pytest.raises(Exception, match="zero"):
+        single.write_single_csv(frame.withColumn("k", F.when(F.col("k") == 400, F.raise_error(F.lit("zero"))).otherwise(F.col("k"))), str(tmp_path / "failed.csv"))
+    assert not (tmp_path / "failed.csv").exists() and [p.name for p in path.parent.iterdir()] == ["all.csv"]
+
+
+def test_manifest_file(spark, tmp_path, site):
+    url, *_ = site
+    ids = spark.createDataFrame([("b", 0), ("no", 1), ("a", 2)], "id string, place int")
+    manifest = fetch.fetch_pages(spark, ids, url, str(tmp_path / "pages"), manners=fetch.Manners(delay=0.0))
+    single.write_manifest(manifest, str(tmp_path / "manifest.csv"))
+    held = f"{tmp_path}/pages/run=0"
+    wanted = [{"adc_id": "b", "url": f"{url}b", "path": held, "status": "ok", "bytes": 7}, {"adc_id": "no", "url": f"{url}no", "status": "http_404", "bytes": 0, "error": "HTTP Error 404: Not Found"}, {"adc_id": "a", "url": f"{url}a", "path": held, "status": "ok", "bytes": 7}]
+    assert (tmp_path / "manifest.csv").read_bytes() == python_csv(wanted, ["adc_id", "url", "path", "status", "bytes", "error"])
+    back = tables.read_csv(spark, str(tmp_path / "manifest.csv"))
+    assert tables.to_fetch(ids, back).first()["id"] == "no"
+
+
+def test_large_files_get_digests(spark, tmp_path):
+    with open(tmp_path / "large one.bin", "wb") as f:
+        f.truncate(3 << 30)
+        f.seek(1 << 31)
+        f.write(b"x")
+    (tmp_path / "small.txt").write_bytes(b"abc")
+    digest, zeros = hashlib.sha256(), bytes(1 << 20)
+    for k in range(3 << 10):
+        digest.update(b"x" + zeros[1:] if k == 2 << 10 else zeros)
+    found = {r["relative_path"]: (r["bytes"], r["sha256"]) for r in tables.inventory(spark, str(tmp_path)).collect()}
+    assert found == {"large one.bin": (3 << 30, digest.hexdigest()), "small.txt": (3, hashlib.sha256(b"abc").hexdigest())}
+    assert files.sha256(f"file:{tmp_path}/small.txt") == files.sha256(f"{tmp_path}/small.txt") == files.sha256(f"file://{tmp_path}/small.txt")
+
+
+def test_large_sheets_are_read_as_they_go(spark, tmp_path, monkeypatch):
+    shared = [f"s{k}" for k in range(50)]
+    rows = [["id", "name"], *([str(k), shared[k % 50]] for k in range(60000))]
+    fast = {v: k for k, v in enumerate(shared)}
+    cell = lambda ref, v: f'<c r="{ref}" t="s"><v>{fast[v]}</v></c>' if v in fast else f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    book(tmp_path / "b.xlsx", [], shared)
+    body = "".join(f"<row>{cell(f'A{k}', a)}{cell(f'B{k}', b)}</row>" for k, (a, b) in enumerate(rows, 1))
+    with zipfile.ZipFile(tmp_path / "b.xlsx") as old, zipfile.ZipFile(tmp_path / "a.xlsx", "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            new.writestr(name, old.read(name) if "sheet1" not in name else old.read(name).replace(b"<sheetData>", b"<sheetData>" + body.encode()))
+    (tmp_path / "b.xlsx").unlink()
+    tracemalloc.start()
+    with open(tmp_path / "a.xlsx", "rb") as f:
+        assert sum(1 for _ in xlsx.sheet_rows(f)) == 60001
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    xlsx.register(spark)
+    for frame in (spark.read.format("xlsx").load(str(tmp_path)), xlsx.read_workbooks(spark, str(tmp_path))):
+        got = frame.agg(F.count("*"), F.sum(F.col("id").cast("long")), F.max("_row"), F.count_distinct("name")).first()
+        assert tuple(got) == (60000, 60000 * 59999 // 2, 59999, 50)
+
+
 def test_pages_to_activity(spark, tmp_path):
     cell = '<tr><td class="pad-20">IC50 <a href="#ACT{k}">x</a></td><td class="h-center"><div>{v}</div></td><td class="h-center"><div>nM</div></td><td class="pad-20"><div>Cell {k}</div></td><td class="pad-20"><div>Disease</div></td></tr>'
     page = '<th>Name</th><td>Drug &amp; Co</td><th>Payload Name</th><td>MMAE <a href="/p/PAY7">link</a></td> ACTIVITY CELLS ' + cell.format(k=1, v="&lt;5") + cell.format(k=2, v="12.5") + " CLINICAL " + cell.format(k=3, v="1")
