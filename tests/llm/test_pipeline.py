@@ -1,15 +1,14 @@
-from collections import Counter, defaultdict
+from collections import Counter
 
-import numpy as np
-from fixtures import WORD, edge_docs
+from fixtures import WORD, clashing, edge_docs
 from test_line_and_substring import expected_lines
-from test_simhash import fingerprint
+from test_similar import first_of_groups
 
 import corpus_pipeline
 
 
 def test_stages(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 400").cache()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
     names = docs.columns
     out, frames = docs, []
     for name, stage in corpus_pipeline.STAGES:
@@ -22,22 +21,8 @@ def test_stages(spark, sf_dir):
     assert identified.count() == docs.where("text rlike '\\\\p{L}'").count()
     rows = [tuple(r) for r in identified.select("doc_id", "text").collect()]
     assert sorted((r["doc_id"], r["text"]) for r in lines.collect()) == sorted((d, kept) for d, *_, kept in expected_lines(rows))
-    own = [(r["doc_id"], r["text"]) for r in lines.collect()]
-    prints = np.array([fingerprint(t, 5) for _, t in own], dtype=np.uint64)
-    parent = list(range(len(own)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for k in range(len(own)):
-        for j in np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= corpus_pipeline.RADIUS):
-            parent[root(int(j))] = root(k)
-    groups = defaultdict(list)
-    for k, (d, _) in enumerate(own):
-        groups[root(k)].append(d)
-    assert sorted(r["doc_id"] for r in near.select("doc_id").collect()) == sorted(min(g) for g in groups.values())
+    own = [tuple(r) for r in lines.collect()]
+    assert sorted(r["doc_id"] for r in near.select("doc_id").collect()) == sorted(first_of_groups(own, corpus_pipeline.LEAST_SIMILARITY))
     kept = {r["doc_id"] for r in near.collect()}
     times = Counter(r["doc_id"] for r in mixed.collect())
     assert set(times) <= kept and max(times.values()) <= 3
@@ -47,9 +32,11 @@ def test_stages(spark, sf_dir):
 
 
 def test_edges(spark, sf_dir):
-    out = edge_docs(spark)
-    for _, stage in corpus_pipeline.STAGES:
+    out = clashing(spark)
+    names = out.columns
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, sf_dir).cache()
+        assert name == "best_fit_packing" or out.columns == names
     assert out.count() > 0
     out = spark.createDataFrame([], edge_docs(spark).schema)
     for _, stage in corpus_pipeline.STAGES:
