@@ -11,7 +11,7 @@ from contrastkit.plans import catalog
 
 NAMES = (
     "flt2_routing agg9_collapsed agg18_units agg12_modelling_summary agg15_associations agg16_overlap agg17_prevalence_summary agg20_coverage agg22_pair_summary agg25_residual_summary agg26_residual_range "
-    "rsm1_range_permutation rsm6_leave_one_out_pairs met1_confusion_metrics clf4_best_thresholds met7_pooled_results txt1_clean_text"
+    "rsm1_range_permutation rsm6_leave_one_out_pairs met1_confusion_metrics clf4_best_thresholds met7_pooled_results rsm8_shuffle_control txt1_clean_text txt5_activity_records"
 ).split()
 
 

@@ -181,6 +181,7 @@ def strict_number(text: Column) -> Column:
     return _finite(F.btrim(text).try_cast("double"))
 
 
+#: Endpoints of potency.
 POTENCY = ("ic50", "lc50", "ec50", "gi50")
 
 
@@ -190,7 +191,7 @@ def contains_any(text: Column, parts: Sequence[str] = POTENCY) -> Column:
     return bare.rlike("|".join(_regex(p) for p in parts))
 
 
-#: Units of amount by volume, with both code points of the micro sign.
+#: Units of amount by volume, with both code points of the micro sign.
 MOLAR = ("pm", "nm", "um", "µm", "μm")
 
 
@@ -230,6 +231,7 @@ MECHANISMS: Mapping[str, Rule] = {
     ),
 }
 MAJOR = ("DNA-damaging", "Topo-I inhibitor", "microtubule-disrupting")
+#: Spellings put right before rules are tried.
 SPELLINGS = {"topo-isomerase": "topoisomerase"}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from contrastkit.functions.numeric import EPS
 from contrastkit.operators.ordered import null_safe, order_statistics
+from contrastkit.session import cut
 
 
 def _ordered(cls: Column, order: Sequence[str] | None) -> Column:
@@ -112,7 +113,7 @@ def _first_seen(effects: DataFrame) -> Column:
 def pair_summary(effects: DataFrame) -> DataFrame:
     """For each pair of classes over its contexts: sums, means, weighted means, identities, and the arms' identities of the
     most frequent signature, of equally frequent ones that which comes first."""
-    keys = ["class_a", "class_b"]
+    keys, effects = ["class_a", "class_b"], cut(effects, "effects")  # read four times
     units, observations = F.col("units_a") + F.col("units_b"), F.col("observations_a") + F.col("observations_b")
     total = lambda c: F.sum(c).cast("long").alias(c)
     out = effects.groupBy(*keys).agg(
@@ -226,7 +227,7 @@ def residuals(units: DataFrame, context: Sequence[str]) -> DataFrame:
 
 def residual_summary(units: DataFrame, context: Sequence[str]) -> DataFrame:
     """For each class: units, identities, contexts, and the spread and signs of its residuals."""
-    r, own = F.col("residual"), residuals(units, context)
+    r, own = F.col("residual"), cut(residuals(units, context), "residuals")
     out = own.groupBy("cls").agg(
         F.count(F.lit(1)).alias("units"),
         F.count_distinct("ident").alias("idents"),

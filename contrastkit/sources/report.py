@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-#: The colours of bars, in turn.
+#: The colours of bars, in turn.
 COLOURS = ("#4c78a8", "#f58518", "#54a24b", "#e45756", "#72b7b2")
 
 
