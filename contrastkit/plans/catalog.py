@@ -14,7 +14,7 @@ from contrastkit.functions import numeric, text
 from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, metrics, ordered, resample
 from contrastkit.plans import checks, views
 from contrastkit.session import scratch_dir
-from contrastkit.sources import fetch, report, tables
+from contrastkit.sources import fetch, report, single, tables, xlsx
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,6 +265,59 @@ def _src8(spark, sf_dir):
     return found.select(F.regexp_replace("relative_path", "/part-.*$", "/region.csv").alias("relative_path"), "suffix", "bytes", "note")
 
 
+_STACKED = "select r_regionkey, r_name, null as n_nationkey, null as n_name from region union all select n_regionkey, null, n_nationkey, n_name from nation"
+
+
+@_query("snk2_single_file", "r_regionkey r_name n_nationkey n_name absent", f"select coalesce(r_regionkey::varchar, '') as r_regionkey, coalesce(r_name, '') as r_name, coalesce(n_nationkey::varchar, '') as n_nationkey, coalesce(n_name, '') as n_name, '' as absent from ({_STACKED})")
+def _snk2(spark, sf_dir):
+    """Rows of two shapes in one file whose header is given, in order, and read back as text."""
+    path = f"{scratch_dir(spark)}/single-{uuid.uuid4().hex}/stacked.csv"
+    both = _set3(spark, sf_dir).withColumn("besides", F.lit("left out"))
+    single.write_single_csv(both.orderBy("r_regionkey", "n_nationkey"), path, ["r_regionkey", "r_name", "n_nationkey", "n_name", "absent"])
+    return tables.read_csv(spark, path)
+
+
+@_query("snk1_activity_file", ", ".join(tables.ACTIVITY).replace(", ", " "), f"select {', '.join({'adc_id': 'row_id::varchar', 'payload_identity': 'ident', 'payload_mechanism': 'cls', 'relation': 'relation', 'units': 'trim(units)', 'standard_type': 'kind'}.get(c, chr(39) * 2) + ' as ' + c for c in tables.ACTIVITY)} from acts")
+def _snk1(spark, sf_dir):
+    """All activity columns in their order in one file; those that the rows lack are blank."""
+    path = f"{scratch_dir(spark)}/single-{uuid.uuid4().hex}/activity.csv"
+    rows = views.acts(spark, sf_dir).select(F.col("row_id").alias("adc_id"), F.col("ident").alias("payload_identity"), F.col("cls").alias("payload_mechanism"), "relation", F.btrim("units").alias("units"), F.col("kind").alias("standard_type"))
+    single.write_single_csv(rows, path, tables.ACTIVITY)
+    return tables.read_csv(spark, path, tables.ACTIVITY)
+
+
+@_query("snk3_manifest_file", "adc_id status bytes", "select page_id::varchar as adc_id, case when page_id % 9 = 4 then 'url_error' else 'ok' end as status, case when page_id % 9 = 4 then '0' else strlen(html)::varchar end as bytes from pages")
+def _snk3(spark, sf_dir):
+    """The manifest of a fetch as a file, read back."""
+    pages, folder = spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{scratch_dir(spark)}/fetched-{uuid.uuid4().hex}"
+    link = F.when(F.col("page_id") % 9 == 4, "nowhere:9").otherwise(F.concat(F.lit("data:text/html;base64,"), F.base64(F.encode("html", "UTF-8"))))
+    ids = pages.select(F.col("page_id").cast("string").alias("id"), F.col("page_id").alias("place"), link.alias("link"))
+    single.write_manifest(fetch.fetch_pages(spark, ids, F.col("link"), f"{folder}/pages"), f"{folder}/manifest.csv")
+    return tables.read_csv(spark, f"{folder}/manifest.csv", ["adc_id", "url", "path", "status", "bytes", "error"]).select("adc_id", "status", "bytes")
+
+
+def _books(spark, sf_dir) -> str:
+    """Workbooks of up to 500 customers."""
+    folder = f"{scratch_dir(spark)}/books-{uuid.uuid4().hex}"
+    rows = _customers(spark, sf_dir).withColumn("book", F.floor(F.col("key").cast("long") / 500))
+    xlsx.write_workbooks(rows, folder, "book").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_BOOKS = "select key, name, coalesce(segment, '') as segment from (select c_custkey::varchar as key, c_name || ', \"' || c_mktsegment || '\"' || chr(10) || 'next' as name, case when c_nationkey > 3 then c_mktsegment end as segment from customer)"
+
+
+@_query("src4_xlsx_source", "key name segment", _BOOKS)
+def _src4(spark, sf_dir):
+    xlsx.register(spark)
+    return spark.read.format("xlsx").load(_books(spark, sf_dir)).drop("_row")
+
+
+@_query("src5_workbooks", "key name segment", _BOOKS)
+def _src5(spark, sf_dir):
+    return xlsx.read_workbooks(spark, _books(spark, sf_dir)).drop("_row")
+
+
 @_query("snk4_markdown", "text", "select '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) order by n_nationkey) filter (n_nationkey < 20) || chr(10) || '| ... | ... |' as text from nation")
 def _snk4(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey")

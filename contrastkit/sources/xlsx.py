@@ -14,10 +14,12 @@ import fnmatch
 import html
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from typing import BinaryIO
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyarrow import fs
@@ -186,5 +188,50 @@ def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx", drop
     return files.mapInArrow(run, StructType([StructField(c, StringType()) for c in columns] + [StructField("_row", LongType())]))
 
 
+def workbook(header: list[str], rows: Iterator[list[str]]) -> bytes:
+    """A workbook of one sheet with these texts; the header's are shared strings."""
+    main, held = f'xmlns="{_MAIN[1:-1]}"', io.BytesIO()
+    line = lambda k, cells: f'<row r="{k}">{"".join(cells)}</row>'
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{_REL[1:-1]}"><sheets><sheet name="1" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACKAGE[1:-1]}"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{escape(c)}</t></si>" for c in header) + "</sst>")
+        with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            sheet.write(f"<worksheet {main}><sheetData>{line(1, [f'<c r="{_letters(j)}1" t="s"><v>{j}</v></c>' for j in range(len(header))])}".encode())
+            for k, cells in enumerate(rows, 2):
+                sheet.write(line(k, [f'<c r="{_letters(j)}{k}" t="inlineStr"><is><t>{escape(x)}</t></is></c>' for j, x in enumerate(cells) if x]).encode())
+            sheet.write(b"</sheetData></worksheet>")
+    return held.getvalue()
+
+
+def _letters(place: int) -> str:
+    """The name of a column from 0."""
+    out, place = "", place + 1
+    while place:
+        place, k = divmod(place - 1, 26)
+        out = chr(65 + k) + out
+    return out
+
+
+def write_workbooks(rows: DataFrame, folder: str, key: str) -> DataFrame:
+    """(key, path): a workbook in folder for each value of key, whose rows must fit a task, named by it; null is blank. The
+    files are written when the result is read, and put in place as a whole."""
+    columns = [c for c in rows.columns if c != key]
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        name = group.column(key)[0].as_py()
+        texts = zip(*(group.column(c).cast(pa.string()).fill_null("").to_pylist() for c in columns))
+        system, place = located(folder)
+        system.create_dir(place, recursive=True)
+        part = f"{place}/{name}.{uuid.uuid4().hex}.part"
+        with system.open_output_stream(part) as stream:
+            stream.write(workbook(columns, map(list, texts)))
+        system.move(part, f"{place}/{name}.xlsx")
+        return pa.table({key: group.column(key).slice(0, 1), "path": pa.array([f"{folder}/{name}.xlsx"])})
+
+    return rows.groupBy(key).applyInArrow(run, f"{key} {kind}, path string")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxSource)
