@@ -30,6 +30,8 @@ LEAST_SIMILARITY = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with letters whose language is found with a score of LEAST_SCORE; a null lang becomes that found.
+    Null and empty texts go. Where no document has a lang to learn from, every text with letters stays."""
     sure = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
     if not docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).limit(1).count():
         sure = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))  # nothing to learn from: a text with letters stays
@@ -38,11 +40,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the lines that a smaller doc_id holds; a text may become empty, a null one stays null."""
     out = deduplicated_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group linked by a shingle similarity of LEAST_SIMILARITY. Of rows that agree
+    in doc_id and text one stays; texts without words are one group."""
     (key,) = own_names(docs, "row_key")
     keyed = docs.withColumn(key, row_key(docs))
     kept = first_of_similar(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, LEAST_SIMILARITY, RADIUS).withColumnRenamed("doc_id", key)
@@ -53,10 +58,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, up to three times; those without words once. A null source is a source."""
     return mixed_documents(docs, weights=(5.0, 2.0, 1.0), most=3)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2,048 tokens; a null or empty text is one piece of one id."""
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), Capacity(tokens=2048))
 
 
@@ -77,5 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the table documents in sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name, instead_of=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
