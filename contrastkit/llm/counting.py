@@ -130,7 +130,8 @@ _TREE_ARROW = pa.struct([("chars", pa.list_(pa.int64())), ("tokens", pa.list_(pa
 def token_trees(docs: DataFrame, tokenizer: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """docs with n_tokens and tree, the sums of a document's segment tree. Null text counts as empty: no token.
 
-    Columns of docs by those names are replaced; all others stay as they are.
+    Columns of docs by those names are replaced; all others stay as they are. Rows count each for itself, whatever their
+    doc_id. No rows in: no rows out.
     """
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -148,7 +149,7 @@ def edited(trees: DataFrame, tokenizer: str, edits: str = "edits", leaf_chars: i
 
     A document's edits apply in order; at counts characters of the text as it then is, and is taken to the nearest end
     if it lies outside; null numbers are 0 and null insertions empty. No edits leave a row as it is. encoded_chars is
-    how many characters were encoded.
+    how many characters were encoded. No rows in: no rows out.
     """
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:

@@ -243,7 +243,9 @@ def held_out() -> Column:
 def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """All columns of docs with held_out, lang_pred and score, learned from the documents that are not held out.
 
-    lang, source and doc_id are no inputs of a prediction. A null doc_id is neither held out nor learned from.
+    lang, source and doc_id are no inputs of a prediction. A null doc_id is neither held out nor learned from. Rows
+    that repeat are learned from and predicted each for itself. Columns by the three names are replaced. No rows in: no
+    rows out; with nothing to learn from, all are undetermined.
     """
     model = train(docs.where(~held_out() & F.col("doc_id").isNotNull()), per_language)
     return predict(docs.drop("held_out").withColumn("held_out", held_out()), model)

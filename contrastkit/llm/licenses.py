@@ -119,8 +119,8 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
 
     template is a number in the list, containment the share of its distinct shingles found in the whole text. Texts
     that are null or hold no license have no row; rows of docs that repeat are returned as often. Templates of fewer
-    than SHINGLE words are never found, and more than MOST_TEMPLATES are an error, as they are part of the plan. Other
-    columns of docs are not read.
+    than SHINGLE words are never found, and more than MOST_TEMPLATES are an error, as they are part of the plan. A null
+    doc_id stays null. Other columns of docs are not read. No rows in: no rows out.
     """
     known = _prepared(docs.sparkSession, templates)
     if not known:

@@ -172,6 +172,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     Of the good documents of a stratum that pass the base rules, all cutoffs together reject at most the share `risk`,
     with probability 1 - level for all strata at once. A stratum without enough labels rejects nothing beyond the base
     rules; null is a stratum. labels: (doc_id, quality); nulls are ignored, and a document labelled both ways is good.
+    Rows that repeat, or share a doc_id, have a row each. Null texts have no words. Other
+    columns are not read. No rows in: no rows out.
     """
     own = docs.withColumn("stratum", F.col(stratum).cast("string")) if stratum in docs.columns else docs.withColumn("stratum", F.lit(None).cast("string"))
     features = cut(base_features(own, "stratum"), "features")

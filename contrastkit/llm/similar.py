@@ -154,7 +154,8 @@ def _sized(pairs: DataFrame, least: float) -> DataFrame:
 def first_of_similar(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """(doc_id): the smallest doc_id of each group of docs linked by a shingle similarity of least or more.
 
-    doc_id is never null, and rows that share one share their text. Texts without words are one group.
+    doc_id is never null, and rows that share one share their text. Texts without words are one group. No
+    rows in: no rows out.
 
     A bucket's members are first compared with its smallest one. What then still lies in different groups of a bucket is
     compared by tiles of it, all in a pair of tiles at once, and only links that join groups come out. So every

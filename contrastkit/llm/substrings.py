@@ -252,7 +252,8 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, period: int = 21, kee
 
     A word goes if some window of `window` consecutive words that covers it also starts anywhere else, in the same
     text or another; windows are judged on the input. A text whose copy is in the table goes whole if it holds a
-    window. Null text has no words. Words are compared as they are. Rows that agree in doc_id and text are two rows.
+    window. Null text has no words. Words are compared as they are. Rows that agree in doc_id and text are two rows;
+    a null doc_id is an id like others. Other columns of docs are not read. No rows in: no rows out.
     """
     texts = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     # each step is written, so that its shuffle is gone before the next
