@@ -13,21 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrastkit.operators.metrics import best_of_counted, evaluated
+from contrastkit.operators.ordered import null_safe
 from contrastkit.session import cut, spread
 
 #: Decimal places of a score: sums taken in another order tie alike.
 PLACES = 12
 
 
+def _score(odds: Column) -> Column:
+    """The probability of label 1 of log odds of label 0."""
+    return F.round(1 / (1 + F.exp(odds)), PLACES)
+
+
 class _Fit:
     """Logarithms of a set of models, for all splits and folds."""
 
-    def __init__(self, rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequence[str]], label: str, row_id: str, alpha: float) -> None:
+    def __init__(self, rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequence[str]], label: str, row_id: str, alpha: float, ident: str | None = None) -> None:
         self.models, self.alpha = models, alpha
         self.features = sorted({f for own in models.values() for f in own})
         self.place = {f: k for k, f in enumerate(self.features)}
         values = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_v{k}") for k, f in enumerate(self.features)]
-        own = rows.select(row_id, F.col(label).cast("int").alias("label"), *values)
+        kept = [F.col(ident).alias("_ident")] if ident else []
+        own = rows.select(row_id, F.col(label).cast("int").alias("label"), *values, *kept)
         self.placed = cut(spread(folds.select("split", row_id, "fold").join(own, row_id)), "placed")
         self.values = cut(self._values(), "values") if self.features else None
         self.constants = cut(self._constants(), "constants")
@@ -78,12 +85,13 @@ class _Fit:
             rows = rows.join(own, (F.col("split") == F.col("_split")) & (F.col(f"_v{k}") == F.col("_value")), "left").drop("_split", "_value")
         return rows
 
-    def score(self, constant: Column, fold: Column, features: Sequence[str]) -> Column:
+    def odds(self, constant: Column, fold: Column, features: Sequence[str]) -> Column:
+        """The log odds of label 0 with a fold's logarithms."""
         odds = constant
         for k in sorted(self.place[f] for f in features):
             brought = F.coalesce(F.try_element_at(f"_in{k}", fold), F.col(f"_odds{k}"))
             odds = odds + F.coalesce(brought, F.lit(0.0))
-        return F.round(1 / (1 + F.exp(odds)), PLACES)
+        return odds
 
     def _cells(self) -> DataFrame:
         """(split, j, _v0, ..., fold, n, p): how often the values of model j occur together in each fold; others are null."""
@@ -111,8 +119,8 @@ class _Fit:
         folds = self.constants.groupBy("split").agg(F.collect_list(F.struct("fold", "parts")).alias("_folds"))
         met = self.attached(every).join(folds, "split").withColumn("_own", F.filter("_folds", lambda x: F.col("fold").isNull() | (x["fold"] == F.col("fold"))))
         met = met.drop("fold", "_folds").withColumn("_f", F.explode("_own"))
-        score = lambda j, own: self.score(F.col("_f.parts")[j]["odds"], F.col("_f.fold"), own)
-        found = [F.when(F.col("j").isNull() | (F.col("j") == j), F.struct(F.lit(name).alias("model"), score(j, own).alias("score"))) for j, (name, own) in enumerate(self.models.items())]
+        odds = lambda j, own: self.odds(F.col("_f.parts")[j]["odds"], F.col("_f.fold"), own)
+        found = [F.when(F.col("j").isNull() | (F.col("j") == j), F.struct(F.lit(name).alias("model"), _score(odds(j, own)).alias("score"))) for j, (name, own) in enumerate(self.models.items())]
         out = met.select("split", F.col("_f.fold").alias("fold"), F.col("j").isNull().alias("held"), *rest, "label", "n", "p", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
         return out.select("split", "x.model", "fold", "held", *rest, "label", "n", "p", "x.score")
 
@@ -142,6 +150,60 @@ def cross_validated(rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequ
     return cut(held.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int")), "predictions")
 
 
+def shuffle_control(rows: DataFrame, folds: DataFrame, features: Sequence[str], deals: DataFrame, ident: str, label: str, row_id: str, alpha: float = 1.0) -> DataFrame:
+    """(rep, fold, row_id, label, score, threshold, predicted): the held-out rows of a model of `features` and of a class
+    that is dealt anew among identities in each replicate, labelled by the threshold that is best on the training rows.
+
+    folds: (row_id, fold); deals: (ident, dealt), the class of an identity in each replicate. Dealing changes one feature
+    only, so what the others bring to a row at each fold is worked out once, and classes are counted from identities. An
+    identity carries what its classes bring as one array; rows are joined once, whatever the number of replicates, and
+    training rows are counted by the values of the features and the class before they are scored. No rows in: no rows out.
+    """
+    fit = _Fit(rows, folds.select(F.lit("").alias("split"), row_id, "fold"), {"base": features}, label, row_id, alpha, ident)
+    columns = ["split", *[f"_v{k}" for k in range(len(fit.features))]]
+    deals = cut(deals.select(F.col(ident).alias("_ident"), F.transform("dealt", lambda c: F.coalesce(c.cast("string"), F.lit(""))).alias("_dealt")), "deals")
+    dealt = lambda frame: null_safe(frame, deals, ["_ident"]).select(*frame.columns, F.posexplode("_dealt").alias("rep", "_c"))
+    # what the other features bring to each tuple of values at each fold
+    ends = fit.constants.groupBy("split").agg(F.collect_list(F.struct("fold", F.col("parts")[0]["odds"].alias("odds"))).alias("_ends"))
+    tuples = fit.attached(fit.placed.select(*columns).distinct()).join(ends, "split")
+    based = tuples.select(*columns, F.map_from_entries(F.transform("_ends", lambda x: F.struct(x["fold"], fit.odds(x["odds"], x["fold"], fit.features)))).alias("_base"))
+    based = cut(based, "base")
+    # what a class brings in each replicate at each fold
+    owners = cut(fit.placed.groupBy("_ident", "fold").agg(F.count_if(F.col("label") == 0).alias("l0"), F.count_if(F.col("label") == 1).alias("l1")), "identities")
+    inside = dealt(owners).groupBy("rep", "_c", "fold").agg(F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
+    classes = inside.groupBy("rep", "_c").agg(F.sum("l0").alias("c0"), F.sum("l1").alias("c1"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("l0", "l1")))).alias("_in"))
+    sizes = fit.constants.groupBy("split").agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"), F.collect_list(F.struct("fold", "n", "p")).alias("_folds"))
+    each = classes.withColumn("split", F.lit("")).join(sizes, "split").select("rep", "_c", "c0", "c1", "_in", "_n", "_p", F.explode("_folds").alias("_f"))
+    own = F.try_element_at("_in", F.col("_f.fold"))
+    left = [F.col(f"c{y}") - F.coalesce(own[f"l{y}"], F.lit(0)) for y in (0, 1)]
+    n1 = F.col("_p") - F.col("_f.p")
+    each = cut(each.select("rep", "_c", F.col("_f.fold").alias("fold"), left[0].alias("d0"), left[1].alias("d1"), (F.col("_n") - F.col("_f.n") - n1).alias("n0"), n1.alias("n1")), "classes")
+    kinds = each.groupBy("rep", "fold").agg((F.count_if(F.col("d0") + F.col("d1") > 0) + 1).alias("k"))
+    log = lambda x: F.log(x + alpha)
+    shift = log(F.col("d0")) - log(F.col("d1")) - F.log(F.col("n0") + alpha * F.col("k")) + F.log(F.col("n1") + alpha * F.col("k"))
+    shifts = cut(each.join(kinds, ["rep", "fold"]).select("rep", "_c", "fold", shift.alias("_shift")), "shifts")
+    # training rows: counted by values and class, scored at each fold without the fold's own
+    cells = fit.placed.groupBy(*columns, "_ident", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
+    counted = dealt(spread(cells)).groupBy(*columns, "rep", "_c", "fold").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    counted = counted.groupBy(*columns, "rep", "_c").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "p")))).alias("_in"))
+    by_fold = shifts.groupBy("rep", "_c").agg(F.collect_list(F.struct("fold", "_shift")).alias("_shifts"))
+    met = counted.join(based, columns).join(by_fold, ["rep", "_c"])
+    met = met.select("rep", "n", "p", "_in", "_base", F.explode("_shifts").alias("_s"))
+    own = F.try_element_at("_in", F.col("_s.fold"))
+    score = _score(F.element_at("_base", F.col("_s.fold")) + F.col("_s._shift")).alias("threshold")
+    met = met.select("rep", F.col("_s.fold").alias("fold"), score, *[(F.col(c) - F.coalesce(own[c], F.lit(0))).alias(c) for c in ("p", "n")]).where("n > 0")
+    met = cut(met.groupBy("rep", "fold", "threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "scores")
+    best = best_of_counted(met, ["rep", "fold"])
+    # held-out rows
+    brought = dealt(owners.select("_ident", "fold")).join(shifts, ["rep", "_c", "fold"]).groupBy("_ident", "fold").agg(F.array_sort(F.collect_list(F.struct("rep", "_shift"))).alias("_shifts"))
+    held = spread(fit.placed.join(based, columns))
+    held = null_safe(held.select("_ident", "fold", row_id, "label", F.element_at("_base", F.col("fold")).alias("_base")), brought, ["_ident", "fold"])
+    held = held.select("fold", row_id, "label", "_base", F.explode("_shifts").alias("_s"))
+    held = held.select(F.col("_s.rep").alias("rep"), "fold", row_id, "label", _score(F.col("_base") + F.col("_s._shift")).alias("score"))
+    held = held.join(best, ["rep", "fold"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    return cut(held.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int")), "predictions")
+
+
 def fold_results(predictions: DataFrame, row_id: str) -> DataFrame:
     return evaluated(predictions, ["split", "model", "fold"], "label", "score", "predicted", [row_id])
 

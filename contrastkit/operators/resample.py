@@ -485,13 +485,24 @@ def leave_one_out_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def _dealt_anew(rows: DataFrame, cls: str, ident: str, seed: int, repeats: int) -> DataFrame:
+    """(_ident, rep, _new): the class of each identity in each replicate."""
+    named = running(rows.groupBy(F.col(ident).alias("_ident")).agg(F.min(cls).alias("_new")), [], ["_ident"], {"_place": F.lit(1)})
+    named = cut(named, "identities")
+    many = _replicated(named.select("_ident", "_new"), repeats, seed)
+    many = many.select("rep", "_ident", "_new", drawn(hashed("shuffle", F.col("_ident")), F.col("v"), F.col("w")).alias("_draw"))
+    dealt = running(many, ["rep"], ["_draw", "_ident"], {"_place": F.lit(1)}).select("rep", "_place", "_new")
+    return named.select("_ident", "_place").join(dealt, "_place").drop("_place")
+
+
 def shuffled_classes(rows: DataFrame, cls: str, ident: str, seed: int, repeats: int = 1, name: str = "shuffled") -> DataFrame:
     """rows for each replicate `rep`, with the classes of identities dealt anew among identities; an identity of several
     classes stands for the first of them. The identity of the k-th smallest draw gives its class to the k-th by name."""
-    named = running(rows.groupBy(F.col(ident).alias("_ident")).agg(F.min(cls).alias(name)), [], ["_ident"], {"_place": F.lit(1)})
-    named = cut(named, "identities")
-    many = _replicated(named.select("_ident", name), repeats, seed)
-    many = many.select("rep", "_ident", name, drawn(hashed("shuffle", F.col("_ident")), F.col("v"), F.col("w")).alias("_draw"))
-    dealt = running(many, ["rep"], ["_draw", "_ident"], {"_place": F.lit(1)}).select("rep", "_place", name)
-    new = named.select("_ident", "_place").join(dealt, "_place").drop("_place")
+    new = _dealt_anew(rows, cls, ident, seed, repeats).withColumnRenamed("_new", name)
     return rows.join(new, F.col(ident).eqNullSafe(F.col("_ident"))).drop("_ident")
+
+
+def dealt_classes(rows: DataFrame, cls: str, ident: str, seed: int, repeats: int = 1) -> DataFrame:
+    """(ident, dealt): the classes that shuffled_classes gives to an identity, by replicate. One row for each identity."""
+    new = _dealt_anew(rows, cls, ident, seed, repeats).groupBy(F.col("_ident").alias(ident))
+    return new.agg(F.array_sort(F.collect_list(F.struct("rep", F.col("_new").alias("c")))).alias("_d")).select(ident, F.transform("_d", lambda x: x["c"]).alias("dealt"))

@@ -71,12 +71,13 @@ def _splits(rows: DataFrame, roles: Roles, label: str, k: int, seed: int) -> Dat
 
 
 def shuffle_control(rows: DataFrame, roles: Roles, label: str, k: int, seed: int, repeats: int) -> DataFrame:
-    """Pooled metrics of each repeat with classes dealt anew among identities; a repeat is a split of its own."""
+    """(repeat, model, metrics): pooled metrics of each repeat with classes dealt anew among identities. Rows with equal
+    scores rank in the order of folds and of row ids as text."""
     grouped = folds.group_folds(rows, roles.ident, label, k, seed).select(roles.row_id, "fold")
-    many = resample.shuffled_classes(rows, roles.cls, roles.ident, seed + 1000, repeats).withColumn("_key", F.concat_ws(":", "rep", roles.row_id))
-    placed = many.select(F.col("rep").cast("string").alias("split"), "_key", roles.row_id).join(grouped, roles.row_id).drop(roles.row_id)
-    out = bayes.cross_validated(many, placed, {"bio_plus_shuffled_mechanism": [*roles.context, "shuffled"]}, label, "_key")
-    return bayes.pooled_results(out, "_key").withColumnRenamed("split", "repeat")
+    deals = resample.dealt_classes(rows, roles.cls, roles.ident, seed + 1000, repeats)
+    out = bayes.shuffle_control(rows, grouped, list(roles.context), deals, roles.ident, label, roles.row_id)
+    out = bayes.pooled_results(out.withColumn("_key", F.col(roles.row_id).cast("string")), "_key", ["rep"])
+    return out.select(F.col("rep").alias("repeat"), F.lit("bio_plus_shuffled_mechanism").alias("model"), *[c for c in out.columns if c != "rep"])
 
 
 def study(rows: DataFrame, roles: Roles = Roles(), threshold: float = 10.0, k: int = 5, seed: int = 44, repeats: int = 50, always: bool = False) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from contrastkit.functions import numeric, text
 from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, metrics, ordered, resample
-from contrastkit.plans import checks, views
+from contrastkit.plans import analyses, checks, views
 from contrastkit.session import scratch_dir
 from contrastkit.sources import fetch, report, single, tables, xlsx
 
@@ -822,13 +822,8 @@ def _rsm8(spark, sf_dir):
 
 
 def _shuffle_control(spark, sf_dir, repeats):
-    """Each repeat is a split of its own: rows are keyed by (repeat, row), folds are the same in all repeats."""
-    rows = views.acts(spark, sf_dir)
-    grouped = folds.group_folds(rows, "ident", "label").select("row_id", "fold")
-    many = resample.shuffled_classes(rows, "cls", "ident", 1044, repeats).withColumn("key", F.concat_ws(":", "rep", "row_id"))
-    own = many.select(F.col("rep").cast("string").alias("split"), "key", "row_id").join(grouped, "row_id").drop("row_id")
-    out = bayes.cross_validated(many, own, {"bio_plus_shuffled_mechanism": ["units", "ctx", "shuffled"]}, "label", "key")
-    return bayes.pooled_results(out, "key").withColumn("repeat", F.col("split").cast("int")).drop("split")
+    roles = analyses.Roles(row_id="row_id", cls="cls", ident="ident", context=("units", "ctx"))
+    return analyses.shuffle_control(views.acts(spark, sf_dir), roles, "label", 5, 44, repeats)
 
 
 _AUC = "select grp, (sum(case when label = 1 then r end) - p * (p + 1) / 2.0) / (p * (n - p))::double as roc_auc from (select *, rank() over (partition by grp order by score) + (count(*) over (partition by grp, score) - 1) / 2.0::double as r, sum(label) over (partition by grp) as p, count(*) over (partition by grp) as n from scored) group by grp, p, n"
