@@ -369,3 +369,22 @@ def test_decisions(spark):
     assert decide.contrast_verdict(pairs, boot, left.limit(0), p).first()["decision"] == "PIVOT-WEAK"
     assert decide.contrast_verdict(pairs.withColumn("mean_diff", F.lit(0.01)), boot, left, p.withColumn("p", F.lit(0.2))).first()["decision"] == "KILL"
     assert decide.contrast_verdict(pairs.limit(0), boot, left, p).first()["decision"] == "KILL"
+
+
+def test_shuffle_control_scores_rows_as_the_classifier_does(spark):
+    """Against every repeat as a split of its own, with null identities, classes and values."""
+    rows = [(k, [None, "i0", "i1", "i2", "i3", "i4"][k * 7 % 6], ["A", "B", None][k * 7 % 6 % 3], f"c{k % 4}" if k % 9 else None, int(k * 5 % 3 == 0)) for k in range(60)]
+    schema = "row_id int, ident string, cls string, ctx string, label int"
+    frame = spark.createDataFrame(rows, schema)
+    placed = frame.selectExpr("row_id", "row_id % 3 as fold")
+    for features in (["ctx"], []):
+        got = bayes.shuffle_control(frame, placed, features, resample.dealt_classes(frame, "cls", "ident", 5, 4), "ident", "label", "row_id")
+        many = resample.shuffled_classes(frame, "cls", "ident", 5, 4).withColumn("key", F.concat_ws(":", "rep", "row_id"))
+        own = many.select(F.col("rep").cast("string").alias("split"), "key", (F.col("row_id") % 3).alias("fold"))
+        wanted = bayes.cross_validated(many, own, {"m": [*features, "shuffled"]}, "label", "key")
+        a = sorted((f"{r['rep']}:{r['row_id']}", r["fold"], round(r["score"], 9), round(r["threshold"], 9), r["predicted"]) for r in got.collect())
+        b = sorted((r["key"], r["fold"], round(r["score"], 9), round(r["threshold"], 9), r["predicted"]) for r in wanted.collect())
+        assert len(a) == 240 and a == b
+    none = spark.createDataFrame([], schema)
+    empty = bayes.shuffle_control(none, placed.limit(0), ["ctx"], resample.dealt_classes(none, "cls", "ident", 5, 4), "ident", "label", "row_id")
+    assert empty.count() == 0
