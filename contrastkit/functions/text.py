@@ -50,16 +50,19 @@ def _numbered(digits: Column, base: int) -> Column:
     return _let(number, sign)
 
 
-def _named(name: Column) -> Column:
-    """The characters of a name, else of its longest beginning that needs no semicolon and what follows it, else "&" and the name."""
+def _named(name: Column, closed: bool = False) -> Column:
+    """The characters of a name, else, unless closed, of its longest beginning that needs no semicolon and what follows it,
+    else "&" and the name."""
     known, open_ = _constant(_by_start(), "map<string, map<string, string>>"), _constant(_OPEN, "map<string, string>")
     whole = F.try_element_at(F.try_element_at(known, F.substring(name, 1, 2)), name)
     begun = lambda k: F.when(F.length(name) > k, F.concat(F.try_element_at(open_, F.substring(name, 1, k)), F.substring(name, F.lit(k + 1), F.length(name))))
-    return F.coalesce(whole, *[begun(k) for k in range(max(map(len, _OPEN)), 1, -1)], F.concat(F.lit("&"), name))
+    starts = [] if closed else [begun(k) for k in range(max(map(len, _OPEN)), 1, -1)]
+    return F.coalesce(whole, *starts, F.concat(F.lit("&"), name))
 
 
-def unescaped(text: Column) -> Column:
+def unescaped(text: Column, closed: bool = False) -> Column:
     """Text with HTML entities decoded, those without a semicolon too where that is allowed; null stays null.
+    closed: only those with a semicolon.
 
     The text is split at "&", and an entity is what stands in front of a part."""
 
@@ -68,10 +71,10 @@ def unescaped(text: Column) -> Column:
             rest = F.substring(x, F.length(found) + 1, F.length(x))
             hexed = F.substring(found, 1, 2).isin("#x", "#X")
             digits = F.regexp_replace(found, "^#[xX]?|;$", "")
-            sign = F.when(found == "", F.lit("&")).when(hexed, _numbered(digits, 16)).when(found.startswith("#"), _numbered(digits, 10)).otherwise(_named(found))
+            sign = F.when(found == "", F.lit("&")).when(hexed, _numbered(digits, 16)).when(found.startswith("#"), _numbered(digits, 10)).otherwise(_named(found, closed))
             return F.concat(sign, rest)
 
-        return _let(F.regexp_extract(x, _ENTITY, 1), decoded)
+        return _let(F.regexp_extract(x, _ENTITY.replace(";?", ";") if closed else _ENTITY, 1), decoded)
 
     parts = F.split(text, "&")
     whole = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), part), ""))
@@ -83,14 +86,15 @@ def _regex(literal: str) -> str:
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def clean_text(text: Column, entities: bool = True) -> Column:
-    """Text without scripts, styles and tags; entities decoded, white space collapsed. Null is empty."""
+def clean_text(text: Column, entities: bool = True, closed: bool = False) -> Column:
+    """Text without scripts, styles and tags; entities decoded (closed: only those with a semicolon), white space collapsed.
+    Null is empty."""
     bare = F.coalesce(text, F.lit(""))
     for element in ("script", "style"):
         bare = F.regexp_replace(bare, rf"(?is)<{element}\b.*?</{element}>", " ")
     bare = F.regexp_replace(bare, "<[^>]+>", " ")
     if entities:
-        bare = unescaped(bare)
+        bare = unescaped(bare, closed)
     return F.btrim(F.regexp_replace(bare, r"(?U)[\s\x1c-\x1f\x85 ]+", " "))
 
 
