@@ -388,3 +388,23 @@ def test_shuffle_control_scores_rows_as_the_classifier_does(spark):
     none = spark.createDataFrame([], schema)
     empty = bayes.shuffle_control(none, placed.limit(0), ["ctx"], resample.dealt_classes(none, "cls", "ident", 5, 4), "ident", "label", "row_id")
     assert empty.count() == 0
+
+
+def test_bootstraps_by_blocks(units, monkeypatch):
+    """Draws worked out by block and part of the replicates, or row by row, are the same; so are those of large contexts."""
+    rounded = lambda frame: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in frame.collect())
+    tests = [lambda: resample.context_bootstrap(units, CTX, UNIT, 40), lambda: resample.cluster_bootstrap(units, CTX, 40)]
+    before = [rounded(t()) for t in tests]
+    for name, value in (("_BLOCK", 5), ("_CHUNK", 3), ("WHOLE", 0)):
+        monkeypatch.setattr(resample, name, value)
+        assert [rounded(t()) for t in tests] == before, name
+
+
+def test_draws_in_numpy():
+    rng = np.random.default_rng(7)
+    p = resample.PRIME
+    key = np.concatenate([[0, (1 << 28) - 1], rng.integers(0, 1 << 28, 500)]).astype(np.uint64)
+    for v, w in ((1, 0), (p - 1, p - 1), (0, p - 1), *rng.integers(0, p, (20, 2)).tolist()):
+        x = [(k * v + w) % p for k in key.tolist()]
+        x = [(a * a + k) % p for a, k in zip(x, key.tolist())]
+        assert resample._drawn(key, np.uint64(v), np.uint64(w)).tolist() == [(a * v + w) % p for a in x]
