@@ -98,6 +98,19 @@ def clean_text(text: Column, entities: bool = True, closed: bool = False) -> Col
     return F.btrim(F.regexp_replace(bare, r"(?U)[\s\x1c-\x1f\x85 ]+", " "))
 
 
+def clean_text_as_sql(text: Column, entities: Mapping[str, str]) -> Column:
+    """clean_text as engines with RE2 work it out: only the given entities are decoded, "&amp;" last, of white space only
+    that of ASCII and x1c to x1f, x85 and xa0 collapses, spaces of any kind are trimmed. Null stays null."""
+    bare = text
+    for element in ("script", "style"):
+        bare = F.regexp_replace(bare, rf"(?isu)<{element}(?-iu:(?![0-9A-Za-z_])).*?</{element}>", " ")
+    bare = F.regexp_replace(bare, "<[^>]+>", " ")
+    for name in sorted(entities, key=lambda name: name == "&amp;"):
+        bare = F.replace(bare, F.lit(name), F.lit(entities[name]))
+    bare = F.regexp_replace(bare, r"[\t\n\f\r \x1c-\x1f\x85\xa0]+", " ")
+    return F.regexp_replace(bare, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def labelled_value(page: Column, label: str) -> Column:
     """The cleaned table cell behind the header cell `label`; empty if there is none."""
     return clean_text(F.regexp_extract(page, rf"(?is)<th>\s*{_regex(label)}\s*</th>\s*<td[^>]*>(.*?)</td>", 1))
