@@ -13,15 +13,17 @@ from __future__ import annotations
 import csv
 import io
 import json
+import sys
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from contrastkit.sources.files import PIECE, located
 
@@ -110,6 +112,90 @@ def write_single_csv(rows: DataFrame, path: str, columns: Sequence[str] | None =
     (writer.option("columns", json.dumps(list(columns))) if columns is not None else writer).save()
 
 
+#: Bytes of a range of a file that a task reads, and of cells that a batch holds.
+RANGE, BATCH = 32 << 20, 4 << 20
+
+
+def read_single_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A file that write_single_csv wrote with these columns, read in ranges of RANGE bytes; every column is text.
+
+    Quotes stand around or are doubled inside of cells only, so a line feed ends a row if the quotes before it are even in
+    number. They are counted by range first; a task then reads the rows that begin in its range. A file with a blank line
+    instead of a header has no rows.
+    """
+    system, name = located(path)
+    size, each = system.get_file_info(name).size, RANGE
+    many = max(1, -(-size // each))
+    ranges = spark.range(0, many, 1, many)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, name = located(path)
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                quotes, left = 0, min(size, (k + 1) * each) - k * each
+                with system.open_input_file(name) as held:
+                    held.seek(k * each)
+                    while left > 0 and (piece := held.read(min(PIECE, left))):
+                        quotes += piece.count(b'"')
+                        left -= len(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([quotes])], names=["id", "quotes"])
+
+    # one number for each range
+    odd, before = {}, 0
+    for row in sorted(ranges.mapInArrow(count, "id long, quotes long").collect()):
+        odd[row["id"]] = before % 2 == 1
+        before += row["quotes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                rows, held = [], 0
+                for record in _records(path, k * each, min(size, (k + 1) * each), odd[k]):
+                    row = next(csv.reader([record.decode(errors="replace")]), [])
+                    if row:
+                        rows.append((row + [""] * len(columns))[: len(columns)])
+                        held += len(record)
+                    if held > BATCH:
+                        yield _text_batch(rows, columns)
+                        rows, held = [], 0
+                yield _text_batch(rows, columns)
+
+    return ranges.mapInArrow(run, StructType([StructField(c, StringType()) for c in columns]))
+
+
+def _text_batch(rows: list[list[str]], columns: Sequence[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(columns))], names=list(columns))
+
+
+def _records(path: str, first: int, last: int, inside: bool) -> Iterator[bytes]:
+    """The rows of a file, but for the header, that begin at bytes from first up to last; inside: first lies inside a cell
+    in quotes."""
+    system, name = located(path)
+    with system.open_input_file(name) as file:
+        file.seek(max(0, first - 1))
+        held = io.BufferedReader(file, PIECE)
+
+        def record(open_: bool) -> bytes:
+            lines = []
+            while line := held.readline():
+                lines.append(line)
+                open_ ^= line.count(b'"') % 2 == 1
+                if not open_:
+                    break
+            return b"".join(lines)
+
+        if first:
+            # up to the end of the row that the byte before belongs to
+            byte = held.read(1)
+            at = first if byte == b"\n" and not inside else first + len(record(inside))
+        else:
+            at = len(record(False))
+        while at < last and (found := record(False)):
+            at += len(found)
+            yield found
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """The manifest of a fetch in the order of its ids."""
     write_single_csv(manifest.orderBy("place"), path, ["adc_id", "url", "path", "status", "bytes", "error"])

@@ -248,3 +248,24 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: repr((r["relation"], r["value_numeric"], r["label"], r["reason"]))
     assert sorted(map(key, got.collect())) == sorted(map(key, batch.collect()))
     assert got.where("kind = 'usable'").count() == 2
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_single_file_is_read_in_ranges(spark, tmp_path, monkeypatch, end):
+    """Whatever byte a range begins at: in a cell in quotes, between \r and \n, at the first byte of a row."""
+    cells = ["", "a", 'say "x"', '"', '""', "two\nlines", "\n", "\r\n", ",", "é\n\"\n", "end"]
+    rows = [(cells[k % 11], cells[k * 7 % 11], str(k)) for k in range(40)]
+    path = str(tmp_path / "one.csv")
+    single.write_single_csv(spark.createDataFrame(rows, "x string, y string, z string").repartition(3), path, line_sep=end)
+    for size in (1, 2, 7, 64, 1 << 20):
+        if size < 7:  # a task for each range
+            found, data = [], open(path, "rb").read()
+            for k in range(-(-len(data) // size)):
+                found += [next(csv.reader([r.decode()])) for r in single._records(path, k * size, min(len(data), (k + 1) * size), data[: k * size].count(b'"') % 2 == 1)]
+            found = [tuple(r) for r in found]
+        else:
+            monkeypatch.setattr(single, "RANGE", size)
+            frame = single.read_single_csv(spark, path, ["x", "y", "z"])
+            assert frame.rdd.getNumPartitions() == -(-len(open(path, "rb").read()) // size)
+            found = [tuple(r) for r in frame.collect()]
+        assert sorted(found) == sorted(rows), size
