@@ -99,26 +99,30 @@ class _Fit:
         masked = [F.struct(F.lit(j).alias("j"), *[F.col(c) if self.features[k] in own else F.lit(None).cast("string").alias(c) for k, c in enumerate(columns)]) for j, own in enumerate(self.models.values())]
         cells = self.placed.select("split", "fold", "label", F.explode(F.array(*masked)).alias("x")).select("split", "fold", "label", "x.*")
         keys = ["split", "j", *columns]
-        return spread(cells, *keys).groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
+        # counted before they are shuffled: a model of few values has few cells, however many rows
+        return cells.groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
 
     def scored(self, training: bool) -> DataFrame:
         """(split, model, fold, held, row..., label, n, p, score): each row in its own fold (held), and with training counts
         of positives and rows of the training rows of each fold at each score.
 
-        What has the same values is scored once at each fold for all rows, and once in each fold for the rows to be taken
-        off; values are attached to all of these together.
+        What has the same values is scored once at each fold, for all rows less those of the fold, which it carries as a
+        map; values are attached to these and to the held-out rows together.
         """
         columns = [f"_v{k}" for k in range(len(self.features))]
         rest = [c for c in self.placed.columns if c not in ("split", "fold", "label") and not c.startswith("_v")]
+        inside = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "p")))).alias("_inside")
         every = self.placed.withColumns({"j": F.lit(None).cast("int"), "n": F.lit(1).cast("long"), "p": F.col("label").cast("long")})
         if training:
             cells = cut(self._cells(), "cells")
-            whole = cells.groupBy("split", "j", *columns).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-            inside = cells.withColumns({"n": -F.col("n"), "p": -F.col("p")})
-            every = every.unionByName(whole, allowMissingColumns=True).unionByName(inside, allowMissingColumns=True)
+            whole = cells.groupBy("split", "j", *columns).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), inside)
+            every = every.unionByName(whole, allowMissingColumns=True)
         folds = self.constants.groupBy("split").agg(F.collect_list(F.struct("fold", "parts")).alias("_folds"))
         met = self.attached(every).join(folds, "split").withColumn("_own", F.filter("_folds", lambda x: F.col("fold").isNull() | (x["fold"] == F.col("fold"))))
         met = met.drop("fold", "_folds").withColumn("_f", F.explode("_own"))
+        if training:
+            less = F.try_element_at("_inside", F.col("_f.fold"))
+            met = met.withColumns({c: F.col(c) - F.coalesce(less[c], F.lit(0)) for c in ("n", "p")}).where("n > 0")
         odds = lambda j, own: self.odds(F.col("_f.parts")[j]["odds"], F.col("_f.fold"), own)
         found = [F.when(F.col("j").isNull() | (F.col("j") == j), F.struct(F.lit(name).alias("model"), _score(odds(j, own)).alias("score"))) for j, (name, own) in enumerate(self.models.items())]
         out = met.select("split", F.col("_f.fold").alias("fold"), F.col("j").isNull().alias("held"), *rest, "label", "n", "p", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))

@@ -408,3 +408,14 @@ def test_draws_in_numpy():
         x = [(k * v + w) % p for k in key.tolist()]
         x = [(a * a + k) % p for a, k in zip(x, key.tolist())]
         assert resample._drawn(key, np.uint64(v), np.uint64(w)).tolist() == [(a * v + w) % p for a in x]
+
+
+def test_training_cells_are_scored_once_at_each_fold(spark):
+    """No row takes another's count off, and each fold has the training rows of the other folds."""
+    rows = spark.createDataFrame([(k, k % 2, f"a{k % 3}", f"b{k % 7}") for k in range(60)], "row_id long, label int, x string, y string")
+    own = rows.select(F.lit("s").alias("split"), "row_id", (F.col("row_id") % 4).cast("int").alias("fold"))
+    fit = bayes._Fit(rows, own, {"none": [], "x": ["x"], "both": ["x", "y"]}, "label", "row_id", 1.0)
+    trained = fit.scored(training=True).where("not held")
+    assert trained.where("n <= 0 or p < 0 or p > n").count() == 0
+    counts = trained.groupBy("model", "fold").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).collect()
+    assert {(r["model"], r["fold"]): (r["n"], r["p"]) for r in counts} == {(m, f): (45, 15 if f % 2 else 30) for m in ("none", "x", "both") for f in range(4)}
