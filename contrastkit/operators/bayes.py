@@ -7,13 +7,16 @@ those as a map, and a row, or a tuple of values that many rows share, looks its
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrastkit.operators.metrics import best_of_counted, evaluated
-from contrastkit.operators.ordered import null_safe
+from contrastkit.operators.metrics import best_of_counted, evaluated, of_counted
+from contrastkit.operators.ordered import null_safe, running, with_row_id
 from contrastkit.session import cut, spread
 
 #: Decimal places of a score: sums taken in another order tie alike.
@@ -154,60 +157,210 @@ def cross_validated(rows: DataFrame, folds: DataFrame, models: Mapping[str, Sequ
     return cut(held.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int")), "predictions")
 
 
+#: Decimal places to which sums of logarithms are alike; rows that are tallied together at most.
+ALIKE, TALLIED = 12, 1 << 16
+
+
+class _Control:
+    """What a model of `features` and of a class dealt anew among identities needs in all replicates.
+
+    folds: (row_id, fold); deals: (ident, dealt), the class of an identity in each replicate. Dealing changes one feature
+    only, so what the others bring to a row at each fold is worked out once, and classes are counted from identities.
+    Sums that differ in the last bits only, as of equal ratios of counts, are one.
+    """
+
+    def __init__(self, rows: DataFrame, folds: DataFrame, features: Sequence[str], deals: DataFrame, ident: str, label: str, row_id: str, alpha: float) -> None:
+        self.fit = _Fit(rows, folds.select(F.lit("").alias("split"), row_id, "fold"), {"base": features}, label, row_id, alpha, ident)
+        self.columns, self.row_id = ["split", *[f"_v{k}" for k in range(len(self.fit.features))]], row_id
+        deals = cut(deals.select(F.col(ident).alias("_ident"), F.transform("dealt", lambda c: F.coalesce(c.cast("string"), F.lit(""))).alias("_dealt")), "deals")
+        each = deals.select("_ident", F.posexplode("_dealt").alias("rep", "_c"))
+        named = cut(with_row_id(each.select("_c").distinct(), ["_c"], "_code").select("_c", (F.col("_code") - 1).cast("int").alias("_code")), "classes")
+        self.classes, self.repeats = named.count(), deals.agg(F.max(F.size("_dealt"))).first()[0] or 0
+        self.deals = cut(each.join(named, "_c").groupBy("_ident").agg(F.array_sort(F.collect_list(F.struct("rep", "_code"))).alias("_d")), "codes")
+        self.folds = sorted(r["fold"] for r in self.fit.constants.select("fold").collect())
+        self.based = cut(self._based(), "base")
+        self.owners = cut(self.fit.placed.groupBy("_ident", "fold").agg(F.count_if(F.col("label") == 0).alias("l0"), F.count_if(F.col("label") == 1).alias("l1")), "identities")
+        self.shifts = cut(self._shifts(alpha), "shifts")
+        self.rows = cut(self._rows(), "rows")
+        self.best = best_of_counted(cut(self._trained(), "scores"), ["rep", "fold"])
+
+    def dealt(self, frame: DataFrame) -> DataFrame:
+        return null_safe(frame, self.deals, ["_ident"]).select(*frame.columns, F.explode("_d").alias("_x")).select(*frame.columns, "_x.rep", "_x._code")
+
+    def _based(self) -> DataFrame:
+        """(values, _base): what the other features bring to each tuple of values, by fold."""
+        fit = self.fit
+        ends = fit.constants.groupBy("split").agg(F.collect_list(F.struct("fold", F.col("parts")[0]["odds"].alias("odds"))).alias("_ends"))
+        tuples = fit.attached(fit.placed.select(*self.columns).distinct()).join(ends, "split")
+        each = tuples.select(*self.columns, F.explode(F.transform("_ends", lambda x: F.struct(x["fold"], fit.odds(x["odds"], x["fold"], fit.features).alias("odds")))).alias("_x"))
+        each = each.select(*self.columns, "_x.fold", "_x.odds").withColumn("_near", F.round("odds", ALIKE))
+        shared = each.groupBy("fold", "_near").agg(F.min("odds").alias("_shared"))
+        return each.join(shared, ["fold", "_near"]).groupBy(*self.columns).agg(F.map_from_entries(F.collect_list(F.struct("fold", "_shared"))).alias("_base"))
+
+    def _shifts(self, alpha: float) -> DataFrame:
+        """(rep, _code, fold, _shift): what a class brings in each replicate at each fold."""
+        inside = self.dealt(self.owners).groupBy("rep", "_code", "fold").agg(F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
+        classes = inside.groupBy("rep", "_code").agg(F.sum("l0").alias("c0"), F.sum("l1").alias("c1"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("l0", "l1")))).alias("_in"))
+        sizes = self.fit.constants.groupBy("split").agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"), F.collect_list(F.struct("fold", "n", "p")).alias("_folds"))
+        each = classes.withColumn("split", F.lit("")).join(sizes, "split").select("rep", "_code", "c0", "c1", "_in", "_n", "_p", F.explode("_folds").alias("_f"))
+        own = F.try_element_at("_in", F.col("_f.fold"))
+        left = [F.col(f"c{y}") - F.coalesce(own[f"l{y}"], F.lit(0)) for y in (0, 1)]
+        n1 = F.col("_p") - F.col("_f.p")
+        each = cut(each.select("rep", "_code", F.col("_f.fold").alias("fold"), left[0].alias("d0"), left[1].alias("d1"), (F.col("_n") - F.col("_f.n") - n1).alias("n0"), n1.alias("n1")), "classes")
+        kinds = each.groupBy("rep", "fold").agg((F.count_if(F.col("d0") + F.col("d1") > 0) + 1).alias("k"))
+        log = lambda x: F.log(x + alpha)
+        shift = log(F.col("d0")) - log(F.col("d1")) - F.log(F.col("n0") + alpha * F.col("k")) + F.log(F.col("n1") + alpha * F.col("k"))
+        return each.join(kinds, ["rep", "fold"]).select("rep", "_code", "fold", shift.alias("_shift"))
+
+    def _rows(self) -> DataFrame:
+        """(row_id, fold, label, _bases, _base, _codes): each row once, with what its values bring at each fold, in the order
+        of folds, and at its own, and the numbers of its classes of all replicates, packed."""
+        packed = self.deals.select("_ident", F.unhex(F.array_join(F.transform("_d", lambda x: F.lpad(F.hex(x["_code"]), 2 * self.width, "0")), "")).alias("_codes"))
+        own = null_safe(self.fit.placed.join(self.based, self.columns), packed, ["_ident"])
+        bases = F.array(*[F.element_at("_base", F.lit(f)) for f in self.folds]).cast("array<double>")
+        return own.select(self.row_id, "fold", "label", bases.alias("_bases"), F.element_at("_base", F.col("fold")).alias("_base"), "_codes")
+
+    @property
+    def width(self) -> int:
+        """Bytes of a class's number."""
+        return 1 if self.classes <= 1 << 8 else 2 if self.classes <= 1 << 16 else 4
+
+    def _trained(self) -> DataFrame:
+        """(rep, fold, threshold, n, p): the training rows of each fold, counted by score in each replicate."""
+        folds, repeats, classes, unpacked = self.folds, self.repeats, self.classes, self._unpacked()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for own in _gathered(batches):
+                at, positive = np.searchsorted(folds, own["fold"].to_numpy()), own["label"].to_numpy(zero_copy_only=False) == 1
+                bases = own["_bases"].flatten().to_numpy().reshape(-1, len(folds))
+                kinds = np.arange(repeats) * classes + unpacked(own["_codes"])
+                for k, fold in enumerate(folds):
+                    held = at != k
+                    values, place = np.unique(bases[held, k], return_inverse=True)
+                    keys, n, p = _tallied(place.reshape(-1, 1) * (repeats * classes) + kinds[held], positive[held], len(values) * repeats * classes)
+                    rep, code = np.divmod(keys % (repeats * classes), classes)
+                    yield _batch(fold=np.full(len(keys), fold, np.int64), _base=values[keys // (repeats * classes)], rep=rep.astype(np.int32), _code=code.astype(np.int32), n=n, p=p)
+
+        counted = self.rows.select("fold", "label", "_bases", "_codes").mapInArrow(run, "fold long, _base double, rep int, _code int, n long, p long")
+        counted = counted.groupBy("fold", "_base", "rep", "_code").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        met = counted.join(self.shifts, ["rep", "_code", "fold"]).select("rep", "fold", _score(F.col("_base") + F.col("_shift")).alias("threshold"), "n", "p")
+        return met.groupBy("rep", "fold", "threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+    def _unpacked(self):
+        width, repeats = self.width, self.repeats
+        return lambda codes: np.frombuffer(b"".join(codes.to_pylist()), f">u{width}").reshape(len(codes), repeats).astype(np.int64)
+
+    def parts(self) -> DataFrame:
+        """(fold, _base, _range, _part, rep, _code, n, p, z, places): the held-out rows of a fold and base in the order of
+        row ids as text, in parts of up to a batch; for each replicate and class of a part its rows, positives and
+        negatives, and where the positives stand among its rows, from 1."""
+        repeats, classes, unpacked = self.repeats, self.classes, self._unpacked()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = 0
+            for own in batches:
+                if not own.num_rows:
+                    continue
+                fold, base, label = (own.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "_base", "label"))
+                new = np.r_[True, (fold[1:] != fold[:-1]) | (base[1:] != base[:-1])]
+                first, segment = np.flatnonzero(new), np.cumsum(new) - 1
+                key = (segment.reshape(-1, 1) * (repeats * classes) + np.arange(repeats) * classes + unpacked(own.column("_codes"))).reshape(-1)
+                order = np.argsort(key, kind="stable")
+                key, y = key[order], np.repeat(label, repeats)[order]
+                start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                n, hit = np.diff(np.r_[start, len(key)]), y == 1
+                p, z = np.add.reduceat(hit.astype(np.int64), start), np.add.reduceat((y == 0).astype(np.int64), start)
+                place = np.arange(len(key)) - np.repeat(start, n) + 1
+                key, (rep, code) = key[start] // (repeats * classes), np.divmod(key[start] % (repeats * classes), classes)
+                places = pa.ListArray.from_arrays(np.r_[0, np.cumsum(p)].astype(np.int32), place[hit].astype(np.int32))
+                yield _batch(fold=fold[first[key]].astype(np.int64), _base=base[first[key]], _range=np.full(len(key), own.column("_range")[0].as_py(), np.int32), _part=part + key, rep=rep.astype(np.int32), _code=code.astype(np.int32), n=n.astype(np.int64), p=p, z=z, places=places)
+                part += len(first)
+
+        order = ["fold", "_base", "_key"]
+        ranged = self.rows.select("fold", "_base", F.col(self.row_id).cast("string").alias("_key"), "label", "_codes").repartitionByRange(*order).sortWithinPartitions(*order)
+        ranged = ranged.select("fold", "_base", F.coalesce("label", F.lit(-1)).alias("label"), "_codes", F.spark_partition_id().alias("_range"))
+        return ranged.mapInArrow(run, "fold long, _base double, _range int, _part long, rep int, _code int, n long, p long, z long, places array<int>")
+
+
+def _batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], names=list(columns))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about TALLIED."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+        if held and (batch is None or sum(b.num_rows for b in held) >= TALLIED):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+
+
+def _tallied(keys: np.ndarray, positive: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, n, p): the different keys of a matrix, one row of it a row, with how often they are there and in positive rows."""
+    every, hits = keys.reshape(-1), keys[positive].reshape(-1)
+    if size <= 8 * every.size + TALLIED:
+        n, p = np.bincount(every, minlength=size), np.bincount(hits, minlength=size)
+        found = np.flatnonzero(n)
+        return found, n[found], p[found]
+    found, n = np.unique(every, return_counts=True)
+    return found, n, np.bincount(np.searchsorted(found, hits), minlength=len(found))
+
+
 def shuffle_control(rows: DataFrame, folds: DataFrame, features: Sequence[str], deals: DataFrame, ident: str, label: str, row_id: str, alpha: float = 1.0) -> DataFrame:
     """(rep, fold, row_id, label, score, threshold, predicted): the held-out rows of a model of `features` and of a class
     that is dealt anew among identities in each replicate, labelled by the threshold that is best on the training rows.
 
-    folds: (row_id, fold); deals: (ident, dealt), the class of an identity in each replicate. Dealing changes one feature
-    only, so what the others bring to a row at each fold is worked out once, and classes are counted from identities. An
-    identity carries what its classes bring as one array; rows are joined once, whatever the number of replicates, and
-    training rows are counted by the values of the features and the class before they are scored. No rows in: no rows out.
+    folds: (row_id, fold); deals: (ident, dealt), the class of an identity in each replicate. A row for each row and
+    replicate; shuffle_control_results gives metrics without making them. No rows in: no rows out.
     """
-    fit = _Fit(rows, folds.select(F.lit("").alias("split"), row_id, "fold"), {"base": features}, label, row_id, alpha, ident)
-    columns = ["split", *[f"_v{k}" for k in range(len(fit.features))]]
-    deals = cut(deals.select(F.col(ident).alias("_ident"), F.transform("dealt", lambda c: F.coalesce(c.cast("string"), F.lit(""))).alias("_dealt")), "deals")
-    dealt = lambda frame: null_safe(frame, deals, ["_ident"]).select(*frame.columns, F.posexplode("_dealt").alias("rep", "_c"))
-    # what the other features bring to each tuple of values at each fold
-    ends = fit.constants.groupBy("split").agg(F.collect_list(F.struct("fold", F.col("parts")[0]["odds"].alias("odds"))).alias("_ends"))
-    tuples = fit.attached(fit.placed.select(*columns).distinct()).join(ends, "split")
-    based = tuples.select(*columns, F.map_from_entries(F.transform("_ends", lambda x: F.struct(x["fold"], fit.odds(x["odds"], x["fold"], fit.features)))).alias("_base"))
-    based = cut(based, "base")
-    # what a class brings in each replicate at each fold
-    owners = cut(fit.placed.groupBy("_ident", "fold").agg(F.count_if(F.col("label") == 0).alias("l0"), F.count_if(F.col("label") == 1).alias("l1")), "identities")
-    inside = dealt(owners).groupBy("rep", "_c", "fold").agg(F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
-    classes = inside.groupBy("rep", "_c").agg(F.sum("l0").alias("c0"), F.sum("l1").alias("c1"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("l0", "l1")))).alias("_in"))
-    sizes = fit.constants.groupBy("split").agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"), F.collect_list(F.struct("fold", "n", "p")).alias("_folds"))
-    each = classes.withColumn("split", F.lit("")).join(sizes, "split").select("rep", "_c", "c0", "c1", "_in", "_n", "_p", F.explode("_folds").alias("_f"))
-    own = F.try_element_at("_in", F.col("_f.fold"))
-    left = [F.col(f"c{y}") - F.coalesce(own[f"l{y}"], F.lit(0)) for y in (0, 1)]
-    n1 = F.col("_p") - F.col("_f.p")
-    each = cut(each.select("rep", "_c", F.col("_f.fold").alias("fold"), left[0].alias("d0"), left[1].alias("d1"), (F.col("_n") - F.col("_f.n") - n1).alias("n0"), n1.alias("n1")), "classes")
-    kinds = each.groupBy("rep", "fold").agg((F.count_if(F.col("d0") + F.col("d1") > 0) + 1).alias("k"))
-    log = lambda x: F.log(x + alpha)
-    shift = log(F.col("d0")) - log(F.col("d1")) - F.log(F.col("n0") + alpha * F.col("k")) + F.log(F.col("n1") + alpha * F.col("k"))
-    shifts = cut(each.join(kinds, ["rep", "fold"]).select("rep", "_c", "fold", shift.alias("_shift")), "shifts")
-    # training rows: counted by values and class, scored at each fold without the fold's own
-    cells = fit.placed.groupBy(*columns, "_ident", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p"))
-    counted = dealt(spread(cells)).groupBy(*columns, "rep", "_c", "fold").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    counted = counted.groupBy(*columns, "rep", "_c").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "p")))).alias("_in"))
-    by_fold = shifts.groupBy("rep", "_c").agg(F.collect_list(F.struct("fold", "_shift")).alias("_shifts"))
-    met = counted.join(based, columns).join(by_fold, ["rep", "_c"])
-    met = met.select("rep", "n", "p", "_in", "_base", F.explode("_shifts").alias("_s"))
-    own = F.try_element_at("_in", F.col("_s.fold"))
-    score = _score(F.element_at("_base", F.col("_s.fold")) + F.col("_s._shift")).alias("threshold")
-    met = met.select("rep", F.col("_s.fold").alias("fold"), score, *[(F.col(c) - F.coalesce(own[c], F.lit(0))).alias(c) for c in ("p", "n")]).where("n > 0")
-    met = cut(met.groupBy("rep", "fold", "threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "scores")
-    best = best_of_counted(met, ["rep", "fold"])
-    # held-out rows
-    brought = dealt(owners.select("_ident", "fold")).join(shifts, ["rep", "_c", "fold"]).groupBy("_ident", "fold").agg(F.array_sort(F.collect_list(F.struct("rep", "_shift"))).alias("_shifts"))
-    held = spread(fit.placed.join(based, columns))
+    own = _Control(rows, folds, features, deals, ident, label, row_id, alpha)
+    brought = own.dealt(own.owners.select("_ident", "fold")).join(own.shifts, ["rep", "_code", "fold"]).groupBy("_ident", "fold").agg(F.array_sort(F.collect_list(F.struct("rep", "_shift"))).alias("_shifts"))
+    held = spread(own.fit.placed.join(own.based, own.columns))
     held = null_safe(held.select("_ident", "fold", row_id, "label", F.element_at("_base", F.col("fold")).alias("_base")), brought, ["_ident", "fold"])
     held = held.select("fold", row_id, "label", "_base", F.explode("_shifts").alias("_s"))
     held = held.select(F.col("_s.rep").alias("rep"), "fold", row_id, "label", _score(F.col("_base") + F.col("_s._shift")).alias("score"))
-    held = held.join(best, ["rep", "fold"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    held = held.join(own.best, ["rep", "fold"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
     return cut(held.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int")), "predictions")
 
 
+def shuffle_control_results(rows: DataFrame, folds: DataFrame, features: Sequence[str], deals: DataFrame, ident: str, label: str, row_id: str, alpha: float = 1.0) -> DataFrame:
+    """(rep, metrics): pooled_results of shuffle_control by replicate, with ties in the order of folds and of row ids as text.
+
+    Rows are not repeated. Those of a fold that the other features bring the same are put in order once; in a replicate
+    their classes part them into runs of one score each, whose places follow from the sizes of the runs above. Where
+    runs of several bases or classes have one rounded score, their rows alone are put in order for that replicate.
+    """
+    own = _Control(rows, folds, features, deals, ident, label, row_id, alpha)
+    rules = cut(own.shifts.join(own.best, ["rep", "fold"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5))), "rules")
+    parts = cut(own.parts(), "parts").join(rules, ["rep", "_code", "fold"]).withColumn("_s", _score(F.col("_base") + F.col("_shift")))
+    parts = parts.withColumn("_above", F.col("_s") >= F.col("threshold")).withColumn("score", F.round("_s", 8))
+    run, kind = ["rep", "score", "fold"], F.struct("_base", "_code")
+    put = lambda c, above: F.sum(F.when(F.col("_above") if above else ~F.col("_above"), F.col(c)).otherwise(0))
+    four = {"tp": put("p", True), "tn": put("z", False), "fp": put("z", True), "fn": put("p", False)}
+    runs = parts.groupBy(*run).agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"), (F.min(kind) != F.max(kind)).alias("_mixed"), *[c.alias(name) for name, c in four.items()])
+    runs = cut(running(runs, ["rep"], [F.desc("score"), "fold"], {"_hits": "_p", "_place": "_n"}), "runs")
+    starts = runs.where("_p > 0").select(*run, (F.col("_hits") - F.col("_p")).alias("_h0"), (F.col("_place") - F.col("_n")).alias("_p0"), "_mixed")
+    # runs of one base and class: parts follow each other
+    before = Window.partitionBy(*run).orderBy("_base", "_code", "_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    follow = parts.select(*run, "_base", "_code", "_range", "_part", "n", "p", "places").withColumns({"_h": upto("p"), "_q": upto("n")}).join(starts.where("not _mixed"), run)
+    share = F.transform("places", lambda x, k: (F.col("_h0") + F.col("_h") + k + 1) / (F.col("_p0") + F.col("_q") + x))
+    single = follow.groupBy("rep").agg(F.sum(F.aggregate(share, F.lit(0.0), lambda a, x: a + x)).alias("_precision"))
+    # other runs: by rows
+    mixed = parts.join(starts.where("_mixed"), run).select("fold", "_base", F.struct("rep", "_code", "score", "_h0", "_p0").alias("_x")).distinct()
+    mixed = mixed.groupBy("fold", "_base").agg(F.collect_list("_x").alias("_mixed"))
+    code = F.conv(F.hex(F.substring("_codes", F.col("_x.rep") * own.width + 1, F.lit(own.width))), 16, 10).cast("int")
+    met = own.rows.join(mixed, ["fold", "_base"]).select("fold", "label", F.col(row_id).cast("string").alias("_key"), "_codes", F.explode("_mixed").alias("_x")).where(code == F.col("_x._code"))
+    met = running(met.select("fold", "label", "_key", "_x.rep", "_x.score", "_x._h0", "_x._p0"), run, ["_key"], {"_hits": F.when(F.col("label") == 1, 1).otherwise(0), "_place": F.lit(1)})
+    by_rows = met.where("label = 1").groupBy("rep").agg(F.sum((F.col("_h0") + F.col("_hits")) / (F.col("_p0") + F.col("_place"))).alias("_precision"))
+    at = runs.groupBy("rep", "score").agg(F.sum("_n").alias("_n"), F.sum("_p").alias("_p"), (F.max("_place") - F.max("_hits")).alias("_negatives"), F.lit(None).cast("double").alias("_precision"), *[F.sum(name).alias(name) for name in four])
+    none = [F.lit(0).cast("long").alias(c) for c in ("_n", "_p", "_negatives", *four)]
+    precision = single.unionByName(by_rows).select("rep", F.lit(None).cast("double").alias("score"), "_precision", *none)
+    return of_counted(at.unionByName(precision), ["rep"], "score")
+
+
 def fold_results(predictions: DataFrame, row_id: str) -> DataFrame:
     return evaluated(predictions, ["split", "model", "fold"], "label", "score", "predicted", [row_id])
 

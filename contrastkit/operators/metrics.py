@@ -67,7 +67,7 @@ def evaluated(rows: DataFrame, by: Sequence[str], label: str, score: str, predic
     Rows are put in order once, by falling score and then by `order`. Running positives and places give the precision at
     each positive; where they stand at the end of equal scores gives the negatives above, and so the area under the curve.
     """
-    y, s = F.col(label), F.col(score)
+    y = F.col(label)
     placed = running(rows.select(*by, label, score, predicted, *order), by, [F.desc(score), *order], {"_hits": label, "_place": F.lit(1)})
     four = confusion(y, F.col(predicted))
     at = placed.groupBy(*by, score).agg(
@@ -77,7 +77,14 @@ def evaluated(rows: DataFrame, by: Sequence[str], label: str, score: str, predic
         F.sum(F.when(y == 1, F.col("_hits") / F.col("_place"))).alias("_precision"),
         *[c.alias(name) for name, c in four.items()],
     )
-    n, p, sure = F.col("_n"), F.col("_p"), clamped(s)
+    return of_counted(at, by, score)
+
+
+def of_counted(at: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+    """evaluated of (by, score, _n, _p, _negatives, _precision, tp, tn, fp, fn): at each score the rows, positives, negatives
+    down to its end, and the sum of the precision at its positives, which may also come in rows of its own that count none."""
+    n, p, s = F.col("_n"), F.col("_p"), F.col(score)
+    sure, four = clamped(s), ("tp", "tn", "fp", "fn")
     whole, positives = F.sum("_n"), F.sum("_p")
     pairs = positives.cast("double") * (whole - positives)
     above = F.sum(p * (F.col("_negatives") - (n - p) / 2.0))

@@ -75,8 +75,7 @@ def shuffle_control(rows: DataFrame, roles: Roles, label: str, k: int, seed: int
     scores rank in the order of folds and of row ids as text."""
     grouped = folds.group_folds(rows, roles.ident, label, k, seed).select(roles.row_id, "fold")
     deals = resample.dealt_classes(rows, roles.cls, roles.ident, seed + 1000, repeats)
-    out = bayes.shuffle_control(rows, grouped, list(roles.context), deals, roles.ident, label, roles.row_id)
-    out = bayes.pooled_results(out.withColumn("_key", F.col(roles.row_id).cast("string")), "_key", ["rep"])
+    out = bayes.shuffle_control_results(rows, grouped, list(roles.context), deals, roles.ident, label, roles.row_id)
     return out.select(F.col("rep").alias("repeat"), F.lit("bio_plus_shuffled_mechanism").alias("model"), *[c for c in out.columns if c != "rep"])
 
 

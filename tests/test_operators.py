@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrastkit.operators import association, audit, bayes, decide, folds, matched, measurements, metrics, ordered, resample
+from contrastkit.plans import analyses
 
 CTX, UNIT = ["ctx"], ["ctx", "cls", "ident"]
 
@@ -419,3 +420,34 @@ def test_training_cells_are_scored_once_at_each_fold(spark):
     assert trained.where("n <= 0 or p < 0 or p > n").count() == 0
     counts = trained.groupBy("model", "fold").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).collect()
     assert {(r["model"], r["fold"]): (r["n"], r["p"]) for r in counts} == {(m, f): (45, 15 if f % 2 else 30) for m in ("none", "x", "both") for f in range(4)}
+
+
+@pytest.mark.parametrize("features, batch", [(["ctx"], 7), (["ctx", "row_id"], 10000)])
+def test_shuffle_control_results_are_those_of_its_rows(spark, features, batch):
+    """In runs of one base and class and in mixed ones, and in parts."""
+    rows = [(k, [None, *(f"i{j}" for j in range(20))][k * 13 % 21], ["A", "B", "C", None][k * 13 % 21 % 4], f"c{k * k % 11 % 3}", int(k * 5 % 7 < 2)) for k in range(900)]
+    frame = spark.createDataFrame(rows, "row_id int, ident string, cls string, ctx string, label int")
+    placed = folds.group_folds(frame, "ident", "label", 3).select("row_id", "fold")
+    deals = resample.dealt_classes(frame, "cls", "ident", 5, 12)
+    wanted = bayes.shuffle_control(frame, placed, features, deals, "ident", "label", "row_id")
+    wanted = bayes.pooled_results(wanted.withColumn("key", F.col("row_id").cast("string")), "key", ["rep"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = bayes.shuffle_control_results(frame, placed, features, deals, "ident", "label", "row_id")
+        assert got.columns == wanted.columns
+        a, b = (sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in x.collect()) for x in (got, wanted))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(a) == 12 and a == b
+
+
+def test_shuffle_control_orders_no_row_for_each_repeat(spark, monkeypatch):
+    rows = [(k, f"i{k * 13 % 21}", "ABC"[k * 13 % 21 % 3], f"u{k % 2}", f"c{k % 4}", int(k * 5 % 7 < 2)) for k in range(600)]
+    frame = spark.createDataFrame(rows, "row_id int, ident string, cls string, units string, ctx string, label int")
+    most = []
+    for module in (bayes, metrics):
+        monkeypatch.setattr(module, "running", lambda frame, *rest: most.append(frame.count()) or ordered.running(frame, *rest), raising=False)
+    roles = analyses.Roles(row_id="row_id", cls="cls", ident="ident", context=("units", "ctx"))
+    assert analyses.shuffle_control(frame, roles, "label", 3, 44, 10).count() == 10
+    assert most and max(most) < 600 * 10 / 2
