@@ -17,6 +17,9 @@ ACTIVITY = (
     "activity_id standard_type is_potency_endpoint relation value_raw value_numeric units is_molar_unit cell_line disease_model source_url source_html"
 ).split()
 
+#: Folders that page files are dealt to.
+FOLDERS = 1024
+
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A delimited file with a header; every column is text and a missing value is empty, not null.
@@ -33,10 +36,33 @@ def read_inferred_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", True).csv(path)
 
 
-def read_pages(spark: SparkSession, path: str, pattern: str = "*.html", key: str = r"([^/]*?)(?:\.[^./]*)?$") -> DataFrame:
+def _folder(key: Column) -> Column:
+    return F.lpad(F.hex(F.pmod(F.xxhash64(key), F.lit(FOLDERS))), 3, "0")
+
+
+def write_pages(pages: DataFrame, path: str, ending: str = ".html") -> int:
+    """Write pages (key, page) of different keys as files named by their keys, dealt by hash to FOLDERS folders; the number
+    of files. A page without a key or text has no file. For file systems that Arrow knows."""
+    own = pages.where(F.col("key").isNotNull() & F.col("page").isNotNull())
+    return files.store(own.select(_folder(F.col("key")).alias("folder"), "key", "page"), path, ending)
+
+
+def page_folders(spark: SparkSession) -> DataFrame:
+    """The names of the folders that write_pages deals to, in a few tasks a core."""
+    return spark.range(0, FOLDERS, 1, min(FOLDERS, 4 * spark.sparkContext.defaultParallelism)).select(F.lpad(F.hex("id"), 3, "0").alias("folder"))
+
+
+def read_pages(spark: SparkSession, path: str, pattern: str = "*.html", key: str = r"([^/]*?)(?:\.[^./]*)?$", folders: DataFrame | None = None) -> DataFrame:
     """(key, path, page): one row per file; undecodable bytes become U+FFFD. key: a regular expression whose first group
-    on a file's path is its key, else its name without the ending."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    on a file's path is its key, else its name without the ending.
+
+    folders: names of the folders below path that hold the files, where they are known, as page_folders gives them; tasks
+    list and read them, and no list of files passes the driver.
+    """
+    if folders is None:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    else:
+        found = files.contents(folders, path, pattern)
     return found.select(F.regexp_extract("path", key, 1).alias("key"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("page"))
 
 

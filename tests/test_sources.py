@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrastkit.operators import audit
+from contrastkit.plans import catalog
 from contrastkit.sources import fetch, files, report, single, tables, xlsx
 from contrastkit.streaming import ingest
 
@@ -269,3 +270,26 @@ def test_single_file_is_read_in_ranges(spark, tmp_path, monkeypatch, end):
             assert frame.rdd.getNumPartitions() == -(-len(open(path, "rb").read()) // size)
             found = [tuple(r) for r in frame.collect()]
         assert sorted(found) == sorted(rows), size
+
+
+def test_page_files_share_folders(spark, tmp_path, monkeypatch):
+    """Fewer folders than pages, and pages without an id or text as in the SQL."""
+    rows = [(k, f"<p>{k}</p>\r\n" if k % 3 else "é" * (k % 5)) for k in range(2000)] + [(2000, None), (None, "lost")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/in/pages.parquet")
+    (tmp_path / "scratch").mkdir()
+    monkeypatch.setattr(catalog, "scratch_dir", lambda spark: f"file://{tmp_path}/scratch")
+    got = catalog.QUERIES["src3_page_files"](spark, f"{tmp_path}/in").collect()
+    digest = lambda html: None if html is None else hashlib.md5(f"{html}\n".encode()).hexdigest()
+    assert len(got) == 2002
+    assert {(r["key"], r["page"]) for r in got} == {(None if k is None else str(k), digest(html)) for k, html in rows}
+    found = list((tmp_path / "scratch").rglob("*"))
+    assert sum(x.is_file() for x in found) == 2000 and sum(x.is_dir() for x in found) <= tables.FOLDERS + 1
+
+
+def test_page_files_of_any_names(spark, tmp_path):
+    pages = [("a.b", "1"), ("x/y", "2"), ("50%", ""), ("Ä ö", "3"), ("..", "4")]
+    assert tables.write_pages(spark.createDataFrame(pages, "key string, page string").repartition(3), str(tmp_path)) == 5
+    for _ in range(2):  # written again, it is the same
+        tables.write_pages(spark.createDataFrame(pages, "key string, page string"), str(tmp_path))
+    wanted = sorted((key.replace("%", "%25").replace("/", "%2F").replace("Ä", "%C3%84").replace("ö", "%C3%B6"), page) for key, page in pages)
+    assert sorted((r["key"], r["page"]) for r in tables.read_pages(spark, str(tmp_path), folders=tables.page_folders(spark)).collect()) == wanted
