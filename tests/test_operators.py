@@ -451,3 +451,57 @@ def test_shuffle_control_orders_no_row_for_each_repeat(spark, monkeypatch):
     roles = analyses.Roles(row_id="row_id", cls="cls", ident="ident", context=("units", "ctx"))
     assert analyses.shuffle_control(frame, roles, "label", 3, 44, 10).count() == 10
     assert most and max(most) < 600 * 10 / 2
+
+
+def test_draws_of_slots():
+    """Slots' draws follow from one another, also where keys begin anew, which those of large arms do more than once."""
+    p, top = resample.PRIME, 1 << 28
+    rng = np.random.default_rng(4)
+    v, w = (np.concatenate([x, rng.integers(0, p, 40)]) for x in ([0, 1, p - 1, p // 2], [p - 1, 0, p - 1, p // 2 + 1]))
+    key = np.concatenate([[0, top - 1, top - resample._SLOT, top - 2 * resample._SLOT], rng.integers(0, top, 40)])
+    numbers = resample._coefficients(v, w)
+    numbers = np.concatenate([numbers, resample._steps(numbers)])
+    for n, side in ((1, 0), (9, 1), (resample.WHOLE, 0)):
+        for k, got in enumerate(resample._slot_draws(key, numbers, n, side)):
+            at = [(int(x) + resample._SLOT * (2 * k + side)) % top for x in key]
+            assert got.tolist() == [(((x * a + b) ** 2 + x) * a + b) % p for x, a, b in zip(at, v.tolist(), w.tolist())]
+    assert k == resample.WHOLE - 1
+
+
+@pytest.mark.parametrize("n, same", [(9, False), (9, True), (300, False)])
+def test_dealt_classes_in_numpy(n, same, monkeypatch):
+    """Against units put in order one replicate at a time, with equal draws, an order of classes, and few and many values."""
+    monkeypatch.setattr(resample, "_LEAST", 3)
+    rng = np.random.default_rng(n)
+    v, w = rng.integers(1, resample.PRIME, (2, 70))
+    numbers, found = resample._coefficients(v, w), resample._Dealt(resample._coefficients(v, w), True, True, ["C", "A"])
+    totals, pairs = {c: 0.0 for c in "ABC"}, {}
+    for k in range(6):
+        sizes = np.array([n - 4, 3, 1] if k % 2 else [1, 2, n - 3])
+        keys = rng.integers(0, 4 if same else 1 << 28, n)
+        values = rng.random(n) if k % 3 else (rng.random(n) < 0.3).astype(float)
+        found.add(list("ABC"), sizes, keys, values)
+        draws = np.array([resample._draws(keys, *numbers[:, r]) for r in range(70)])
+        arms = dict(zip("ABC", np.split(np.arange(n), np.cumsum(sizes)[:2])))
+        order = np.argsort(draws, axis=1, kind="stable")
+        for c, arm in arms.items():
+            totals[c] = totals[c] + (values - values.mean())[order[:, arm]].sum(axis=1)
+        for a, b in ("CA", "CB", "AB"):
+            both = np.concatenate([arms[a], arms[b]])
+            dealt = values[both[np.argsort(draws[:, both], axis=1, kind="stable")]]
+            here = dealt[:, : len(arms[a])].mean(axis=1) - dealt[:, len(arms[a]) :].mean(axis=1)
+            pairs[a, b] = pairs.get((a, b), 0.0) + here
+    for c, wanted in totals.items():
+        assert found.totals[c] == pytest.approx(wanted, abs=1e-9)
+    assert {pair: times.tolist() for pair, (_, times) in found.pairs.held.items()} == {pair: [6] * 70 for pair in pairs}
+    for pair, wanted in pairs.items():
+        assert found.pairs.held[pair][0] == pytest.approx(wanted, abs=1e-9)
+
+
+def test_both_permutation_tests_draw_once(units, monkeypatch):
+    """Together they give what each gives, from a draw a unit and replicate."""
+    rounded = lambda frame: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in frame.collect())
+    wanted = [rounded(test(units, CTX, UNIT, 40)) for test in (resample.range_permutation, resample.pair_permutation)]
+    seen, dealt_sums = [], resample._dealt_sums
+    monkeypatch.setattr(resample, "_dealt_sums", lambda own, *a, **b: seen.append(own) or dealt_sums(own, *a, **b))
+    assert [rounded(frame) for frame in resample.permutations(units, CTX, UNIT, 40)] == wanted and len(seen) == 1
